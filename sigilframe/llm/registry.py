@@ -4,20 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mjpeg
+from . import bitplane, hilbert, langid, mjpeg, trie_bpe
 from .shared import documents
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.media_digest(documents(spark, sf_dir))
 
 
+def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_hilbert_packing": op1_hilbert_packing,
+    "op2_bitplane_ids": op2_bitplane_ids,
     "op6_avi_media": op6_avi_media,
+    "op9_trie_bpe": op9_trie_bpe,
     "op10_language_id": op10_language_id,
 }
 
