@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, hilbert, langid, mjpeg, trie_bpe
+from . import bitplane, hilbert, langid, linededup, mjpeg, secrets, spans, trie_bpe
 from .shared import documents
 
 
@@ -22,10 +22,22 @@ def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(documents(spark, sf_dir))
+
+
 def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.media_digest(documents(spark, sf_dir))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(documents(spark, sf_dir))
+
+
 def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -37,9 +49,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_bitplane_ids": op2_bitplane_ids,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_avi_media": op6_avi_media,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_secret_scan": secrets.ORACLE,
+    "op5_line_dedup": linededup.ORACLE,
+}
