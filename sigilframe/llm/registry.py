@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, hilbert, langid, linededup, mjpeg, secrets, spans, trie_bpe
+from . import bitplane, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
 from .shared import documents
 
 
@@ -26,6 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_bitplane_ids": op2_bitplane_ids,
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_avi_media": op6_avi_media,
     "op8_sentence_spans": op8_sentence_spans,
