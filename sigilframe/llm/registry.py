@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
+from . import bitplane, crosspoly, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
 from .shared import documents
 
 
@@ -38,6 +38,10 @@ def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.media_digest(documents(spark, sf_dir))
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_avi_media": op6_avi_media,
+    "op7_cross_polytope": op7_cross_polytope,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_language_id": op10_language_id,
