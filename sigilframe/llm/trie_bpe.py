@@ -24,14 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_rows
-from .wordbpe import MOST_CACHED, WORD_SPLIT, load, packed
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of bytes in vocabulary files: printable Latin-1 stands for itself, the rest follow from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+from .wordbpe import MOST_CACHED, WORD_SPLIT, byte_alphabet, load, packed
 
 
 class TrieBpe:

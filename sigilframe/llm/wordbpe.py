@@ -2,7 +2,7 @@
 
 The library splits a text into pieces before it merges; a piece's ids don't depend on the rest of the text. Texts
 within Latin-1, where the split's character classes are stated below, are split here by one pattern; unseen pieces go
-to the library in batches, and their ids are kept as bytes. Every other text goes to the library whole, and so does
+to the library's model, and their ids are kept as bytes. Every other text goes to the library whole, and so does
 any that holds a special token's string.
 """
 
@@ -19,7 +19,7 @@ SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 BYTE_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 WORD_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
 
-MOST_CACHED = 700_000
+MOST_CACHED = 600_000
 
 
 def load(path: str):
@@ -34,6 +34,13 @@ def load(path: str):
     return t
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of bytes in vocabulary files: printable Latin-1 stands for itself, the rest follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""
     a = array("I", ids)
@@ -61,31 +68,44 @@ class Encoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)).search if special else lambda text: None
         self.cache: dict[str, bytes] = {}
+        self.stand_ins = {b: c for c, b in byte_alphabet().items()}
+        self.space = self.stand_ins[32]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Adds the ids of unseen pieces to the cache: the library's model merges each, spelled in the stand-ins of bytes."""
+        tokenize, cache = self.tokenizer.model.tokenize, self.cache
+        for w in pieces:
+            spelled = w.replace(" ", self.space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.stand_ins)
+            cache[w] = packed([x.id for x in tokenize(spelled)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        pieces, whole, new = {}, [], set()
+        split, whole, new = [], [], set()
+        if len(self.cache) > MOST_CACHED:
+            self.cache = {}
+        get = self.cache.get
         for i, text in enumerate(texts):
             try:
                 text.encode("latin-1")
                 plain = not self.special(text)
             except UnicodeEncodeError:
                 plain = False
-            if plain:
-                pieces[i] = p = self.split(text)
-                new.update(p)
-            else:
+            if not plain:
                 whole.append(i)
+                continue
+            pieces = self.split(text)
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing = [k for k, x in enumerate(ids) if x is None]
+                new.update([pieces[k] for k in missing])
+                split.append((i, pieces, ids, missing))
+            else:
+                out[i] = b"".join(ids)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = packed(e.ids)
-        if len(self.cache) + len(new) > MOST_CACHED:
-            self.cache = {}
-        new = list(new.difference(self.cache))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = packed(e.ids)
-        get = self.cache.__getitem__
-        for i, p in pieces.items():
-            out[i] = b"".join(map(get, p))
+        self.learn(list(new))
+        for i, pieces, ids, missing in split:
+            for k in missing:
+                ids[k] = get(pieces[k])
+            out[i] = b"".join(ids)
         return out
