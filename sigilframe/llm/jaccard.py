@@ -8,10 +8,13 @@ One tree over a corpus would not prune: hashed counts of unrelated documents of
 coordinate. So documents are first dealt to trees by signatures that lose no link. Sets that link differ in at most d shingles,
 where d follows from their sizes. Cut into more than d groups by hash, they agree in at least one group; with as many more
 groups as usually stay empty, in one that isn't empty. A signature is the hash of a whole group of a size class, so
-it takes several common shingles in the same places to share one; common passages do not. The few documents with too many
-empty groups also get the signatures of the classical prefix filter, which cover links among themselves. Documents that share signatures, directly or over
-others, go to one tree. A tree of more than TREE_SHINGLES is split into parts, and each pair of parts gets a task of its own; so
-memory stays bounded and no pair is left out.
+it takes several common shingles in the same places to share one. The few documents with too many
+empty groups also get the signatures of the classical prefix filter, which cover links among themselves.
+
+Points have as many coordinates as their size class needs to tell unrelated sets apart. A signature of few documents gives pairs, whose bound is looked
+at once for each pair; one of more than SHORT gets an R-tree over its documents' points (one of more than RUN_MOST ties its documents without the
+bound). Documents that the bound leaves tied, directly or over others, are verified together, by an R-tree over their points and then on their sets. Ties of more than
+TREE_SHINGLES are split into parts, and each pair of parts gets a task of its own; so memory stays bounded and no pair is left out.
 
 Within a task, a pair whose documents are in one component already needs no verification, so what leaves a task is a
 spanning forest, never all pairs of a group. Equal sets are one node throughout.
@@ -42,8 +45,12 @@ DIMS = 32
 RATIO = 1.6
 LEAF = 32
 TREE_SHINGLES = 2 << 20
+SHORT = 8
+RUN_MOST = 20_000
 CHUNK = 1 << 20
 
+LOW = np.uint64(127)  # the lowest bits of a signature name its size class
+
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -133,28 +140,39 @@ SCHEMES = [scheme(k) for k in range(90)]
 BOUNDS = [RATIO**k for k in range(91)]
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Hashes of whole groups, for the size class of the set and, near its lower bound, for the class below."""
-    n = len(s)
+def classes(n: int) -> list[int]:
+    """The size classes of a set: its own and, near its lower bound, the one below; without those where only equal sets link."""
     k = int(np.searchsorted(BOUNDS, n, "right")) - 1
-    out = []
+    return [c for c in (k, k - 1) if c >= 0 and n * SHARE[0] <= BOUNDS[c + 1] * SHARE[1] and SCHEMES[c][0]]
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """Hashes of whole groups, for each size class of the set."""
+    n, out = len(s), []
     mixed = mix(s)
-    for c in (k, k - 1):
-        if c < 0 or n * SHARE[0] > BOUNDS[c + 1] * SHARE[1]:
-            continue
+    for c in classes(n):
         d, groups = SCHEMES[c]
-        if d == 0:
-            continue  # only equal sets link
         g = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
-        out.append(mix(np.add.reduceat(mixed, first) + g[first] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((c + 1) * 0x165667B19E3779F9 & (1 << 64) - 1)))
+        made = [mix(np.add.reduceat(mixed, first) + g[first] * np.uint64(0xC2B2AE3D27D4EB4F))]
         if len(first) < d + 1:
-            out.append(mix(s[: n - -(-n * SHARE[0] // SHARE[1]) + 1] ^ np.uint64(0x27D4EB2F165667C5)))
+            made.append(mix(s[: n - -(-n * SHARE[0] // SHARE[1]) + 1] ^ np.uint64(0x27D4EB2F165667C5)))
+        out += [x & ~LOW | np.uint64(c) for x in made]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
+def dims_of(c: int) -> int:
+    """Coordinates of the points of a size class: chance makes unrelated sets differ by more than a link allows."""
+    return max(DIMS, 1 << (int(BOUNDS[c]) // 32).bit_length())
+
+
+def point(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    return np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+
+
+def may_link(overlap, a, b):
+    """Whether an overlap of at most so much can be enough for sets of sizes a and b."""
+    return overlap * (SHARE[0] + SHARE[1]) >= (a + b) * SHARE[0]
 
 
 class CountTree:
@@ -162,7 +180,7 @@ class CountTree:
     node can hold by the sum of smaller coordinates, level by level."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+        self.points, self.sizes = points.astype(np.int32), sizes
         leaves: list[np.ndarray] = []
         stack = [np.argsort(sizes, kind="stable")]
         while stack:
@@ -170,13 +188,13 @@ class CountTree:
             if len(rows) <= LEAF:
                 leaves.append(rows)
                 continue
-            both = np.concatenate([points[rows], sizes[rows][:, None]], 1)
+            both = np.concatenate([self.points[rows], sizes[rows][:, None]], 1)
             wide = int((both.max(0) - both.min(0)).argmax())
             order = rows[np.argsort(both[:, wide], kind="stable")]
             stack += [order[len(order) // 2 :], order[: len(order) // 2]]
         self.leaves = leaves
         # Levels from the leaves up: the largest coordinates and the sizes' range of each node.
-        self.levels = [(np.stack([points[r].max(0) for r in leaves]), np.array([sizes[r].min() for r in leaves]), np.array([sizes[r].max() for r in leaves]))]
+        self.levels = [(np.stack([self.points[r].max(0) for r in leaves]), np.array([sizes[r].min() for r in leaves]), np.array([sizes[r].max() for r in leaves]))]
         while len(self.levels[-1][0]) > LEAF:
             top, lo, hi = self.levels[-1]
             cut = np.arange(0, len(top), 8)
@@ -190,7 +208,7 @@ class CountTree:
             top, lo, hi = (x[nodes] for x in self.levels[depth])
             most = np.minimum(np.minimum(top, q).sum(1), np.minimum(hi, size))
             least = np.maximum(lo, -(-size * n // d))
-            nodes = nodes[(hi * d >= size * n) & (lo * n <= size * d) & (most * (n + d) >= (size + least) * n)]
+            nodes = nodes[(hi * d >= size * n) & (lo * n <= size * d) & may_link(most, size, least)]
             if not len(nodes):
                 return nodes
             if depth:
@@ -199,7 +217,7 @@ class CountTree:
                 nodes = nodes[nodes < below]
         rows = np.concatenate([self.leaves[i] for i in nodes])
         most = np.minimum(self.points[rows], q).sum(1)
-        return rows[most * (n + d) >= (self.sizes[rows] + size) * n]
+        return rows[may_link(most, self.sizes[rows], size) & (self.sizes[rows] * d >= size * n) & (self.sizes[rows] * n <= size * d)]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -233,13 +251,14 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[t
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n, hi, lo (the set's digest) and, once for equal sets of a batch run, its signatures; stored."""
+    """doc_id, text_key, n, hi, lo (the set's digest) and, once for equal sets of a batch run, its signatures and its points
+    by size class; stored."""
 
     def make():
         seen: set[tuple[int, int]] = set()
 
         def batch(c: dict) -> dict:
-            n, hi, lo, sig = [], [], [], []
+            n, hi, lo, sig, pts = [], [], [], [], []
             for t in c["text"]:
                 s = shingles(t)
                 d = digest_of(s)
@@ -252,45 +271,142 @@ def profile(docs: DataFrame) -> DataFrame:
                         seen.clear()
                     seen.add(d)
                 sig.append(signatures(s).astype(np.int64) if new else None)
-            return {"doc_id": c["doc_id"], "text_key": c["text_key"], "n": n, "hi": hi, "lo": lo, "sig": sig}
+                pts.append([{"c": k, "p": point(s, dims_of(k)).astype("<u2").tobytes()} for k in classes(len(s))] if new else None)
+            return {"doc_id": c["doc_id"], "text_key": c["text_key"], "n": n, "hi": hi, "lo": lo, "sig": sig, "pts": pts}
 
         return batch
 
     src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return stored(map_rows(src, "doc_id long, text_key long, n long, hi long, lo long, sig array<long>", make), "profile")
+    return stored(map_rows(src, "doc_id long, text_key long, n long, hi long, lo long, sig array<long>, pts array<struct<c:int,p:binary>>", make), "profile")
 
 
 def shared_signatures(table: DataFrame) -> DataFrame:
-    """(a, b): each set's low digest with the smallest one that shares a signature. Streams signatures in order."""
+    """Streams the signatures in order. Where 2 to SHORT nodes share one: (null, a, b) for each pair. Where more do: (signature, a, null)
+    for each. A node is a set in a size class: the digest's high bits and the class."""
     rows = table.where("sig is not null").select(F.explode("sig").alias("sig"), "lo")
     spark = table.sparkSession
     many = table.agg(F.sum(F.size("sig"))).first()[0] or 0
     rows = rows.repartition(parts_for(spark, many, 4 << 20), "sig").sortWithinPartitions("sig", "lo")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = leader = None
+        sig, node, long_one = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def found(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.repeat(np.diff(np.append(start, len(sig))), np.diff(np.append(start, len(sig))))
+            many = (size > SHORT) | (sig == long_one if long_one is not None else False)
+            if many.any():
+                k = int(many.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(node[many]), pa.nulls(k, pa.int64())], schema=schema)
+            few = ~many & (size > 1)
+            s, x, pairs = sig[few], node[few], []
+            for lag in range(1, SHORT):
+                same = s[lag:] == s[:-lag]
+                if not same.any():
+                    break
+                pairs.append(np.stack([x[:-lag][same], x[lag:][same]], 1))
+            if pairs:
+                pairs = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
         for batch in batches:
-            sig, lo = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            s = batch.column(0).to_numpy()
+            sig, node = np.concatenate([sig, s]), np.concatenate([node, batch.column(1).to_numpy() & ~np.int64(127) | (s & np.int64(127))])
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])[: len(sig)]
+            sig, node = sig[fresh], node[fresh]
             if not len(sig):
                 continue
-            new = np.concatenate([[last is None or sig[0] != last], sig[1:] != sig[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            lead = np.where(at < 0, leader if leader is not None else 0, lo[at])
-            last, leader = sig[-1], lead[-1]
-            pairs = np.unique(np.stack([lead, lo], 1)[lead != lo], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on in the next batch
+            if last:
+                yield from found(sig[:last], node[:last])
+            sig, node = sig[last:], node[last:]
+            if len(sig) > SHORT:
+                long_one = sig[0]
+                yield from found(sig[:-1], node[:-1])
+                sig, node = sig[-1:], node[-1:]
+        if len(sig):
+            yield from found(sig, node)
+
+    return stored(rows.mapInArrow(run, "sig long, a long, b long"), "shared")
+
+
+def ties(table: DataFrame) -> DataFrame:
+    """(a, b): nodes tied by the bound, spanning all that may link."""
+    spark = table.sparkSession
+    shared = shared_signatures(table)
+    p = table.where("sig is not null").select("lo", "n", F.explode("pts").alias("x"))
+    p = p.select(F.expr("lo & ~127L | cast(x.c as long)").alias("node"), F.struct("n", F.col("x.p").alias("p")).alias("p"))
+    points = p.groupBy("node").agg(F.first("p").alias("p"))
+    pairs = shared.where("sig is null").select("a", "b").distinct()
+    pairs = pairs.join(points.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.to_pydict()
+            keep = [
+                i
+                for i, (x, y) in enumerate(zip(c["pa"], c["pb"], strict=True))
+                if min(x["n"], y["n"]) * SHARE[1] >= max(x["n"], y["n"]) * SHARE[0] and may_link(int(np.minimum(np.frombuffer(x["p"], "<u2"), np.frombuffer(y["p"], "<u2")).sum(dtype=np.int64)), x["n"], y["n"])
+            ]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    few = pairs.select("a", "b", "pa", "pb").mapInArrow(bounded, "a long, b long")
+    runs = shared.where("sig is not null").select("sig", F.col("a").alias("node")).join(points, "node").select("sig", "node", F.col("p.n").alias("n"), F.col("p.p").alias("p"))
+    runs = runs.repartition(parts_for(spark, runs.count(), 1 << 18), "sig").sortWithinPartitions("sig", "node")
+    return stored(few.unionByName(runs.mapInArrow(run_trees, "a long, b long")).distinct(), "ties")
+
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def run_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One R-tree for each signature: (a, b) span the components of what its bound leaves."""
+    at, head, over, nodes, sizes, points = None, 0, False, [], [], []
+
+    def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    def searched() -> list[tuple[int, int]]:
+        return [(nodes[i], nodes[j]) for i, j in bound_forest(np.stack(points), np.array(sizes))] if len(nodes) > 1 else []
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            c, out = batch.slice(i, 1024).to_pydict(), []
+            for sig, node, n, p in zip(c["sig"], c["node"], c["n"], c["p"], strict=True):
+                if sig != at:
+                    out += searched()
+                    at, head, over, nodes, sizes, points = sig, node, False, [], [], []
+                if over:
+                    out.append((head, node))
+                    continue
+                nodes.append(node)
+                sizes.append(n)
+                points.append(np.frombuffer(p, "<u2"))
+                if len(nodes) > RUN_MOST:  # too many for one tree: all are tied to the first, which is a looser bound
+                    out += [(head, x) for x in nodes[1:]]
+                    over, nodes, sizes, points = True, [], [], []
+            if out:
+                yield made(out)
+    if out := searched():
+        yield made(out)
+
+
+def bound_forest(points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs that span the components of all pairs within the bound."""
+    tree, label = CountTree(points, sizes), np.arange(len(sizes))
+    for q in range(len(sizes)):
+        found = tree.search(points[q], int(sizes[q]))
+        found = found[label[found] != label[q]]
+        if len(found):
+            others, one = np.unique(label[found], return_index=True)
+            yield from ((q, int(found[i])) for i in one)
+            label[np.isin(label, others)] = label[q]
 
 
 def links(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """(a, b): digests (as hexadecimal text) of linked different sets, spanning every component."""
+    """(a, b): digests (as hexadecimal text) of linked different sets, spanning every component. A set in two size classes may be in two trees."""
     spark = docs.sparkSession
-    trees = stored(components(shared_signatures(table)), "trees")
+    trees = components(ties(table)).select(F.expr("node & ~127L").alias("set57"), "root")
     one = table.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"))
-    members = one.join(trees.withColumnRenamed("node", "lo"), "lo").select("r.doc_id", "r.text_key", "root", "n", "hi", "lo")
+    members = one.withColumn("set57", F.expr("lo & ~127L")).join(trees, "set57").select("r.doc_id", "r.text_key", "root", "n", "hi", "lo")
     members = stored(members, "members")
     weight = members.groupBy("root").agg(F.sum("n").alias("w")).withColumn("parts", F.when(F.col("w") <= TREE_SHINGLES, 1).otherwise(F.ceil(F.col("w") / (TREE_SHINGLES // 2)).cast("int")))
     split = members.join(weight.select("root", "parts"), "root")
