@@ -1,6 +1,9 @@
-"""Queries over the supplied tables, by name, with their SQL oracles."""
+"""All queries of the reference's operators over the supplied tables, by name, with their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sigilframe.plans import catalog_queries, feature_queries, quality_queries
+
+_ALL = feature_queries.QUERIES | catalog_queries.QUERIES | quality_queries.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
