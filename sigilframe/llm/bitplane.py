@@ -51,7 +51,7 @@ def shuffle_block(ids: np.ndarray, bits: bool) -> np.ndarray:
 def unshuffle_block(planes: np.ndarray, n: int) -> np.ndarray:
     if len(planes) == 4:
         return np.ascontiguousarray(planes.T).view("<u4").ravel()
-    return np.packbits(np.unpackbits(planes, axis=1)[:, :n].T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.ascontiguousarray(np.packbits(np.unpackbits(planes, axis=1)[:, :n].T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
 def write_segment(doc_ids: list[int | None], ids: list[bytes], bits: bool = False, level: int = 1) -> bytes:

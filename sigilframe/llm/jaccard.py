@@ -21,9 +21,8 @@ spanning forest, never all pairs of a group. Equal sets are one node throughout.
 
 Shuffles: the signatures (8 bytes each, about a third of the shingles), the texts once, to pick out those in trees of more than one document, and small tables.
 
-Nulls and odd rows: a null or wordless text has an empty set and is linked with nothing, its component is its own doc_id; a null
-doc_id sorts before all others in the choice of a component's id only where all its ids are null; repeated rows are copies; a text of any length is one set;
-extra columns play no part.
+Nulls and odd rows: a null or wordless text has an empty set and is linked with nothing, its component is its own doc_id; a component's
+id is its smallest doc_id that isn't null, or null where it has none; repeated rows are copies; a text of any length is one set; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -405,7 +404,8 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
     """(a, b): digests (as hexadecimal text) of linked different sets, spanning every component. A set in two size classes may be in two trees."""
     spark = docs.sparkSession
     trees = components(ties(table)).select(F.expr("node & ~127L").alias("set57"), "root")
-    one = table.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("n").alias("n"))
+    known = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")  # so that rows without an id are found again
+    one = table.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct(known, "text_key")).alias("r"), F.first("n").alias("n"))
     members = one.withColumn("set57", F.expr("lo & ~127L")).join(trees, "set57").select("r.doc_id", "r.text_key", "root", "n", "hi", "lo")
     members = stored(members, "members")
     weight = members.groupBy("root").agg(F.sum("n").alias("w")).withColumn("parts", F.when(F.col("w") <= TREE_SHINGLES, 1).otherwise(F.ceil(F.col("w") / (TREE_SHINGLES // 2)).cast("int")))
@@ -413,7 +413,7 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("hi"), F.col("parts")).cast("int")
     tasks = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = tasks.select("doc_id", "text_key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "hi", "lo")
-    text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    text = docs.select(known, F.xxhash64("text").alias("text_key"), "text")
     with_text = text.join(members.select("doc_id", "text_key").distinct().hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi") if _large(members) else text.join(F.broadcast(members.select("doc_id", "text_key").distinct()), ["doc_id", "text_key"], "left_semi")
     volume = weight.agg(F.sum(F.col("w") * F.col("parts"))).first()[0] or 0
     dealt = tasks.join(with_text, ["doc_id", "text_key"]).select("root", "i", "j", "side", "hi", "lo", "text")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc, map_rows
+from .shared import crc, fields, fresh, map_rows
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -174,17 +174,17 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) ->
     return ByteConvNet(langs).fit(x, y)
 
 
-def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns in `keep` (default: doc_id); predictions read the text alone."""
+def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the prediction and its score to the columns in `keep` (default: doc_id); predictions read the text alone."""
     keep = keep or ["doc_id"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    src = docs.select(*keep, F.col("text").alias("_text"))
+    (raw,) = fresh(docs, "_text")
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias(raw))
 
     def make():
         run = net.compiled() if net else None
 
         def batch(cols: dict) -> dict:
-            texts = cols.pop("_text")
+            texts = cols[raw]
             best = [(UNKNOWN, 0.0)] * len(texts)
             live = [i for i, t in enumerate(texts) if run and t and LETTER.search(t)]
             for group in _groups(live, texts):
@@ -195,11 +195,11 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str] | None = N
                 mean = np.add.reduceat(p * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
                 for i, m in zip(group, mean, strict=True):
                     best[i] = (net.langs[int(m.argmax())], float(min(1.0, m.max())))
-            return cols | {"lang_pred": [b[0] for b in best], "score": [b[1] for b in best]}
+            return {lang: [b[0] for b in best], score: [b[1] for b in best]}
 
         return batch
 
-    return map_rows(src, f"{fields}, lang_pred string, score double", make)
+    return map_rows(src, fields(docs, keep, f"`{lang}` string, `{score}` double"), make, carry=keep)
 
 
 def _groups(live: list[int], texts: list[str], most: int = 1 << 20):
@@ -222,4 +222,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """A filtering stage: the rows and columns of docs whose language could be told; rejects null texts and texts without a letter."""
-    return predict(docs, train(docs), docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    lang, score = fresh(docs, "_lang", "_score")
+    return predict(docs, train(docs), docs.columns, lang, score).where(F.col(lang) != UNKNOWN).select(*docs.columns)

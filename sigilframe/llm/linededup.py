@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, stored
+from .shared import fields, fresh, map_rows, stored
 
 LEAST_DOCS = 5
 LEAST_CHARS = 40
@@ -197,33 +197,31 @@ class LineIndex:
         frequent = self.counts.where(F.col("n_docs") >= self.least)
         return maybe.join(frequent, "key").where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most a document's lines
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """All columns of docs with the kept text, and _lines and _dropped (numbers of lines)."""
+    def apply(self, docs: DataFrame, lines: str = "_lines", dropped: str = "_dropped") -> DataFrame:
+        """All columns of docs with the kept text, and the numbers of lines and of dropped lines."""
         keep = [c for c in docs.columns if c != "text"]
-        both = docs.select(*keep, "text").join(self.drops().withColumnRenamed("keys", "_keys").hint("shuffle_hash"), "doc_id", "left")
-        both = both.select(*keep, F.col("text").alias("_text"), "_keys")
-        fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        raw, gone = fresh(docs, "_text", "_keys")
+        drops = self.drops().select(F.col("doc_id").alias("doc_id"), F.col("keys").alias(gone)).hint("shuffle_hash")
+        both = docs.join(drops, "doc_id", "left").select(*keep, F.col("text").alias(raw), gone)
 
         def make():
             def batch(c: dict) -> dict:
-                texts, keys = c.pop("_text"), c.pop("_keys")
-                out, lines, dropped = [], [], []
-                for t, gone in zip(texts, keys, strict=True):
-                    n = (t or "").count("\n") + 1
-                    if gone:
-                        gone, own = set(gone), t.split("\n")
-                        kept = [x for x in own if key_of(x) not in gone]
-                        t = "\n".join(kept)
-                        dropped.append(n - len(kept))
-                    else:
-                        dropped.append(0)
-                    out.append(t)
-                    lines.append(n)
-                return c | {"text": out, "_lines": lines, "_dropped": dropped}
+                kept = [without(t, g) for t, g in zip(c[raw], c[gone], strict=True)]
+                return {"text": [k[0] for k in kept], lines: [k[1] for k in kept], dropped: [k[2] for k in kept]}
 
             return batch
 
-        return map_rows(both, f"{fields + ', ' if fields else ''}text string, _lines long, _dropped long", make)
+        return map_rows(both, fields(docs, keep, f"text string, `{lines}` long, `{dropped}` long"), make, carry=keep)
+
+
+def without(text: str | None, keys: list[bytes] | None) -> tuple[str | None, int, int]:
+    """The text without the lines of some keys, the number of its lines, and how many went."""
+    n = (text or "").count("\n") + 1
+    if not keys:
+        return text, n, 0
+    gone = set(keys)
+    kept = [x for x in text.split("\n") if key_of(x) not in gone]
+    return "\n".join(kept), n, n - len(kept)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -267,9 +265,10 @@ def refilled(delta: DataFrame, before: tuple[DataFrame, DataFrame] | None, shard
 
 def dedup(docs: DataFrame) -> DataFrame:
     """A pipeline stage: every document stays without its repeated lines; n_chars follows the new text."""
-    out = LineIndex.build(docs).apply(docs)
+    lines, dropped = fresh(docs, "_lines", "_dropped")
+    out = LineIndex.build(docs).apply(docs, lines, dropped)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

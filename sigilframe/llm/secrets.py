@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch
+from .shared import fresh, scratch
 
 
 @dataclass(frozen=True)
@@ -125,12 +125,13 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """A pipeline stage: every document stays, its secrets masked; n_chars follows the new text."""
     ledger, _ = scan(docs, "doc_id", "text")
-    found = ledger.where(F.size("spans") > 0).select("blob", "spans")
-    masked = docs.withColumn("_blob", F.sha2("text", 256)).join(found.withColumnRenamed("blob", "_blob").withColumnRenamed("spans", "_spans"), "_blob", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    out = masked.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    blob, spans = fresh(docs, "_blob", "_spans")
+    found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    masked = docs.withColumn(blob, F.sha2("text", 256)).join(found, blob, "left")
+    n = "n_chars" if "n_chars" in docs.columns else None
+    out = masked.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans))))
+    if n:
+        out = out.withColumn(n, F.when(F.col(spans).isNull(), F.col(n)).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

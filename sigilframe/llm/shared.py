@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _STORED: list[str] = []
 
@@ -58,29 +60,42 @@ def parts_for(spark: SparkSession, amount: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each), 1)
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]], rows: int = 256) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that df has no column of, each close to the one wanted."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def fields(df: DataFrame, columns: list[str], ddl: str = "") -> StructType:
+    """The types of some columns of df, and further fields."""
+    return StructType([df.schema[c] for c in columns] + (StructType.fromDDL(ddl).fields if ddl else []))
+
+
+def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[dict], dict]], rows: int = 256, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Applies a batch function in Arrow: make() runs once a task and returns a function from a dict of column lists
-    (of at most `rows` rows) to a dict of column lists. Small slices bound the memory that long texts take."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    (of at most `rows` rows) to a dict of column lists. Small slices bound the memory that long texts take. Columns
+    in `carry` pass by the function and stay as they are."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow, carry = to_arrow_schema(schema), list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
-                out = f({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
+                names = part.schema.names
+                out = f({n: part.column(k).to_pylist() for k, n in enumerate(names) if n not in carry})
+                cols = [part.column(names.index(x.name)) if x.name in carry else pa.array(out[x.name], type=x.type) for x in arrow]
+                yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def crc(column) -> F.Column:
     """crc32 of a value's text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, stored
+from .shared import fields, fresh, map_rows, stored
 
 RUN = 3
 LEAST = 25
@@ -80,22 +80,22 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("i").alias("firsts"))  # at most a document's sentences
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the remaining text, and _sentences and _removed (numbers) and _spans (removed
-    code-point ranges of the old text)."""
+def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed", ranges: str = "_spans") -> DataFrame:
+    """All columns of docs with the remaining text, and the numbers of sentences and of removed ones, and the removed
+    code-point ranges of the old text."""
     keep = [c for c in docs.columns if c != "text"]
-    both = docs.select(*keep, "text").join(repeated(docs).withColumnRenamed("firsts", "_firsts").hint("shuffle_hash"), "doc_id", "left")
-    both = both.select(*keep, F.col("text").alias("_text"), "_firsts")
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    raw, firsts = fresh(docs, "_text", "_firsts")
+    found = repeated(docs).withColumnRenamed("firsts", firsts).hint("shuffle_hash")
+    both = docs.join(found, "doc_id", "left").select(*keep, F.col("text").alias(raw), firsts)
 
     def make():
         def batch(c: dict) -> dict:
-            out = [one(t, f) for t, f in zip(c.pop("_text"), c.pop("_firsts"), strict=True)]
-            return c | {"text": [o[0] for o in out], "_sentences": [o[1] for o in out], "_removed": [o[2] for o in out], "_spans": [o[3] for o in out]}
+            out = [one(t, f) for t, f in zip(c[raw], c[firsts], strict=True)]
+            return {"text": [o[0] for o in out], total: [o[1] for o in out], removed: [o[2] for o in out], ranges: [o[3] for o in out]}
 
         return batch
 
-    return map_rows(both, f"{fields + ', ' if fields else ''}text string, _sentences long, _removed long, _spans array<struct<start:long,end:long>>", make)
+    return map_rows(both, fields(docs, keep, f"text string, `{total}` long, `{removed}` long, `{ranges}` array<struct<start:long,end:long>>"), make, carry=keep)
 
 
 def one(text: str | None, firsts: list[int] | None) -> tuple[str | None, int, int, list[dict]]:
