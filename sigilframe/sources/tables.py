@@ -121,7 +121,7 @@ def svg_documents(spark: SparkSession, root: str) -> DataFrame:
 def pipe_table(spark: SparkSession, path: str) -> DataFrame:
     """cells of each row of a Markdown table, without its header and rule."""
     lines = spark.read.text(path).where(F.trim("value").startswith("|"))
-    cells = F.transform(F.slice(F.split(F.trim("value"), r"\|"), 2, F.size(F.split(F.trim("value"), r"\|")) - 2), F.trim)
+    cells = F.transform(F.slice(F.split(F.trim("value"), r"\|"), 2, F.size(F.split(F.trim("value"), r"\|")) - 2), lambda c: F.trim(c))
     rows = lines.select(cells.alias("cells"), F.monotonically_increasing_id().alias("_at"))
     rule = rows.where(F.forall("cells", lambda c: c.rlike("^:?-+:?$"))).agg(F.min("_at").alias("_rule"))
     return rows.crossJoin(F.broadcast(rule)).where(F.col("_at") > F.coalesce("_rule", F.lit(-1))).select("cells")  # a single row
