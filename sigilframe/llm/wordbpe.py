@@ -19,7 +19,7 @@ SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 BYTE_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 WORD_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
 
-MOST_CACHED = 600_000
+MOST_CACHED = 1_200_000
 
 
 def load(path: str):
@@ -59,6 +59,21 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class Pieces(dict):
+    """Ids of pieces as bytes; an unseen piece is merged by the library's model, spelled in the stand-ins of bytes."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        self.stand_ins = {b: c for c, b in byte_alphabet().items()}
+        self.space = self.stand_ins[32]
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.stand_ins)
+        self[piece] = ids = packed([x.id for x in self.tokenize(spelled)])
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, as the library gives them without special tokens added."""
 
@@ -67,45 +82,23 @@ class Encoder:
         self.split = re.compile(BYTE_SPLIT).findall
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)).search if special else lambda text: None
-        self.cache: dict[str, bytes] = {}
-        self.stand_ins = {b: c for c, b in byte_alphabet().items()}
-        self.space = self.stand_ins[32]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Adds the ids of unseen pieces to the cache: the library's model merges each, spelled in the stand-ins of bytes."""
-        tokenize, cache = self.tokenizer.model.tokenize, self.cache
-        for w in pieces:
-            spelled = w.replace(" ", self.space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.stand_ins)
-            cache[w] = packed([x.id for x in tokenize(spelled)])
+        self.pieces = Pieces(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.pieces) > MOST_CACHED:
+            self.pieces.clear()
         out: list[bytes | None] = [None] * len(texts)
-        split, whole, new = [], [], set()
-        if len(self.cache) > MOST_CACHED:
-            self.cache = {}
-        get = self.cache.get
+        whole, ids = [], self.pieces.__getitem__
         for i, text in enumerate(texts):
             try:
                 text.encode("latin-1")
                 plain = not self.special(text)
             except UnicodeEncodeError:
                 plain = False
-            if not plain:
-                whole.append(i)
-                continue
-            pieces = self.split(text)
-            ids = list(map(get, pieces))
-            if None in ids:
-                missing = [k for k, x in enumerate(ids) if x is None]
-                new.update([pieces[k] for k in missing])
-                split.append((i, pieces, ids, missing))
+            if plain:
+                out[i] = b"".join(map(ids, self.split(text)))
             else:
-                out[i] = b"".join(ids)
+                whole.append(i)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = packed(e.ids)
-        self.learn(list(new))
-        for i, pieces, ids, missing in split:
-            for k in missing:
-                ids[k] = get(pieces[k])
-            out[i] = b"".join(ids)
         return out
