@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sigilframe.llm import hilbert, jaccard, langid, linededup, registry, secrets
-from sigilframe.llm.shared import scratch
+from sigilframe.llm.shared import scratch, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = registry.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
-        kept = stage(spark, docs, sf_dir)
-        kept.write.parquet(path)
+        with temporary(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
         docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +44,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every stored table of this process; only when no result that reads them is still wanted."""
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables stored by this process (after the first `since`); only when no result that reads them is still wanted."""
     jvm = spark.sparkContext._jvm
-    while _STORED:
+    while len(_STORED) > since:
         path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end; what is read from them must be written by then."""
+    since = len(_STORED)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
