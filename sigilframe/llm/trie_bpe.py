@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_rows
-from .wordbpe import MOST_CACHED, WORD_SPLIT, byte_alphabet, load, packed
+from .wordbpe import WORD_SPLIT, byte_alphabet, load, packed
+
+WORDS_CACHED = 700_000
 
 
 class TrieBpe:
@@ -37,8 +39,11 @@ class TrieBpe:
         self.ids = {s: vocab[w] for w, s in spelled.items()}
         self.shown = {s: w for w, s in spelled.items()}
         self.ranks = {(spelled[a], spelled[b]): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
         self.sound: dict[str, bool] = {}
+        sizes: dict[str, set[int]] = {}
+        for s in self.ids:
+            sizes.setdefault(s[-1], set()).add(len(s))
+        self.sizes = {c: sorted(n, reverse=True) for c, n in sizes.items()}  # lengths of the items that end in a symbol
         self.fit: dict[tuple[str, str], bool] = {}
 
     def spellable(self, token: str) -> bool:
@@ -62,7 +67,7 @@ class TrieBpe:
 
     def compatible(self, a: str, b: str) -> bool:
         if (a, b) not in self.fit:
-            if len(self.fit) > 4 * MOST_CACHED:
+            if len(self.fit) > WORDS_CACHED:
                 self.fit.clear()
             self.fit[a, b] = self.merged(a + b) == [a, b]
         return self.fit[a, b]
@@ -74,10 +79,9 @@ class TrieBpe:
 
     def last_item(self, prefix: str, states: list[str]) -> str:
         """The last item of a prefix's encoding; states[i] is that of its first i symbols."""
-        n = len(prefix)
-        for i in range(max(0, n - self.longest), n):
-            item = prefix[i:]
-            if item in self.ids and self.reachable(item) and (i == 0 or self.compatible(states[i], item)):
+        n, ids = len(prefix), self.ids
+        for size in self.sizes.get(prefix[-1], ()):
+            if size <= n and (item := prefix[n - size :]) in ids and self.reachable(item) and (size == n or self.compatible(states[n - size], item)):
                 return item
         raise ValueError("the vocabulary lacks a symbol")
 
@@ -131,7 +135,7 @@ class WordCodec:
         split = [self.words(t) for t in texts]
         seen = set().union(*split)
         new = seen.difference(self.cache)
-        if len(self.cache) + len(new) > MOST_CACHED:
+        if len(self.cache) + len(new) > WORDS_CACHED:
             self.cache = {s: self.cache[s] for s in self.special}
             new = seen.difference(self.cache)
         raw = {w: w[1:].encode("latin-1") if w[0] == "\uffff" else w.encode() for w in new}
