@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at end marks before white space, and at line ends; sentences of more than LONGEST words are
-cut further, counting from their start). Every run of RUN consecutive sentences with at least LEAST words is hashed over
-its lower-cased words; runs are joined globally by hash; and the sentences that lie in any run but the first occurrence of
+A text is cut into sentences, at end marks before white space and at line ends. A sentence of more than LONGEST words is cut
+further, behind words that a rule on their letters picks (one in EVERY or so), so copies of a passage are cut alike whatever stands
+around them. From every sentence on, a run takes consecutive sentences until it has RUN of them and LEAST words; it is hashed over
+its lower-cased words. Runs are joined globally by hash, and the sentences that lie in any run but the first occurrence of
 its hash are removed. First is the smallest doc_id, and within a document the earliest run.
 
 Runs are made in one pass and stored. For each hash only the smallest doc_id and the number are wanted, which are summed before the
@@ -27,6 +28,7 @@ from .shared import fields, fresh, map_rows, stored
 RUN = 3
 LEAST = 25
 LONGEST = 12
+EVERY = 8
 END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\s*\n\s*")
 WORD = re.compile(r"\S+\s*")
 
@@ -43,54 +45,70 @@ def sentences(text: str) -> list[str]:
         if len(words) <= LONGEST:
             out.append(piece)
             continue
-        head = piece[: len(piece) - sum(map(len, words))]
-        for i in range(0, len(words), LONGEST):
-            out.append((head if i == 0 else "") + "".join(words[i : i + LONGEST]))
+        at_word = len(piece) - sum(map(len, words))
+        begun = 0
+        for w in words:
+            at_word += len(w)
+            if picked(w.rstrip()):
+                out.append(piece[begun:at_word])
+                begun = at_word
+        if begun < len(piece):
+            out.append(piece[begun:])
     return out
 
 
-def runs(text: str) -> list[tuple[int, int, int, bool]]:
-    """(hash, hash, first sentence, whether it came before in this text) of every run that is long enough."""
+def picked(word: str) -> bool:
+    n = len(word)
+    return (5 * n + 3 * ord(word[-1]) + ord(word[n // 2])) % EVERY == 0
+
+
+def runs(text: str) -> list[tuple[int, int, int, int, bool]]:
+    """(hash, hash, first sentence, end, whether it came before in this text) of every run."""
     words = [s.lower().split() for s in sentences(text)]
     joined = [" ".join(w).encode("utf-8", "replace") for w in words]
     sizes = [len(w) for w in words]
-    seen, out = set(), []
-    for i in range(len(words) - RUN + 1):
-        if sum(sizes[i : i + RUN]) >= LEAST:
-            h = xxhash.xxh3_128_digest(b" ".join(joined[i : i + RUN]))
-            a, b = np.frombuffer(h, "<i8").tolist()
-            out.append((a, b, i, h in seen))
-            seen.add(h)
+    seen, out, end, held = set(), [], 0, 0
+    for i in range(len(words)):
+        while end < len(words) and (end - i < RUN or held < LEAST):
+            held += sizes[end]
+            end += 1
+        if end - i < RUN or held < LEAST:
+            break
+        h = xxhash.xxh3_128_digest(b" ".join(joined[i:end]))
+        a, b = np.frombuffer(h, "<i8").tolist()
+        out.append((a, b, i, end, h in seen))
+        seen.add(h)
+        held -= sizes[i]
     return out
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, firsts: the first sentences of all runs of a document that are not the first of their hash."""
+    """doc_id, found: first sentence and end of all runs of a document that are not the first of their hash."""
 
     def make():
         def batch(c: dict) -> dict:
-            return {"doc_id": c["doc_id"], "r": [[{"a": a, "b": b, "i": i, "again": x} for a, b, i, x in runs(t)] for t in c["text"]]}
+            return {"doc_id": c["doc_id"], "r": [[{"a": a, "b": b, "i": i, "end": end, "again": x} for a, b, i, end, x in runs(t)] for t in c["text"]]}
 
         return batch
 
-    made = map_rows(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id long, r array<struct<a:long,b:long,i:int,again:boolean>>", make)
+    made = map_rows(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id long, r array<struct<a:long,b:long,i:int,end:int,again:boolean>>", make)
     rows = stored(made.select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.*"), "runs")
     held = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = rows.join(held, ["a", "b"]).where(F.col("again") | (F.col("doc_id") > F.col("first_doc")))
-    return later.groupBy("doc_id").agg(F.collect_set("i").alias("firsts"))  # at most a document's sentences
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("i", "end")).alias("found"))  # at most a document's sentences
 
 
 def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed", ranges: str = "_spans") -> DataFrame:
     """All columns of docs with the remaining text, and the numbers of sentences and of removed ones, and the removed
     code-point ranges of the old text."""
     keep = [c for c in docs.columns if c != "text"]
-    raw, firsts = fresh(docs, "_text", "_firsts")
-    found = repeated(docs).withColumnRenamed("firsts", firsts).hint("shuffle_hash")
-    both = docs.join(found, "doc_id", "left").select(*keep, F.col("text").alias(raw), firsts)
+    raw, again = fresh(docs, "_text", "_found")
+    found = repeated(docs).withColumnRenamed("found", again).hint("shuffle_hash")
+    both = docs.join(found, "doc_id", "left").select(*keep, F.col("text").alias(raw), again)
 
     def make():
         def batch(c: dict) -> dict:
-            out = [one(t, f) for t, f in zip(c[raw], c[firsts], strict=True)]
+            out = [one(t, f and [(x["i"], x["end"]) for x in f]) for t, f in zip(c[raw], c[again], strict=True)]
             return {"text": [o[0] for o in out], total: [o[1] for o in out], removed: [o[2] for o in out], ranges: [o[3] for o in out]}
 
         return batch
@@ -98,11 +116,11 @@ def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed"
     return map_rows(both, fields(docs, keep, f"text string, `{total}` long, `{removed}` long, `{ranges}` array<struct<start:long,end:long>>"), make, carry=keep)
 
 
-def one(text: str | None, firsts: list[int] | None) -> tuple[str | None, int, int, list[dict]]:
+def one(text: str | None, found: list[tuple[int, int]] | None) -> tuple[str | None, int, int, list[dict]]:
     if text is None:
         return None, 0, 0, []
     own = sentences(text)
-    gone = {i + k for i in firsts or () for k in range(RUN)}
+    gone = {k for i, end in found or () for k in range(i, end)}
     if not gone:
         return text, len(own), 0, []
     kept, cut, at = [], [], 0
@@ -125,6 +143,6 @@ def plain(rows: list[tuple[int, str | None]]) -> list[tuple]:
     """For tests: the same by brute force, for distinct ids."""
     first: dict[tuple, tuple] = {}
     for d, t in rows:
-        for a, b, i, _ in runs(t) if t is not None else ():
+        for a, b, i, _, _ in runs(t) if t is not None else ():
             first[a, b] = min(first.get((a, b), (d, i)), (d, i))
-    return [(d, *one(t, [i for a, b, i, _ in runs(t) if first[a, b] != (d, i)] if t is not None else None)) for d, t in rows]
+    return [(d, *one(t, [(i, end) for a, b, i, end, _ in runs(t) if first[a, b] != (d, i)] if t is not None else None)) for d, t in rows]
