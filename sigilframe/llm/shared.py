@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _STORED: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        root = "file://" + tempfile.mkdtemp(prefix="sigilframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.gettempdir() + "/sigilframe-" + uuid.uuid4().hex[:12])
     return root.rstrip("/")
 
 
