@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigilframe.functions import ocr as O
-from sigilframe.operators import ocr, quality, sampling, symbols
+from sigilframe.operators import drawings, ocr, quality, sampling, symbols
 
 FIELD = "element_at(array('concreteness', 'complexity_metric', 'name_agreement'), cast(l_linenumber % 3 as int) + 1)"
 
@@ -197,6 +197,21 @@ r AS (SELECT page_id, concat_ws(',', CASE WHEN s = '' THEN 'not_svg' END, CASE W
 SELECT page_id, problems FROM r WHERE problems <> ''"""
 
 
+def part_drawings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as layered drawings; every ninth is broken."""
+    k = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit('<svg id="emoji" viewBox="0 0 72 72"><g id="grid"><rect width="'), k, F.lit('" /></g><g id="skin"><path d="M'), k, F.lit('" fill="#fcea2b" stroke="#fcea2b" /></g><g id="line"><path d="M0" stroke="#000" /></g>'))
+    return table(spark, d, "part").select("p_partkey", F.concat(body, F.when(F.col("p_partkey") % 9 == 4, "").otherwise("</svg>")).alias("svg_in"))
+
+
+def drawing_tones(spark: SparkSession, d: str) -> DataFrame:
+    r = drawings.rewritten(part_drawings(spark, d), "p_partkey", "svg_in", *drawings.toned("#a57939", "#8b5e2b"), drawings.mirrored())
+    return r.select("p_partkey", "svg", F.col("error").isNotNull().alias("failed"))
+
+
+TONES = """SELECT p_partkey, CASE WHEN p_partkey % 9 <> 4 THEN '<svg id="emoji" viewBox="0 0 72 72"><g id="skin" transform="scale(-1, 1) translate(-72, 0)"><path d="M' || p_partkey || '" fill="#a57939" stroke="#a57939" /></g><g id="line" transform="scale(-1, 1) translate(-72, 0)"><path d="M0" stroke="#000" /></g></svg>' END AS svg, p_partkey % 9 = 4 AS failed FROM part"""
+
+
 def running_layout(spark: SparkSession, d: str) -> DataFrame:
     """Turns as characters: x runs on by width and by the gap to the one before."""
     c = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 100).cast("long").alias("w"), (F.length("text") % 200).cast("long").alias("h"), F.when(F.col("turn") % 3 == 0, "(digit)").when(F.col("turn") % 3 == 1, "comma").otherwise("(uppercase)").alias("name"))
@@ -236,4 +251,5 @@ QUERIES = {
     "id_gaps": (id_gaps, "WITH d AS (SELECT DISTINCT o_orderstatus, o_orderkey AS x FROM orders WHERE o_orderkey % 9 <> 4), e AS (SELECT o_orderstatus, count(*) AS n, min(x) AS low, max(x) AS high FROM d GROUP BY 1), f AS (SELECT o_orderstatus, min(x + 1) AS next_free FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.o_orderstatus = a.o_orderstatus AND b.x = a.x + 1) GROUP BY 1) SELECT e.o_orderstatus, n, low, high, next_free FROM e JOIN f ON e.o_orderstatus = f.o_orderstatus"),
     "markup_rule_violations": (markup_rule_violations, MARKUP),
     "running_layout": (running_layout, LAYOUT),
+    "drawing_tones": (drawing_tones, TONES),
 }

@@ -108,6 +108,16 @@ def positional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, escape='"')
 
 
+def named_files(spark: SparkSession, names: list[str], base: str) -> DataFrame:
+    """(name, url, file) of a fixed list of files, as one request for their metadata wants it."""
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", F.concat(F.lit(base), X.url_path("name")).alias("url"), X.safe_name("name").alias("file"))
+
+
+def not_yet(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that aren't among those done, in order, so that bulk work can be taken up again."""
+    return rows.select(key).distinct().join(done.select(key), key, "left_anti").orderBy(key)
+
+
 def lexical_entries(spark: SparkSession, path: str, row_tag: str = "LexicalEntry") -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 

@@ -124,3 +124,10 @@ def test_feature_stream(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert incremental.windowed_counts(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_fixed_lists(spark):
+    n = tables.named_files(spark, ["File:a b.svg"], "https://x/").first()
+    assert (n.url, n.file) == ("https://x/File%3Aa%20b.svg", "a b.svg")
+    rows, done = spark.createDataFrame([(3,), (1,), (3,), (2,)], "id long"), spark.createDataFrame([(2,)], "id long")
+    assert [r.id for r in tables.not_yet(rows, done, "id").collect()] == [1, 3]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigilframe.functions import raster as R
-from sigilframe.operators import catalog, graph, ocr, quality, raster, records, sampling, similarity, stats, symbols
+from sigilframe.operators import catalog, drawings, graph, ocr, quality, raster, records, sampling, similarity, stats, symbols
 from sigilframe.schema import FEATURES
 
 
@@ -200,3 +200,16 @@ def test_records(spark):
     b = records.in_batches(spark.range(120).withColumnRenamed("id", "k"), "k", 50)
     assert sorted(x for row in b.collect() for x in row["keys"]) == list(range(120)) and all(len(row["keys"]) <= 50 for row in b.collect())
     assert records.missing_designs(r.withColumn("openmoji_author", F.lit(""))).count() == 1
+
+
+def test_drawings(spark):
+    svg = '<svg xmlns="http://www.w3.org/2000/svg" width="15px" height="15px" viewBox="0 0 15 15" fill="none"><g><title>x</title><path d="M0" style="a" /><circle r="1" /></g></svg>'
+    df = spark.createDataFrame([(1, svg), (2, "<svg><g>")], "k long, m string")
+    got = {r.k: r for r in drawings.rewritten(df, "k", "m", drawings.plain("icon"), drawings.unwrapped).collect()}
+    assert got[1].svg == '<svg xmlns="http://www.w3.org/2000/svg" width="15" height="15" viewBox="0 0 15 15" id="icon"><path d="M0" /></svg>'
+    assert got[2].svg is None and got[2].error.startswith("ParseError")
+    root = drawings.parse('<svg viewBox="0 0 72 72"><g id="grid" /><g id="hair"><g><path fill="x" stroke="y" /></g></g></svg>')
+    for step in (*drawings.toned("f", "s", "h"), drawings.mirrored(), drawings.without_layers(*drawings.COLOUR_LAYERS[:1])):
+        step(root)
+    path = root.find(".//path")
+    assert path.get("fill") == "h" and path.get("stroke") == "y" and [g.get("id") for g in root] == ["hair"]
