@@ -6,9 +6,10 @@ around them. From every sentence on, a run takes consecutive sentences until it
 its lower-cased words. Runs are joined globally by hash, and the sentences that lie in any run but the first occurrence of
 its hash are removed. First is the smallest doc_id, and within a document the earliest run.
 
-Runs are made in one pass and stored. For each hash only the smallest doc_id and the number are wanted, which are summed before the
-shuffle, so a passage of a third of all documents is a few rows there; the join back leaves splitting to Spark's skew
-handling. Texts are shuffled once, to meet the runs they lose.
+Each task first compares its own runs: of a hash that it meets again in a document with a larger id, it knows already that this is not the
+first, so a passage of a third of all documents sends a few rows to the join for each task. The rest are sorted by hash and
+streamed, which takes no memory for long groups; what is known already only travels with its document. The runs of the documents that
+lose any are made once more when the sentences are removed. Shuffles: one row of three longs a run, and the texts once.
 
 Nulls and odd rows: a null text stays null, with no sentences; a null doc_id isn't indexed and keeps its text; rows that share a doc_id count as
 one document; extra columns are carried by `remove` under their own names.
@@ -17,13 +18,16 @@ one document; extra columns are carried by `remove` under their own names.
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fields, fresh, map_rows, stored
+from .shared import fields, fresh, map_rows, parts_for
 
 RUN = 3
 LEAST = 25
@@ -31,6 +35,12 @@ LONGEST = 12
 EVERY = 8
 END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\s*\n\s*")
 WORD = re.compile(r"\S+\s*")
+HALVES = struct.Struct("<qq")
+TEXT_PER_PART = 64 << 20
+MOST_KEPT = 500_000
+OPEN, ALL, LATER = 0, 1, 2
+DDL = "a long, b long, doc_id long, mode int"
+ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("mode", pa.int32())])
 
 
 def sentences(text: str) -> list[str]:
@@ -62,40 +72,74 @@ def picked(word: str) -> bool:
     return (5 * n + 3 * ord(word[-1]) + ord(word[n // 2])) % EVERY == 0
 
 
-def runs(text: str) -> list[tuple[int, int, int, int, bool]]:
-    """(hash, hash, first sentence, end, whether it came before in this text) of every run."""
+def runs(text: str) -> list[tuple[int, int, int, int]]:
+    """(hash, hash, first sentence, end) of every run."""
     words = [s.lower().split() for s in sentences(text)]
     joined = [" ".join(w).encode("utf-8", "replace") for w in words]
     sizes = [len(w) for w in words]
-    seen, out, end, held = set(), [], 0, 0
+    out, end, held = [], 0, 0
     for i in range(len(words)):
         while end < len(words) and (end - i < RUN or held < LEAST):
             held += sizes[end]
             end += 1
         if end - i < RUN or held < LEAST:
             break
-        h = xxhash.xxh3_128_digest(b" ".join(joined[i:end]))
-        a, b = np.frombuffer(h, "<i8").tolist()
-        out.append((a, b, i, end, h in seen))
-        seen.add(h)
+        out.append((*HALVES.unpack(xxhash.xxh3_128_digest(b" ".join(joined[i:end]))), i, end))
         held -= sizes[i]
     return out
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, found: first sentence and end of all runs of a document that are not the first of their hash."""
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, doc_id, mode) of a document's distinct hashes: OPEN to be compared globally, ALL where this task has met the hash in a smaller
+    doc_id, LATER besides where the document itself repeats it."""
+    least: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part, out = batch.slice(k, 256).to_pydict(), []
+            if len(least) > MOST_KEPT:
+                least.clear()
+            for d, text in zip(part["doc_id"], part["text"], strict=True):
+                counts: dict[tuple[int, int], int] = {}
+                for a, b, _, _ in runs(text):
+                    counts[a, b] = counts.get((a, b), 0) + 1
+                for h, n in counts.items():
+                    known = least.get(h)
+                    if known is None or d < known:
+                        least[h] = d
+                    out.append((*h, d, ALL if known is not None and known < d else OPEN))
+                    if n > 1:
+                        out.append((*h, d, LATER))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ROW.types, strict=True)], schema=ROW)
+
+
+def not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (mode, a, b, doc_id): all but the open ones of each hash's smallest doc_id."""
+    last, first = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, d, mode = (batch.column(k).to_numpy() for k in range(4))
+        new = np.concatenate([[last != (a[0], b[0], mode[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (mode[1:] != mode[:-1])])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+        lead = np.where(at < 0, first, d[at])
+        last, first = (a[-1], b[-1], mode[-1]), lead[-1]
+        keep = np.flatnonzero((mode != OPEN) | (d > lead))
+        if len(keep):
+            yield batch.take(pa.array(keep))
 
-    def make():
-        def batch(c: dict) -> dict:
-            return {"doc_id": c["doc_id"], "r": [[{"a": a, "b": b, "i": i, "end": end, "again": x} for a, b, i, end, x in runs(t)] for t in c["text"]]}
 
-        return batch
-
-    made = map_rows(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id long, r array<struct<a:long,b:long,i:int,end:int,again:boolean>>", make)
-    rows = stored(made.select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.*"), "runs")
-    held = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(held, ["a", "b"]).where(F.col("again") | (F.col("doc_id") > F.col("first_doc")))
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("i", "end")).alias("found"))  # at most a document's sentences
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, found: the hashes (a, b) that a document loses, with their mode."""
+    spark = docs.sparkSession
+    text = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    volume = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = text.mapInArrow(marked, DDL)
+    place = F.when(F.col("mode") == OPEN, F.xxhash64("a", "b")).otherwise(F.xxhash64("doc_id"))
+    dealt = rows.withColumn("place", place).repartition(parts_for(spark, volume, TEXT_PER_PART), "place").sortWithinPartitions("mode", "a", "b", "doc_id")
+    later = dealt.select("a", "b", "doc_id", "mode").mapInArrow(not_first, DDL)
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "mode")).alias("found"))  # at most two a run of the document
 
 
 def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed", ranges: str = "_spans") -> DataFrame:
@@ -108,7 +152,7 @@ def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed"
 
     def make():
         def batch(c: dict) -> dict:
-            out = [one(t, f and [(x["i"], x["end"]) for x in f]) for t, f in zip(c[raw], c[again], strict=True)]
+            out = [one(t, f and {(x["a"], x["b"], x["mode"]) for x in f}) for t, f in zip(c[raw], c[again], strict=True)]
             return {"text": [o[0] for o in out], total: [o[1] for o in out], removed: [o[2] for o in out], ranges: [o[3] for o in out]}
 
         return batch
@@ -116,11 +160,15 @@ def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed"
     return map_rows(both, fields(docs, keep, f"text string, `{total}` long, `{removed}` long, `{ranges}` array<struct<start:long,end:long>>"), make, carry=keep)
 
 
-def one(text: str | None, found: list[tuple[int, int]] | None) -> tuple[str | None, int, int, list[dict]]:
+def one(text: str | None, found: set[tuple[int, int, int]] | None) -> tuple[str | None, int, int, list[dict]]:
     if text is None:
         return None, 0, 0, []
     own = sentences(text)
-    gone = {k for i, end in found or () for k in range(i, end)}
+    gone, met = set(), set()
+    for a, b, i, end in runs(text) if found else ():
+        if (a, b, ALL) in found or (a, b, OPEN) in found or ((a, b, LATER) in found and (a, b) in met):
+            gone.update(range(i, end))
+        met.add((a, b))
     if not gone:
         return text, len(own), 0, []
     kept, cut, at = [], [], 0
@@ -143,6 +191,11 @@ def plain(rows: list[tuple[int, str | None]]) -> list[tuple]:
     """For tests: the same by brute force, for distinct ids."""
     first: dict[tuple, tuple] = {}
     for d, t in rows:
-        for a, b, i, _, _ in runs(t) if t is not None else ():
+        for a, b, i, _ in runs(t) if t is not None else ():
             first[a, b] = min(first.get((a, b), (d, i)), (d, i))
-    return [(d, *one(t, [(i, end) for a, b, i, end, _ in runs(t) if first[a, b] != (d, i)] if t is not None else None)) for d, t in rows]
+    out = []
+    for d, t in rows:
+        own = sentences(t) if t is not None else []
+        gone = {k for a, b, i, end in (runs(t) if t is not None else ()) if first[a, b] != (d, i) for k in range(i, end)}
+        out.append((d, t if t is None else "".join(s for k, s in enumerate(own) if k not in gone), len(own), len(gone)))
+    return out
