@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, at end marks before white space and at line ends. A sentence of more than LONGEST words is cut
-further, behind words that a rule on their letters picks (one in EVERY or so), so copies of a passage are cut alike whatever stands
+A text is cut into sentences, at end marks before white space and at line ends. A sentence of more than LONGEST characters is cut
+further, behind words whose last two letters CUT picks (one in eight or so), so copies of a passage are cut alike whatever stands
 around them. From every sentence on, a run takes consecutive sentences until it has RUN of them and LEAST words; it is hashed over
 its lower-cased words. Runs are joined globally by hash, and the sentences that lie in any run but the first occurrence of
 its hash are removed. First is the smallest doc_id, and within a document the earliest run.
@@ -31,10 +31,9 @@ from .shared import fields, fresh, map_rows, parts_for
 
 RUN = 3
 LEAST = 25
-LONGEST = 12
-EVERY = 8
+LONGEST = 96
 END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\s*\n\s*")
-WORD = re.compile(r"\S+\s*")
+CUT = re.compile(r"[A-Ma-m][S-Zs-z]\s+")
 HALVES = struct.Struct("<qq")
 TEXT_PER_PART = 64 << 20
 MOST_KEPT = 500_000
@@ -46,32 +45,17 @@ ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), (
 def sentences(text: str) -> list[str]:
     """Pieces that joined give the text again."""
     out, at = [], 0
-    for end in [m.end() for m in END.finditer(text)] + [len(text)]:
-        piece = text[at:end]
+    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
+        if end - at > LONGEST:
+            for m in CUT.finditer(text, at, end):
+                out.append(text[at : m.end()])
+                at = m.end()
+        if at < end:
+            out.append(text[at:end])
         at = end
-        if not piece:
-            continue
-        words = WORD.findall(piece)
-        if len(words) <= LONGEST:
-            out.append(piece)
-            continue
-        at_word = len(piece) - sum(map(len, words))
-        begun = 0
-        for w in words:
-            at_word += len(w)
-            if picked(w.rstrip()):
-                out.append(piece[begun:at_word])
-                begun = at_word
-        if begun < len(piece):
-            out.append(piece[begun:])
     return out
 
 
-def picked(word: str) -> bool:
-    n = len(word)
-    return (5 * n + 3 * ord(word[-1]) + ord(word[n // 2])) % EVERY == 0
-
-
 def runs(text: str) -> list[tuple[int, int, int, int]]:
     """(hash, hash, first sentence, end) of every run."""
     words = [s.lower().split() for s in sentences(text)]
@@ -142,8 +126,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "mode")).alias("found"))  # at most two a run of the document
 
 
-def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed", ranges: str = "_spans") -> DataFrame:
-    """All columns of docs with the remaining text, and the numbers of sentences and of removed ones, and the removed
+def remove(docs: DataFrame, removed: str = "_removed", ranges: str = "_spans") -> DataFrame:
+    """All columns of docs with the remaining text, the number of removed sentences, and the removed
     code-point ranges of the old text."""
     keep = [c for c in docs.columns if c != "text"]
     raw, again = fresh(docs, "_text", "_found")
@@ -153,26 +137,23 @@ def remove(docs: DataFrame, total: str = "_sentences", removed: str = "_removed"
     def make():
         def batch(c: dict) -> dict:
             out = [one(t, f and {(x["a"], x["b"], x["mode"]) for x in f}) for t, f in zip(c[raw], c[again], strict=True)]
-            return {"text": [o[0] for o in out], total: [o[1] for o in out], removed: [o[2] for o in out], ranges: [o[3] for o in out]}
+            return {"text": [o[0] for o in out], removed: [o[1] for o in out], ranges: [o[2] for o in out]}
 
         return batch
 
-    return map_rows(both, fields(docs, keep, f"text string, `{total}` long, `{removed}` long, `{ranges}` array<struct<start:long,end:long>>"), make, carry=keep)
+    return map_rows(both, fields(docs, keep, f"text string, `{removed}` long, `{ranges}` array<struct<start:long,end:long>>"), make, carry=keep)
 
 
-def one(text: str | None, found: set[tuple[int, int, int]] | None) -> tuple[str | None, int, int, list[dict]]:
-    if text is None:
-        return None, 0, 0, []
-    own = sentences(text)
+def one(text: str | None, found: set[tuple[int, int, int]] | None) -> tuple[str | None, int, list[dict]]:
+    if text is None or not found:
+        return text, 0, []
     gone, met = set(), set()
-    for a, b, i, end in runs(text) if found else ():
+    for a, b, i, end in runs(text):
         if (a, b, ALL) in found or (a, b, OPEN) in found or ((a, b, LATER) in found and (a, b) in met):
             gone.update(range(i, end))
         met.add((a, b))
-    if not gone:
-        return text, len(own), 0, []
     kept, cut, at = [], [], 0
-    for i, s in enumerate(own):
+    for i, s in enumerate(sentences(text)):
         if i not in gone:
             kept.append(s)
         elif cut and cut[-1]["end"] == at:
@@ -180,11 +161,11 @@ def one(text: str | None, found: set[tuple[int, int, int]] | None) -> tuple[str
         else:
             cut.append({"start": at, "end": at + len(s)})
         at += len(s)
-    return "".join(kept), len(own), len(gone), cut
+    return "".join(kept), len(gone), cut
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return remove(docs.select("doc_id", "text")).select("doc_id", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("removed"), "text")
+    return remove(docs.select("doc_id", "text")).select("doc_id", F.col("_removed").alias("n_removed"), F.col("_spans").alias("removed"), "text")
 
 
 def plain(rows: list[tuple[int, str | None]]) -> list[tuple]:
@@ -197,5 +178,5 @@ def plain(rows: list[tuple[int, str | None]]) -> list[tuple]:
     for d, t in rows:
         own = sentences(t) if t is not None else []
         gone = {k for a, b, i, end in (runs(t) if t is not None else ()) if first[a, b] != (d, i) for k in range(i, end)}
-        out.append((d, t if t is None else "".join(s for k, s in enumerate(own) if k not in gone), len(own), len(gone)))
+        out.append((d, t if t is None else "".join(s for k, s in enumerate(own) if k not in gone), len(gone)))
     return out
