@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import map_rows
 from .wordbpe import WORD_SPLIT, byte_alphabet, load, packed
 
-WORDS_CACHED = 700_000
+WORDS_CACHED = 1_200_000
 
 
 class TrieBpe:
