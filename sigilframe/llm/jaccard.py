@@ -27,8 +27,10 @@ id is its smallest doc_id that isn't null, or null where it has none; repeated r
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import map_rows, parts_for, stored
 
-WORDS = 4
-SHARE = (85, 100)
+Share = tuple[int, int]
+WORDS, SHARE = 4, (85, 100)  # of op4
+COPY_WORDS, COPY_SHARE = 5, (80, 100)  # of near copies, as a pipeline removes them
 DIMS = 32
 RATIO = 1.6
 LEAF = 32
@@ -103,12 +106,12 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The set of a text, sorted."""
     w = word_hashes((text or "").encode("utf-8", "replace").lower())
     if not len(w):
         return w
-    k = min(WORDS, len(w))
+    k = min(words, len(w))
     n = len(w) - k + 1
     h = np.full(n, k, np.uint64)
     for j in range(k):
@@ -122,40 +125,52 @@ def digest_of(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in both)
 
 
-def most_apart(a: int, b: int) -> int:
+def most_apart(a: int, b: int, share: Share = SHARE) -> int:
     """The most shingles in which linked sets of these sizes can differ."""
-    n, d = SHARE
+    n, d = share
     return (a + b) * (d - n) // (d + n)
 
 
-def scheme(k: int) -> tuple[int, int]:
+@lru_cache
+def spare(share: Share) -> int:
+    """Groups for each hundred differences: the fewest of which a class's smallest sets fill 107 on average."""
+    n, d = share
+    filled = n / (RATIO * (d - n))  # shingles of a smallest set for each difference
+    return next(p for p in range(107, 10_000) if p * (1 - math.exp(-filled * 100 / p)) >= 107)
+
+
+def scheme(k: int, share: Share = SHARE) -> tuple[int, int]:
     """Of size class k: the most differences of a pair whose smaller set is in the class, and the number of groups."""
     small = int(RATIO ** (k + 1))
-    d = most_apart(small, small * SHARE[1] // SHARE[0])
-    return d, -(-(d + 1) * 112 // 100) + 1
+    d = most_apart(small, small * share[1] // share[0], share)
+    return d, -(-(d + 1) * spare(share) // 100) + 1
+
+
+@lru_cache
+def schemes(share: Share) -> list[tuple[int, int]]:
+    return [scheme(k, share) for k in range(90)]
 
 
-SCHEMES = [scheme(k) for k in range(90)]
 BOUNDS = [RATIO**k for k in range(91)]
 
 
-def classes(n: int) -> list[int]:
+def classes(n: int, share: Share = SHARE) -> list[int]:
     """The size classes of a set: its own and, near its lower bound, the one below; without those where only equal sets link."""
     k = int(np.searchsorted(BOUNDS, n, "right")) - 1
-    return [c for c in (k, k - 1) if c >= 0 and n * SHARE[0] <= BOUNDS[c + 1] * SHARE[1] and SCHEMES[c][0]]
+    return [c for c in (k, k - 1) if c >= 0 and n * share[0] <= BOUNDS[c + 1] * share[1] and schemes(share)[c][0]]
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, share: Share = SHARE) -> np.ndarray:
     """Hashes of whole groups, for each size class of the set."""
     n, out = len(s), []
     mixed = mix(s)
-    for c in classes(n):
-        d, groups = SCHEMES[c]
+    for c in classes(n, share):
+        d, groups = schemes(share)[c]
         g = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
         made = [mix(np.add.reduceat(mixed, first) + g[first] * np.uint64(0xC2B2AE3D27D4EB4F))]
         if len(first) < d + 1:
-            made.append(mix(s[: n - -(-n * SHARE[0] // SHARE[1]) + 1] ^ np.uint64(0x27D4EB2F165667C5)))
+            made.append(mix(s[: n - -(-n * share[0] // share[1]) + 1] ^ np.uint64(0x27D4EB2F165667C5)))
         out += [x & ~LOW | np.uint64(c) for x in made]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -169,17 +184,17 @@ def point(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
 
 
-def may_link(overlap, a, b):
+def may_link(overlap, a, b, share: Share = SHARE):
     """Whether an overlap of at most so much can be enough for sets of sizes a and b."""
-    return overlap * (SHARE[0] + SHARE[1]) >= (a + b) * SHARE[0]
+    return overlap * (share[0] + share[1]) >= (a + b) * share[0]
 
 
 class CountTree:
     """An R-tree over count vectors, packed by recursive splits at the middle of the widest coordinate. A search bounds the overlap with what a
     node can hold by the sum of smaller coordinates, level by level."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points.astype(np.int32), sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, share: Share = SHARE):
+        self.points, self.sizes, self.share = points.astype(np.int32), sizes, share
         leaves: list[np.ndarray] = []
         stack = [np.argsort(sizes, kind="stable")]
         while stack:
@@ -201,13 +216,13 @@ class CountTree:
 
     def search(self, q: np.ndarray, size: int) -> np.ndarray:
         """Rows whose overlap with the query may be enough for a link."""
-        n, d = SHARE
+        n, d = self.share
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, lo, hi = (x[nodes] for x in self.levels[depth])
             most = np.minimum(np.minimum(top, q).sum(1), np.minimum(hi, size))
             least = np.maximum(lo, -(-size * n // d))
-            nodes = nodes[(hi * d >= size * n) & (lo * n <= size * d) & may_link(most, size, least)]
+            nodes = nodes[(hi * d >= size * n) & (lo * n <= size * d) & may_link(most, size, least, self.share)]
             if not len(nodes):
                 return nodes
             if depth:
@@ -216,17 +231,17 @@ class CountTree:
                 nodes = nodes[nodes < below]
         rows = np.concatenate([self.leaves[i] for i in nodes])
         most = np.minimum(self.points[rows], q).sum(1)
-        return rows[may_link(most, self.sizes[rows], size) & (self.sizes[rows] * d >= size * n) & (self.sizes[rows] * n <= size * d)]
+        return rows[may_link(most, self.sizes[rows], size, self.share) & (self.sizes[rows] * d >= size * n) & (self.sizes[rows] * n <= size * d)]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, share: Share = SHARE) -> bool:
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     overlap = int((both[1:] == both[:-1]).sum())
-    return overlap * SHARE[1] >= SHARE[0] * (len(both) - overlap)
+    return overlap * share[1] >= share[0] * (len(both) - overlap)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def forest(sets: list[np.ndarray], side: np.ndarray | None = None, share: Share = SHARE) -> Iterator[tuple[int, int]]:
     """Links that span the components of the sets; with sides (0, 1), of the links between the sides alone."""
     if len(sets) < 2:
         return
@@ -236,20 +251,20 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[t
     asking = np.arange(len(sets)) if side is None else np.flatnonzero(side == 1)
     if not len(inside) or not len(asking):
         return
-    tree = CountTree(points[inside], sizes[inside])
+    tree = CountTree(points[inside], sizes[inside], share)
     label = np.arange(len(sets))
     for q in asking:
         found = inside[tree.search(points[q], int(sizes[q]))]
         if side is None:
             found = found[found < q]
         while len(found := found[label[found] != label[q]]):
-            if linked(sets[q], sets[found[0]]):
+            if linked(sets[q], sets[found[0]], share):
                 yield int(q), int(found[0])
                 label[label == label[found[0]]] = label[q]
             found = found[1:]
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFrame:
     """doc_id, text_key, n, hi, lo (the set's digest) and, once for equal sets of a batch run, its signatures and its points
     by size class; stored."""
 
@@ -259,7 +274,7 @@ def profile(docs: DataFrame) -> DataFrame:
         def batch(c: dict) -> dict:
             n, hi, lo, sig, pts = [], [], [], [], []
             for t in c["text"]:
-                s = shingles(t)
+                s = shingles(t, words)
                 d = digest_of(s)
                 n.append(len(s))
                 hi.append(d[0])
@@ -269,8 +284,8 @@ def profile(docs: DataFrame) -> DataFrame:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(d)
-                sig.append(signatures(s).astype(np.int64) if new else None)
-                pts.append([{"c": k, "p": point(s, dims_of(k)).astype("<u2").tobytes()} for k in classes(len(s))] if new else None)
+                sig.append(signatures(s, share).astype(np.int64) if new else None)
+                pts.append([{"c": k, "p": point(s, dims_of(k)).astype("<u2").tobytes()} for k in classes(len(s), share)] if new else None)
             return {"doc_id": c["doc_id"], "text_key": c["text_key"], "n": n, "hi": hi, "lo": lo, "sig": sig, "pts": pts}
 
         return batch
@@ -330,7 +345,7 @@ def shared_signatures(table: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "sig long, a long, b long"), "shared")
 
 
-def ties(table: DataFrame) -> DataFrame:
+def ties(table: DataFrame, share: Share = SHARE) -> DataFrame:
     """(a, b): nodes tied by the bound, spanning all that may link."""
     spark = table.sparkSession
     shared = shared_signatures(table)
@@ -346,17 +361,17 @@ def ties(table: DataFrame) -> DataFrame:
             keep = [
                 i
                 for i, (x, y) in enumerate(zip(c["pa"], c["pb"], strict=True))
-                if min(x["n"], y["n"]) * SHARE[1] >= max(x["n"], y["n"]) * SHARE[0] and may_link(int(np.minimum(np.frombuffer(x["p"], "<u2"), np.frombuffer(y["p"], "<u2")).sum(dtype=np.int64)), x["n"], y["n"])
+                if min(x["n"], y["n"]) * share[1] >= max(x["n"], y["n"]) * share[0] and may_link(int(np.minimum(np.frombuffer(x["p"], "<u2"), np.frombuffer(y["p"], "<u2")).sum(dtype=np.int64)), x["n"], y["n"], share)
             ]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     few = pairs.select("a", "b", "pa", "pb").mapInArrow(bounded, "a long, b long")
     runs = shared.where("sig is not null").select("sig", F.col("a").alias("node")).join(points, "node").select("sig", "node", F.col("p.n").alias("n"), F.col("p.p").alias("p"))
     runs = runs.repartition(parts_for(spark, runs.count(), 1 << 18), "sig").sortWithinPartitions("sig", "node")
-    return stored(few.unionByName(runs.mapInArrow(run_trees, "a long, b long")).distinct(), "ties")
+    return stored(few.unionByName(runs.mapInArrow(lambda batches: run_trees(batches, share), "a long, b long")).distinct(), "ties")
 
 
-def run_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def run_trees(batches: Iterator[pa.RecordBatch], share: Share) -> Iterator[pa.RecordBatch]:
     """One R-tree for each signature: (a, b) span the components of what its bound leaves."""
     at, head, over, nodes, sizes, points = None, 0, False, [], [], []
 
@@ -364,7 +379,7 @@ def run_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
     def searched() -> list[tuple[int, int]]:
-        return [(nodes[i], nodes[j]) for i, j in bound_forest(np.stack(points), np.array(sizes))] if len(nodes) > 1 else []
+        return [(nodes[i], nodes[j]) for i, j in bound_forest(np.stack(points), np.array(sizes), share)] if len(nodes) > 1 else []
 
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
@@ -388,9 +403,9 @@ def run_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(out)
 
 
-def bound_forest(points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def bound_forest(points: np.ndarray, sizes: np.ndarray, share: Share = SHARE) -> Iterator[tuple[int, int]]:
     """Pairs that span the components of all pairs within the bound."""
-    tree, label = CountTree(points, sizes), np.arange(len(sizes))
+    tree, label = CountTree(points, sizes, share), np.arange(len(sizes))
     for q in range(len(sizes)):
         found = tree.search(points[q], int(sizes[q]))
         found = found[label[found] != label[q]]
@@ -400,10 +415,10 @@ def bound_forest(points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, i
             label[np.isin(label, others)] = label[q]
 
 
-def links(docs: DataFrame, table: DataFrame) -> DataFrame:
+def links(docs: DataFrame, table: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFrame:
     """(a, b): digests (as hexadecimal text) of linked different sets, spanning every component. A set in two size classes may be in two trees."""
     spark = docs.sparkSession
-    trees = components(ties(table)).select(F.expr("node & ~127L").alias("set57"), "root")
+    trees = components(ties(table, share)).select(F.expr("node & ~127L").alias("set57"), "root")
     known = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")  # so that rows without an id are found again
     one = table.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct(known, "text_key")).alias("r"), F.first("n").alias("n"))
     members = one.withColumn("set57", F.expr("lo & ~127L")).join(trees, "set57").select("r.doc_id", "r.text_key", "root", "n", "hi", "lo")
@@ -418,7 +433,7 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
     volume = weight.agg(F.sum(F.col("w") * F.col("parts"))).first()[0] or 0
     dealt = tasks.join(with_text, ["doc_id", "text_key"]).select("root", "i", "j", "side", "hi", "lo", "text")
     dealt = dealt.repartition(parts_for(spark, volume, TREE_SHINGLES), "root", "i", "j").sortWithinPartitions("root", "i", "j", "hi", "lo")
-    return stored(dealt.mapInArrow(search_trees, "a string, b string").distinct(), "links")
+    return stored(dealt.mapInArrow(lambda batches: search_trees(batches, words, share), "a string, b string").distinct(), "links")
 
 
 def _large(members: DataFrame, most: int = 100_000) -> bool:
@@ -426,14 +441,14 @@ def _large(members: DataFrame, most: int = 100_000) -> bool:
     return members.count() > most
 
 
-def search_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def search_trees(batches: Iterator[pa.RecordBatch], words: int, share: Share) -> Iterator[pa.RecordBatch]:
     """One R-tree for each run of rows with equal (root, i, j)."""
     at, names, sets, sides = None, [], [], []
     schema = pa.schema([("a", pa.string()), ("b", pa.string())])
 
     def done() -> pa.RecordBatch | None:
         side = np.array(sides) if at and at[1] != at[2] else None
-        found = list(forest(sets, side))
+        found = list(forest(sets, side, share))
         if found:
             return pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found]), pa.array([names[b] for _, b in found])], schema=schema)
         return None
@@ -449,17 +464,17 @@ def search_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 name = f"{hi & (1 << 64) - 1:016x}{lo & (1 << 64) - 1:016x}"
                 if not names or names[-1] != name:  # equal rows follow each other
                     names.append(name)
-                    sets.append(shingles(text))
+                    sets.append(shingles(text, words))
                     sides.append(side)
     if len(sets) > 1 and (out := done()):
         yield out
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and digest of every document."""
-    table = profile(docs)
+    table = profile(docs, words, share)
     name = F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
-    roots = components(links(docs, table)).withColumnRenamed("node", "digest")
+    roots = components(links(docs, table, words, share)).withColumnRenamed("node", "digest")
     sets = table.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("digest", name)
     rooted = sets.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -469,26 +484,26 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return join(docs).select("doc_id", "n_shingles", "component_id")
+    return join(docs, WORDS, SHARE).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = COPY_WORDS, share: Share = COPY_SHARE) -> DataFrame:
     """A pipeline stage: of each component the document with the smallest doc_id stays; documents without words stay."""
-    gone = join(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id")
+    gone = join(docs, words, share).where("n_shingles > 0 and doc_id <> component_id").select("doc_id")
     return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
-def plain(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int]]:
+def plain(rows: list[tuple[int, str | None]], words: int = WORDS, share: Share = SHARE) -> list[tuple[int, int, int]]:
     """For tests: the same by brute force on the words themselves."""
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))} if w else set())
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
     label = [r[0] for r in rows]
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and label[i] != label[j] and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and label[i] != label[j] and min(len(a), len(b)) * share[1] >= share[0] * max(len(a), len(b)) and share[1] * len(a & b) >= share[0] * len(a | b):
                 x, y = sorted((label[i], label[j]))
                 label = [x if v == y else v for v in label]
     return [(r[0], len(s), v) for r, s, v in zip(rows, sets, label, strict=True)]

@@ -253,6 +253,19 @@ def test_signatures_lose_no_link():
             assert np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size
 
 
+def test_signatures_of_near_copies_lose_no_link():
+    r, share, found = np.random.default_rng(4), jaccard.COPY_SHARE, 0
+    for _ in range(3000):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        cut = int(r.integers(0, max(1, n // 4) + 1))
+        b = np.unique(np.concatenate([a[cut:], r.integers(0, 1 << 63, int(r.integers(0, max(1, n // 4) + 1)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+        if len(a) and len(b) and jaccard.linked(a, b, share) and not np.array_equal(a, b):
+            found += 1
+            assert np.intersect1d(jaccard.signatures(a, share), jaccard.signatures(b, share)).size
+    assert found > 500
+
+
 def test_line_dedup(docs, pairs, none):
     known = [(d, x) for d, x in pairs if d is not None]
     want = {t[0]: t for t in linededup.plain(known)}

@@ -41,6 +41,17 @@ def test_stage_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = [f"x{i}" if i in (30, 70) else w for i, w in enumerate(words)]  # 86 of 106 shingles of five words, 89 of 105 of four
+    far = [f"y{i}" if i in (20, 50, 80) else w for i, w in enumerate(words)]  # 81 of 111 of five words
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(far)), (4, "others " * 9)]
+    assert [c for _, _, c in jaccard.plain(rows)] == [1, 2, 3, 4] and [c for _, _, c in jaccard.plain(rows, 5, (4, 5))] == [1, 1, 3, 4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {1, 3, 4}
+    assert {r.component_id for r in jaccard.digest(docs).collect()} == {1, 2, 3, 4}
+
+
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and hilbert.LENGTH == 2048
