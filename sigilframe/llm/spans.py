@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, at end marks before white space and at line ends. A sentence of more than LONGEST characters is cut
-further, behind words whose last two letters CUT picks (one in eight or so), so copies of a passage are cut alike whatever stands
-around them. From every sentence on, a run takes consecutive sentences until it has RUN of them and LEAST words; it is hashed over
-its lower-cased words. Runs are joined globally by hash, and the sentences that lie in any run but the first occurrence of
-its hash are removed. First is the smallest doc_id, and within a document the earliest run.
+A text is cut into sentences, at end marks before white space and at line ends. A sentence of more than WINDOW words is cut further:
+each word has a rank by its hash, and in every WINDOW words that follow each other within a sentence, a cut comes behind the one of the lowest
+rank. So no piece has more than WINDOW words, and cuts depend on the WINDOW - 1 words around them only: copies of a passage are cut alike
+whatever stands around them. Scripts without spaces between words count each character as half a word of its own.
+
+A run takes consecutive pieces until it has LEAST words, from every piece on. It is hashed over its lower-cased words. A passage of 4 * WINDOW + LEAST - 3 words (50) holds a whole run wherever it begins
+and ends: cuts agree from its word WINDOW on, the first of them comes WINDOW - 1 words later at most, the run's end as many behind its LEAST
+words, and WINDOW words before the passage's end cuts still agree. Runs are joined globally by hash, and the pieces that lie in any run but
+the first occurrence of its hash are removed. First is the smallest doc_id, and within a document the earliest run.
 
 Each task first compares its own runs: of a hash that it meets again in a document with a larger id, it knows already that this is not the
 first, so a passage of a third of all documents sends a few rows to the join for each task. The rest are sorted by hash and
@@ -18,7 +22,7 @@ one document; extra columns are carried by `remove` under their own names.
 from __future__ import annotations
 
 import re
-import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard import _powers, mix
 from .shared import fields, fresh, map_rows, parts_for
 
-RUN = 3
 LEAST = 25
-LONGEST = 96
-END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\s*\n\s*")
-CUT = re.compile(r"[A-Ma-m][S-Zs-z]\s+")
-HALVES = struct.Struct("<qq")
+WINDOW = 7
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u3001\u3003-\ua4cf\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+UNIT = re.compile(rf"(?:[{UNSPACED}]|[^\s{UNSPACED}。！？]+|(?=[。！？]))[。！？]*\s*")
+END = re.compile(r"[.!?]\s+\Z|[。！？]\s*\Z|\s*\n\s*\Z")
+ALONE = re.compile(f"[{UNSPACED}]")
+MOST_UNITS, MOST_CHARS = 300_000, 8 << 20
 TEXT_PER_PART = 64 << 20
 MOST_KEPT = 500_000
 OPEN, ALL, LATER = 0, 1, 2
@@ -42,59 +48,130 @@ DDL = "a long, b long, doc_id long, mode int"
 ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("mode", pa.int32())])
 
 
+class Units(dict):
+    """Numbers words with the white space behind them; by number, `rank` (0 where a sentence ends), `weight` in half words and `hash`, of the
+    lower-cased word."""
+
+    def __init__(self):
+        self.rank, self.weight, self.hash, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.uint64), 0
+
+    def __missing__(self, unit: str) -> int:
+        k = len(self)
+        if k == len(self.rank):
+            self.rank, self.weight, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rank, self.weight, self.hash))
+        word = unit.strip().lower().encode("utf-8", "replace")
+        self.rank[k] = 0 if END.search(unit) else zlib.crc32(word) or 1
+        self.weight[k] = 1 if ALONE.match(unit) else 2
+        self.hash[k] = xxhash.xxh3_64_intdigest(word)
+        self.chars += len(unit)
+        self[unit] = k
+        return k
+
+    def numbers(self, found: list[str]) -> np.ndarray:
+        """They hold until the next call."""
+        if len(self) > MOST_UNITS or self.chars > MOST_CHARS:
+            self.clear()
+            self.chars = 0
+        return np.array(list(map(self.__getitem__, found)), np.int64)
+
+
+UNITS = Units()
+
+
+def pieces(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of a text with the white space behind them, their numbers, and the ends of its pieces."""
+    found = UNIT.findall(text)
+    if not found:
+        return found, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids = UNITS.numbers([*found, found[-1].rstrip() + " "])  # the end of a text is as good as white space
+    rank = UNITS.rank[ids]
+    rank[-2] = rank[-1]
+    ids, rank = ids[:-1], rank[:-1]
+    cut = rank == 0
+    if len(rank) >= WINDOW:
+        around = np.full(len(rank) + WINDOW - 1, -1)
+        around[WINDOW - 1 : len(rank)] = over_windows(np.minimum, rank)
+        cut |= over_windows(np.maximum, around) == rank  # the lowest of any window that holds it
+    cut[-1] = True
+    return found, ids, np.flatnonzero(cut) + 1
+
+
+def over_windows(f: np.ufunc, x: np.ndarray) -> np.ndarray:
+    n = len(x) - WINDOW + 1
+    out = x[:n]
+    for k in range(1, WINDOW):
+        out = f(out, x[k : k + n])
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """Pieces that joined give the text again."""
+    found, _, ends = pieces(text)
     out, at = [], 0
-    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
-        if end - at > LONGEST:
-            for m in CUT.finditer(text, at, end):
-                out.append(text[at : m.end()])
-                at = m.end()
-        if at < end:
-            out.append(text[at:end])
+    for end in ends.tolist():
+        out.append("".join(found[at:end]))
         at = end
-    return out
+    before = text[: len(text) - sum(map(len, out))]  # white space
+    return [before + out[0], *out[1:]] if out else [before] if before else []
+
+
+def hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run, in order: two hashes, the first piece and the end. The hashes are polynomials of the words' hashes, as differences of running sums."""
+    _, ids, ends = pieces(text)
+    edge = np.concatenate([[0], ends])
+    total = np.concatenate([[0], np.cumsum(UNITS.weight[ids])])[edge]
+    if total[-1] < 2 * LEAST:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = len(ends)
+    forth = np.searchsorted(total, total[:-1] + 2 * LEAST)
+    code = (np.arange(n) * (n + 1) + forth)[forth <= n]
+    i, end = code // (n + 1), code % (n + 1)
+    first, size = edge[i], (edge[end] - edge[i]).astype(np.uint64)
+    up, down = _powers(len(ids) + 1)
+    out = np.empty((len(i), 2), np.int64)
+    for k, salt in enumerate((np.uint64(0x51ED270B9F3C1D05), np.uint64(0x1B873593CC9E2D51))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(UNITS.hash[ids] ^ salt) * up[: len(ids)])])
+        out[:, k] = mix((sums[edge[end]] - sums[first]) * down[first] + size * salt).astype(np.int64)
+    return out, i, end
 
 
 def runs(text: str) -> list[tuple[int, int, int, int]]:
-    """(hash, hash, first sentence, end) of every run."""
-    words = [s.lower().split() for s in sentences(text)]
-    joined = [" ".join(w).encode("utf-8", "replace") for w in words]
-    sizes = [len(w) for w in words]
-    out, end, held = [], 0, 0
-    for i in range(len(words)):
-        while end < len(words) and (end - i < RUN or held < LEAST):
-            held += sizes[end]
-            end += 1
-        if end - i < RUN or held < LEAST:
-            break
-        out.append((*HALVES.unpack(xxhash.xxh3_128_digest(b" ".join(joined[i:end]))), i, end))
-        held -= sizes[i]
-    return out
+    """(hash, hash, first piece, end) of every run, in order."""
+    h, i, end = hashed(text)
+    return list(zip(*h.T.tolist(), i.tolist(), end.tolist(), strict=True))
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, doc_id, mode) of a document's distinct hashes: OPEN to be compared globally, ALL where this task has met the hash in a smaller
     doc_id, LATER besides where the document itself repeats it."""
-    least: dict[tuple[int, int], int] = {}
+    least: dict[bytes, int] = {}
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
-            part, out = batch.slice(k, 256).to_pydict(), []
+            part, hashes, ids, modes = batch.slice(k, 256).to_pydict(), [], [], []
             if len(least) > MOST_KEPT:
                 least.clear()
             for d, text in zip(part["doc_id"], part["text"], strict=True):
-                counts: dict[tuple[int, int], int] = {}
-                for a, b, _, _ in runs(text):
-                    counts[a, b] = counts.get((a, b), 0) + 1
-                for h, n in counts.items():
-                    known = least.get(h)
+                h, _, _ = hashed(text)
+                raw, mode, met, again = h.tobytes(), [], set(), set()
+                for at in range(0, len(raw), 16):
+                    x = raw[at : at + 16]
+                    if x in met:
+                        mode.append(LATER if x not in again else -1)
+                        again.add(x)
+                        continue
+                    met.add(x)
+                    known = least.get(x)
                     if known is None or d < known:
-                        least[h] = d
-                    out.append((*h, d, ALL if known is not None and known < d else OPEN))
-                    if n > 1:
-                        out.append((*h, d, LATER))
-            if out:
-                cols = list(zip(*out, strict=True))
+                        least[x] = d
+                    mode.append(ALL if known is not None and known < d else OPEN)
+                hashes.append(h)
+                ids.append(np.full(len(h), d))
+                modes += mode
+            if modes:
+                mode = np.array(modes, np.int32)
+                keep = np.flatnonzero(mode >= 0)
+                h, d = np.concatenate(hashes)[keep], np.concatenate(ids)[keep]
+                cols = (np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), d, mode[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ROW.types, strict=True)], schema=ROW)
 
 
@@ -121,7 +198,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     volume = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = text.mapInArrow(marked, DDL)
     place = F.when(F.col("mode") == OPEN, F.xxhash64("a", "b")).otherwise(F.xxhash64("doc_id"))
-    dealt = rows.withColumn("place", place).repartition(parts_for(spark, volume, TEXT_PER_PART), "place").sortWithinPartitions("mode", "a", "b", "doc_id")
+    dealt = rows.repartition(parts_for(spark, volume, TEXT_PER_PART), place).sortWithinPartitions("mode", "a", "b", "doc_id")
     later = dealt.select("a", "b", "doc_id", "mode").mapInArrow(not_first, DDL)
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "mode")).alias("found"))  # at most two a run of the document
 

@@ -345,6 +345,36 @@ def test_spans(docs, pairs, none):
     assert spans.digest(none).collect() == []
 
 
+def held(t: str, passage: str) -> set:
+    own, flat = spans.sentences(t), " ".join(passage.lower().split())
+    return {h[:2] for h in spans.runs(t) if " ".join("".join(own[h[2] : h[3]]).lower().split()) in flat}
+
+
+@pytest.mark.parametrize("kind", ["latin", "greek", "symbols", "one sentence"])
+def test_spans_hold_a_run_of_any_passage(kind):
+    r, letters = random.Random(6), {"greek": "αβγδεζηθικλμ"}.get(kind, "abcdefghiklm")
+    tail = {"latin": ["", "", "", "", "", "", ". ", "! "], "symbols": ["%%", "&&&", "9", ",;"]}.get(kind, [""])
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 7))) + r.choice(tail)
+    for n in [50] * 100 + [51, 60, 80, 120] * 20:
+        passage = [word() for _ in range(n)]
+        one, two = (" ".join([word() for _ in range(r.randint(0, 90))] + passage + [word() for _ in range(r.randint(0, 90))]) for _ in range(2))
+        assert held(one, " ".join(passage)) & held(two, " ".join(passage))
+
+
+def test_spans_of_unspaced_text(spark):
+    r = random.Random(7)
+    text = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    passage, thai = text(120), "".join(chr(r.randrange(0x0E01, 0x0E2F)) for _ in range(120))
+    texts = [text(70) + passage + text(33), text(44) + passage + "。" + text(90), thai, text(30) + thai + text(30), text(10) + passage[40:80] + text(10)]
+    rows = {x.doc_id: x for x in spans.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[k]._removed > 0 for k in range(5)] == [False, True, False, True, False]
+    assert all(len(rows[k].text) <= len(texts[k]) - 90 for k in (1, 3)) and [x.text for x in spans_plain(spark, texts)] == [rows[k].text for k in range(5)]
+
+
+def spans_plain(spark, texts):
+    return spark.createDataFrame(spans.plain(list(enumerate(texts))), "doc_id long, text string, n long").orderBy("doc_id").collect()
+
+
 def test_sentences_join_to_the_text(pairs):
     for _, x in pairs:
         assert "".join(spans.sentences(x or "")) == (x or "")
