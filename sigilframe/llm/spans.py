@@ -5,7 +5,8 @@ each word has a rank by its hash, and in every WINDOW words that follow each oth
 rank. So no piece has more than WINDOW words, and cuts depend on the WINDOW - 1 words around them only: copies of a passage are cut alike
 whatever stands around them. Scripts without spaces between words count each character as half a word of its own.
 
-A run takes consecutive pieces until it has LEAST words, from every piece on. It is hashed over its lower-cased words. A passage of 4 * WINDOW + LEAST - 3 words (50) holds a whole run wherever it begins
+A run takes consecutive pieces until it has LEAST words: from every piece on, and from every piece back, so the end of a repeat is covered as its
+beginning is. It is hashed over its lower-cased words. A passage of 4 * WINDOW + LEAST - 3 words (50) holds a whole run wherever it begins
 and ends: cuts agree from its word WINDOW on, the first of them comes WINDOW - 1 words later at most, the run's end as many behind its LEAST
 words, and WINDOW words before the passage's end cuts still agree. Runs are joined globally by hash, and the pieces that lie in any run but
 the first occurrence of its hash are removed. First is the smallest doc_id, and within a document the earliest run.
@@ -124,7 +125,8 @@ def hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(ends)
     forth = np.searchsorted(total, total[:-1] + 2 * LEAST)
-    code = (np.arange(n) * (n + 1) + forth)[forth <= n]
+    back = np.searchsorted(total, total[1:] - 2 * LEAST, "right") - 1
+    code = np.unique(np.concatenate([(np.arange(n) * (n + 1) + forth)[forth <= n], (back * (n + 1) + np.arange(1, n + 1))[back >= 0]]))
     i, end = code // (n + 1), code % (n + 1)
     first, size = edge[i], (edge[end] - edge[i]).astype(np.uint64)
     up, down = _powers(len(ids) + 1)

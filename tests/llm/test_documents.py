@@ -375,6 +375,18 @@ def spans_plain(spark, texts):
     return spark.createDataFrame(spans.plain(list(enumerate(texts))), "doc_id long, text string, n long").orderBy("doc_id").collect()
 
 
+def test_spans_take_closing_sentences():
+    r = random.Random(8)
+    for k in range(60):
+        text = prose(100 + k, r.randint(51, 90))
+        inner = prose(300 + k, 40) + ". " + text + ". " + prose(500 + k, 40)
+        around = len(inner.split()) - len(text.split())
+        for other, most in ((text, 0), (inner, around + 2 * (spans.WINDOW - 1))):
+            first = {h[:2] for h in spans.runs(text)}
+            left = len(spans.one(other, {(*h, spans.ALL) for h in first})[0].split())
+            assert left <= most, (k, left)
+
+
 def test_sentences_join_to_the_text(pairs):
     for _, x in pairs:
         assert "".join(spans.sentences(x or "")) == (x or "")
