@@ -221,6 +221,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """A filtering stage: the rows and columns of docs whose language could be told; rejects null texts and texts without a letter."""
+    """A filtering stage: the rows and columns of docs whose language could be told; rejects null texts and texts without a letter. Which language
+    is predicted doesn't decide; without labelled rows there is no model, and every text with a letter stays."""
+    net = train(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as LETTER
     lang, score = fresh(docs, "_lang", "_score")
-    return predict(docs, train(docs), docs.columns, lang, score).where(F.col(lang) != UNKNOWN).select(*docs.columns)
+    return predict(docs, net, docs.columns, lang, score).where(F.col(lang) != UNKNOWN).select(*docs.columns)
