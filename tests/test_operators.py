@@ -213,3 +213,12 @@ def test_drawings(spark):
         step(root)
     path = root.find(".//path")
     assert path.get("fill") == "h" and path.get("stroke") == "y" and [g.get("id") for g in root] == ["hair"]
+
+
+def test_incremental_plan_compares_every_document(spark):
+    from sigilframe.plans import quality_queries
+
+    sf = "/root/testdata/sf0.001"
+    _, now, memo = quality_queries.hashed_documents(spark, sf)
+    names = {f"f{r.doc_id}" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert {r.file for r in now.collect()} == names == {r.file for r in memo.collect()}
