@@ -11,15 +11,20 @@ groups as usually stay empty, in one that isn't empty. A signature is the hash o
 it takes several common shingles in the same places to share one. The few documents with too many
 empty groups also get the signatures of the classical prefix filter, which cover links among themselves.
 
-Points have as many coordinates as their size class needs to tell unrelated sets apart. A signature of few documents gives pairs, whose bound is looked
-at once for each pair; one of more than SHORT gets an R-tree over its documents' points (one of more than RUN_MOST ties its documents without the
-bound). Documents that the bound leaves tied, directly or over others, are verified together, by an R-tree over their points and then on their sets. Ties of more than
-TREE_SHINGLES are split into parts, and each pair of parts gets a task of its own; so memory stays bounded and no pair is left out.
+Signatures are sorted in ranges of (signature, set), so a hot one is spread over tasks. Points have as many coordinates as their size class needs to
+tell unrelated sets apart. A signature of few sets gives pairs, whose bound is looked at once for each pair; one of more gets an R-tree over its sets'
+points. Of a signature of more sets than a tree takes, those leave that have more than d groups of other, smaller signatures: whatever they link with
+agrees with one of these. The rest (sets that are mostly such common groups) are tied without a bound here; the trees of the next step apply it.
+
+Sets that are tied, directly or over others, are verified together, by an R-tree over their points and then on the sets. Ties of more than
+`tree` shingles are split into parts. First each part is searched for itself, then, round by round, one set of each component found; so groups of
+near copies merge while every set is dealt once. Where several components remain, all sets outside the largest one are compared with
+all parts, which leaves no pair out. A group of near copies costs no more than its sets times the parts of those that stay apart.
 
 Within a task, a pair whose documents are in one component already needs no verification, so what leaves a task is a
-spanning forest, never all pairs of a group. Equal sets are one node throughout.
+spanning forest, never all pairs of a group. Equal sets are one node throughout, known by 121 bits of their digest and a size class, or by 128 bits.
 
-Shuffles: the signatures (8 bytes each, about a third of the shingles), the texts once, to pick out those in trees of more than one document, and small tables.
+Shuffles: the signatures (24 bytes each, about a third of the shingles), the texts once, to pick out those in trees of more than one document, and small tables.
 
 Nulls and odd rows: a null or wordless text has an empty set and is linked with nothing, its component is its own doc_id; a component's
 id is its smallest doc_id that isn't null, or null where it has none; repeated rows are copies; a text of any length is one set; extra columns play no part.
@@ -29,8 +34,10 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_rows, parts_for, stored
+from .shared import fresh, map_rows, parts_for, stored
 
 Share = tuple[int, int]
 WORDS, SHARE = 4, (85, 100)  # of op4
@@ -46,10 +53,21 @@ COPY_WORDS, COPY_SHARE = 5, (80, 100)  # of near copies, as a pipeline removes t
 DIMS = 32
 RATIO = 1.6
 LEAF = 32
-TREE_SHINGLES = 2 << 20
-SHORT = 8
-RUN_MOST = 20_000
 CHUNK = 1 << 20
+MOST_SENT = 100_000  # rows of three small values that may be broadcast
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How work is cut; results don't depend on it. short: sets of a signature that are paired at once; run: sets that one R-tree of a
+    signature takes; tree: shingles that are verified in one task."""
+
+    short: int = 8
+    run: int = 20_000
+    tree: int = 2 << 20
+
+
+LIMITS = Limits()
 
 LOW = np.uint64(127)  # the lowest bits of a signature name its size class
 
@@ -125,6 +143,16 @@ def digest_of(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in both)
 
 
+def key_of(hi: int, lo: int) -> bytes:
+    return struct.pack(">qq", hi, lo)
+
+
+def keys_of(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    """16 bytes for each pair of longs, as key_of gives them."""
+    raw = np.stack([hi, lo], 1).astype(">i8").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hi), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def most_apart(a: int, b: int, share: Share = SHARE) -> int:
     """The most shingles in which linked sets of these sizes can differ."""
     n, d = share
@@ -162,6 +190,12 @@ def classes(n: int, share: Share = SHARE) -> list[int]:
 
 def signatures(s: np.ndarray, share: Share = SHARE) -> np.ndarray:
     """Hashes of whole groups, for each size class of the set."""
+    made = [x for x, _ in by_class(s, share)]
+    return np.concatenate(made) if made else np.zeros(0, np.uint64)
+
+
+def by_class(s: np.ndarray, share: Share = SHARE) -> list[tuple[np.ndarray, int]]:
+    """Of each size class: the signatures, and how many groups above d are filled (0 at most where the prefix filter is needed)."""
     n, out = len(s), []
     mixed = mix(s)
     for c in classes(n, share):
@@ -171,8 +205,8 @@ def signatures(s: np.ndarray, share: Share = SHARE) -> np.ndarray:
         made = [mix(np.add.reduceat(mixed, first) + g[first] * np.uint64(0xC2B2AE3D27D4EB4F))]
         if len(first) < d + 1:
             made.append(mix(s[: n - -(-n * share[0] // share[1]) + 1] ^ np.uint64(0x27D4EB2F165667C5)))
-        out += [x & ~LOW | np.uint64(c) for x in made]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((np.concatenate(made) & ~LOW | np.uint64(c), len(first) - d))
+    return out
 
 
 def dims_of(c: int) -> int:
@@ -241,8 +275,8 @@ def linked(a: np.ndarray, b: np.ndarray, share: Share = SHARE) -> bool:
     return overlap * share[1] >= share[0] * (len(both) - overlap)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None = None, share: Share = SHARE) -> Iterator[tuple[int, int]]:
-    """Links that span the components of the sets; with sides (0, 1), of the links between the sides alone."""
+def forest(sets: list[np.ndarray], side: np.ndarray | None = None, share: Share = SHARE, label: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links that span the components of the sets; with sides (0, 1), of the links between the sides alone. Sets of one label are joined already."""
     if len(sets) < 2:
         return
     points = np.stack([point(s) for s in sets])
@@ -252,7 +286,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, share: Share
     if not len(inside) or not len(asking):
         return
     tree = CountTree(points[inside], sizes[inside], share)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else label.copy()
     for q in asking:
         found = inside[tree.search(points[q], int(sizes[q]))]
         if side is None:
@@ -265,8 +299,8 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, share: Share
 
 
 def profile(docs: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFrame:
-    """doc_id, text_key, n, hi, lo (the set's digest) and, once for equal sets of a batch run, its signatures and its points
-    by size class; stored."""
+    """doc_id, text_key, n, hi, lo (the set's digest), key (the same as bytes) and, once for equal sets of a batch run, its signatures and, by size
+    class c, its node, its filled groups above d, and its point; stored."""
 
     def make():
         seen: set[tuple[int, int]] = set()
@@ -284,74 +318,78 @@ def profile(docs: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFr
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(d)
-                sig.append(signatures(s, share).astype(np.int64) if new else None)
-                pts.append([{"c": k, "p": point(s, dims_of(k)).astype("<u2").tobytes()} for k in classes(len(s), share)] if new else None)
-            return {"doc_id": c["doc_id"], "text_key": c["text_key"], "n": n, "hi": hi, "lo": lo, "sig": sig, "pts": pts}
+                    made = by_class(s, share)
+                    sig.append(np.concatenate([x for x, _ in made]).astype(np.int64) if made else np.zeros(0, np.int64))
+                    pts.append([{"node": key_of(d[0], d[1] & ~127 | k), "above": m, "p": point(s, dims_of(k)).astype("<u2").tobytes()} for k, (_, m) in zip(classes(len(s), share), made, strict=True)])
+                else:
+                    sig.append(None)
+                    pts.append(None)
+            return {"doc_id": c["doc_id"], "text_key": c["text_key"], "n": n, "hi": hi, "lo": lo, "key": list(map(key_of, hi, lo)), "sig": sig, "pts": pts}
 
         return batch
 
     src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return stored(map_rows(src, "doc_id long, text_key long, n long, hi long, lo long, sig array<long>, pts array<struct<c:int,p:binary>>", make), "profile")
+    return stored(map_rows(src, "doc_id long, text_key long, n long, hi long, lo long, key binary, sig array<long>, pts array<struct<node:binary,above:int,p:binary>>", make), "profile")
 
 
-def shared_signatures(table: DataFrame) -> DataFrame:
-    """Streams the signatures in order. Where 2 to SHORT nodes share one: (null, a, b) for each pair. Where more do: (signature, a, null)
-    for each. A node is a set in a size class: the digest's high bits and the class."""
-    rows = table.where("sig is not null").select(F.explode("sig").alias("sig"), "lo")
-    spark = table.sparkSession
+def shared_signatures(table: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Streams the signatures in order. Where 2 to `short` nodes share one: (null, a, b) for each pair. Where more do, and for the first and last of
+    each range, which may go on in the next: (signature, a, null) for each."""
+    rows = table.where("sig is not null").select(F.explode("sig").alias("sig"), "hi", "lo")
     many = table.agg(F.sum(F.size("sig"))).first()[0] or 0
-    rows = rows.repartition(parts_for(spark, many, 4 << 20), "sig").sortWithinPartitions("sig", "lo")
-    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    rows = rows.repartitionByRange(parts_for(table.sparkSession, many, 4 << 20), "sig", "hi", "lo").sortWithinPartitions("sig", "hi", "lo")
+    schema, short = pa.schema([("sig", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]), limits.short
+
+    def found(sig: np.ndarray, hi: np.ndarray, lo: np.ndarray, long_ones: list) -> Iterator[pa.RecordBatch]:
+        """Of whole signatures, or of parts of one of `long_ones`."""
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.repeat(np.diff(np.append(start, len(sig))), np.diff(np.append(start, len(sig))))
+        many = (size > short) | np.isin(sig, np.array(long_ones, np.int64))
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[many]), keys_of(hi[many], lo[many]), pa.nulls(int(many.sum()), pa.binary())], schema=schema)
+        few = ~many & (size > 1)
+        s, x, y, pairs = sig[few], hi[few], lo[few], []
+        for lag in range(1, short):
+            same = s[lag:] == s[:-lag]
+            if not same.any():
+                break
+            pairs.append(np.stack([x[:-lag][same], y[:-lag][same], x[lag:][same], y[lag:][same]], 1))
+        if pairs:
+            p = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), keys_of(p[:, 0], p[:, 1]), keys_of(p[:, 2], p[:, 3])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, node, long_one = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-        def found(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.repeat(np.diff(np.append(start, len(sig))), np.diff(np.append(start, len(sig))))
-            many = (size > SHORT) | (sig == long_one if long_one is not None else False)
-            if many.any():
-                k = int(many.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(node[many]), pa.nulls(k, pa.int64())], schema=schema)
-            few = ~many & (size > 1)
-            s, x, pairs = sig[few], node[few], []
-            for lag in range(1, SHORT):
-                same = s[lag:] == s[:-lag]
-                if not same.any():
-                    break
-                pairs.append(np.stack([x[:-lag][same], x[lag:][same]], 1))
-            if pairs:
-                pairs = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
+        held, ends = [np.zeros(0, np.int64)] * 3, []
         for batch in batches:
-            s = batch.column(0).to_numpy()
-            sig, node = np.concatenate([sig, s]), np.concatenate([node, batch.column(1).to_numpy() & ~np.int64(127) | (s & np.int64(127))])
-            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])[: len(sig)]
-            sig, node = sig[fresh], node[fresh]
-            if not len(sig):
+            s, hi, lo = (batch.column(k).to_numpy() for k in range(3))
+            if not len(s):
                 continue
+            sig, hi, lo = (np.concatenate([old, new]) for old, new in zip(held, (s, hi, lo & ~np.int64(127) | (s & np.int64(127))), strict=True))
+            if not ends:
+                ends = [sig[0]]
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            sig, hi, lo = sig[fresh], hi[fresh], lo[fresh]
             last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on in the next batch
             if last:
-                yield from found(sig[:last], node[:last])
-            sig, node = sig[last:], node[last:]
-            if len(sig) > SHORT:
-                long_one = sig[0]
-                yield from found(sig[:-1], node[:-1])
-                sig, node = sig[-1:], node[-1:]
-        if len(sig):
-            yield from found(sig, node)
+                yield from found(sig[:last], hi[:last], lo[:last], ends)
+            sig, hi, lo = sig[last:], hi[last:], lo[last:]
+            if len(sig) > short:
+                ends = [ends[0], sig[0]]
+                yield from found(sig[:-1], hi[:-1], lo[:-1], ends)
+                sig, hi, lo = sig[-1:], hi[-1:], lo[-1:]
+            held = [sig, hi, lo]
+        if len(held[0]):
+            yield from found(*held, [held[0][0]])
 
-    return stored(rows.mapInArrow(run, "sig long, a long, b long"), "shared")
+    return stored(rows.mapInArrow(run, "sig long, a binary, b binary"), "shared")
 
 
-def ties(table: DataFrame, share: Share = SHARE) -> DataFrame:
+def ties(table: DataFrame, share: Share = SHARE, limits: Limits = LIMITS) -> DataFrame:
     """(a, b): nodes tied by the bound, spanning all that may link."""
     spark = table.sparkSession
-    shared = shared_signatures(table)
-    p = table.where("sig is not null").select("lo", "n", F.explode("pts").alias("x"))
-    p = p.select(F.expr("lo & ~127L | cast(x.c as long)").alias("node"), F.struct("n", F.col("x.p").alias("p")).alias("p"))
-    points = p.groupBy("node").agg(F.first("p").alias("p"))
+    shared = shared_signatures(table, limits)
+    p = table.where("sig is not null").select("n", F.explode("pts").alias("x")).select("x.node", "x.above", F.struct("n", "x.p").alias("p"))
+    points = p.groupBy("node").agg(F.first("p").alias("p"), F.first("above").alias("above"))
     pairs = shared.where("sig is null").select("a", "b").distinct()
     pairs = pairs.join(points.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
 
@@ -365,38 +403,44 @@ def ties(table: DataFrame, share: Share = SHARE) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    few = pairs.select("a", "b", "pa", "pb").mapInArrow(bounded, "a long, b long")
-    runs = shared.where("sig is not null").select("sig", F.col("a").alias("node")).join(points, "node").select("sig", "node", F.col("p.n").alias("n"), F.col("p.p").alias("p"))
-    runs = runs.repartition(parts_for(spark, runs.count(), 1 << 18), "sig").sortWithinPartitions("sig", "node")
-    return stored(few.unionByName(runs.mapInArrow(lambda batches: run_trees(batches, share), "a long, b long")).distinct(), "ties")
+    few = pairs.select("a", "b", "pa", "pb").mapInArrow(bounded, "a binary, b binary")
+    runs = shared.where("sig is not null").select("sig", F.col("a").alias("node")).join(points, "node")
+    sizes = stored(shared.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("a").alias("head")).where("size > 1"), "sizes")
+    n_runs, n_hot = sizes.agg(F.sum("size"), F.sum((F.col("size") > limits.run).cast("int"))).first()
+    out = few
+    if n_runs:
+        trees = runs.join(sizes.where(F.col("size") <= limits.run).select("sig"), "sig").select("sig", "node", F.col("p.n").alias("n"), F.col("p.p").alias("p"))
+        trees = trees.repartition(parts_for(spark, n_runs, 1 << 18), "sig").sortWithinPartitions("sig", "node")
+        out = out.unionByName(trees.mapInArrow(lambda batches: run_trees(batches, share), "a binary, b binary"))
+    if n_hot:
+        hot = runs.select("sig", "node", "above").join(sizes.where(F.col("size") > limits.run).select("sig", "head"), "sig")
+        stuck = hot.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("above").alias("above")).where("k >= above").select("node")  # no d + 1 groups of other signatures
+        hot = hot.join(stuck, "node", "left_semi")
+        heads = hot.groupBy("sig").agg(F.min("node").alias("b"))
+        out = out.unionByName(hot.select("sig", F.col("node").alias("a")).join(heads, "sig").where("a <> b").select("a", "b"))
+    return stored(out.distinct(), "ties")
 
 
 def run_trees(batches: Iterator[pa.RecordBatch], share: Share) -> Iterator[pa.RecordBatch]:
     """One R-tree for each signature: (a, b) span the components of what its bound leaves."""
-    at, head, over, nodes, sizes, points = None, 0, False, [], [], []
+    at, nodes, sizes, points = None, [], [], []
 
-    def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
-
-    def searched() -> list[tuple[int, int]]:
+    def searched() -> list[tuple[bytes, bytes]]:
         return [(nodes[i], nodes[j]) for i, j in bound_forest(np.stack(points), np.array(sizes), share)] if len(nodes) > 1 else []
 
+    def made(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
+
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             c, out = batch.slice(i, 1024).to_pydict(), []
             for sig, node, n, p in zip(c["sig"], c["node"], c["n"], c["p"], strict=True):
                 if sig != at:
                     out += searched()
-                    at, head, over, nodes, sizes, points = sig, node, False, [], [], []
-                if over:
-                    out.append((head, node))
-                    continue
+                    at, nodes, sizes, points = sig, [], [], []
                 nodes.append(node)
                 sizes.append(n)
                 points.append(np.frombuffer(p, "<u2"))
-                if len(nodes) > RUN_MOST:  # too many for one tree: all are tied to the first, which is a looser bound
-                    out += [(head, x) for x in nodes[1:]]
-                    over, nodes, sizes, points = True, [], [], []
             if out:
                 yield made(out)
     if out := searched():
@@ -415,82 +459,117 @@ def bound_forest(points: np.ndarray, sizes: np.ndarray, share: Share = SHARE) ->
             label[np.isin(label, others)] = label[q]
 
 
-def links(docs: DataFrame, table: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFrame:
-    """(a, b): digests (as hexadecimal text) of linked different sets, spanning every component. A set in two size classes may be in two trees."""
+def links(docs: DataFrame, table: DataFrame, words: int = WORDS, share: Share = SHARE, limits: Limits = LIMITS) -> DataFrame:
+    """(a, b): digests of linked different sets, spanning every component. A set in two size classes may be in two trees."""
     spark = docs.sparkSession
-    trees = components(ties(table, share)).select(F.expr("node & ~127L").alias("set57"), "root")
+    trees = components(ties(table, share, limits))
     known = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")  # so that rows without an id are found again
-    one = table.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct(known, "text_key")).alias("r"), F.first("n").alias("n"))
-    members = one.withColumn("set57", F.expr("lo & ~127L")).join(trees, "set57").select("r.doc_id", "r.text_key", "root", "n", "hi", "lo")
-    members = stored(members, "members")
-    weight = members.groupBy("root").agg(F.sum("n").alias("w")).withColumn("parts", F.when(F.col("w") <= TREE_SHINGLES, 1).otherwise(F.ceil(F.col("w") / (TREE_SHINGLES // 2)).cast("int")))
-    split = members.join(weight.select("root", "parts"), "root")
-    own = F.pmod(F.xxhash64("hi"), F.col("parts")).cast("int")
-    tasks = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = tasks.select("doc_id", "text_key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "hi", "lo")
-    text = docs.select(known, F.xxhash64("text").alias("text_key"), "text")
-    with_text = text.join(members.select("doc_id", "text_key").distinct().hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi") if _large(members) else text.join(F.broadcast(members.select("doc_id", "text_key").distinct()), ["doc_id", "text_key"], "left_semi")
-    volume = weight.agg(F.sum(F.col("w") * F.col("parts"))).first()[0] or 0
-    dealt = tasks.join(with_text, ["doc_id", "text_key"]).select("root", "i", "j", "side", "hi", "lo", "text")
-    dealt = dealt.repartition(parts_for(spark, volume, TREE_SHINGLES), "root", "i", "j").sortWithinPartitions("root", "i", "j", "hi", "lo")
-    return stored(dealt.mapInArrow(lambda batches: search_trees(batches, words, share), "a string, b string").distinct(), "links")
-
-
-def _large(members: DataFrame, most: int = 100_000) -> bool:
-    """Whether two longs for each member are too many to broadcast."""
-    return members.count() > most
+    nodes = table.where("sig is not null").select(F.explode("pts.node").alias("node"), "key").distinct()
+    one = table.where("n > 0").groupBy("key").agg(F.min(F.struct(known, "text_key")).alias("r"), F.first("n").alias("n"))
+    members = stored(trees.join(nodes, "node").select("root", "key").join(one, "key").select("root", "key", "n", "r.doc_id", "r.text_key"), "members")
+    weight = members.groupBy("root").agg(F.sum("n").alias("w"))
+    total, biggest = weight.agg(F.sum("w"), F.max("w")).first()
+    if not total:
+        return spark.createDataFrame([], "a binary, b binary")
+    wanted = members.select("doc_id", "text_key", "key").distinct()
+    wanted = F.broadcast(wanted) if members.count() <= MOST_SENT else wanted.hint("shuffle_hash")
+    texts = docs.select(known, F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"]).select("key", "text")  # a row repeated as it stands counts once below
+    if biggest > limits.tree:
+        texts = stored(texts.dropDuplicates(["key"]), "texts")
+
+    def searched(tasks: DataFrame, volume: int) -> DataFrame:
+        """tasks: root, i, j, side, key, comp."""
+        dealt = tasks.join(texts, "key").select("root", "i", "j", "side", "key", "comp", "text")
+        dealt = dealt.repartition(parts_for(spark, volume, limits.tree), "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "key")
+        return stored(dealt.mapInArrow(lambda batches: search_trees(batches, words, share), "a binary, b binary").distinct(), "links")
+
+    small = members.join(weight.where(F.col("w") <= limits.tree).select("root"), "root")
+    none = (F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"))
+    found = searched(small.select("root", *none, "key", F.col("key").alias("comp")), total)
+    if biggest <= limits.tree:
+        return found
+    big = stored(members.join(weight.where(F.col("w") > limits.tree).select("root"), "root").select("root", "key", "n"), "big")
+    every, label, before = [found], big.withColumn("comp", F.col("key")), None
+    for turn in range(64):  # one set of each component in parts of their own, while components merge
+        heads = label.groupBy("root", "comp").agg(F.min(F.struct("key", "n")).alias("h")).select("root", "comp", "h.key", "h.n")
+        size = heads.groupBy("root").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        comps, volume = size.agg(F.sum("comps"), F.sum("w")).first()
+        if not comps or (before and comps > 0.8 * before):
+            break
+        before = comps
+        part = F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("w") / limits.tree)).cast("int")
+        every.append(searched(heads.join(size, "root").select("root", part.alias("i"), part.alias("j"), F.lit(-1).alias("side"), "key", "comp"), volume))
+        roots = components(reduce(DataFrame.unionByName, every)).select(F.col("node").alias("key"), F.col("root").alias("comp"))
+        label = stored(big.join(roots, "key", "left").select("root", "key", "n", F.coalesce("comp", "key").alias("comp")), "label")
+    # All sets outside a root's largest component are compared with all others.
+    groups = label.groupBy("root", "comp").agg(F.sum("n").alias("w"))
+    top = groups.groupBy("root").agg(F.max_by("comp", F.struct("w", "comp")).alias("top"), F.sum("w").alias("w"), (F.sum("w") - F.max("w")).alias("rest")).where("rest > 0")
+    half = limits.tree // 2 or 1
+    left = label.join(top, "root").withColumns({"parts": F.ceil(F.col("w") / half).cast("int"), "blocks": F.ceil(F.col("rest") / half).cast("int")})
+    own, block = F.pmod(F.xxhash64("key"), "parts").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int")
+    inside = left.select("root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "key", "comp", "n")
+    asking = left.where("comp <> top").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), block.alias("j"), F.lit(1).alias("side"), "key", "comp", "n")
+    tasks = inside.unionByName(asking)
+    if volume := tasks.agg(F.sum("n")).first()[0]:
+        every.append(searched(tasks.drop("n"), volume))
+    return reduce(DataFrame.unionByName, every)
 
 
 def search_trees(batches: Iterator[pa.RecordBatch], words: int, share: Share) -> Iterator[pa.RecordBatch]:
-    """One R-tree for each run of rows with equal (root, i, j)."""
-    at, names, sets, sides = None, [], [], []
-    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+    """One R-tree for each run of rows with equal (root, i, j). Side 1 is compared with side 0; rows of side -1 among themselves."""
+    at, keys, sets, sides, comps = None, [], [], [], []
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def done() -> pa.RecordBatch | None:
-        side = np.array(sides) if at and at[1] != at[2] else None
-        found = list(forest(sets, side, share))
+        side = np.array(sides) if sides[0] >= 0 else None
+        found = list(forest(sets, side, share, np.unique(comps, return_inverse=True)[1]))
         if found:
-            return pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found]), pa.array([names[b] for _, b in found])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in found], pa.binary()), pa.array([keys[b] for _, b in found], pa.binary())], schema=schema)
         return None
 
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             c = batch.slice(i, 256).to_pydict()
-            for root, p, q, side, hi, lo, text in zip(*(c[k] for k in ("root", "i", "j", "side", "hi", "lo", "text")), strict=True):
+            for root, p, q, side, key, comp, text in zip(*(c[k] for k in ("root", "i", "j", "side", "key", "comp", "text")), strict=True):
                 if (root, p, q) != at:
                     if len(sets) > 1 and (out := done()):
                         yield out
-                    at, names, sets, sides = (root, p, q), [], [], []
-                name = f"{hi & (1 << 64) - 1:016x}{lo & (1 << 64) - 1:016x}"
-                if not names or names[-1] != name:  # equal rows follow each other
-                    names.append(name)
+                    at, keys, sets, sides, comps = (root, p, q), [], [], [], []
+                if not keys or (keys[-1], sides[-1]) != (key, side):  # equal rows follow each other
+                    keys.append(key)
                     sets.append(shingles(text, words))
                     sides.append(side)
+                    comps.append(comp)
     if len(sets) > 1 and (out := done()):
         yield out
 
 
-def join(docs: DataFrame, words: int = WORDS, share: Share = SHARE) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and digest of every document."""
+def join(docs: DataFrame, words: int = WORDS, share: Share = SHARE, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id of every document, and `first`: whether its (doc_id, text_key) is the smallest of its
+    component, rows without an id last."""
     table = profile(docs, words, share)
-    name = F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
-    roots = components(links(docs, table, words, share)).withColumnRenamed("node", "digest")
-    sets = table.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("digest", name)
-    rooted = sets.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = stored(rooted.join(ids, "root").select("hi", "lo", "component_id"), "components")
-    rows = table.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "hi", "lo")
-    return rows.join(known, ["hi", "lo"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    roots = components(links(docs, table, words, share, limits)).withColumnRenamed("node", "key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    sets = table.where("n > 0").groupBy("key").agg(F.min(order).alias("least"))
+    rooted = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    known = stored(rooted.drop("least").join(ids, "root").select("key", "least"), "components")
+    rows = table.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "key").join(known, "key", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return rows.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("least") == order, F.lit(True)).alias("first"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return join(docs, WORDS, SHARE).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = COPY_WORDS, share: Share = COPY_SHARE) -> DataFrame:
-    """A pipeline stage: of each component the document with the smallest doc_id stays; documents without words stay."""
-    gone = join(docs, words, share).where("n_shingles > 0 and doc_id <> component_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, words: int = COPY_WORDS, share: Share = COPY_SHARE, limits: Limits = LIMITS) -> DataFrame:
+    """A pipeline stage: of each component the text with the smallest doc_id stays (at a tie, as of a repeated id, the one with the smallest hash); documents
+    without words stay. A text is known by its doc_id and its hash, so the texts of a repeated id are judged one by one; rows equal in both stay or go together."""
+    number, text = fresh(docs, "_number", "_key")
+    here = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    gone = join(docs, words, share, limits).where("not first").select(here("doc_id").alias(number), F.col("text_key").alias(text)).distinct()
+    return docs.withColumns({number: here("doc_id"), text: F.xxhash64("text")}).join(gone, [number, text], "left_anti").select(*docs.columns)
 
 
 def plain(rows: list[tuple[int, str | None]], words: int = WORDS, share: Share = SHARE) -> list[tuple[int, int, int]]:

@@ -205,28 +205,34 @@ def family(n: int, size: int, edits: int, seed: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"TREE_SHINGLES": 400, "RUN_MOST": 10, "SHORT": 2}, {"SHORT": 1, "LEAF": 2}])
-def test_jaccard_near_families(spark, monkeypatch, limits):
+@pytest.mark.parametrize("limits", [{}, {"short": 2, "run": 10, "tree": 400}, {"short": 1, "run": 3, "tree": 4000}])
+def test_jaccard_near_families(spark, limits):
     texts = [t for k, (n, size, edits) in enumerate([(25, 60, 4), (10, 9, 1), (12, 14, 2), (15, 200, 12), (8, 1500, 60), (10, 30, 3)]) for t in family(n, size, edits, k)]
+    shared = " ".join(f"license{i}" for i in range(40))  # sets that have most groups in common and don't link
+    texts += [shared + " " + " ".join(f"own{k}x{i}" for i in range(12)) for k in range(20)]
     rows = list(enumerate(texts))
     want = set(jaccard.plain(rows))
     sizes = {}
     for _, _, c in want:
         sizes[c] = sizes.get(c, 0) + 1
     assert max(sizes.values()) > 5 and len(sizes) > 10
-    for k, v in limits.items():
-        monkeypatch.setattr(jaccard, k, v)
-    env = {k: getattr(jaccard, k) for k in ("RUN_MOST", "SHORT", "LEAF")}
-    table = jaccard.profile(spark.createDataFrame(rows, "doc_id long, text string"))
-    if not limits:
-        assert set(map(tuple, jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
-        return
-    # Executors import the module anew, so the limits are tried on its functions here.
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), limits=jaccard.Limits(**limits))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_jaccard_keeps_unique_texts_of_repeated_ids(spark):
+    a, b, c = (prose(k, 40) for k in (61, 62, 63))
+    rows = [(1, a), (5, a), (5, b), (7, c), (None, c), (None, prose(64, 40)), (8, ""), (8, None), (9, b), (9, b)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert key(map(tuple, kept.collect())) == key([(1, a), (5, b), (7, c), (None, prose(64, 40)), (8, ""), (8, None)])
+
+
+def test_jaccard_trees_and_forests():
+    texts = [t for k, (n, size, edits) in enumerate([(25, 60, 4), (10, 9, 1), (15, 200, 12)]) for t in family(n, size, edits, k)]
     sets = [jaccard.shingles(t) for t in texts]
     points, ns = np.stack([jaccard.point(s, 64) for s in sets]), np.array([len(s) for s in sets])
     tied = {frozenset(p) for p in jaccard.bound_forest(points, ns)}
     linked = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard.linked(sets[i], sets[j])}
-    assert env and table.count() == len(rows)
     assert joined(len(sets), tied) >= joined(len(sets), linked)
     assert joined(len(sets), list(jaccard.forest(sets))) == joined(len(sets), linked)
     half = np.arange(len(sets)) % 2
