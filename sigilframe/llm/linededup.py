@@ -2,15 +2,18 @@
 
 The index of a corpus has three tables. `postings` names every (key, doc_id) once, a key being the 128-bit hash of a line
 stripped and lower-cased; `counts` has each key's number of documents and its largest doc_id; `filters` has, for each
-shard of the key space, a cuckoo filter of the keys that at least `least` documents hold. Inserting documents adds
-postings and raises counts, deleting documents takes both away again, and keys that cross the threshold enter or leave
-the filter of their shard, so a deletion undoes an insertion exactly.
+shard of the key space, a cuckoo filter of the keys that at least `least` documents hold.
 
-Applying the index: the filters tell which postings may belong to a repeated key, so nearly all lines drop out before any
-shuffle; the exact counts settle the rest. The filters are sent to the tasks only while all of them together stay within
-FILTER_BYTES, else the exact join decides alone. Texts are shuffled once, to meet the keys they lose.
+Inserting documents appends their postings, deleting documents appends the same postings with the sign -1, and either appends the new counts of
+the keys it touches; tables are merged as they are read, and rewritten whole only after `runs` changes. Keys that cross the threshold enter
+or leave the filter of their shard, and only filters of such shards are written anew (with twice the room where they overflow); when shards
+hold more than twice SHARD_KEYS keys on average, their number doubles. So a deletion undoes an insertion exactly, and a change costs what it touches.
 
-Hot lines: counts are summed before the shuffle; the join of postings with counts leaves splitting to Spark's skew handling.
+Applying the index: each shard's filter is sent to the tasks that hold postings of its keys, and tells which of these may belong to a repeated key; so
+nearly all lines drop out, and the exact counts settle the rest. Texts are shuffled once, to meet the keys they lose.
+
+Hot lines: counts are summed before the shuffle; a shard's postings are dealt over several tasks by doc_id; the join of postings with counts leaves
+splitting to Spark's skew handling.
 
 Nulls and odd rows: a null or empty text is one empty line; a null doc_id is not indexed and keeps all its lines; rows that share a
 doc_id count as one document and lose the same lines; extra columns are carried by `apply` under their own names.
@@ -20,22 +23,26 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fields, fresh, map_rows, stored
+from .shared import fields, fresh, map_rows, parts_for, stored
 
 LEAST_DOCS = 5
 LEAST_CHARS = 40
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHARD_KEYS = 50_000
-FILTER_BYTES = 64 << 20
+POSTINGS_PER_PART = 2 << 20
+RUNS = 8
 SLOTS = 4
 
 
@@ -131,71 +138,100 @@ def line_keys(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id long, keys array<binary>", make)
 
 
-@dataclass
+@dataclass(frozen=True)
 class LineIndex:
-    postings: DataFrame
-    counts: DataFrame
+    """postings: (key, doc_id, way) and counts: (key, n_docs, last_doc, run), each a list of runs, the oldest first; filters: (shard, data)."""
+
+    postings: tuple[DataFrame, ...]
+    counts: tuple[DataFrame, ...]
     filters: DataFrame
     shards: int
     least: int
+    runs: int = RUNS
 
     @classmethod
-    def build(cls, docs: DataFrame, least: int = LEAST_DOCS) -> LineIndex:
-        postings = stored(line_keys(docs).select("doc_id", F.explode("keys").alias("key")), "postings")
-        counts = stored(count(postings), "counts")
-        frequent = counts.where(F.col("n_docs") >= least)
+    def build(cls, docs: DataFrame, least: int = LEAST_DOCS, runs: int = RUNS) -> LineIndex:
+        found = line_keys(docs).select(F.explode("keys").alias("key"), "doc_id").distinct()
+        postings = stored(found.withColumn("way", F.lit(1)), "postings")
+        counts = stored(count(postings, 0), "counts")
+        frequent = counts.where(F.col("n_docs") >= least).select("key")
         shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        delta = frequent.select("key", F.lit(1).alias("way"))
-        return cls(postings, counts, stored(refilled(delta, None, shards), "filters"), shards, least)
+        return cls((postings,), (counts,), stored(made(frequent, shards), "filters"), shards, least, runs)
+
+    def held(self, within: DataFrame | None = None, on: str = "doc_id") -> DataFrame:
+        """(key, doc_id) of all postings that hold; within: only those whose `on` is in this table."""
+        rows = reduce(DataFrame.unionByName, self.postings)
+        if within is not None:
+            rows = rows.join(within.select(on).distinct(), on, "left_semi")
+        return live(rows, len(self.postings))
+
+    def exact(self) -> DataFrame:
+        """(key, n_docs, last_doc) of all keys that some document holds."""
+        if len(self.counts) == 1:
+            return self.counts[0].drop("run")
+        newest = reduce(DataFrame.unionByName, self.counts).groupBy("key").agg(F.max_by(F.struct("n_docs", "last_doc"), "run").alias("c"))
+        return newest.select("key", "c.*").where("n_docs > 0")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents; those it already has change nothing."""
-        new = line_keys(docs).select("doc_id", F.explode("keys").alias("key")).distinct().join(self.postings, ["doc_id", "key"], "left_anti")
-        new = stored(new, "postings")
-        return self.replaced(self.postings.unionByName(new), new.select("key").distinct())
+        """Adds documents; lines that a document has already change nothing."""
+        new = line_keys(docs).select(F.explode("keys").alias("key"), "doc_id").distinct()
+        new = stored(new.join(self.held(docs), ["key", "doc_id"], "left_anti").withColumn("way", F.lit(1)), "postings")
+        added = new.groupBy("key").agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("last"))
+        was = self.exact().join(added.select("key"), "key", "left_semi")
+        now = added.join(was, "key", "left").select("key", (F.col("more") + F.coalesce("n_docs", F.lit(0))).alias("n_docs"), F.greatest("last", "last_doc").alias("last_doc"))
+        return self.changed(new, now, added.select("key"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes documents away (a table with doc_id); their last lines come back wherever they were dropped for them."""
-        ids = doc_ids.select("doc_id").distinct()
-        touched = self.postings.join(ids, "doc_id", "left_semi").select("key").distinct()
-        return self.replaced(self.postings.join(ids, "doc_id", "left_anti"), touched)
-
-    def replaced(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
-        postings = stored(postings, "postings")
-        fresh = count(postings.join(touched, "key", "left_semi"))
-        counts = stored(self.counts.join(touched, "key", "left_anti").unionByName(fresh), "counts")
-        was = self.counts.where(F.col("n_docs") >= self.least).select("key")
-        now = counts.where(F.col("n_docs") >= self.least).select("key")
-        up, down = now.join(was, "key", "left_anti").withColumn("way", F.lit(1)), was.join(now, "key", "left_anti").withColumn("way", F.lit(-1))
-        return LineIndex(postings, counts, stored(refilled(up.unionByName(down), (self.filters, now), self.shards), "filters"), self.shards, self.least)
+        gone = stored(self.held(doc_ids).withColumn("way", F.lit(-1)), "postings")
+        touched = gone.select("key").distinct()
+        left = self.held(touched, "key").join(gone.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+        now = touched.join(count(left, 0).drop("run"), "key", "left").select("key", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "last_doc")
+        return self.changed(gone, now, touched)
+
+    def changed(self, postings: DataFrame, counts: DataFrame, touched: DataFrame) -> LineIndex:
+        run = stored(counts.withColumn("run", F.lit(len(self.counts))), "counts")
+        was = self.exact().join(touched, "key", "left_semi").where(F.col("n_docs") >= self.least).select("key")
+        now = run.where(F.col("n_docs") >= self.least).select("key")
+        delta = stored(now.join(was, "key", "left_anti").withColumn("way", F.lit(1)).unionByName(was.join(now, "key", "left_anti").withColumn("way", F.lit(-1))), "delta")
+        out = replace(self, postings=(*self.postings, postings), counts=(*self.counts, run))
+        if len(out.postings) > self.runs:
+            merged = stored(out.held().withColumn("way", F.lit(1)), "postings")
+            out = replace(out, postings=(merged,), counts=(stored(out.exact().withColumn("run", F.lit(0)), "counts"),))
+        return out.refilled(delta)
+
+    def frequent(self) -> DataFrame:
+        return self.exact().where(F.col("n_docs") >= self.least)
+
+    def refilled(self, delta: DataFrame) -> LineIndex:
+        """The filters after keys (way 1) have come and keys (way -1) have gone."""
+        keys = self.filters.agg(F.sum("n")).first()[0] or 0
+        if keys + delta.where("way = 1").count() > 2 * SHARD_KEYS * self.shards:
+            return replace(self, filters=stored(made(self.frequent().select("key"), 2 * self.shards), "filters"), shards=2 * self.shards)
+        moved = delta.withColumn("shard", shard_of(self.shards))
+        fresh = stored(moved.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(moved_filter, FILTERS), "filters")
+        full = fresh.where("data is null").select("shard")  # overflowed: filled anew from all their keys
+        if not full.isEmpty():
+            again = self.frequent().select("key").withColumn("shard", shard_of(self.shards)).join(full, "shard", "left_semi")
+            fresh = fresh.where("data is not null").unionByName(again.groupBy("shard").applyInPandas(new_filter, FILTERS))
+        return replace(self, filters=stored(fresh, "filters"))
+
+    def hits(self) -> DataFrame:
+        """(key, doc_id, way) of the postings that the filters let pass; each filter travels to the tasks that hold its shard."""
+        spark = self.filters.sparkSession
+        rows = reduce(DataFrame.unionByName, self.postings)
+        parts = parts_for(spark, rows.count(), POSTINGS_PER_PART)
+        salts = max(1, -(-parts // self.shards))
+        nothing = F.lit(None)
+        dealt = rows.select(shard_of(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "key", "doc_id", "way", nothing.cast("binary").alias("data"))
+        sent = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), nothing.cast("binary").alias("key"), nothing.cast("long").alias("doc_id"), nothing.cast("int").alias("way"), "data")
+        both = dealt.unionByName(sent).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
+        return both.select("shard", "key", "doc_id", "way", "data").mapInArrow(passing, "key binary, doc_id long, way int")
 
     def drops(self) -> DataFrame:
         """doc_id, keys: what each document loses."""
-        maybe = self.postings
-        blobs = None
-        if (self.filters.agg(F.sum(F.length("data"))).first()[0] or 0) <= FILTER_BYTES:
-            blobs = {r.shard: bytes(r.data) for r in self.filters.collect()}  # within FILTER_BYTES
-        if blobs is not None:
-            spark, shards = self.postings.sparkSession, self.shards
-            sent = spark.sparkContext.broadcast(blobs)
-
-            def make():
-                filters = {s: CuckooFilter.from_bytes(b) for s, b in sent.value.items()}
-
-                def batch(c: dict) -> dict:
-                    k = numbers(c["key"])
-                    shard, hit = shard_of(k, shards), np.zeros(len(k), bool)
-                    for s in np.unique(shard):
-                        if int(s) in filters:
-                            hit[shard == s] = filters[int(s)].contains(k[shard == s])
-                    at = np.flatnonzero(hit).tolist()
-                    return {"doc_id": [c["doc_id"][i] for i in at], "key": [c["key"][i] for i in at]}
-
-                return batch
-
-            maybe = map_rows(self.postings, "doc_id long, key binary", make, rows=8192)
-        frequent = self.counts.where(F.col("n_docs") >= self.least)
-        return maybe.join(frequent, "key").where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most a document's lines
+        maybe = live(self.hits(), len(self.postings))
+        return maybe.join(self.frequent(), "key").where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most a document's lines
 
     def apply(self, docs: DataFrame, lines: str = "_lines", dropped: str = "_dropped") -> DataFrame:
         """All columns of docs with the kept text, and the numbers of lines and of dropped lines."""
@@ -224,43 +260,57 @@ def without(text: str | None, keys: list[bytes] | None) -> tuple[str | None, int
     return "\n".join(kept), n, n - len(kept)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+FILTERS = "shard long, n long, data binary"
 
 
-def count(postings: DataFrame) -> DataFrame:
-    """Exact reference counts; repeated rows of a document count once."""
-    return postings.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+def shard_of(shards: int) -> F.Column:
+    return F.pmod(F.xxhash64("key"), F.lit(shards).cast("long"))
 
 
-def refilled(delta: DataFrame, before: tuple[DataFrame, DataFrame] | None, shards: int) -> DataFrame:
-    """Filters after keys (way 1) have come and keys (way -1) have gone. A shard has about SHARD_KEYS keys; one that is too
-    full for its new keys is made anew from all its keys."""
+def live(rows: DataFrame, runs: int) -> DataFrame:
+    """(key, doc_id) of postings that hold after all runs, in each of which a posting stands once at most."""
+    if runs == 1:
+        return rows.select("key", "doc_id")
+    return rows.groupBy("key", "doc_id").agg(F.sum("way").alias("way")).where("way > 0").select("key", "doc_id")
 
-    def with_shard(df: DataFrame) -> DataFrame:
-        def make():
-            return lambda c: c | {"shard": shard_of(numbers(c["key"]), shards).tolist()}
-
-        return map_rows(df.select("key", "way"), "key binary, way int, shard long", make, rows=8192)
-
-    def fill(key: tuple, rows: pd.DataFrame, old: pd.DataFrame | None = None) -> pd.DataFrame:
-        f = CuckooFilter.from_bytes(old.data.iloc[0]) if old is not None and len(old) else None
-        keys, way = numbers(rows.key), rows.way.to_numpy()
-        if f is not None:
-            for k in keys[way == -1]:
-                f.delete(int(k))
-            if not all([f.insert(int(k)) for k in keys[way == 1]]):
-                f = None
-        if f is None:
-            f = CuckooFilter.of(keys[way >= 0])
-        return pd.DataFrame({"shard": [key[0]], "data": [f.to_bytes()]})
-
-    moved = with_shard(delta)
-    if before is None:
-        return moved.groupBy("shard").applyInPandas(lambda key, rows: fill(key, rows), "shard long, data binary")
-    old, now = before
-    rest = with_shard(now.join(delta, "key", "left_anti").withColumn("way", F.lit(0)))  # kept keys, in case a filter must grow
-    return moved.unionByName(rest).groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(lambda key, rows, o: fill(key, rows, o), "shard long, data binary")
+
+def count(postings: DataFrame, run: int) -> DataFrame:
+    """Exact reference counts of distinct postings."""
+    return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"), F.lit(run).alias("run"))
+
+
+def made(keys: DataFrame, shards: int) -> DataFrame:
+    """Filters of all keys; a shard has about SHARD_KEYS."""
+    return keys.withColumn("shard", shard_of(shards)).groupBy("shard").applyInPandas(new_filter, FILTERS)
+
+
+def new_filter(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [group[0]], "n": [len(rows)], "data": [CuckooFilter.of(numbers(rows.key)).to_bytes()]})
+
+
+def moved_filter(group: tuple, rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter after its changes; the old one where there are none, null data where it overflows."""
+    if not len(rows):
+        return old[["shard", "n", "data"]]
+    f = CuckooFilter.from_bytes(old.data.iloc[0]) if len(old) else CuckooFilter(len(rows))
+    keys, way = numbers(rows.key), rows.way.to_numpy()
+    done = all([f.delete(int(k)) for k in keys[way == -1]]) and all(f.insert(int(k)) for k in keys[way == 1])
+    return pd.DataFrame({"shard": [group[0]], "n": [int(old.n.sum()) + int(way.sum())], "data": [f.to_bytes() if done else None]})
+
+
+def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings that the filter before them, of their shard, lets pass; a shard without a filter has no repeated key."""
+    at, f = None, None
+    for batch in batches:
+        shard, data = batch.column(0).to_numpy(), batch.column(4)
+        heads = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, heads, heads + 1, [len(shard)]]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if data[lo].is_valid:
+                at, f = shard[lo], CuckooFilter.from_bytes(data[lo].as_py())
+            elif shard[lo] == at:
+                part = batch.slice(lo, hi - lo)
+                yield part.select(["key", "doc_id", "way"]).filter(pa.array(f.contains(numbers(part.column(1).to_pylist()))))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
