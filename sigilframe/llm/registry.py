@@ -23,7 +23,8 @@ def op2_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(documents(spark, sf_dir))
+    """Goes on with the ledger in the folder that sigilframe.secrets.ledger names; without it, every blob is unseen."""
+    return secrets.digest(documents(spark, sf_dir), spark.conf.get("sigilframe.secrets.ledger", None))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
