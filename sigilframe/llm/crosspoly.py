@@ -1,18 +1,20 @@
 """Nearest neighbours by cross-polytope hashing.
 
 A vector, scaled to unit length, is turned by three rounds of random signs and fast Hadamard transforms; its hash is the signed axis it lies nearest
-to. A table's bucket joins the hashes of TURNS = 2 such pseudo-rotations. Where lengths differ, vectors get one more component
-that makes them equally long, so that the largest inner product is the smallest angle. A query probes a table's buckets in
-order of the summed projections on their axes, until these hold its share of REACH of all vectors (LEAST at least); the candidates of all
-tables are ranked by exact inner products in double precision.
+to, of the first AXES. A table's bucket joins the hashes of TURNS = 2 such pseudo-rotations, so a table has (2 * AXES) ** 2 buckets at most, however
+long the vectors are. Where lengths differ, vectors get one more component that makes them equally long, so that the largest inner product is the
+smallest angle. A query probes a table's buckets in order of the summed projections on their axes, until these hold a budget of vectors; the candidates
+of all tables are ranked by exact inner products in double precision.
 
-Buckets' sizes (TABLES times the number of buckets, a constant) tell how buckets are grouped into blocks of about BLOCK vectors; a larger
+The budget is fitted: FIT vectors (those of the lowest hashes of their ids, where there are as many) are searched by brute force, and it is the least one
+with which the share RECALL of their K nearest is found. So it is small where vectors have near neighbours, and a large share of
+all where they have none to speak of; no size of table is treated otherwise.
+
+Buckets' sizes (TABLES times the number of buckets at most, a constant) tell how buckets are grouped into blocks of about BLOCK vectors; a larger
 bucket is split over several blocks. A block is loaded by one task, queries stream past it, and only the best of each
 leave it. Of equal vectors, only the smallest K + 1 ids can be among anyone's K nearest, so the others are left out before anything is
 dealt, exactly; equal queries are searched once.
 
-Unclustered vectors of middling dimension have no near neighbours to speak of, so REACH is a large share; it is a parameter.
-
 Nulls and odd rows: vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those of another length than the most common
 (the longer at a tie), nor rows with a null id; ties go to the smaller id; of rows that repeat an id with its vector one counts; an empty table
 gives no rows; extra columns play no part.
@@ -32,10 +34,11 @@ from .shared import parts_for, stored
 K = 20
 TABLES = 10
 TURNS = 2
-REACH = 0.25
-LEAST = 4000
+AXES = 64
+RECALL = 0.96
+FIT = 128
 BLOCK = 50_000
-AXES = 48
+BEST = 48  # axes of each turn that a query looks at first
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -54,6 +57,8 @@ class Turner:
     def __init__(self, dim: int, top: float | None = None, seed: int = 17):
         self.top = top
         self.size = 1 << max(1, (dim + (top is not None) - 1).bit_length())
+        self.axes = min(AXES, self.size)
+        self.buckets_each = (2 * self.axes) ** TURNS
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (TABLES, TURNS, 3, self.size)).astype(np.float32)
 
     def padded(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -70,7 +75,7 @@ class Turner:
     def turned(self, x: np.ndarray, table: int, turn: int) -> np.ndarray:
         for s in self.signs[table, turn]:
             x = hadamard(x * s)
-        return x
+        return x[:, : self.axes]
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables)"""
@@ -80,66 +85,126 @@ class Turner:
             for r in range(TURNS):
                 z = self.turned(x, t, r)
                 axis = np.abs(z).argmax(1)
-                out[:, t] = out[:, t] * 2 * self.size + axis * 2 + (z[np.arange(len(z)), axis] > 0)
+                out[:, t] = out[:, t] * 2 * self.axes + axis * 2 + (z[np.arange(len(z)), axis] > 0)
+        return out
+
+    def scores(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        """Of padded queries, the projections on all signed axes of each turn."""
+        out = []
+        for r in range(TURNS):
+            z = self.turned(x, table, r)
+            s = np.empty((len(x), 2 * self.axes), np.float32)
+            s[:, 0::2], s[:, 1::2] = -z, z
+            out.append(s)
         return out
 
     def probes(self, x: np.ndarray, counts: np.ndarray, share: float) -> Iterator[tuple[int, list[np.ndarray]]]:
         """For each table, each query's buckets in order until they hold `share` vectors. counts: (tables, buckets)."""
         x = self.padded(x, True)
         for t in range(TABLES):
-            scores = []
-            for r in range(TURNS):
-                z = self.turned(x, t, r)
-                s = np.empty((len(x), 2 * self.size), np.float32)
-                s[:, 0::2], s[:, 1::2] = -z, z
-                scores.append(s)
+            scores = self.scores(x, t)
             found: list[np.ndarray | None] = [None] * len(x)
-            width, rest = min(AXES, 2 * self.size), np.arange(len(x))
+            width, rest = min(BEST, 2 * self.axes), np.arange(len(x))
             while len(rest):
-                best = [np.argsort(-s[rest], axis=1)[:, :width] for s in scores]
+                best = [np.argsort(-s[rest], axis=1, kind="stable")[:, :width] for s in scores]
                 one, two = (np.take_along_axis(s[rest], b, 1) for s, b in zip(scores, best, strict=True))
                 total = one[:, :, None] + two[:, None, :]
-                code = (best[0][:, :, None] * 2 * self.size + best[1][:, None, :]).reshape(len(rest), -1)
+                code = (best[0][:, :, None] * 2 * self.axes + best[1][:, None, :]).reshape(len(rest), -1)
                 code = np.take_along_axis(code, np.argsort(-total.reshape(len(rest), -1), axis=1, kind="stable"), 1)
                 held = np.cumsum(counts[t][code], axis=1)
                 enough = held[:, -1] >= share
                 last = np.where(enough, (held >= share).argmax(1), code.shape[1] - 1)
-                whole = width == 2 * self.size
+                whole = width == 2 * self.axes
                 for i in np.flatnonzero(enough | whole):
                     c = code[i, : last[i] + 1]
                     found[rest[i]] = c[counts[t][c] > 0]
                 rest = rest[~(enough | whole)]
-                width = min(2 * width, 2 * self.size)
+                width = min(2 * width, 2 * self.axes)
             yield t, found
 
+    def needed(self, x: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of one query and its neighbours' codes (neighbours, tables): how many vectors of a table the query must be given to meet each neighbour in some table."""
+        x, least = self.padded(x[None], True), np.full(len(codes), np.iinfo(np.int64).max)
+        for t in range(TABLES):
+            one, two = self.scores(x, t)
+            order = np.argsort(-(one[0][:, None] + two[0][None, :]).ravel(), kind="stable")
+            before = np.empty(len(order), np.int64)
+            before[order] = np.cumsum(counts[t][order]) - counts[t][order]
+            least = np.minimum(least, before[codes[:, t]] + 1)
+        return least
+
 
-def usable(vectors: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int, float | None]:
-    """vec_id, vector, h1, h2 (hashes of the vector) of the rows that take part; the dimension; the greatest length, or None if all lengths agree."""
+def taking_part(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """vec_id, vector of rows that can take part."""
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector")).where("vec_id is not null and vector is not null and size(vector) > 0")
-    v = v.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
-    sizes = v.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim = sizes[0].d if sizes else 0
-    v = v.where(F.size("vector") == dim)
-    lengths = v.select(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("l")).agg(F.min("l"), F.max("l")).first()
-    top = None if not sizes or lengths[0] > 0.999 * lengths[1] else lengths[1]
-    return v.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.reverse("vector"), F.lit(1))), dim, top
+    return v.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
+
+
+def shape_of(v: DataFrame) -> tuple[int, float | None]:
+    """The most common dimension, and the greatest length, or None if all lengths agree; in one pass."""
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    sizes = v.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("low"), F.max(length).alias("high"))
+    r = sizes.orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    if not r:
+        return 0, None
+    return r[0].d, None if r[0].low > 0.999 * r[0].high else r[0].high
+
+
+def of_dimension(v: DataFrame, dim: int) -> DataFrame:
+    """Adds h1, h2, hashes of the vector."""
+    return v.where(F.size("vector") == dim).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.reverse("vector"), F.lit(1)))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, reach: float = REACH, least: int = LEAST) -> DataFrame:
+def fitted(table: DataFrame, dim: int, kind: type, counts: np.ndarray, turner: Turner, k: int, recall: float, fit: int) -> int:
+    """The budget of vectors a table. A bounded sample is compared with every row; `fit` rows and their k nearest reach the driver."""
+    sample = table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit).select("vec_id", "raw").collect()
+    ids = np.array([r.vec_id for r in sample], np.int64)
+    x = np.stack([np.frombuffer(r.raw, kind) for r in sample]).astype(np.float64)
+    sent = table.sparkSession.sparkContext.broadcast((ids, x))  # a sample of a constant size
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = sent.value
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, TABLES), np.int64))] * len(ids)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                theirs = part.column(0).to_numpy()
+                codes = part.column(2).flatten().to_numpy().reshape(-1, TABLES)
+                y = np.frombuffer(b"".join(part.column(1).to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+                for q, score in enumerate(x @ y.T):
+                    near = np.argpartition(-score, k)[: k + 1] if len(score) > k + 1 else np.arange(len(score))
+                    near = near[theirs[near] != ids[q]]
+                    s, v, c = (np.concatenate([a, new[near]]) for a, new in zip(best[q], (score, theirs, codes), strict=True))
+                    order = np.lexsort((v, -s))[:k]
+                    best[q] = s[order], v[order], c[order]
+        for q, (s, v, c) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), q, np.int32)), pa.array(v), pa.array(s), pa.array(list(c), pa.list_(pa.int64()))], names=["q", "vec_id", "score", "codes"])
+
+    found = table.select("vec_id", "raw", "codes").mapInArrow(compare, "q int, vec_id long, score double, codes array<long>")
+    top = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k)
+    codes: dict[int, list] = {}
+    for r in top.select("q", "codes").collect():  # fit times k at most
+        codes.setdefault(r.q, []).append(r.codes)
+    needed = [turner.needed(x[q], np.array(c, np.int64), counts) for q, c in codes.items()]
+    return int(np.quantile(np.concatenate(needed), recall, method="higher")) if needed else 1
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL, fit: int = FIT) -> DataFrame:
     """query_id, rank, vec_id, score: of each query row (of the same columns) the k nearest found among all other vectors."""
     spark = vectors.sparkSession
-    every, dim, top = usable(vectors, vec_id, vector)
+    every = taking_part(vectors, vec_id, vector)
+    dim, top = shape_of(every)
     kind = np.float64 if "double" in vectors.schema[vector].dataType.simpleString() else np.float32
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dim:
         return empty
     # Of equal vectors the smallest k + 1 ids; Spark cuts the groups off before the shuffle.
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    few = every.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k + 1).select("vec_id", "vector")
+    few = of_dimension(every, dim).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k + 1).select("vec_id", "vector")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turner = Turner(dim, top)
@@ -150,14 +215,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vect
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(list(turner.buckets(x)), pa.list_(pa.int64()))], names=["vec_id", "raw", "codes"])
 
     table = stored(few.mapInArrow(hashed, "vec_id long, raw binary, codes array<long>"), "hashed")
-    n_buckets = (2 * Turner(dim, top).size) ** TURNS
-    counts = np.zeros((TABLES, n_buckets), np.int64)
+    turner = Turner(dim, top)
+    counts = np.zeros((TABLES, turner.buckets_each), np.int64)
     for r in table.select(F.posexplode("codes").alias("t", "c")).groupBy("t", "c").count().toLocalIterator():  # TABLES x buckets at most
         counts[r.t, r.c] = r["count"]
-    total = int(counts[0].sum())
-    share = max(least, reach * total) / TABLES
+    share = max(k + 1, fitted(table, dim, kind, counts, turner, k, recall, fit))  # so that k others are found wherever there are as many
     first, salts, blocks = plan_blocks(counts)
-    plan = spark.sparkContext.broadcast((counts, first, salts))  # a constant size
+    plan = spark.sparkContext.broadcast((counts, first, salts))  # of a constant size
 
     def deal_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, salts = plan.value
@@ -195,8 +259,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vect
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["block", "kind", "a", "b", "codes", "raw"])
 
     dealt = "block long, kind int, a long, b long, codes array<long>, raw binary"
-    asked, _, _ = usable(queries, vec_id, vector)
-    asked = asked.where(F.size("vector") == dim)
+    asked = of_dimension(taking_part(queries, vec_id, vector), dim)
     distinct = asked.groupBy("h1", "h2").agg(F.first("vector").alias("vector")).select("h1", "h2", "vector")
     both = table.mapInArrow(deal_vectors, dealt).unionByName(distinct.mapInArrow(deal_queries, dealt))
     both = both.repartition(parts_for(spark, blocks, 1), "block").sortWithinPartitions("block", "kind")
@@ -222,26 +285,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vect
                 yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], names=["h1", "h2", "ids", "scores"])
 
     found = both.mapInArrow(search, "h1 long, h2 long, ids array<long>, scores array<double>")
-    found = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("ids", "scores")).alias("f"))  # a row for each block that was probed
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                c = b.slice(i, 256).to_pydict()
-                out = []
-                for parts in c["f"]:
-                    ids = np.concatenate([np.array(p["ids"], np.int64) for p in parts])
-                    scores = np.concatenate([np.array(p["scores"]) for p in parts])
-                    ids, one = np.unique(ids, return_index=True)
-                    order = np.lexsort((ids, -scores[one]))[: k + 1]
-                    out.append([{"vec_id": int(ids[j]), "score": float(scores[one][j])} for j in order])
-                yield pa.RecordBatch.from_arrays([pa.array(c["h1"], pa.int64()), pa.array(c["h2"], pa.int64()), pa.array(out, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], names=["h1", "h2", "best"])
-
-    best = found.mapInArrow(merge, "h1 long, h2 long, best array<struct<vec_id:long,score:double>>")
+    # A vector found in several tables has the same score and rank in all; Spark cuts each query's rows off before the shuffle.
+    near = found.select("h1", "h2", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("h1", "h2", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    near = near.withColumn("_r", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k + 1)
+    best = near.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))  # k + 1 at most
     ids = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     rows = ids.join(best, ["h1", "h2"]).select("query_id", F.posexplode(own).alias("rank", "x"))
-    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
 def plan_blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

@@ -28,22 +28,40 @@ def test_odd_vectors(spark):
     good += [(100 + i, good[0][1]) for i in range(45)]  # ties
     bad = [(200, None), (201, []), (202, [0.0] * 8), (203, [float("nan")] + [1.0] * 7), (204, [float("inf")] + [1.0] * 7), (205, [None] + [1.0] * 7), (206, [1.0] * 5), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, i, "x", 1) for i, v in [*good, *bad, good[3]]], "vec_id long, embedding array<float>, block long, codes string, h1 int")
-    got = found(crosspoly.digest(df))
     want = brute(good, [(i, v) for i, v in good if i % 20 == 0])
-    assert got == want
+    assert found(crosspoly.nearest(df, df.where("vec_id % 20 = 0"), recall=1.0)) == want  # fitted to all rows, so nothing is missed
+    got = found(crosspoly.digest(df))
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
     assert crosspoly.digest(df.limit(0)).collect() == []
     assert crosspoly.digest(df.where("vec_id in (0, 1, 202)")).count() == 1
 
 
+def recall_of(spark, x, every, dims="embedding array<double>"):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, " + dims)
+    got = found(crosspoly.nearest(df, df.where(f"vec_id % {every} = 0")))
+    assert all(len(v) == 20 for v in got.values())
+    want = brute(rows, [(i, v) for i, v in rows if i % every == 0])
+    return np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want])
+
+
 def test_recall_and_lengths(spark):
     r = np.random.default_rng(1)
-    x = r.normal(size=(3000, 32)) * r.uniform(0.2, 3, (3000, 1))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    few = [(i, v) for i, v in rows if i % 300 == 0]
-    got = found(crosspoly.nearest(df, df.where("vec_id % 300 = 0"), least=1500))
-    want = brute(rows, few)
-    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+    assert recall_of(spark, r.normal(size=(3000, 32)) * r.uniform(0.2, 3, (3000, 1)), 100) >= 0.9
+
+
+def test_recall_of_long_and_clustered_vectors(spark):
+    r = np.random.default_rng(2)
+    middles = r.normal(size=(60, 200))
+    x = middles[r.integers(0, 60, 6000)] + 0.3 * r.normal(size=(6000, 200))
+    assert recall_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True), 150) >= 0.9
+    assert crosspoly.Turner(1024).buckets_each == crosspoly.Turner(64).buckets_each
+
+
+def test_recall_of_the_supplied_vectors(spark):
+    x = np.stack([np.array(r.embedding, np.float64) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()])
+    assert recall_of(spark, x, 20) >= 0.9
 
 
 def test_hadamard_keeps_lengths():
