@@ -6,7 +6,9 @@ cut into consecutive windows that cover its whole text, and its prediction is th
 
 At prediction an embedding followed by a filter is one table look-up: filters of even width read tables over byte
 pairs, so a width of four costs two gathers. All work is one pass over the documents, without a shuffle; only the
-sample (at most PER_LANG rows a language, a few windows each) reaches the driver, and only the weights go back.
+sample (at most PER_LANG rows of each of MOST_LANGS languages, a few windows each) reaches the driver, and only the weights go back.
+The sample is drawn by a hash of id and text: twice as many rows as wanted have a hash below a bound that follows from the language's number of
+rows, and the lowest of these are taken, so no task meets all rows of a language.
 
 Nulls, ties, odd rows: a null text or one without any letter is UNKNOWN with score 0; a null doc_id counts as not
 held out and isn't learned from; a tie of scores goes to the language first in order; without labelled rows every
@@ -29,6 +31,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 6
 PER_LANG = 400
+MOST_LANGS = 1000  # the most frequent ones are learned
 PER_DOC = 4
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -147,13 +150,15 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(crc(doc_id) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> ByteConvNet | None:
-    """Fits the network to at most per_lang documents of each language, with at most per_doc windows of each, spread
-    evenly over the text. Documents are taken in the order of a hash of their id. None without labelled rows."""
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_lang).select("doc_id").distinct()
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # per_lang rows a language at most
+def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, most_langs: int = MOST_LANGS) -> ByteConvNet | None:
+    """Fits the network to at most per_lang documents of each of the most_langs most frequent languages, with at most per_doc windows of each, spread
+    evenly over the text. None without labelled rows."""
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_langs)
+    mark = F.xxhash64("doc_id", "text")
+    few = usable.join(F.broadcast(sizes), "lang").where(F.pmod(mark, F.lit(1 << 40)) / float(1 << 40) * F.col("_n") < 2 * per_lang)  # most_langs rows
+    order = Window.partitionBy("lang").orderBy(F.pmod(mark, F.lit(1 << 40)), "doc_id", "text")
+    sample = few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_lang)
 
     def make():
         def windows(cols: dict) -> dict:
@@ -165,7 +170,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) ->
 
         return windows
 
-    rows = sorted((r.lang, r.doc_id, bytes(r.w)) for r in map_rows(sample.select("doc_id", "lang", "text"), "lang string, doc_id long, w binary", make).collect() if r.w)
+    rows = sorted((r.lang, r.doc_id, bytes(r.w)) for r in map_rows(sample.select("doc_id", "lang", "text"), "lang string, doc_id long, w binary", make).collect() if r.w)  # per_lang rows a language
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
@@ -177,14 +182,13 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) ->
 def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the prediction and its score to the columns in `keep` (default: doc_id); predictions read the text alone."""
     keep = keep or ["doc_id"]
-    (raw,) = fresh(docs, "_text")
-    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias(raw))
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if "text" in keep else ["text"]))
 
     def make():
         run = net.compiled() if net else None
 
         def batch(cols: dict) -> dict:
-            texts = cols[raw]
+            texts = cols["text"]
             best = [(UNKNOWN, 0.0)] * len(texts)
             live = [i for i, t in enumerate(texts) if run and t and LETTER.search(t)]
             for group in _groups(live, texts):
@@ -199,7 +203,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str] | None = N
 
         return batch
 
-    return map_rows(src, fields(docs, keep, f"`{lang}` string, `{score}` double"), make, carry=keep)
+    return map_rows(src, fields(docs, keep, f"`{lang}` string, `{score}` double"), make, carry=keep, read=("text",))
 
 
 def _groups(live: list[int], texts: list[str], most: int = 1 << 20):

@@ -36,11 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,10 +87,10 @@ def fields(df: DataFrame, columns: list[str], ddl: str = "") -> StructType:
     return StructType([df.schema[c] for c in columns] + (StructType.fromDDL(ddl).fields if ddl else []))
 
 
-def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[dict], dict]], rows: int = 256, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[dict], dict]], rows: int = 256, carry: tuple[str, ...] | list[str] = (), read: tuple[str, ...] = ()) -> DataFrame:
     """Applies a batch function in Arrow: make() runs once a task and returns a function from a dict of column lists
     (of at most `rows` rows) to a dict of column lists. Small slices bound the memory that long texts take. Columns
-    in `carry` pass by the function and stay as they are."""
+    in `carry` pass by the function and stay as they are; those in `read` are given to it besides."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow, carry = to_arrow_schema(schema), list(carry)
 
@@ -100,7 +100,7 @@ def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callabl
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 names = part.schema.names
-                out = f({n: part.column(k).to_pylist() for k, n in enumerate(names) if n not in carry})
+                out = f({n: part.column(k).to_pylist() for k, n in enumerate(names) if n not in carry or n in read})
                 cols = [part.column(names.index(x.name)) if x.name in carry else pa.array(out[x.name], type=x.type) for x in arrow]
                 yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
 
