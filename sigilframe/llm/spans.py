@@ -8,7 +8,7 @@ whatever stands around them. Scripts without spaces between words count each cha
 A run takes consecutive pieces until it has LEAST words: from every piece on, and from every piece back, so the end of a repeat is covered as its
 beginning is. It is hashed over its lower-cased words. A passage of 4 * WINDOW + LEAST - 3 words (50) holds a whole run wherever it begins
 and ends: cuts agree from its word WINDOW on, the first of them comes WINDOW - 1 words later at most, the run's end as many behind its LEAST
-words, and WINDOW words before the passage's end cuts still agree. Runs are joined globally by hash, and the pieces that lie in any run but
+words, and WINDOW words before the passage's end cuts still agree. A text of fewer than LEAST words is one run, which equals only such whole texts. Runs are joined globally by hash, and the pieces that lie in any run but
 the first occurrence of its hash are removed. First is the smallest doc_id, and within a document the earliest run.
 
 Each task first compares its own runs: of a hash that it meets again in a document with a larger id, it knows already that this is not the
@@ -121,9 +121,13 @@ def hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, ids, ends = pieces(text)
     edge = np.concatenate([[0], ends])
     total = np.concatenate([[0], np.cumsum(UNITS.weight[ids])])[edge]
-    if total[-1] < 2 * LEAST:
-        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(ends)
+    if not n:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if total[-1] < 2 * LEAST:
+        words = UNITS.hash[ids].tobytes()
+        whole = [[xxhash.xxh3_64_intdigest(words, seed) - (1 << 63) for seed in (1, 2)]]
+        return np.array(whole, np.int64), np.zeros(1, np.int64), np.full(1, n)
     forth = np.searchsorted(total, total[:-1] + 2 * LEAST)
     back = np.searchsorted(total, total[1:] - 2 * LEAST, "right") - 1
     code = np.unique(np.concatenate([(np.arange(n) * (n + 1) + forth)[forth <= n], (back * (n + 1) + np.arange(1, n + 1))[back >= 0]]))
