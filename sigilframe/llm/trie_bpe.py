@@ -4,11 +4,11 @@ For a merge list, the encoding of a word is the only sequence of vocabulary item
 items are compatible if merging their joint symbols gives the same two again. Every prefix of that sequence is the
 encoding of the prefix it spells. So a trie node needs its last item only: it is the one item that ends there, is compatible with the
 last item of the node where it begins, and starts from a node with a state. Distinct words are inserted in sorted order,
-which is a depth-first walk of the trie; states of the shared prefix stay on the stack and are computed once. A word's
-last symbol carries the end-of-word mark, so it is a leaf of its own.
+which is a depth-first walk of the trie. The trie lives as long as its process, so the state of a prefix is computed once for all words that share it,
+until it has MOST_NODES nodes and begins anew. A word's last symbol carries the end-of-word mark, so it is a leaf of its own, which isn't kept.
 
-Words are split as the vocabulary file says: within Latin-1 by a stated pattern, else by the library's own splitter; the
-merging is ours. Results are kept in a bounded cache for each process. No shuffle: one pass over the documents.
+Words are split as the vocabulary file says: within Latin-1 by a stated pattern (where it stands for the file's own), else by the library's own
+splitter; the merging is ours. Whole words' ids are kept in a cache of MOST_BYTES for each process. No shuffle: one pass over the documents.
 
 Nulls and odd rows: a null or empty text has no ids, and decodes to the empty text; special tokens' strings become
 their ids as in the library; doc_id is carried as it is; repeated rows stay.
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_rows
-from .wordbpe import WORD_SPLIT, byte_alphabet, load, packed
+from .wordbpe import ENTRY, WORD_RULES, WORD_SPLIT, byte_alphabet, load, packed, splits_by
 
-WORDS_CACHED = 1_200_000
+MOST_NODES = 500_000
+MOST_PAIRS = 1_000_000
+MOST_BYTES = 300 << 20
 
 
 class TrieBpe:
@@ -45,6 +47,8 @@ class TrieBpe:
             sizes.setdefault(s[-1], set()).add(len(s))
         self.sizes = {c: sorted(n, reverse=True) for c, n in sizes.items()}  # lengths of the items that end in a symbol
         self.fit: dict[tuple[str, str], bool] = {}
+        self.below: dict[int, int] = {}  # (node, symbol) to node; symbols take 9 bits
+        self.state = [""]  # each node's last item
 
     def spellable(self, token: str) -> bool:
         return all(c in self.alphabet for c in token.removesuffix(self.mark)) and token.removesuffix(self.mark) != ""
@@ -67,7 +71,7 @@ class TrieBpe:
 
     def compatible(self, a: str, b: str) -> bool:
         if (a, b) not in self.fit:
-            if len(self.fit) > WORDS_CACHED:
+            if len(self.fit) > MOST_PAIRS:
                 self.fit.clear()
             self.fit[a, b] = self.merged(a + b) == [a, b]
         return self.fit[a, b]
@@ -77,32 +81,40 @@ class TrieBpe:
             self.sound[item] = item in self.ids and self.merged(item) == [item]
         return self.sound[item]
 
-    def last_item(self, prefix: str, states: list[str]) -> str:
-        """The last item of a prefix's encoding; states[i] is that of its first i symbols."""
+    def last_item(self, prefix: str, way: list[int]) -> str:
+        """The last item of a prefix's encoding; way[i] is the node of its first i symbols."""
         n, ids = len(prefix), self.ids
         for size in self.sizes.get(prefix[-1], ()):
-            if size <= n and (item := prefix[n - size :]) in ids and self.reachable(item) and (size == n or self.compatible(states[n - size], item)):
+            if size <= n and (item := prefix[n - size :]) in ids and self.reachable(item) and (size == n or self.compatible(self.state[way[n - size]], item)):
                 return item
         raise ValueError("the vocabulary lacks a symbol")
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[str]]:
         """Items of each distinct word; sorted order walks the trie depth first."""
-        out, path, states = {}, "", [""]
+        if len(self.state) > MOST_NODES:
+            self.below.clear()
+            self.state = [""]
+        out, path, way = {}, "", [0]
         for w in sorted(set(words)):
             inner = w[:-1].decode("latin-1")
             shared = 0
             while shared < len(path) and shared < len(inner) and path[shared] == inner[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del way[shared + 1 :]
             for n in range(shared + 1, len(inner) + 1):
-                states.append(self.last_item(inner[:n], states))
+                step = way[-1] << 9 | ord(inner[n - 1])
+                node = self.below.get(step)
+                if node is None:
+                    self.state.append(self.last_item(inner[:n], way))
+                    self.below[step] = node = len(self.state) - 1
+                way.append(node)
             path = inner
             leaf = inner + chr(w[-1] + 256)
-            items, n = [self.last_item(leaf, states)], len(leaf)
+            items, n = [self.last_item(leaf, way)], len(leaf)
             n -= len(items[0])
             while n:
-                items.append(states[n])
-                n -= len(states[n])
+                items.append(self.state[way[n]])
+                n -= len(items[-1])
             out[w] = items[::-1]
         return out
 
@@ -117,7 +129,9 @@ class WordCodec:
         self.trie = TrieBpe(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.known = splits_by(self.tokenizer, WORD_RULES)
         self.split = re.compile(WORD_SPLIT).findall
+        self.size = 0
         self.cache: dict[str, tuple[bytes, str]] = {s: (packed([i]), s) for s, i in self.special.items()}
 
     def words(self, text: str) -> list[str]:
@@ -125,8 +139,10 @@ class WordCodec:
         if self.at_special and (parts := self.at_special.split(text))[1:]:
             return [w for p in parts for w in ([p] if p in self.special else self.words(p))]
         try:
-            text.encode("latin-1")
+            plain = self.known and text.encode("latin-1") is not None
         except UnicodeEncodeError:
+            plain = False
+        if not plain:
             return ["\uffff" + bytes(self.trie.alphabet[c] for c in p).decode("latin-1") for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
         return self.split(text.lower())
 
@@ -135,13 +151,14 @@ class WordCodec:
         split = [self.words(t) for t in texts]
         seen = set().union(*split)
         new = seen.difference(self.cache)
-        if len(self.cache) + len(new) > WORDS_CACHED:
-            self.cache = {s: self.cache[s] for s in self.special}
+        if self.size > MOST_BYTES:
+            self.cache, self.size = {s: self.cache[s] for s in self.special}, 0
             new = seen.difference(self.cache)
         raw = {w: w[1:].encode("latin-1") if w[0] == "\uffff" else w.encode() for w in new}
         items = self.trie.encode_words(list(raw.values()))
         for w, b in raw.items():
-            self.cache[w] = (packed([self.trie.ids[x] for x in items[b]]), " ".join(self.trie.shown[x] for x in items[b]))
+            self.cache[w] = made = packed([self.trie.ids[x] for x in items[b]]), " ".join(self.trie.shown[x] for x in items[b])
+            self.size += ENTRY + len(w) + len(made[0]) + len(made[1])
         out = []
         for ws in split:
             got = [self.cache[w] for w in ws]
