@@ -1,18 +1,19 @@
-"""Token ids in binary segments of shuffled planes.
+"""Token ids in binary files of shuffled planes.
 
 A segment holds whole documents in order. Its ids are cut into blocks of BLOCK; a block is transposed into four byte
 planes (or 32 bit planes), so that the high bytes, which hardly change, stand together; each plane is compressed with
 zstandard, an all-zero plane takes no bytes. A chunk index at the end gives the length of every plane, so one block is read
-without the rest. Layout: MAGIC, header, document table, planes, chunk index, offset of the index.
+without the rest. Layout of a segment: MAGIC, header, document table, planes, chunk index, offset of the index. A file is a series of segments, each with its
+length before it and a newline behind it, and ends in END, the number of its ids in 20 digits, and a newline.
 
 Documents are dealt by ranges of doc_id (a hash of the text splits a repeated id) and sorted within; each task streams
-its documents into segments of about SEGMENT ids. Segments are rows of a table that Spark writes to the shared folder,
-so a lost executor's segments are written again and no half-written file is ever read. A document's global start is the
-total of the parts before it, its segment's start in the part and its own start there; only one total a part
-reaches the driver. Shuffle: the texts once.
+its documents into segments of about SEGMENT ids and writes them to one file of the shared folder. Spark's text writer, which puts a newline behind
+each value, does the writing, so files are named in the order of their ranges, a lost executor's are written again, and no half-written file is ever read; they are
+read as binary files. A document's global start is the total of the files before it, and its own place in its file; only one total a file, taken from its
+end, reaches the driver. Shuffle: the texts once.
 
 Nulls and odd rows: a null or empty text is the end id alone; a null doc_id sorts first and is kept; rows with equal
-doc_id follow each other in order of their texts; an empty table gives no segments.
+doc_id follow each other in order of their texts; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -24,21 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import parts_for, scratch
 from .wordbpe import encoder, packed
 
-MAGIC = b"SGPLANE1"
+MAGIC, END = b"SGPLANE1", b"SGPLEND1"
 HEADER = struct.Struct("<IIQII")  # block, planes a block, ids, documents, bytes of the document table
 BLOCK = 16384
 SEGMENT = 1 << 20
 TEXT_PER_PART = 64 << 20
 
-SEGMENTS = "part int, segment int, start long, n_docs long, n_ids long, data binary"
-
 
 def shuffle_block(ids: np.ndarray, bits: bool) -> np.ndarray:
     """Planes of a block, one a row."""
@@ -74,8 +72,8 @@ def write_segment(doc_ids: list[int | None], ids: list[bytes], bits: bool = Fals
 class Segment:
     """Reads a segment; block(i) touches the bytes of that block alone."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data: bytes | memoryview):
+        if bytes(data[:8]) != MAGIC:
             raise ValueError("not a segment")
         self.data = data
         self.size, self.planes, self.n_ids, self.n_docs, table = HEADER.unpack_from(data, 8)
@@ -105,8 +103,21 @@ class Segment:
         return np.concatenate([self.block(i) for i in range(n)]) if n else np.zeros(0, "<u4")
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: bool = False, segment: int = SEGMENT) -> DataFrame:
-    """Encodes and stores all documents; returns the table of segments, read back from the shared folder."""
+def file_end(n_ids: int) -> bytes:
+    return END + b"%020d" % n_ids
+
+
+def segments(data: memoryview) -> Iterator[Segment]:
+    """The segments of a file, without copying it."""
+    at = 0
+    while bytes(data[at : at + 8]) != END:
+        n = struct.unpack_from("<Q", data, at)[0]
+        yield Segment(data[at + 8 : at + 8 + n])
+        at += n + 9  # and the newline
+
+
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: bool = False, segment: int = SEGMENT) -> str:
+    """Encodes all documents and writes their files; returns the folder."""
     spark = docs.sparkSession
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     volume = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -114,19 +125,18 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: bool = Fal
     end = packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, start = TaskContext.get().partitionId(), 0, 0
-        enc, names, ids, held = encoder(tokenizer), [], [], 0
+        enc, names, ids, held, total = encoder(tokenizer), [], [], 0, 0
+
+        def row(data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, start, held
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64()), pa.array([write_segment(names, ids, bits)], pa.binary())],
-                names=["part", "segment", "start", "n_docs", "n_ids", "data"],
-            )
-            number, start, held = number + 1, start + held, 0
+            nonlocal total, held
+            data = write_segment(names, ids, bits)
+            total, held = total + held, 0
             names.clear()
             ids.clear()
-            return row
+            return row(struct.pack("<Q", len(data)) + data)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -139,40 +149,43 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: bool = Fal
                         yield flush()
         if names:
             yield flush()
+        if total:
+            yield row(file_end(total))
 
     path = scratch(spark, "planes")
-    made = dealt.mapInArrow(run, SEGMENTS)
-    made.write.option("compression", "uncompressed").parquet(path)  # the planes are compressed already
-    return spark.read.schema(made.schema).parquet(path)
+    dealt.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.option("compression", "none").text(path)
+    return path
 
 
-def read_ids(segments: DataFrame) -> DataFrame:
-    """Per document, from the stored bytes: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
-    spark = segments.sparkSession
-    totals = sorted((r.part, r.n) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each part
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), "content")
+    n = F.expr("cast(cast(substring(content, length(content) - 20, 20) as string) as long)")
+    totals = sorted((r.part, r.n) for r in files.select("part", n.alias("n")).collect())  # a row for each file
     base, rows = 0, []
     for part, n in totals:
         rows.append((part, base))
         base += n
-    bases = spark.createDataFrame(rows, "part int, base long")
+    bases = spark.createDataFrame(rows, "part long, base long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                base, start, data = (batch.column(k)[row].as_py() for k in range(3))
-                s = Segment(data)
-                ends = np.cumsum(s.lengths)
-                raw, starts = memoryview(s.ids().tobytes()), ends - s.lengths
-                for i in range(0, s.n_docs, 512):
-                    j = min(s.n_docs, i + 512)
-                    ids = [bytes(raw[4 * a : 4 * b]) for a, b in zip(starts[i:j], ends[i:j], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[i:j], pa.int64()), pa.array(base + start + starts[i:j], pa.int64()), pa.array(s.lengths[i:j], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                start, data = batch.column(0)[row].as_py(), memoryview(batch.column(1)[row].as_buffer())
+                for s in segments(data):
+                    ends = np.cumsum(s.lengths)
+                    raw, starts = memoryview(s.ids().tobytes()), ends - s.lengths
+                    for i in range(0, s.n_docs, 512):
+                        j = min(s.n_docs, i + 512)
+                        ids = [bytes(raw[4 * a : 4 * b]) for a, b in zip(starts[i:j], ends[i:j], strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[i:j], pa.int64()), pa.array(start + starts[i:j], pa.int64()), pa.array(s.lengths[i:j], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    start += s.n_ids
 
-    return segments.join(F.broadcast(bases), "part").select("base", "start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(F.broadcast(bases), "part").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return read_ids(write_ids(docs, tokenizer)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(docs.sparkSession, write_ids(docs, tokenizer)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def crc_of(ids: list[int]) -> int:

@@ -143,7 +143,9 @@ class WordCodec:
         except UnicodeEncodeError:
             plain = False
         if not plain:
-            return ["\uffff" + bytes(self.trie.alphabet[c] for c in p).decode("latin-1") for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+            norm = self.tokenizer.normalizer
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(norm.normalize_str(text) if norm else text)
+            return ["\uffff" + bytes(self.trie.alphabet[c] for c in p).decode("latin-1") for p, _ in parts]
         return self.split(text.lower())
 
     def run(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
