@@ -1,9 +1,11 @@
 """Each operator on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, columns with clashing names."""
 
 import hashlib
+import math
 import pathlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -378,7 +380,8 @@ def test_mjpeg_frames_and_shots():
     payload = bytes(r.integers(0, 256, 5000, dtype=np.uint8))
     video = mjpeg.read_avi(mjpeg.write_avi(payload))
     assert mjpeg.decode_frames(video["frames"]).tobytes()[:5000] == payload
-    assert np.array_equal(mjpeg.decode_blocks(video["frames"][1]), mjpeg.decode_frames(video["frames"])[1])
+    whole = mjpeg.decode_jpeg(video["frames"][1])
+    assert np.array_equal(whole[::8, ::8].ravel(), mjpeg.decode_frames(video["frames"])[1]) and np.array_equal(whole, whole[::8, ::8].repeat(8, 0).repeat(8, 1))
     dark, light = r.integers(0, 60, (6, 1024)), r.integers(180, 250, (5, 1024))
     assert mjpeg.shots(np.concatenate([dark, light, dark]).astype(np.uint8)) == [0, 6, 11]
     assert mjpeg.shots(dark.astype(np.uint8)) == [0]
@@ -386,6 +389,111 @@ def test_mjpeg_frames_and_shots():
         mjpeg.read_avi(b"nonsense")
 
 
+def codes_of(counts, symbols):
+    out, code, k = {}, 0, 0
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[symbols[k]] = format(code, f"0{bits}b")
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def jpeg_of(planes, factors, size, every=0, tables=True, split=False):
+    """A baseline encoder: planes of whole blocks, sampled by factors; quantisers of one."""
+    every_symbol = {0, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 11))}
+    dc, ac = {}, {}
+    for k in (0, 1):
+        first = list(bytes.fromhex(mjpeg.AC_FIRST[k]))
+        dc[k], ac[k] = list(range(12)), first + sorted(every_symbol - set(first))
+    code = {k: (codes_of(mjpeg.DC_COUNTS[k], dc[k]), codes_of(mjpeg.AC_COUNTS[k], ac[k])) for k in (0, 1)}
+    basis = np.array([[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    order = [(0, 0)]
+    while len(order) < 64:  # walks the diagonals
+        y, x = order[-1]
+        up = (y + x) % 2 == 0
+        order.append((y, x + 1) if up and y == 0 and x < 7 else (y + 1, x) if up and x == 7 else (y - 1, x + 1) if up else (y + 1, x) if x == 0 and y < 7 else (y, x + 1) if y == 7 else (y + 1, x - 1))
+
+    def bits_of(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def block(c, y, x, last):
+        z = np.rint(basis @ (planes[c][8 * y : 8 * y + 8, 8 * x : 8 * x + 8] - 128.0) @ basis.T).astype(int)
+        flat, k, run = [int(z[p]) for p in order], min(c, 1), 0
+        n, text = bits_of(flat[0] - last)
+        out = code[k][0][n] + text
+        for v in flat[1:]:
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                out, run = out + code[k][1][0xF0], run - 16
+            n, text = bits_of(v)
+            out, run = out + code[k][1][run << 4 | n] + text, 0
+        return out + (code[k][1][0] if run else ""), flat[0]
+
+    h, v = max(f[0] for f in factors), max(f[1] for f in factors)
+    seg = lambda m, b: bytes([0xFF, m]) + struct.pack(">H", len(b) + 2) + b
+    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0]) + bytes([1] * 64))
+    if tables:
+        out += seg(0xC4, b"".join(bytes([t << 4 | k]) + bytes(counts[k]) + bytes(symbols[k]) for t, counts, symbols in ((0, mjpeg.DC_COUNTS, dc), (1, mjpeg.AC_COUNTS, ac)) for k in (0, 1)))
+    out += seg(0xC0, struct.pack(">BHHB", 8, *size, len(planes)) + b"".join(bytes([c + 1, f[0] << 4 | f[1], 0]) for c, f in enumerate(factors)))
+    out += seg(0xDD, struct.pack(">H", every)) if every else b""
+    for scan in [[c] for c in range(len(planes))] if split or len(planes) == 1 else [list(range(len(planes)))]:
+        out += seg(0xDA, bytes([len(scan)]) + b"".join(bytes([c + 1, min(c, 1) * 17]) for c in scan) + bytes([0, 63, 0]))
+        if len(scan) == 1:
+            f = factors[scan[0]]
+            units = [[(scan[0], y, x)] for y in range(-(-(-(-size[0] * f[1] // v)) // 8)) for x in range(-(-(-(-size[1] * f[0] // h)) // 8))]
+        else:
+            units = [[(c, y * f[1] + k // f[0], x * f[0] + k % f[0]) for c, f in enumerate(factors) for k in range(f[0] * f[1])] for y in range(-(-size[0] // (8 * v))) for x in range(-(-size[1] // (8 * h)))]
+        for n, i in enumerate(range(0, len(units), every or len(units))):
+            last, text = [0] * len(planes), ""
+            for c, y, x in (b for u in units[i : i + (every or len(units))] for b in u):
+                more, last[c] = block(c, y, x, last[c])
+                text += more
+            text += "1" * (-len(text) % 8)
+            out += (bytes([0xFF, 0xD0 + (n - 1) % 8]) if n else b"") + bytes(int(text[k : k + 8], 2) for k in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("factors", [[(1, 1)], [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)], [(1, 2), (1, 1), (1, 1)]])
+@pytest.mark.parametrize("options", [{}, {"every": 2}, {"tables": False}, {"split": True, "every": 3}])
+def test_mjpeg_decodes_colour_and_grey(factors, options):
+    r, size = np.random.default_rng(5), (37, 45)
+    h, v = max(f[0] for f in factors), max(f[1] for f in factors)
+    down, across = -(-size[0] // (8 * v)), -(-size[1] // (8 * h))
+    planes = [np.clip(128 + 60 * r.normal(size=(8 * down * f[1], 8 * across * f[0])).cumsum(1) / 4, 0, 255) for f in factors]
+    got = mjpeg.decode_jpeg(jpeg_of(planes, factors, size, **options)).astype(int)
+    full = [p.repeat(v // f[1], 0).repeat(h // f[0], 1)[: size[0], : size[1]] for p, f in zip(planes, factors, strict=True)]
+    if len(full) == 1:
+        assert np.abs(got - full[0]).max() <= 4
+    else:
+        y, b, c = full[0], full[1] - 128, full[2] - 128
+        want = np.stack([y + 1.402 * c, y - 0.344136 * b - 0.714136 * c, y + 1.772 * b], 2).clip(0, 255)
+        assert np.abs(got - want).max() <= 8
+
+
+def avi_of(frames):
+    chunks = [b"00dc" + struct.pack("<I", len(f)) + f + b"\0" * (len(f) % 2) for f in frames]
+    movi = b"movi" + b"".join(chunks)
+    body = b"AVI LIST" + struct.pack("<I", len(movi)) + movi
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_mjpeg_foreign_and_broken_media(spark):
+    r, factors = np.random.default_rng(6), [(2, 2), (1, 1), (1, 1)]
+    frame = lambda level: jpeg_of([np.full((32, 32), level) + r.integers(0, 9, (32, 32)), np.full((16, 16), 90.0), np.full((16, 16), 140.0)], factors, (30, 30))
+    frames = [frame(20) for _ in range(5)] + [frame(200) for _ in range(5)]
+    good, own = avi_of(frames), mjpeg.write_avi(b"x" * 64)
+    broken = {3: good[:-60], 4: own[:200], 5: b"RIFF", 6: None, 7: avi_of([frames[0].replace(b"\xff\xc0", b"\xff\xc2")]), 8: avi_of([]), 9: avi_of([b"\xff\xd8\xff\xd9"]), 10: b"", 11: avi_of([frames[0][:300] + b"\xff\xd9"])}
+    rows = [(1, 0, good), (2, 64, own), *((k, 0, v) for k, v in broken.items())]
+    got = {x.doc_id: x for x in mjpeg.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].error is None and [(c.first_frame, c.frames) for c in got[1].clips] == [(0, 5), (5, 5)] and got[1].payload is None
+    assert got[2].error is None and bytes(got[2].payload) == b"x" * 64
+    assert all(got[k].error and not got[k].clips and got[k].payload is None for k in broken)
+
+
 def test_spans(docs, pairs, none):
     known = {d: x for d, x in pairs if d is not None}
     want = {t[0]: t[1] for t in spans.plain(list(known.items()))}
