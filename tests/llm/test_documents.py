@@ -1,6 +1,7 @@
 """Each operator on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, columns with clashing names."""
 
 import hashlib
+import json
 import math
 import pathlib
 import random
@@ -509,6 +510,50 @@ def test_spans(docs, pairs, none):
     assert spans.digest(none).collect() == []
 
 
+def brute_removal(rows):
+    """The rule restated for texts of spaced words, on the words themselves: {doc_id: remaining text}."""
+    cut, runs = {}, {}
+    for d, text in rows:
+        units = re.findall(r"\S+\s*", text)
+        words = [u.strip().lower() for u in units]
+        ends = [u[len(u.rstrip()) :] or " " for u in units]
+        stop = [e.find("\n") >= 0 or u.rstrip()[-1] in ".!?" for u, e in zip(units, ends, strict=True)]
+        rank = [0 if s else zlib.crc32(w.encode()) or 1 for w, s in zip(words, stop, strict=True)]
+        n = len(units)
+        edge = [0] + [i + 1 for i in range(n) if stop[i] or i == n - 1 or any(0 <= s <= n - 7 and min(rank[s : s + 7]) == rank[i] for s in range(i - 6, i + 1))]
+        cut[d] = (units, text[: len(text) - len("".join(units))], edge)
+        found = set()
+        if n < 25:
+            found = {(0, n)} if n else set()
+        else:
+            for x in edge:
+                found |= {(x, next(y for y in edge if y - x >= 25))} if n - x >= 25 else set()
+                found |= {(next(y for y in reversed(edge) if x - y >= 25), x)} if x >= 25 else set()
+        runs[d] = sorted((x, y, ("all" if n < 25 else "some", *words[x:y])) for x, y in found)
+    first = {}
+    for d in sorted(runs):
+        for x, _, w in runs[d]:
+            first.setdefault(w, (d, x))
+    out = {}
+    for d, (units, before, _) in cut.items():
+        gone = {i for x, y, w in runs[d] if first[w] != (d, x) for i in range(x, y)}
+        out[d] = ("" if gone and 0 in gone else before) + "".join(u for i, u in enumerate(units) if i not in gone)
+    return out
+
+
+def test_spans_against_brute_force(spark):
+    r = random.Random(12)
+    passages = [prose(700 + k, n) for k, n in enumerate((60, 51, 30, 200, 26, 55))]
+    texts = [prose(800 + k, r.randint(0, 90)) + r.choice([" ", ". ", "\n"]) + r.choice(passages) + r.choice([" ", "! ", "\n\n"]) + prose(900 + k, r.randint(0, 90)) for k in range(60)]
+    texts += [passages[0], passages[0], "two words", "Two  words", "two words more", "", " lead " + passages[3], passages[1] + " " + passages[1], *(passages[4][: 80 * k] for k in range(1, 4)), "x", "x"]
+    rows = list(enumerate(texts))
+    want = brute_removal(rows)
+    got = {x.doc_id: x for x in spans.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {d: x.text for d, x in got.items()} == want
+    assert got[61].text == "" and got[63].text == "" and got[64]._removed == 0 and sum(x._removed > 0 for x in got.values()) > 40
+    assert {d: t for d, t, _ in spans.plain(rows)} == want
+
+
 def held(t: str, passage: str) -> set:
     own, flat = spans.sentences(t), " ".join(passage.lower().split())
     return {h[:2] for h in spans.runs(t) if " ".join("".join(own[h[2] : h[3]]).lower().split()) in flat}
@@ -579,6 +624,40 @@ def test_language_id(docs, pairs, none):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_sample_is_bounded(spark):
+    docs = spark.range(3000).selectExpr("id % 40 as doc_id", "concat('some words of text ', id % 700) as text", "if(id % 3 = 0, 'xx', concat('l', id % 50)) as lang")
+    net = langid.train(docs, per_lang=20, most_langs=5)
+    assert len(net.langs) == 5 and "xx" in net.langs
+    seen = []
+    fit, langid.ByteConvNet.fit = langid.ByteConvNet.fit, lambda self, x, y, **_: seen.append(np.bincount(y)) or self
+    try:
+        langid.train(docs, per_lang=20, per_doc=1, most_langs=5)
+    finally:
+        langid.ByteConvNet.fit = fit
+    assert (seen[0] <= 20).all() and seen[0].sum() >= 60
+
+
+def test_other_splitters_go_to_the_library(tmp_path):
+    spec = json.loads(pathlib.Path(vocabulary("byte_bpe_50k.json")).read_text())
+    spec["pre_tokenizer"]["use_regex"] = False
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    e, t = Encoder(str(path)), load(str(path))
+    assert not e.known and Encoder(vocabulary("byte_bpe_50k.json")).known and trie_bpe.WordCodec(vocabulary("word_bpe_49k.json")).known
+    assert e.encode(["some words, it's 12 o'clock"]) == [packed(t.encode("some words, it's 12 o'clock", add_special_tokens=False).ids)]
+
+
+def test_trie_shares_prefixes_over_batches():
+    codec = trie_bpe.WordCodec(vocabulary("word_bpe_49k.json"))
+    asked = []
+    inner = codec.trie.last_item
+    codec.trie.last_item = lambda prefix, way: asked.append(prefix) or inner(prefix, way)
+    codec.run(["walking walked"])
+    first = len(asked)
+    codec.run(["walker walkings"])
+    assert first and not {"walk", "walkin"} & set(asked[first:])
+
+
 def test_language_id_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
