@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_STORED: list[str] = []
+_ALL: list[str] = []
+_STORED: ContextVar[list[str]] = ContextVar("stored", default=_ALL)  # of the innermost `temporary` of this thread
 _OWN: dict[str, str] = {}
 
 
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _STORED.append(path)
+    _STORED.get().append(path)
     return path
 
 
@@ -44,22 +46,28 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables stored by this process (after the first `since`); only when no result that reads them is still wanted."""
-    jvm = spark.sparkContext._jvm
-    while len(_STORED) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables stored by this process outside of `temporary`; only when no result that reads them is still wanted."""
+    while _ALL:
+        delete(spark, _ALL.pop())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside are deleted at the end; what is read from them must be written by then."""
-    since = len(_STORED)
+    """Tables stored inside, by this thread, are deleted at the end; what is read from them must be written by then."""
+    own: list[str] = []
+    token = _STORED.set(own)
     try:
         yield
     finally:
-        release(spark, since)
+        _STORED.reset(token)
+        for path in own:
+            delete(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

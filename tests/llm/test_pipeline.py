@@ -4,8 +4,11 @@ import zlib
 import corpus_pipeline
 from sigilframe.llm import hilbert, jaccard, linededup
 from sigilframe.llm.registry import ORACLES, QUERIES, documents, vocabulary
+from sigilframe.llm.shared import stored, temporary
 from sigilframe.llm.wordbpe import load, packed
 
+from .test_documents import brute_spans, odd_rows, prose
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -21,7 +24,7 @@ def test_stages_against_brute_force(spark):
                 held.setdefault(k, set()).add(d)
     last = {k: max(v) for k, v in held.items() if len(v) >= 5}
     want = {d: "\n".join(x for x in t.split("\n") if last.get(linededup.key_of(x) or b"", d) <= d) for d, t in want.items()}
-    keep = {d for d, n, c in jaccard.plain(list(want.items())) if n == 0 or d == c}
+    keep = {d for d, n, c in jaccard.plain(list(want.items()), 5, (4, 5)) if n == 0 or d == c}
     want = {d: t for d, t in want.items() if d in keep}
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == set(want)
@@ -35,6 +38,62 @@ def test_stages_against_brute_force(spark):
     assert seen == sum(map(len, plain.values())) > 0
 
 
+def test_odd_rows_against_brute_force(spark, tmp_path):
+    rows = [(r[0], r[1], r[2]) for r in odd_rows()] + [(2, prose(71, 30), "en"), (5, prose(71, 30), "de"), (30, prose(72, 60) + " api_key=abcdefghijklmnop1", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(d, t) for d, t, _ in rows if t is not None and any(c.isalpha() for c in t)]
+    held = {}
+    for d, t in want:
+        for x in t.split("\n"):
+            if d is not None and len(k := x.strip(linededup.BLANKS).translate(linededup.UPPER)) >= 40:
+                held.setdefault(k, set()).add(d)
+    last = {k: max(v) for k, v in held.items() if len(v) >= 5}
+    stays = lambda d, x: d is None or last.get(x.strip(linededup.BLANKS).translate(linededup.UPPER), d) <= d
+    want = [(d, "\n".join(x for x in t.split("\n") if stays(d, x))) for d, t in want]
+    assert want != [(d, t) for d, t, _ in rows if t is not None and any(c.isalpha() for c in t)]
+    plain = jaccard.plain(list(enumerate(t for _, t in want)), 5, (4, 5))
+    groups = {}
+    for i, n, c in plain:
+        groups.setdefault(c, []).append(i)
+    keep = {i for i, n, _ in plain if n == 0}
+    for members in groups.values():
+        least = min((want[i][0] is None, want[i][0] or 0) for i in members)
+        texts = {want[i][1] for i in members if (want[i][0] is None, want[i][0] or 0) == least}
+        assert len(texts) == 1  # else a hash decides
+        keep |= {i for i in members if (want[i][0] is None, want[i][0] or 0) == least}
+    assert len(keep) < len(want)
+    tok, ids = load(vocabulary("byte_bpe_50k.json")), {}
+    for d, t in (want[i] for i in keep):
+        out, at = "", 0
+        for a, _, b in brute_spans(t):
+            out, at = (out + t[at:a] + "[SECRET]", b) if a >= at else (out, max(at, b))
+        made = tuple([*tok.encode(out + t[at:], add_special_tokens=False).ids, 1])
+        ids.setdefault((d, len(made)), []).append(made)
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    assert got.keys() == ids.keys()
+    for k, pieces in got.items():
+        assert sum(r.length for r in pieces) == sum(map(len, ids[k]))
+        assert all(any(zlib.crc32(packed(list(x[r.start : r.start + r.length]))) == r.ids_crc32 for x in ids[k]) for r in pieces)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, _text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_temporary_tables_of_others_stay(spark):
+    one = spark.range(3)
+    with temporary(spark):
+        outer = stored(one, "outer")
+        with temporary(spark):
+            inner = stored(one, "inner")
+            assert inner.count() == 3
+        assert outer.count() == 3
+    assert one.count() == 3
+
+
 def test_stage_columns(spark):
     docs = documents(spark, SF)
     for _, stage in corpus_pipeline.STAGES[:-1]:
