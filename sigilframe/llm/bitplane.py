@@ -35,7 +35,7 @@ MAGIC, END = b"SGPLANE1", b"SGPLEND1"
 HEADER = struct.Struct("<IIQII")  # block, planes a block, ids, documents, bytes of the document table
 BLOCK = 16384
 SEGMENT = 1 << 20
-TEXT_PER_PART = 64 << 20
+TEXT_PER_PART = 32 << 20
 
 
 def shuffle_block(ids: np.ndarray, bits: bool) -> np.ndarray:

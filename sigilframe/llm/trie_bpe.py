@@ -28,7 +28,7 @@ from .wordbpe import ENTRY, WORD_RULES, WORD_SPLIT, byte_alphabet, load, packed,
 
 MOST_NODES = 500_000
 MOST_PAIRS = 1_000_000
-MOST_BYTES = 300 << 20
+MOST_BYTES = 260 << 20
 
 
 class TrieBpe:

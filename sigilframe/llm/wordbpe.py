@@ -33,7 +33,7 @@ WORD_RULES = {
     },
 }
 
-MOST_BYTES = 320 << 20  # of cached pieces, about
+MOST_BYTES = 240 << 20  # of cached pieces, about
 ENTRY = 230  # bytes of an entry besides its text's
 
 
