@@ -40,9 +40,14 @@ def icon_id(path: Column | str) -> Column:
 
 
 def normalized_path(path: Column | str, set_id: Column | str) -> Column:
-    """Where the normalised raster of a path lies: its slug, at most 80 characters, and 12 digits of its hash."""
-    slug = F.substring(F.replace(F.lower(slug_label(base_name(path))), F.lit(" "), F.lit("_")), 1, 80)
-    return F.concat(F.lit("icon_data/normalized_256/"), _c(set_id), F.lit("/"), or_else(slug, F.lit("icon")), F.lit("__"), F.substring(F.sha1(_c(path).cast("binary")), 1, 12), F.lit(".png"))
+    """Where the normalised raster of a path lies."""
+    return normalized_name(slug_label(base_name(path)), F.sha1(_c(path).cast("binary")), set_id)
+
+
+def normalized_name(slug: Column, sha: Column, set_id: Column | str) -> Column:
+    """Its slug, at most 80 characters, and 12 digits of its hash."""
+    short = F.substring(F.replace(F.lower(slug), F.lit(" "), F.lit("_")), 1, 80)
+    return F.concat(F.lit("icon_data/normalized_256/"), _c(set_id), F.lit("/"), or_else(short, F.lit("icon")), F.lit("__"), F.substring(sha, 1, 12), F.lit(".png"))
 
 
 def or_else(value: Column, other: Column) -> Column:
@@ -140,14 +145,25 @@ def characters(hexcodes: pd.Series) -> pd.Series:
     return hexcodes.map(lambda h: "".join(chr(int(x, 16)) for x in h.split("-")) if h else h)
 
 
+@F.pandas_udf(StringType())
+def hexcodes(texts: pd.Series) -> pd.Series:
+    """The code points of a text as `characters` reads them."""
+    return texts.map(lambda t: "-".join(f"{ord(c):04X}" for c in t) if t else t)
+
+
 @F.pandas_udf(StringType())
 def symbol_file(ids: pd.Series) -> pd.Series:
-    """File stem of a symbol id: the first of its comma-joined names, decomposed, as a slug of at most 80 characters."""
+    """File stem of a symbol id: the first of its comma-joined names, decomposed, as a slug of at most 80 characters; `symbol_name` adds the hash."""
     first = ids.fillna("").str.split(",").str[0].str.lower().map(lambda x: unicodedata.normalize("NFKD", x))
     slug = first.str.replace(r"[^A-Za-z0-9_\s-]", "", regex=True).str.replace(r"[_\s-]+", "_", regex=True).str.strip("_").str.slice(0, 80)
     return slug.where(slug != "", "symbol")
 
 
+def symbol_name(ids: Column | str) -> Column:
+    """The file stem of a symbol id, with the first 12 digits of the id's hash, so that equal slugs stay apart."""
+    return F.concat(symbol_file(_c(ids)), F.lit("_"), F.substring(F.sha1(F.coalesce(_c(ids), F.lit("")).cast("binary")), 1, 12))
+
+
 def fill_template(template: Column | str, values: Column | str) -> Column:
     """Puts map values in place of {key}; unknown keys stay."""
 
@@ -162,3 +178,10 @@ def fill_template(template: Column | str, values: Column | str) -> Column:
 
 
 escape = html.escape
+
+
+def html_escaped(value: Column | str) -> Column:
+    x = _c(value)
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(mark), F.lit(name))
+    return x

@@ -54,16 +54,17 @@ def icon_sets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SETS), "set_id string, set_name string, source string, source_url string")
 
 
-def is_canonical(set_id: Column, inner: Column) -> Column:
-    """Whether a path within its set is one of the set's icons; false for unknown sets."""
+def is_canonical(set_id: Column, inner: Column, stem: Column | None = None, suffix: Column | None = None) -> Column:
+    """Whether a path within its set is one of the set's icons; false for unknown sets. stem, suffix: the file name's, where they are columns already."""
     name = X.base_name(inner)
+    stem, suffix = X.stem(name) if stem is None else stem, X.suffix(name) if suffix is None else suffix
     rule = F.when(F.lit(False), F.lit(False))
-    for set_name, prefixes, suffix in PLACES:
+    for set_name, prefixes, wanted in PLACES:
         at = F.lit(False)
         for p in prefixes:
             at = at | inner.startswith(p)
-        rule = rule.when(set_id == set_name, at & (X.suffix(name) == suffix))
-    rule = rule.when(set_id == "11_iso_7010_safety_signs", inner.contains("Warning Symbols/") & (X.suffix(name) == ".svg") & ~X.stem(name).contains("_Original"))
+        rule = rule.when(set_id == set_name, at & (suffix == wanted))
+    rule = rule.when(set_id == "11_iso_7010_safety_signs", inner.contains("Warning Symbols/") & (suffix == ".svg") & ~stem.contains("_Original"))
     return rule.otherwise(False)
 
 
@@ -93,27 +94,27 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 def build_catalog(files: DataFrame, pictograms: DataFrame, emoji: DataFrame, ratings: DataFrame, fixed_categories: bool = False) -> DataFrame:
     """Catalog rows of files (path from the workspace's top). pictograms, emoji, ratings: key, label, category, notes, one row a
     key. Metadata that is missing or empty gives way to what the path tells."""
-    parts = F.split(F.col("path"), "/")
-    f = files.select("path").where(X.suffix(X.base_name("path")).isin(*EXTENSIONS) & (F.size(parts) >= 3))
-    f = f.withColumn("set_id", F.get(parts, F.lit(2))).join(F.broadcast(icon_sets(files.sparkSession)), "set_id")  # thirteen rows
-    f = f.withColumn("inner", F.array_join(F.slice(parts, 4, 1000), "/")).where(is_canonical(F.col("set_id"), F.col("inner")))
-    name, sid = X.base_name("path"), F.col("set_id")
-    item = F.regexp_extract(X.stem(name), r"mcdougall_(\d+)", 1)
-    number = F.when(item != "", item.cast("bigint").cast("string"))
-    key = F.when(sid.isin("07_arasaac_pictograms", "10_openmoji"), X.stem(name)).when(sid == "01_mcdougall_symbol_icon_set", number)
+    f = files.select("path", F.split("path", "/").alias("parts")).where(F.size("parts") >= 3)
+    f = f.withColumns({"name": F.element_at("parts", -1), "set_id": F.get("parts", F.lit(2)), "inner": F.regexp_replace("path", "^([^/]*/){3}", "")})
+    f = f.withColumns({"stem": X.stem("name"), "suffix": X.suffix("name")}).where(F.col("suffix").isin(*EXTENSIONS))
+    f = f.join(F.broadcast(icon_sets(files.sparkSession)), "set_id").where(is_canonical(F.col("set_id"), F.col("inner"), F.col("stem"), F.col("suffix")))  # thirteen rows
+    item, sid, stem = F.regexp_extract("stem", r"mcdougall_(\d+)", 1), F.col("set_id"), F.col("stem")
+    bliss, rated = sid == "06_blissymbolics", sid == "01_mcdougall_symbol_icon_set"
+    f = f.withColumns({"number": F.when(rated & (item != ""), item.cast("bigint").cast("string")), "slug": X.slug_label(F.col("name")), "sha": F.sha1(F.col("path").cast("binary"))})
+    f = f.withColumn("key", F.when(sid.isin("07_arasaac_pictograms", "10_openmoji"), stem).when(rated, F.col("number")))
     metadata = None
     for set_name, rows in (("07_arasaac_pictograms", pictograms), ("10_openmoji", emoji), ("01_mcdougall_symbol_icon_set", ratings)):
         one = rows.select(F.lit(set_name).alias("set_id"), "key", F.col("label").alias("m_label"), F.col("category").alias("m_category"), F.col("notes").alias("m_notes"))
         metadata = one if metadata is None else metadata.unionByName(one)
-    f = f.withColumn("key", key).join(metadata, ["set_id", "key"], "left")
-    bliss = sid == "06_blissymbolics"
-    rated = (sid == "01_mcdougall_symbol_icon_set") & number.isNotNull()
-    own = F.when(bliss, X.slug_label(F.regexp_replace(X.stem(name), "__[0-9a-f]{12}$", ""))).when(rated, F.concat(F.lit("McDougall item "), number)).otherwise(X.slug_label(name))
-    own_notes = F.when(bliss, F.concat(F.lit("bliss_kind="), F.when(F.get(parts, F.lit(4)) == "chars", "char").otherwise("word"))).when(rated, F.concat(F.lit("appendix_item="), number)).otherwise("")
+    f = f.join(metadata, ["set_id", "key"], "left")
+    numbered = F.col("number").isNotNull()
+    own = F.when(bliss, X.slug_label(F.regexp_replace(stem, "__[0-9a-f]{12}$", ""))).when(numbered, F.concat(F.lit("McDougall item "), "number")).otherwise(F.col("slug"))
+    own_notes = F.when(bliss, F.concat(F.lit("bliss_kind="), F.when(F.get("parts", F.lit(4)) == "chars", "char").otherwise("word"))).when(numbered, F.concat(F.lit("appendix_item="), "number")).otherwise("")
+    f = f.withColumns({"own": own, "own_notes": own_notes, "own_category": infer_category(sid, F.col("path"), fixed_categories)})
     return f.select(
-        X.icon_id("path").alias("icon_id"), "set_id", "set_name", F.col("path").alias("relative_path"), name.alias("filename"), X.or_else(F.col("m_label"), own).alias("label"),
-        X.or_else(F.col("m_category"), infer_category(sid, F.col("path"), fixed_categories)).alias("category"), F.substring(X.suffix(name), 2, 10).alias("format"), "source", "source_url",
-        X.normalized_path("path", "set_id").alias("normalized_path"), F.coalesce("m_notes", own_notes).alias("notes"),
+        F.substring("sha", 1, 16).alias("icon_id"), "set_id", "set_name", F.col("path").alias("relative_path"), F.col("name").alias("filename"), X.or_else(F.col("m_label"), F.col("own")).alias("label"),
+        X.or_else(F.col("m_category"), F.col("own_category")).alias("category"), F.substring("suffix", 2, 10).alias("format"), "source", "source_url",
+        X.normalized_name(F.col("slug"), F.col("sha"), sid).alias("normalized_path"), F.coalesce("m_notes", "own_notes").alias("notes"),
     ).select(*CATALOG)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +32,17 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def leaves(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, path, leaf) of every way from a root (node) down ordered edges (parent, pos, child) to a node without children; path orders the leaves. A path never
-    meets a node twice."""
-    name = "_edges_" + str(abs(hash(edges)))
-    edges.select("parent", "pos", "child").createOrReplaceTempView(name)
-    roots.select("node").createOrReplaceTempView(name + "_r")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE w(root, node, path, seen) AS (
-          SELECT node, node, cast(array() AS array<int>), array(node) FROM {name}_r
-          UNION ALL
-          SELECT w.root, e.child, concat(w.path, array(cast(e.pos AS int))), concat(w.seen, array(e.child))
-          FROM w JOIN {name} e ON e.parent = w.node WHERE NOT array_contains(w.seen, e.child))
-        SELECT root, path, node AS leaf FROM w WHERE NOT EXISTS (SELECT 1 FROM {name} e WHERE e.parent = w.node)""")
+    meets a node twice. A round goes one step down all ways that still can; its rows are cut off from the rounds before, so depth has no limit."""
+    e = settled(edges.select("parent", F.col("pos").cast("int").alias("pos"), "child"))
+    down = e.select(F.col("parent").alias("node"), "pos", "child")
+    walking = settled(roots.select(F.col("node").alias("root"), "node", F.expr("cast(array() as array<int>)").alias("path"), F.array("node").alias("seen")))
+    inner = e.select(F.col("parent").alias("node")).distinct()
+    ends = []
+    while not walking.isEmpty():
+        ends.append(settled(walking.join(inner, "node", "left_anti").select("root", "path", F.col("node").alias("leaf"))))
+        step = walking.join(down, "node").where(~F.array_contains("seen", F.col("child")))
+        walking = settled(step.select("root", F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"), F.concat("seen", F.array("child")).alias("seen")))
+    return reduce(DataFrame.unionByName, ends) if ends else roots.select(F.col("node").alias("root"), F.expr("cast(array() as array<int>)").alias("path"), F.col("node").alias("leaf")).limit(0)
 
 
 def files_below(members: DataFrame, roots: DataFrame) -> DataFrame:

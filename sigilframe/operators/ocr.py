@@ -165,6 +165,20 @@ def reviews(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "field", F.explode(made).alias("r")).select(*keys, "field", "r.*")
 
 
+def item_reviews(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Long form (keys, field, value, confidence, reason) of what is wrong with a whole item. Rows: keys, item (its number by its place), numbers (the numbers read
+    in its title), label, common_response, confidence: the printed number doesn't confirm the place, the label or the common response is missing."""
+    two = F.format_string("%.2f", F.col("confidence"))
+    one = lambda when, field, value, reason: F.when(when, F.struct(F.lit(field).alias("field"), value.alias("value"), two.alias("confidence"), F.lit(reason).alias("reason")))
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    made = F.array_compact(F.array(
+        one(~F.array_contains(F.coalesce("numbers", F.expr("cast(array() as array<string>)")), F.col("item").cast("string")), "appendix_item", F.array_join(F.coalesce("numbers", F.expr("cast(array() as array<string>)")), " "), "item_number_not_confirmed"),
+        one(empty(F.col("label")), "label", F.lit(""), "missing_label"),
+        one(empty(F.col("common_response")), "common_response", F.lit(""), "missing_common_response"),
+    ))
+    return rows.select(*keys, F.explode(made).alias("r")).select(*keys, "r.*")
+
+
 def mean_confidence(words: DataFrame, group: list[str]) -> DataFrame:
     """Mean of the confidences that aren't negative, 0 where there are none."""
     return words.groupBy(*group).agg(F.coalesce(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +65,7 @@ def build_plan(spark: SparkSession, groups: DataFrame, scales: list[str], target
 
 
 def balanced(plan: DataFrame, shards: int) -> DataFrame:
-    """Deals plan lines to shards, round robin in order of a hash: (line, shard)."""
+    """Deals plan lines to shards by a hash: (line, shard)."""
     return plan.select("line", F.pmod(F.xxhash64("line"), F.lit(shards)).alias("shard"))
 
 
@@ -85,21 +88,75 @@ def markup_problems(rows: DataFrame, markup: str, key: str, size: str = "15", ba
     return rows.select(key, F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules))).alias("problems")).where("size(problems) > 0")
 
 
-def layer_problems(rows: DataFrame, markup: str, key: str, layers: tuple[str, ...] = ("grid", "color", "color-foreground", "hair", "skin", "skin-shadow", "line", "line-supplement")) -> DataFrame:
-    """(key, problems) of layered drawings: the layers line, color and grid exactly once, known layers only, the usual view box and id."""
+LAYERS = ("grid", "color", "color-foreground", "hair", "skin", "skin-shadow", "line", "line-supplement")
+
+
+def _layer(markup: Column, name: str) -> Column:
+    """A layer's markup, up to the next layer or the end; empty without it."""
+    return F.regexp_extract(markup, rf'(?s)<g[^>]*\sid="{name}"(.*?)(?:<g[^>]*\sid="(?:{"|".join(LAYERS)})"|</svg>|$)', 1)
+
+
+def layer_problems(rows: DataFrame, markup: str, key: str, layers: tuple[str, ...] = LAYERS) -> DataFrame:
+    """(key, problems) of layered drawings: well-formed markup, the layers line, color and grid exactly once, known layers only, nothing but groups and titles
+    (three at least) on top, no attribute twice, the usual view box and id."""
     m = F.col(markup)
     ids = F.regexp_extract_all(m, F.lit(r'<g[^>]*\sid="([^"]*)"'), F.lit(1))
     n = lambda name: F.size(F.filter(ids, lambda x: x == name))
     rules = [(n(x) != 1, f"layer_{x}") for x in ("line", "color", "grid")]
     rules += [(F.size(F.array_except(ids, F.array(*(F.lit(x) for x in layers)))) > 0, "unknown_layer"), (~m.contains('viewBox="0 0 72 72"'), "view_box"), (~m.rlike(r'<svg[^>]*\sid="emoji"'), "id"), (m.rlike(r"<(style|mask)[\s/>]"), "banned_element")]
-    return rows.select(key, F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in rules))).alias("problems")).where("size(problems) > 0")
+    rules += [(m.rlike(r'<[^>]*\s([a-zA-Z-]+)="[^"]*"[^>]*\s\1='), "repeated_attribute")]
+    listed = rows.select(key, F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in rules))).alias("problems"), m.alias("_m"))
+    return _with_parse(listed, key).where("size(problems) > 0")
+
+
+def _with_parse(rows: DataFrame, key: str) -> DataFrame:
+    """Adds what only a parser tells: markup that isn't well formed, other elements than groups and titles on top, fewer than three of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for problems, text in zip(b.problems, b["_m"], strict=True):
+                try:
+                    tags = [c.tag.rpartition("}")[2] for c in ElementTree.fromstring(text or "")]
+                    more = ["top_element"] * (not set(tags) <= {"g", "title"}) + ["top_count"] * (len(tags) < 3)
+                except ElementTree.ParseError:
+                    more = ["not_xml"]
+                out.append([*problems, *more])
+            yield pd.DataFrame({key: b[key], "problems": out})
+
+    return rows.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, problems array<string>")
 
 
 def colour_problems(rows: DataFrame, markup: str, key: str, palette: list[str]) -> DataFrame:
-    """(key, colours): fills and strokes that the palette lacks, in order; none and transparent are fine."""
-    found = F.regexp_extract_all(F.lower(markup), F.lit(r'\b(?:fill|stroke)="([^"]*)"'), F.lit(1))
+    """(key, colours): fills and strokes outside the grid layer that the palette lacks, in order; none and transparent are fine."""
     known = F.array(*(F.lit(c.lower()) for c in palette), F.lit("none"), F.lit("transparent"), F.lit(""))
-    return rows.select(key, F.array_sort(F.array_except(found, known)).alias("colours")).where("size(colours) > 0")
+    grid = _layer(F.col(markup), "grid")
+    drawn = F.when(grid != "", F.replace(markup, grid)).otherwise(F.col(markup))
+    return rows.select(key, F.array_sort(F.array_except(_colours(drawn), known)).alias("colours")).where("size(colours) > 0")
+
+
+def _colours(markup: Column) -> Column:
+    return F.regexp_extract_all(F.lower(markup), F.lit(r'\b(?:fill|stroke)="([^"]*)"'), F.lit(1))
+
+
+def line_problems(rows: DataFrame, markup: str, key: str, allowed: tuple[str, ...] = ("#000", "#000000", "black", "none", "transparent", "")) -> DataFrame:
+    """(key, colours): fills and strokes of the line layers other than black, in order."""
+    both = F.concat(_layer(F.col(markup), "line"), F.lit(" "), _layer(F.col(markup), "line-supplement"))
+    return rows.select(key, F.array_sort(F.array_except(_colours(both), F.array(*(F.lit(c) for c in allowed)))).alias("colours")).where("size(colours) > 0")
+
+
+def skin_problems(rows: DataFrame, markup: str, key: str, base: tuple[str, ...], toned: str) -> DataFrame:
+    """(key, problem) of drawings that have a tone (`toned`: a boolean column): no skin layer, or a colour of the untoned skin in it."""
+    skin = F.concat(_layer(F.col(markup), "skin"), F.lit(" "), _layer(F.col(markup), "skin-shadow"))
+    problem = F.when(~F.col(markup).rlike(r'<g[^>]*\sid="skin"'), "no_skin_layer").when(F.arrays_overlap(_colours(skin), F.array(*(F.lit(c.lower()) for c in base))), "untoned_colour")
+    return rows.where(toned).select(key, problem.alias("problem")).where("problem is not null")
+
+
+def code_mismatches(rows: DataFrame, code: str = "hexcode", text: str = "emoji") -> DataFrame:
+    """Rows whose text isn't spelled by its code points, in hexadecimal of four digits at least, joined by -."""
+    from sigilframe.functions.text import hexcodes
+
+    return rows.where(~F.col(code).eqNullSafe(hexcodes(F.col(text))))
 
 
 def nearest_colour(rows: DataFrame, key: str, rgb: tuple[str, str, str], palette: list[tuple[int, int, int]]) -> DataFrame:

@@ -47,7 +47,7 @@ EXTRACTORS = (
 )
 
 
-def extract(images: DataFrame, key: str = "icon_id", data: str = "content", extractors: tuple[Extractor, ...] = EXTRACTORS, decode: Callable[[bytes], np.ndarray] = R.read_png, threshold: int = R.THRESHOLD) -> DataFrame:
+def extract(images: DataFrame, key: str = "icon_id", data: str = "content", extractors: tuple[Extractor, ...] = EXTRACTORS, decode: Callable[[bytes], np.ndarray] = R.decode, threshold: int = R.THRESHOLD) -> DataFrame:
     """key, the extractors' columns, and error: null, or why a row has no features (missing data, a broken file)."""
     columns = [c for e in extractors for c in e.columns]
     kind = images.schema[key].dataType.simpleString()
@@ -96,7 +96,7 @@ def vector_bytes(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(key, vector).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, content binary")
 
 
-def boxes(images: DataFrame, key: str = "icon_id", data: str = "content", decode: Callable[[bytes], np.ndarray] = R.read_png) -> DataFrame:
+def boxes(images: DataFrame, key: str = "icon_id", data: str = "content", decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
     """(key, x1, y1, x2, y2, area) of the 4-connected components."""
     kind = images.schema[key].dataType.simpleString()
 
@@ -108,7 +108,7 @@ def boxes(images: DataFrame, key: str = "icon_id", data: str = "content", decode
     return images.select(key, data).mapInPandas(run, f"`{key}` {kind}, x1 int, y1 int, x2 int, y2 int, area int")
 
 
-def symbol_crops(images: DataFrame, key: str = "icon_id", data: str = "content", last_row: str | None = None, decode: Callable[[bytes], np.ndarray] = R.read_png) -> DataFrame:
+def symbol_crops(images: DataFrame, key: str = "icon_id", data: str = "content", last_row: str | None = None, decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
     """(key, content): the symbol of each table cell, in the middle of a white square of 256."""
     kind = images.schema[key].dataType.simpleString()
     src = images.select(key, data, (F.col(last_row) if last_row else F.lit(False)).alias("_last"))
@@ -127,7 +127,7 @@ def symbol_crops(images: DataFrame, key: str = "icon_id", data: str = "content",
     return src.mapInPandas(run, f"`{key}` {kind}, content binary")
 
 
-def normalized(images: DataFrame, key: str = "icon_id", data: str = "content", side: int = 256, decode: Callable[[bytes], np.ndarray] = R.read_png) -> DataFrame:
+def normalized(images: DataFrame, key: str = "icon_id", data: str = "content", side: int = 256, decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
     """(key, content, error): every raster fitted into a transparent square."""
     kind = images.schema[key].dataType.simpleString()
 

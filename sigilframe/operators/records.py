@@ -33,6 +33,36 @@ def missing_designs(rows: DataFrame) -> DataFrame:
     return rows.where("coalesce(openmoji_author, '') = '' AND coalesce(skintone, '') = '' AND coalesce(`group`, '') <> ''")
 
 
+def designed(rows: DataFrame) -> DataFrame:
+    """Records that have an author, or belong to none of the groups that want one."""
+    return rows.join(missing_designs(rows).select("hexcode"), "hexcode", "left_anti").select(*rows.columns)
+
+
+def emoji_tables(rows: DataFrame, *extras: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The published table (designed records and all extras, in `emoji_order`) and the list of missing designs."""
+    return emoji_order(reduce(DataFrame.unionByName, [designed(rows), *extras])), missing_designs(rows)
+
+
+def emoji_order(rows: DataFrame) -> DataFrame:
+    """By order, what has none last, then by group, subgroup and hexcode."""
+    number = F.nullif(F.col("order").cast("string"), F.lit("")).try_cast("double")
+    return rows.orderBy(number.asc_nulls_last(), F.col("group").asc_nulls_last(), F.col("subgroups").asc_nulls_last(), F.col("hexcode").asc_nulls_last())
+
+
+def code_summary(rows: DataFrame, group: list[str], low: int = 0xE000, high: int = 0xF8FF) -> DataFrame:
+    """(group, n, combos, first, last, next_free): of a group's hexcodes how many there are and how many are combinations, the least and greatest single
+    code in the private-use area, and the least free code from the least on among all the group's codes."""
+    from sigilframe.operators.quality import gaps
+
+    parts = F.split("hexcode", "-")
+    r = rows.select(*group, (F.size(parts) > 1).alias("_combo"), F.conv(F.get(parts, F.lit(0)), 16, 10).cast("long").alias("_x"))
+    private = F.when(F.col("_x").between(low, high) & ~F.col("_combo"), F.col("_x"))
+    counts = r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if("_combo").alias("combos"), F.min(private).alias("first"), F.max(private).alias("last"))
+    one = r.where(private.isNotNull()).select(F.struct(*group).alias("_g"), "_x")
+    free = gaps(one, "_g", "_x").select("_g.*", "next_free")
+    return counts.join(free, group, "left")
+
+
 def base_records(rows: DataFrame) -> DataFrame:
     """Records without skin tone that aren't themselves modifiers."""
     return rows.where((F.coalesce("skintone", F.lit("")) == "") & ~F.col("hexcode").isin(*MODIFIERS))

@@ -60,7 +60,7 @@ FROM q JOIN s ON q.set_id = s.set_id WHERE folder <> 'other/'"""
 
 def canonical_filter_category(spark: SparkSession, d: str) -> DataFrame:
     p = icon_paths(spark, d).withColumn("set_id", F.get(F.split("path", "/"), F.lit(2)))
-    inner = F.array_join(F.slice(F.split("path", "/"), 4, 100), "/")
+    inner = F.regexp_replace("path", "^([^/]*/){3}", "")
     return p.select("page_id", catalog.is_canonical(F.col("set_id"), inner).alias("canonical"), catalog.infer_category(F.col("set_id"), F.col("path")).alias("category"), catalog.infer_category(F.col("set_id"), F.col("path"), True).alias("category_fixed"))
 
 
@@ -117,7 +117,7 @@ def explode_variants_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predicate_or_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("annotation"), F.concat_ws(", ", "lang", "source").alias("tags"), F.lit("").alias("openmoji_tags"), F.lit("").alias("skintone"), F.substring("text", 1, 40).alias("title"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("annotation"), F.concat_ws(", ", "lang", "source").alias("tags"), F.lit("").alias("openmoji_tags"), F.lit("").alias("skintone"), F.col("text").alias("title"))
     return records.search(docs, {"annotation": "es"}, ["src3"], None, "th the").select("doc_id")
 
 
@@ -161,12 +161,12 @@ def kind_manifest(spark: SparkSession, d: str) -> DataFrame:
 def import_status(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     files = o.select(F.concat(F.lit("new/"), F.col("o_custkey").cast("string"), F.lit(".svg")).alias("path")).distinct()
-    rec = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("hexcode"), F.col("c_mktsegment").alias("group"), F.col("c_nationkey").cast("string").alias("subgroups"))
-    there = rec.where("cast(hexcode as int) % 2 = 0").select(F.concat_ws("/", F.lit("src"), "group", "subgroups", F.concat("hexcode", F.lit(".svg"))).alias("path"))
+    rec = c.select((F.col("c_custkey") * 2).cast("string").alias("hexcode"), F.col("c_mktsegment").alias("group"), F.col("c_nationkey").cast("string").alias("subgroups"))
+    there = rec.where("cast(hexcode as long) % 4 = 0").select(F.concat_ws("/", F.lit("src"), "group", "subgroups", F.concat("hexcode", F.lit(".svg"))).alias("path"))
     return records.imports(files, rec, there)
 
 
-IMPORTS = """WITH f AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS h FROM orders), r AS (SELECT CAST(c_custkey AS VARCHAR) AS h, 'src/' || c_mktsegment || '/' || c_nationkey || '/' || c_custkey || '.svg' AS t, c_custkey % 2 = 0 AS there FROM customer WHERE c_custkey % 3 <> 0)
+IMPORTS = """WITH f AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS h FROM orders), r AS (SELECT CAST(c_custkey * 2 AS VARCHAR) AS h, 'src/' || c_mktsegment || '/' || c_nationkey || '/' || c_custkey * 2 || '.svg' AS t, c_custkey % 2 = 0 AS there FROM customer)
 SELECT 'new/' || f.h || '.svg' AS path, f.h AS hexcode, t AS target, CASE WHEN t IS NULL THEN 'ERROR' WHEN there THEN 'OVERWRITE' ELSE 'NEW' END AS status FROM f LEFT JOIN r ON f.h = r.h"""
 
 
@@ -199,7 +199,7 @@ QUERIES = {
     "complete_case_filter": (complete_case_filter, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN event_type = 'view' THEN 1.5 ELSE value END AS v FROM events WHERE event_type <> 'error' AND json_extract_string(props, '$.k') IS NOT NULL AND value IS NOT NULL"),
     "grouped_catalog": (grouped_catalog, "SELECT source, count(*) AS n, string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id) AS items FROM documents GROUP BY source"),
     "explode_variants_union": (explode_variants_union, "WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations) SELECT conv_id, CAST(CASE WHEN turn % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS variant, turn, n FROM c UNION ALL SELECT conv_id, 0, turn + 1000, n * 2 FROM c WHERE turn % 2 = 1"),
-    "predicate_or_search": (predicate_or_search, "SELECT doc_id FROM documents WHERE lang = 'es' OR lang = 'src3' OR source = 'src3' OR contains(substr(text, 1, 40), 'th the')"),
+    "predicate_or_search": (predicate_or_search, "SELECT doc_id FROM documents WHERE lang = 'es' OR lang = 'src3' OR source = 'src3' OR contains(text, 'th the')"),
     "name_cases": (name_cases, CASES),
     "markup_cleanup": (markup_cleanup, "WITH h AS (SELECT page_id, regexp_replace(html, '<(/?)html', '<\\1svg', 'g') AS h FROM pages) SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<\\?xml[^>]*>|<!DOCTYPE[^>]*>', '', 'g'), '<!--[^>]*-->', '', 'g'), '</?svg[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) AS cleaned, coalesce(nullif(regexp_extract(h, 'viewBox=\"([^\"]+)\"', 1), ''), '0 0 200 200') AS view_box FROM h"),
     "recursive_expand": (recursive_expand, "WITH RECURSIVE w AS (SELECT p_partkey AS root, p_partkey AS node, CAST([] AS BIGINT[]) AS path FROM part WHERE p_partkey BETWEEN 1 AND 15 UNION ALL SELECT root, p_partkey, list_append(path, p_partkey % 2) FROM w JOIN part ON p_partkey > 1 AND p_partkey // 2 = node), l AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey > 1 AND p_partkey // 2 = node)) SELECT root, count(*) AS n, string_agg(CAST(node AS VARCHAR), ',' ORDER BY path) AS leaves FROM l GROUP BY root"),

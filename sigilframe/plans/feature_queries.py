@@ -179,6 +179,25 @@ n2 AS (SELECT idx, x // 2 AS x, y // 2 AS y, sum(CASE WHEN s THEN 4 ELSE 1 END)
 n1 AS (SELECT l1.idx, sum(CASE WHEN s THEN n ELSE 1 END) AS n FROM l1 JOIN n2 ON l1.idx = n2.idx AND l1.x = n2.x AND l1.y = n2.y GROUP BY l1.idx)
 SELECT l0.idx, CAST(CASE WHEN s THEN n ELSE 1 END AS BIGINT) AS leaves, round((CASE WHEN s THEN n ELSE 1 END) / 64.0, 6) AS variability, round(1024.0 / (CASE WHEN s THEN n ELSE 1 END), 6) AS mean_size FROM l0 JOIN n1 ON l0.idx = n1.idx"""
 
+ON_EDGE = "n.x = least(7, greatest(0, a.x + k.dx)) AND n.y = least(7, greatest(0, a.y + k.dy))"
+
+
+def _weighted(source: str, value: str, weights: list[tuple[int, int, float]]) -> str:
+    return f"SELECT a.idx, a.x, a.y, sum(k.w * n.{value}) AS v FROM {source} a CROSS JOIN (VALUES {', '.join(map(str, weights))}) k(dy, dx, w) JOIN {source} n ON n.idx = a.idx AND {ON_EDGE} GROUP BY ALL"
+
+
+# Blur, gradient, ridges, thresholds and growth over 8 x 8 pixels; a pixel beyond the border has no gradient.
+EDGES = f"""WITH RECURSIVE g AS (SELECT CAST(vec_id AS BIGINT) AS idx, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CASE WHEN CAST(embedding[i] AS DOUBLE) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM embeddings, range(1, 65) t(i)),
+h AS ({_weighted('g', 'v', [(0, d, w / 16) for d, w in zip((-2, -1, 0, 1, 2), (1, 4, 6, 4, 1), strict=True)])}), s AS ({_weighted('h', 'v', [(d, 0, w / 16) for d, w in zip((-2, -1, 0, 1, 2), (1, 4, 6, 4, 1), strict=True)])}),
+gx AS ({_weighted('s', 'v', [(y, x, float(x * (2 - abs(y)))) for y in (-1, 0, 1) for x in (-1, 1)])}), gy AS ({_weighted('s', 'v', [(y, x, float(y * (2 - abs(x)))) for y in (-1, 1) for x in (-1, 0, 1)])}),
+m AS (SELECT gx.idx, gx.x, gx.y, sqrt(gx.v * gx.v + gy.v * gy.v) AS size, CAST(floor((CASE WHEN degrees(atan2(gy.v, gx.v)) < 0 THEN degrees(atan2(gy.v, gx.v)) + 180 ELSE degrees(atan2(gy.v, gx.v)) END + 22.5) / 45) AS INT) % 4 AS turn FROM gx JOIN gy ON gx.idx = gy.idx AND gx.x = gy.x AND gx.y = gy.y),
+r AS (SELECT m.idx, m.x, m.y, m.size FROM m LEFT JOIN m a ON a.idx = m.idx AND a.y = m.y + [0, 1, 1, 1][m.turn + 1] AND a.x = m.x + [1, 1, 0, -1][m.turn + 1] LEFT JOIN m b ON b.idx = m.idx AND b.y = m.y - [0, 1, 1, 1][m.turn + 1] AND b.x = m.x - [1, 1, 0, -1][m.turn + 1]
+ WHERE m.size > 0 AND m.size >= coalesce(a.size, 0) AND m.size >= coalesce(b.size, 0)),
+t AS (SELECT idx, greatest(quantile_cont(size, 0.85), 0.08) AS high FROM r GROUP BY idx), c AS (SELECT r.idx, r.x, r.y, r.size >= t.high AS strong FROM r JOIN t ON r.idx = t.idx WHERE r.size >= 0.4 * t.high),
+e AS (SELECT idx, x, y FROM c WHERE strong UNION SELECT c.idx, c.x, c.y FROM e JOIN c ON c.idx = e.idx AND abs(c.x - e.x) <= 1 AND abs(c.y - e.y) <= 1),
+k AS (SELECT e.idx, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM g WHERE g.idx = e.idx AND g.v = 0 AND abs(g.x - e.x) <= 1 AND abs(g.y - e.y) <= 1) GROUP BY e.idx)
+SELECT CAST(vec_id AS BIGINT) AS idx, round(coalesce(n, 0) / 64.0::DOUBLE, 6) AS canny_edge_density FROM embeddings LEFT JOIN k ON k.idx = vec_id"""
+
 QUERIES = {
     "feature_summary_by_set": (feature_summary_by_set, _summary_sql()),
     "zscore_features": (zscore_features, f"WITH {VIEW}, {Z} SELECT idx, " + ", ".join(f"round(z{i}, 6) AS z{i}" for i in range(6)) + " FROM z"),
@@ -197,5 +216,5 @@ QUERIES = {
     "raster_components8": (raster_components8, COMPONENTS8),
     "raster_component_boxes": (raster_component_boxes, BOXES4),
     "raster_quadtree": (raster_quadtree, QUADTREE),
-    "raster_edge_density": (raster_edge_density, None),
+    "raster_edge_density": (raster_edge_density, EDGES),
 }

@@ -143,14 +143,14 @@ PALETTE_SQL = "WITH c(i, r, g, b, name) AS (VALUES " + ", ".join(f"({i}, {p[0]},
 
 
 def reconcile_missing(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("k"))
+    c = table(spark, d, "customer").select((F.col("c_custkey") + 7).alias("k"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return quality.reconcile(c, o, "k", "customer", "orders")
 
 
 def referential_violations(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("k"), (F.col("s_suppkey") % 5).cast("int").alias("region"))
-    n = table(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey")
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("k"), "n_regionkey")
     return quality.referential(s, n, "k", {"region": "n_regionkey"}).select("s_suppkey", "k", "problem")
 
 
@@ -183,7 +183,7 @@ def build_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return quality.gaps(table(spark, d, "orders").where("o_orderkey % 9 <> 4").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey")
+    return quality.gaps(table(spark, d, "orders").select("o_orderstatus", (F.col("o_orderkey") + F.expr("o_orderkey div 9")).alias("x")), "o_orderstatus", "x")
 
 
 def markup_rule_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -242,13 +242,13 @@ QUERIES = {
     "item_numbering": (item_numbering, ITEMS),
     "word_lines": (word_lines, None),
     "nearest_palette": (nearest_palette, PALETTE_SQL),
-    "reconcile_missing": (reconcile_missing, "WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT 'orders' AS missing_in, k FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT 'customer', k FROM o WHERE k NOT IN (SELECT k FROM c)"),
-    "referential_violations": (referential_violations, "SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey IS NULL THEN 'missing' ELSE 'mismatch' END AS problem FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) n ON s_nationkey = n_nationkey WHERE n_nationkey IS NULL OR s_suppkey % 5 <> n_regionkey"),
+    "reconcile_missing": (reconcile_missing, "WITH c AS (SELECT c_custkey + 7 AS k FROM customer), o AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT 'orders' AS missing_in, k FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT 'customer', k FROM o WHERE k NOT IN (SELECT k FROM c)"),
+    "referential_violations": (referential_violations, "SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey IS NULL THEN 'missing' ELSE 'mismatch' END AS problem FROM supplier LEFT JOIN (SELECT n_nationkey + 1 AS n_nationkey, n_regionkey FROM nation) n ON s_nationkey = n_nationkey WHERE n_nationkey IS NULL OR s_suppkey % 5 <> n_regionkey"),
     "uniqueness_violations": (uniqueness_violations, "SELECT sha256(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) <> 1"),
     "absent_files": (absent_files, "SELECT n_name AS name, 'color/' || n_name AS path FROM nation WHERE n_nationkey % 2 <> 0 UNION ALL SELECT n_name, 'black/' || n_name FROM nation WHERE n_nationkey % 3 <> 0"),
     "incremental_plan": (incremental_plan, "SELECT DISTINCT 'build ' || (doc_id // 3) AS line FROM documents WHERE doc_id % 50 = 0"),
     "build_plan": (build_plan, "SELECT s || '/' || c_mktsegment || '/' || c_custkey || '.png' || chr(9) || 'src/' || c_mktsegment || '/' || c_custkey || '.svg' AS line FROM customer, (VALUES ('72'), ('618')) t(s)"),
-    "id_gaps": (id_gaps, "WITH d AS (SELECT DISTINCT o_orderstatus, o_orderkey AS x FROM orders WHERE o_orderkey % 9 <> 4), e AS (SELECT o_orderstatus, count(*) AS n, min(x) AS low, max(x) AS high FROM d GROUP BY 1), f AS (SELECT o_orderstatus, min(x + 1) AS next_free FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.o_orderstatus = a.o_orderstatus AND b.x = a.x + 1) GROUP BY 1) SELECT e.o_orderstatus, n, low, high, next_free FROM e JOIN f ON e.o_orderstatus = f.o_orderstatus"),
+    "id_gaps": (id_gaps, "WITH d AS (SELECT DISTINCT o_orderstatus, o_orderkey + o_orderkey // 9 AS x FROM orders), e AS (SELECT o_orderstatus, count(*) AS n, min(x) AS low, max(x) AS high FROM d GROUP BY 1), f AS (SELECT o_orderstatus, min(x + 1) AS next_free FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.o_orderstatus = a.o_orderstatus AND b.x = a.x + 1) GROUP BY 1) SELECT e.o_orderstatus, n, low, high, next_free FROM e JOIN f ON e.o_orderstatus = f.o_orderstatus"),
     "markup_rule_violations": (markup_rule_violations, MARKUP),
     "running_layout": (running_layout, LAYOUT),
     "drawing_tones": (drawing_tones, TONES),

@@ -7,7 +7,7 @@ import platform
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilframe.functions.text import escape
+from sigilframe.functions.text import escape, html_escaped
 from sigilframe.schema import CATALOG, FEATURES, METADATA
 
 
@@ -54,9 +54,9 @@ def wide_matrix(distances: DataFrame, targets: list) -> DataFrame:
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """One row of lists: files to fetch (without a reason) and those left out."""
-    files = F.struct("title", "url")
-    return rows.agg(F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), files))).alias("downloaded"), F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("title", "reason")))).alias("skipped"))
+    """(list, title, url, reason): files to fetch (without a reason) as downloaded, those left out as skipped; a row each, so a listing of any length is written in parts."""
+    fetched = F.col("reason").isNull()
+    return rows.select(F.when(fetched, "downloaded").otherwise("skipped").alias("list"), "title", F.when(fetched, F.col("url")).alias("url"), "reason")
 
 
 def kind_manifest(rows: DataFrame, kind: str) -> DataFrame:
@@ -81,9 +81,8 @@ def tsv(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def path_list(listing: DataFrame, strip: str = r"\.svg$") -> DataFrame:
-    """One row with the sorted names of a listing as JSON."""
-    names = F.regexp_replace(F.element_at(F.split("path", "/"), -1), strip, "")
-    return listing.agg(F.to_json(F.array_sort(F.collect_set(names))).alias("json"))
+    """(name) of a listing's distinct files, in order, a row each."""
+    return listing.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), strip, "").alias("name")).distinct().orderBy("name")
 
 
 def constants_module(rows: DataFrame, name: str, value: str) -> DataFrame:
@@ -91,8 +90,16 @@ def constants_module(rows: DataFrame, name: str, value: str) -> DataFrame:
     return rows.orderBy(name).select(F.concat(F.lit("export const "), F.col(name), F.lit(" = "), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2), F.lit(";")).alias("line"))
 
 
-def html_table(rows: DataFrame, title: str, limit: int = 500) -> str:
-    """A report of a small result; `limit` is the report's length."""
+def html_rows(rows: DataFrame, title: str, order: list[str] | None = None) -> DataFrame:
+    """(part, line) of a report, a line for each row and those of its frame (part 0 and 2); nothing is left out, and Spark writes it, in order."""
+    cell = lambda c: F.concat(F.lit("<td>"), html_escaped(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>"))
     head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(limit).collect())
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table></body></html>"
+    top = f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{head}</tr>"
+    body = rows.select(F.lit(1).alias("part"), F.concat(F.lit("<tr>"), *(cell(c) for c in rows.columns), F.lit("</tr>")).alias("line"), F.struct(*(order or rows.columns)).alias("_o"))
+    frame = rows.sparkSession.createDataFrame([(0, top), (2, "</table></body></html>")], "part int, line string")
+    return body.unionByName(frame, allowMissingColumns=True).orderBy("part", "_o").select("part", "line")
+
+
+def html_table(rows: DataFrame, title: str, order: list[str] | None = None) -> str:
+    """The same report as one text, of all rows; for results that a page can show."""
+    return "".join(r.line for r in html_rows(rows, title, order).collect())
