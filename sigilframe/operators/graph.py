@@ -7,13 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigilframe.sources.folders import shared_folder
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts a round's lineage: a checkpoint in the shared folder where one is set, else a persisted frame."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    df.sparkSession.sparkContext.setCheckpointDir(folder)
+    """Cuts a round's lineage by a checkpoint in the shared folder."""
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
