@@ -39,14 +39,14 @@ def designed(rows: DataFrame) -> DataFrame:
 
 
 def emoji_tables(rows: DataFrame, *extras: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The published table (designed records and all extras, in `emoji_order`) and the list of missing designs."""
-    return emoji_order(reduce(DataFrame.unionByName, [designed(rows), *extras])), missing_designs(rows)
+    """The published table (designed records and all extras, in order of `emoji_keys`) and the list of missing designs."""
+    return reduce(DataFrame.unionByName, [designed(rows), *extras]).orderBy(*emoji_keys()), missing_designs(rows)
 
 
-def emoji_order(rows: DataFrame) -> DataFrame:
+def emoji_keys() -> list[Column]:
     """By order, what has none last, then by group, subgroup and hexcode."""
     number = F.nullif(F.col("order").cast("string"), F.lit("")).try_cast("double")
-    return rows.orderBy(number.asc_nulls_last(), F.col("group").asc_nulls_last(), F.col("subgroups").asc_nulls_last(), F.col("hexcode").asc_nulls_last())
+    return [number.asc_nulls_last(), F.col("group").asc_nulls_last(), F.col("subgroups").asc_nulls_last(), F.col("hexcode").asc_nulls_last()]
 
 
 def code_summary(rows: DataFrame, group: list[str], low: int = 0xE000, high: int = 0xF8FF) -> DataFrame:
@@ -84,15 +84,21 @@ def search(rows: DataFrame, equal: dict[str, str] | None = None, tags: list[str]
     return rows.where(reduce(lambda a, b: a | b, conditions)) if conditions else rows
 
 
-def typed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Numbers instead of text: order from 1, unicode and skintone or -1. Rows are numbered within ranges and over them, so no task sees all rows."""
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Adds `name`: numbers from 1 in an order. Rows are numbered within ranges and over them, so no task sees all rows."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     spread = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    out = spread.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_n") + F.col("_b"))  # a row for each partition
+    return out.select(*dict.fromkeys([*rows.columns, name]))
+
+
+def typed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Numbers instead of text: order from 1, unicode and skintone or -1."""
     number = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")).try_cast("double"), F.lit(-1.0)).alias(c)
-    out = spread.join(F.broadcast(sizes), "_p").withColumn("order", F.col("_n") + F.col("_b"))  # a row for each partition
-    return out.select(*(number(c) if c in ("unicode", "skintone") else F.col(c) for c in dict.fromkeys([*rows.columns, "order"])))
+    out = numbered(rows, order, "order")
+    return out.select(*(number(c) if c in ("unicode", "skintone") else F.col(c) for c in out.columns))
 
 
 def record_paths(rows: DataFrame, root: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -157,3 +161,127 @@ def test_symbol_crop():
     assert R.symbol_box([(50, 250, 90, 270, 500)], 330, 295, True) == (42, 242, 98, 278)
     assert R.symbol_box([(50, 50, 90, 90, 900), (200, 200, 212, 212, 90)], 330, 295, True) == (42, 42, 98, 98)  # away from the anchor
     assert R.symbol_box([(50, 50, 90, 90, 900), (100, 100, 112, 112, 90)], 330, 295, True) == (42, 42, 120, 120)
+
+
+def slow_edges(image):
+    """Edges restated pixel by pixel."""
+    h, w = image.shape
+    at = lambda m, y, x: m[min(max(y, 0), h - 1)][min(max(x, 0), w - 1)]
+    one = [[sum(k * at(image, y, x + d) for d, k in zip((-2, -1, 0, 1, 2), (1, 4, 6, 4, 1), strict=True)) / 16 for x in range(w)] for y in range(h)]
+    two = [[sum(k * at(one, y + d, x) for d, k in zip((-2, -1, 0, 1, 2), (1, 4, 6, 4, 1), strict=True)) / 16 for x in range(w)] for y in range(h)]
+    size, way = np.zeros((h, w)), {}
+    for y in range(h):
+        for x in range(w):
+            right = sum(k * (at(two, y + d, x + 1) - at(two, y + d, x - 1)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            down = sum(k * (at(two, y + 1, x + d) - at(two, y - 1, x + d)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            size[y, x] = math.sqrt(right * right + down * down)
+            best = max(((0, 1), (1, 1), (1, 0), (1, -1)), key=lambda s: abs(s[1] * right + s[0] * down) / math.hypot(*s))  # noqa: B023
+            way[y, x] = best
+    ridge = np.zeros((h, w))
+    for (y, x), (dy, dx) in way.items():
+        beside = [size[y + s * dy, x + s * dx] if 0 <= y + s * dy < h and 0 <= x + s * dx < w else 0 for s in (1, -1)]
+        ridge[y, x] = size[y, x] if size[y, x] >= max(beside) else 0
+    if not ridge.any():
+        return ridge > 0
+    high = max(np.percentile(ridge[ridge > 0], 85), 0.08)
+    found = {(y, x) for y in range(h) for x in range(w) if ridge[y, x] >= high}
+    todo = list(found)
+    while todo:
+        y, x = todo.pop()
+        for p in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            if p not in found and 0 <= p[0] < h and 0 <= p[1] < w and ridge[p] >= 0.4 * high:
+                found.add(p)
+                todo.append(p)
+    out = np.zeros((h, w), bool)
+    for p in found:
+        out[p] = True
+    return out
+
+
+def test_edges_against_a_slow_restatement():
+    y, x = np.mgrid[0:24, 0:24]
+    shapes = [(math.cos(a) * (x - 11.3) + math.sin(a) * (y - 12.1) > 0).astype(float) for a in np.linspace(0.05, 2 * math.pi, 13)]
+    shapes += [((x - 12.2) ** 2 + (y - 11.1) ** 2 < r * r).astype(float) for r in (3.3, 7.1, 10.2)] + [np.random.default_rng(k).integers(0, 2, (13, 17)).astype(float) for k in range(6)]
+    for s in shapes:
+        got = R.edges(s)
+        assert np.array_equal(got, slow_edges(s)) and np.array_equal(R.edges(s.T), got.T) and np.array_equal(R.edges(s[::-1]), got[::-1])
+    assert R.edges((x + y > 23).astype(float)).sum() <= 2 * 24
+
+
+def png_of(samples, depth, kind, lace=False, extra=b""):
+    """A PNG of samples (h, w, bands), rows filtered in turn."""
+    h, w, bands = samples.shape
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    body = b""
+    for y0, x0, dy, dx in [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)] if lace else [(0, 0, 1, 1)]:
+        part = samples[y0::dy, x0::dx]
+        if not part.size:
+            continue
+        bits = "".join if depth < 8 else None
+        lines = [bytes(int(t[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(t), 8)) for t in ("".join(format(v, f"0{depth}b") for v in row.ravel()) for row in part)] if bits else [row.astype(">u2" if depth == 16 else "u1").tobytes() for row in part]
+        step, above = max(1, bands * depth // 8), b"\0" * len(lines[0])
+        for n, line in enumerate(lines):
+            left, corner = b"\0" * step + line, b"\0" * step + above
+            def paeth(i, left=left, corner=corner, above=above):
+                p = left[i] + above[i] - corner[i]
+                return min((left[i], above[i], corner[i]), key=lambda v: abs(p - v))
+            guess = [lambda i: 0, lambda i: left[i], lambda i: above[i], lambda i: (left[i] + above[i]) // 2, paeth][n % 5]  # noqa: B023
+            body += bytes([n % 5]) + bytes((v - guess(i)) & 255 for i, v in enumerate(line))
+            above = line
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, int(lace))) + extra + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("lace", [False, True])
+@pytest.mark.parametrize(("depth", "kind"), [(1, 0), (2, 0), (4, 0), (8, 0), (16, 0), (8, 2), (16, 2), (8, 4), (16, 4), (8, 6), (16, 6), (1, 3), (4, 3), (8, 3)])
+def test_png_of_every_depth(depth, kind, lace):
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    r = np.random.default_rng(depth + kind)
+    x = r.integers(0, 1 << depth, (11, 13, bands))
+    palette = r.integers(0, 256, (256, 3)).astype(np.uint8)
+    extra = b"".join(struct.pack(">I", len(b)) + n + b + b"\0" * 4 for n, b in ((b"PLTE", palette.tobytes()), (b"tRNS", bytes([7, 9])))) if kind == 3 else b""
+    got = R.decode(png_of(x, depth, kind, lace, extra))
+    if kind == 3:
+        alpha = np.full(256, 255)
+        alpha[:2] = 7, 9
+        assert np.array_equal(got, np.concatenate([palette[x[..., 0]], alpha[x]], 2))
+        return
+    x = x >> 8 if depth == 16 else x * 255 // ((1 << depth) - 1)
+    grey = x[..., :1].repeat(3, 2) if bands < 3 else x[..., :3]
+    assert np.array_equal(got, np.concatenate([grey, x[..., -1:] if bands in (2, 4) else np.full((11, 13, 1), 255)], 2))
+
+
+def gif_of(index, palette, clear=None, lace=False, least=4):
+    """A GIF of one frame, with a code for each pixel and for runs already met."""
+    h, w = index.shape
+    rows = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)] if lace else range(h)
+    known, bits, run, width = {bytes([i]): i for i in range(1 << least)}, "", b"", least + 1
+    put = lambda code, text: format(code, f"0{width}b") + text
+    bits, free = put(1 << least, bits), (1 << least) + 2
+    for v in np.concatenate([index[y] for y in rows]).tolist():
+        if run + bytes([v]) in known:
+            run += bytes([v])
+            continue
+        bits = put(known[run], bits)
+        if free < 4096:
+            known[run + bytes([v])] = free
+            free += 1
+            width = min(12, max(width, (free - 1).bit_length()))
+        run = bytes([v])
+    bits = put((1 << least) + 1, put(known[run], bits))
+    data = bytes(int(bits[max(0, i - 8) : i], 2) for i in range(len(bits), 0, -8))
+    blocks = b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
+    control = b"\x21\xf9\x04" + bytes([clear is not None, 0, 0, clear or 0, 0])
+    return b"GIF89a" + struct.pack("<HHBBB", w + 3, h + 2, 0x80 | 3, 0, 0) + palette.tobytes() + b"\x21\xfe\x03abc\0" + control + b"\x2c" + struct.pack("<HHHHB", 2, 1, w, h, 0x40 * lace) + bytes([least]) + blocks + b"\x3b"
+
+
+@pytest.mark.parametrize("lace", [False, True])
+@pytest.mark.parametrize("kind", ["runs", "noise"])
+def test_gif(lace, kind):
+    r = np.random.default_rng(3)
+    index = r.integers(0, 16, (90, 110)).astype(np.uint8) if kind == "noise" else (np.arange(90 * 110).reshape(90, 110) // 37 % 5).astype(np.uint8)
+    palette = r.integers(0, 256, (16, 3)).astype(np.uint8)
+    got = R.decode(gif_of(index, palette, 3, lace))
+    assert got.shape == (92, 113, 4) and not got[0].any() and not got[:, :2].any()
+    assert np.array_equal(got[1:91, 2:112, :3], palette[index]) and np.array_equal(got[1:91, 2:112, 3], np.where(index == 3, 0, 255))
+    with pytest.raises((ValueError, IndexError)):  # a failure row either way
+        R.decode(gif_of(index, palette)[:-40] + b"\0\x3b")

@@ -160,7 +160,8 @@ def test_symbol_words(spark):
     df = spark.createDataFrame([("w", ["nested"])], "word string, parts array<string>")
     assert rows(symbols.expanded(df, DB), "pos", "name") == [(0, "a"), (1, "b"), (2, "a")]
     assert symbols.drawings(df, DB).first().svg.startswith("<svg")
-    assert symbols.grid_lines(0, 320, 0, 320, 2)[0] == ("major", 0.0, 0, 0.0, 320) and len(symbols.grid_lines(0, 320, 0, 320, 2)) == 6
+    lines = [tuple(r)[4:] for r in symbols.grid_lines(spark.createDataFrame([(0.0, 320.0, 0.0, 320.0)], "left double, right double, top double, bottom double"), 2).collect()]
+    assert ("major", 0.0, 0.0, 0.0, 320.0) in lines and len(lines) == 6
     assert symbols.word_parts('words = {"a,b": ["x", "y"], "c": []}') == {"a,b": ["x", "y"], "c": []}
 
 
