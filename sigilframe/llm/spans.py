@@ -23,6 +23,7 @@ one document; extra columns are carried by `remove` under their own names.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,12 +40,13 @@ LEAST = 25
 WINDOW = 7
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u3001\u3003-\ua4cf\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 UNIT = re.compile(rf"(?:[{UNSPACED}]|[^\s{UNSPACED}。！？]+|(?=[。！？]))[。！？]*\s*")
-END = re.compile(r"[.!?]\s+\Z|[。！？]\s*\Z|\s*\n\s*\Z")
+WEAK, STRONG = {".", "!", "?"}, {"。", "！", "？"}  # end a sentence before white space, and anywhere
 ALONE = re.compile(f"[{UNSPACED}]")
-MOST_UNITS, MOST_CHARS = 300_000, 8 << 20
+MOST_UNITS, MOST_CHARS = 1_000_000, 24 << 20
 TEXT_PER_PART = 64 << 20
 MOST_KEPT = 500_000
 OPEN, ALL, LATER = 0, 1, 2
+PAIR = struct.Struct("=qq")
 DDL = "a long, b long, doc_id long, mode int"
 ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("mode", pa.int32())])
 
@@ -55,17 +57,15 @@ class Units(dict):
 
     def __init__(self):
         self.rank, self.weight, self.hash, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.uint64), 0
+        self.new: list[tuple[int, int, int]] = []
 
     def __missing__(self, unit: str) -> int:
-        k = len(self)
-        if k == len(self.rank):
-            self.rank, self.weight, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rank, self.weight, self.hash))
-        word = unit.strip().lower().encode("utf-8", "replace")
-        self.rank[k] = 0 if END.search(unit) else zlib.crc32(word) or 1
-        self.weight[k] = 1 if ALONE.match(unit) else 2
-        self.hash[k] = xxhash.xxh3_64_intdigest(word)
+        word = unit.rstrip()
+        ends = word[-1:] in STRONG or (len(unit) > len(word) and (word[-1:] in WEAK or "\n" in unit))
+        raw = word.lower().encode("utf-8", "replace")
+        self.new.append((0 if ends else zlib.crc32(raw) or 1, 1 if unit[0] >= UNSPACED[0] and ALONE.match(unit) else 2, xxhash.xxh3_64_intdigest(raw)))
         self.chars += len(unit)
-        self[unit] = k
+        self[unit] = k = len(self)
         return k
 
     def numbers(self, found: list[str]) -> np.ndarray:
@@ -73,7 +73,15 @@ class Units(dict):
         if len(self) > MOST_UNITS or self.chars > MOST_CHARS:
             self.clear()
             self.chars = 0
-        return np.array(list(map(self.__getitem__, found)), np.int64)
+        out = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self.new:
+            end, start = len(self), len(self) - len(self.new)
+            while end > len(self.rank):
+                self.rank, self.weight, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rank, self.weight, self.hash))
+            rank, weight, hashes = zip(*self.new, strict=True)
+            self.rank[start:end], self.weight[start:end], self.hash[start:end] = rank, weight, np.array(hashes, np.uint64)
+            self.new.clear()
+        return out
 
 
 UNITS = Units()
@@ -105,9 +113,9 @@ def over_windows(f: np.ufunc, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """Pieces that joined give the text again."""
-    found, _, ends = pieces(text)
+def sentences(text: str, cut: tuple | None = None) -> list[str]:
+    """Pieces that joined give the text again. cut: of pieces()."""
+    found, _, ends = cut or pieces(text)
     out, at = [], 0
     for end in ends.tolist():
         out.append("".join(found[at:end]))
@@ -116,9 +124,9 @@ def sentences(text: str) -> list[str]:
     return [before + out[0], *out[1:]] if out else [before] if before else []
 
 
-def hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed(text: str, cut: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every run, in order: two hashes, the first piece and the end. The hashes are polynomials of the words' hashes, as differences of running sums."""
-    _, ids, ends = pieces(text)
+    _, ids, ends = cut or pieces(text)
     edge = np.concatenate([[0], ends])
     total = np.concatenate([[0], np.cumsum(UNITS.weight[ids])])[edge]
     n = len(ends)
@@ -219,7 +227,7 @@ def remove(docs: DataFrame, removed: str = "_removed", ranges: str = "_spans") -
 
     def make():
         def batch(c: dict) -> dict:
-            out = [one(t, f and {(x["a"], x["b"], x["mode"]) for x in f}) for t, f in zip(c[raw], c[again], strict=True)]
+            out = [one(t, f and lost(f)) for t, f in zip(c[raw], c[again], strict=True)]
             return {"text": [o[0] for o in out], removed: [o[1] for o in out], ranges: [o[2] for o in out]}
 
         return batch
@@ -227,16 +235,29 @@ def remove(docs: DataFrame, removed: str = "_removed", ranges: str = "_spans") -
     return map_rows(both, fields(docs, keep, f"text string, `{removed}` long, `{ranges}` array<struct<start:long,end:long>>"), make, carry=keep)
 
 
-def one(text: str | None, found: set[tuple[int, int, int]] | None) -> tuple[str | None, int, list[dict]]:
+def lost(rows: list[dict]) -> dict[bytes, int]:
+    """By hash, LATER only where nothing says that all of its runs go."""
+    out: dict[bytes, int] = {}
+    for x in rows:
+        key = PAIR.pack(x["a"], x["b"])
+        out[key] = min(out.get(key, LATER), x["mode"])
+    return out
+
+
+def one(text: str | None, found: dict[bytes, int] | None) -> tuple[str | None, int, list[dict]]:
+    """The text without the runs of some hashes; of those with the mode LATER, without all but the first run of each."""
     if text is None or not found:
         return text, 0, []
-    gone, met = set(), set()
-    for a, b, i, end in runs(text):
-        if (a, b, ALL) in found or (a, b, OPEN) in found or ((a, b, LATER) in found and (a, b) in met):
+    parts = pieces(text)
+    h, first, ends = hashed(text, parts)
+    raw, gone, met = h.tobytes(), set(), set()
+    for k, (i, end) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+        x = raw[16 * k : 16 * k + 16]
+        if (mode := found.get(x)) is not None and (mode != LATER or x in met):
             gone.update(range(i, end))
-        met.add((a, b))
+        met.add(x)
     kept, cut, at = [], [], 0
-    for i, s in enumerate(sentences(text)):
+    for i, s in enumerate(sentences(text, parts)):
         if i not in gone:
             kept.append(s)
         elif cut and cut[-1]["end"] == at:

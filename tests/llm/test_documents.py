@@ -591,8 +591,8 @@ def test_spans_take_closing_sentences():
         inner = prose(300 + k, 40) + ". " + text + ". " + prose(500 + k, 40)
         around = len(inner.split()) - len(text.split())
         for other, most in ((text, 0), (inner, around + 2 * (spans.WINDOW - 1))):
-            first = {h[:2] for h in spans.runs(text)}
-            left = len(spans.one(other, {(*h, spans.ALL) for h in first})[0].split())
+            first = {spans.PAIR.pack(*h[:2]): spans.ALL for h in spans.runs(text)}
+            left = len(spans.one(other, first)[0].split())
             assert left <= most, (k, left)
 
 
