@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, scratch
+from .shared import fresh, scratch, stored
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,8 @@ def by_blob(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     tags = F.array(*(F.lit(r.tag) for r in rules))
     current = F.filter("spans", lambda s: F.array_contains("rules", F.get(tags, s["rule"])))
     found = ledger.withColumn("spans", current).where(F.size("spans") > 0)
-    return found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # one row a blob and scan
+    # One row a blob and scan. Stored, so that Spark knows its size, and can split a hot blob's paths where they are too many for one task.
+    return stored(found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "found")
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
