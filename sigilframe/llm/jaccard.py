@@ -54,7 +54,7 @@ DIMS = 32
 RATIO = 1.6
 LEAF = 32
 CHUNK = 1 << 20
-MOST_SENT = 100_000  # rows of three small values that may be broadcast
+MOST_SENT = 200_000  # rows of three small values that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -210,8 +210,12 @@ def by_class(s: np.ndarray, share: Share = SHARE) -> list[tuple[np.ndarray, int]
 
 
 def dims_of(c: int) -> int:
-    """Coordinates of the points of a size class: chance makes unrelated sets differ by more than a link allows."""
-    return max(DIMS, 1 << (int(BOUNDS[c]) // 32).bit_length())
+    """Coordinates of the points of a size class, 4 to 8 shingles each: chance makes unrelated sets differ by more than a link allows."""
+    return dims_for(int(BOUNDS[c]))
+
+
+def dims_for(n: int) -> int:
+    return max(DIMS, 1 << (n // 8).bit_length())
 
 
 def point(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -279,8 +283,9 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, share: Share
     """Links that span the components of the sets; with sides (0, 1), of the links between the sides alone. Sets of one label are joined already."""
     if len(sets) < 2:
         return
-    points = np.stack([point(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
+    dims = dims_for(int(np.median(sizes)))
+    points = np.stack([point(s, dims) for s in sets])
     inside = np.arange(len(sets)) if side is None else np.flatnonzero(side == 0)
     asking = np.arange(len(sets)) if side is None else np.flatnonzero(side == 1)
     if not len(inside) or not len(asking):
@@ -471,24 +476,26 @@ def links(docs: DataFrame, table: DataFrame, words: int = WORDS, share: Share =
     total, biggest = weight.agg(F.sum("w"), F.max("w")).first()
     if not total:
         return spark.createDataFrame([], "a binary, b binary")
-    wanted = members.select("doc_id", "text_key", "key").distinct()
-    wanted = F.broadcast(wanted) if members.count() <= MOST_SENT else wanted.hint("shuffle_hash")
-    texts = docs.select(known, F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"]).select("key", "text")  # a row repeated as it stands counts once below
-    if biggest > limits.tree:
-        texts = stored(texts.dropDuplicates(["key"]), "texts")
-
-    def searched(tasks: DataFrame, volume: int) -> DataFrame:
-        """tasks: root, i, j, side, key, comp."""
-        dealt = tasks.join(texts, "key").select("root", "i", "j", "side", "key", "comp", "text")
+    source = docs.select(known, F.xxhash64("text").alias("text_key"), "text")
+
+    def sent(rows: DataFrame) -> DataFrame:
+        """A side that is joined with texts: broadcast up to MOST_SENT rows, else the hashed side of a shuffle."""
+        return F.broadcast(rows) if rows.count() <= MOST_SENT else rows.hint("shuffle_hash")
+
+    def searched(texts: DataFrame, on: list[str], tasks: DataFrame, volume: int) -> DataFrame:
+        """tasks: root, i, j, side, key, comp and `on`, by which texts are found."""
+        dealt = texts.join(sent(tasks), on).select("root", "i", "j", "side", "key", "comp", "text")
         dealt = dealt.repartition(parts_for(spark, volume, limits.tree), "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "key")
         return stored(dealt.mapInArrow(lambda batches: search_trees(batches, words, share), "a binary, b binary").distinct(), "links")
 
     small = members.join(weight.where(F.col("w") <= limits.tree).select("root"), "root")
     none = (F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"))
-    found = searched(small.select("root", *none, "key", F.col("key").alias("comp")), total)
+    found = searched(source, ["doc_id", "text_key"], small.select("root", *none, "key", F.col("key").alias("comp"), "doc_id", "text_key"), total)
     if biggest <= limits.tree:
         return found
-    big = stored(members.join(weight.where(F.col("w") > limits.tree).select("root"), "root").select("root", "key", "n"), "big")
+    big = stored(members.join(weight.where(F.col("w") > limits.tree).select("root"), "root"), "big")
+    texts = stored(source.join(sent(big.select("doc_id", "text_key", "key").distinct()), ["doc_id", "text_key"]).select("key", "text"), "texts", "zstd")
+    big = big.select("root", "key", "n")
     every, label, before = [found], big.withColumn("comp", F.col("key")), None
     for turn in range(64):  # one set of each component in parts of their own, while components merge
         heads = label.groupBy("root", "comp").agg(F.min(F.struct("key", "n")).alias("h")).select("root", "comp", "h.key", "h.n")
@@ -498,7 +505,7 @@ def links(docs: DataFrame, table: DataFrame, words: int = WORDS, share: Share =
             break
         before = comps
         part = F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("w") / limits.tree)).cast("int")
-        every.append(searched(heads.join(size, "root").select("root", part.alias("i"), part.alias("j"), F.lit(-1).alias("side"), "key", "comp"), volume))
+        every.append(searched(texts, ["key"], heads.join(size, "root").select("root", part.alias("i"), part.alias("j"), F.lit(-1).alias("side"), "key", "comp"), volume))
         roots = components(reduce(DataFrame.unionByName, every)).select(F.col("node").alias("key"), F.col("root").alias("comp"))
         label = stored(big.join(roots, "key", "left").select("root", "key", "n", F.coalesce("comp", "key").alias("comp")), "label")
     # All sets outside a root's largest component are compared with all others.
@@ -511,7 +518,7 @@ def links(docs: DataFrame, table: DataFrame, words: int = WORDS, share: Share =
     asking = left.where("comp <> top").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), block.alias("j"), F.lit(1).alias("side"), "key", "comp", "n")
     tasks = inside.unionByName(asking)
     if volume := tasks.agg(F.sum("n")).first()[0]:
-        every.append(searched(tasks.drop("n"), volume))
+        every.append(searched(texts, ["key"], tasks.drop("n"), volume))
     return reduce(DataFrame.unionByName, every)
 
 
