@@ -21,7 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while (now := _mark(e)) != was:
         was = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # Stored, so that the join meets a table of known size, or two plain shuffles, of which Spark splits a star's.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
