@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigilframe.operators.graph import settled
 from sigilframe.schema import FEATURES
 
 
@@ -18,10 +19,49 @@ def complete(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame
 
 
 def summary(rows: DataFrame, features: tuple[str, ...] = FEATURES, digits: int = 6) -> DataFrame:
-    """Count, mean, median, sample deviation, least and greatest of each feature by set; rows without a set are left out."""
-    stats = {"count": F.count, "mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    exprs = [(f(x) if name == "count" else F.bround(f(x), digits)).alias(f"{x}_{name}") for x in features for name, f in stats.items()]
-    return rows.where("set_id is not null and set_name is not null").groupBy("set_id", "set_name").agg(*exprs)
+    """Count, mean, median, sample deviation, least and greatest of each feature by set; rows without a set are left out. The median of a feature without
+    values is null."""
+    by = ["set_id", "set_name"]
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    named = rows.where("set_id is not null and set_name is not null")
+    one = named.groupBy(*by).agg(*((f(x) if name == "count" else F.bround(f(x), digits)).alias(f"{x}_{name}") for x in features for name, f in stats.items()))
+    middle = quantiles(unpivoted(named, by, features), [*by, "feature"], "value", {"median": 0.5})
+    wide = middle.groupBy(*by).agg(*(F.bround(F.max(F.when(F.col("feature") == x, F.col("median"))), digits).alias(f"{x}_median") for x in features))
+    order = [f"{x}_{name}" for x in features for name in ("count", "mean", "median", "std", "min", "max")]
+    return one.join(wide, by, "left").select(*by, *order)
+
+
+def unpivoted(rows: DataFrame, keep: list[str], features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(keep, feature, value): a row for each feature."""
+    return rows.select(*keep, F.explode(F.create_map(*(x for f in features for x in (F.lit(f), F.col(f))))).alias("feature", "value"))
+
+
+def running(counts: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Adds upto to (by, value, n): how many rows of the group have that value or a smaller one. The total runs within ranges of (by, value) and
+    over the ranges, so no task sees all values of a group; for the second step a group has as many rows as ranges."""
+    spread = counts.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
+    spread = spread.withColumn("inside", F.sum("n").over(Window.partitionBy("part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    spread = settled(spread)  # both readers meet the same ranges
+    parts = spread.groupBy(*by, "part").agg(F.sum("n").alias("t"))
+    before = F.sum("t").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*by, "part", F.coalesce(before, F.lit(0)).alias("before"))
+    return spread.join(parts, [*by, "part"]).withColumn("upto", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, and a column for each share): exact quantiles, interpolated between neighbours. Equal values are counted first and the counts added up by ranges;
+    a group's values are never in one task. Nulls don't count; a group of nulls alone has no row, nor has a group whose `by` is null."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    placed = running(counts, by, value).join(total, by)
+    at = {name: (F.col("total") - 1) * F.lit(p) for name, p in shares.items()}
+    ends = [F.min(F.when(F.col("upto") > f(x), F.col(value))).alias(f"{name}_{k}") for name, x in at.items() for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = placed.groupBy(*by, "total").agg(*ends)
+
+    def between(lo: Column, hi: Column, part: Column) -> Column:
+        return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)  # equal ends may be infinite
+
+    return got.select(*by, *(between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), x - F.floor(x)).alias(name) for name, x in at.items()))
 
 
 def standardized(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -32,16 +72,10 @@ def standardized(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataF
 
 
 def ranks(rows: DataFrame, key: str, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """key, feature, rank: average ranks, equal values sharing theirs. Counts of the distinct values are summed first; their running total is
-    taken in two steps, within ranges of values and over the ranges, so no task sees all values of a feature."""
-    long = rows.select(key, F.explode(F.create_map(*(x for f in features for x in (F.lit(f), F.col(f))))).alias("feature", "value"))
+    """key, feature, rank: average ranks, equal values sharing theirs. Counts of the distinct values are summed first, then by `running`."""
+    long = unpivoted(rows, [key], features)
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id())
-    spread = spread.withColumn("inside", F.sum("n").over(Window.partitionBy("part", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = spread.groupBy("feature", "part").agg(F.sum("n").alias("t"))
-    parts = parts.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = spread.join(F.broadcast(parts.select("feature", "part", "before")), ["feature", "part"])  # a row for each partition and feature
-    placed = placed.select("feature", "value", (F.col("before") + F.col("inside") - (F.col("n") - 1) / 2).alias("rank"))
+    placed = running(counts, ["feature"]).select("feature", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
     return long.join(placed, ["feature", "value"]).select(key, "feature", "rank")
 
 
@@ -72,9 +106,8 @@ def principal_components(rows: DataFrame, key: str, features: tuple[str, ...] =
 
 def box_stats(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Quartiles and whiskers (the furthest values within 1.5 interquartile ranges) of each feature and set."""
-    long = rows.select("set_id", F.explode(F.create_map(*(x for f in features for x in (F.lit(f), F.col(f))))).alias("feature", "value"))
-    q = long.groupBy("feature", "set_id").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("feature", "set_id", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    long = unpivoted(rows, ["set_id"], features)
+    q = quantiles(long, ["feature", "set_id"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = long.join(q, ["feature", "set_id"]).where(F.col("value").between(F.col("q1") - fence, F.col("q3") + fence))
     return inside.groupBy("feature", "set_id", "q1", "median", "q3").agg(F.min("value").alias("low"), F.max("value").alias("high"))

@@ -57,6 +57,24 @@ def test_constant_features_and_components(spark):
     assert abs(rho["b", "c"] - 1) < 1e-12
 
 
+def test_quantiles_of_ties_nulls_and_infinities(spark):
+    r = np.random.default_rng(3)
+    data = {"a": np.round(r.normal(size=501), 1), "b": np.array([2.0]), "c": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]), "d": np.repeat(7.0, 40)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in data.items() for v in x] + [("a", None), ("e", None)], "g string, v double").repartition(5)
+    got = {x.g: (x.lo, x.mid, x.hi) for x in stats.quantiles(df, ["g"], "v", {"lo": 0.0, "mid": 0.5, "hi": 0.9}).collect()}
+    assert got.keys() == data.keys()
+    assert got["c"] == (-np.inf, 2.0, np.inf)
+    for g in "abd":
+        assert np.allclose(got[g], np.quantile(data[g], [0, 0.5, 0.9]))
+    assert stats.quantiles(df.limit(0), ["g"], "v", {"mid": 0.5}).collect() == []
+
+
+def test_extremes_leave_out_what_is_no_number(spark):
+    df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.0), (4, 1.0), (5, 0.0)], "i long, v double")
+    e = sampling.extremes(df, ("v",), "i", 2)
+    assert rows(e, "side", "place", "i") == [("high", 1, 3), ("high", 2, 4), ("low", 1, 5), ("low", 2, 3)]
+
+
 def test_complete_rows(spark):
     df = spark.createDataFrame([("1", "2"), ("", "1"), ("x", "1"), (" 1.5 ", "inf"), ("NaN", "1"), (None, "1")], "a string, b string")
     assert rows(stats.complete(df, ("a", "b"))) == [(1.0, 2.0), (1.5, math.inf)]
