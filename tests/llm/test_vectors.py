@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sigilframe.llm import crosspoly
-from sigilframe.llm.components import components
+from sigilframe.llm.components import _with_least, components
 
 
 def brute(rows, queries, k=20):
@@ -83,3 +84,33 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 102: 100, 104: 100, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert math.isfinite(len(got))
+
+
+def test_hot_star_is_split(spark):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.files.maxPartitionBytes": "16k",
+        "spark.sql.files.openCostInBytes": "1k",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 40_001, numPartitions=40).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+        rest = spark.range(100_000, 100_500, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        e = star.unionByName(rest).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        joined = _with_least(e, e.groupBy("u").agg(F.min("v").alias("m")))
+        assert len(joined.collect()) == 40_250
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        got = components(star.unionByName(rest))
+        roots = got.groupBy("root").count()
+        assert roots.where("root = 0").first()["count"] == 40_001
+        assert roots.where("root <> 0 and count = 2").count() == 250 and roots.count() == 251
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
