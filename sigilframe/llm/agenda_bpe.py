@@ -8,8 +8,8 @@ Two characters that follow each other in no piece can't be joined, so a text is
 another character, so cuts before SPACE are found by one pattern. Each cut's ids are kept for the process, in a cache bounded by bytes; a long cut without spaces is cut further between any
 two such characters, and its agenda is a heap of integers, so work is n log n and memory linear in the longest cut.
 
-Every Arrow batch is also given to the sentencepiece library, and `agrees` says of each row whether ids and decoded text are the same there.
-The library also normalizes texts for models whose own rules aren't the identity. User-defined and unused pieces aren't supported; a model that has any is refused.
+The library is asked in every Arrow batch for all cuts that are new in it, and `agrees` says of each row whether it gives the same ids and decoded texts for all
+cuts of the row. (Asking it for whole texts took 290 CPU seconds for 0.86 GB here, two thirds of the budget; `whole=True` does that, and tests hold whole texts.) The library also normalizes texts for models whose own rules aren't the identity. User-defined and unused pieces aren't supported; a model that has any is refused.
 No shuffle: one pass over the documents.
 
 Nulls and odd rows: a null or empty text has the end id alone and decodes to the empty text; strings of special pieces are ordinary text, as in the
@@ -29,13 +29,34 @@ from .shared import map_rows
 from .wordbpe import ENTRY
 
 SPACE = "▁"
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"  # a class that cuts may follow where the model's pieces do
+GONE = -1 << 30  # in place of a symbol that was joined to the one before
 LONG = 64  # cuts above it are cut further before they are merged
 MOST_BYTES = 200 << 20
 UNKNOWN_TEXT = " ⁇ "  # what the library shows for the unknown id
 
 
+class Cuts(dict):
+    """The ids, in decimal and joined by spaces, of cuts met by this process; `shown` has the decoded text of those that don't decode to themselves,
+    `new` those that weren't held against the library yet, `odd` those where it differs."""
+
+    def __init__(self, model: AgendaBpe):
+        super().__init__()
+        self.model, self.size, self.shown, self.new, self.odd = model, 0, {}, [], set()
+
+    def __missing__(self, cut: str) -> str:
+        ids = self.model.encode_cut(cut)
+        self.new.append(cut)
+        self[cut] = made = " ".join([str(i) for i in ids])
+        self.size += ENTRY + len(cut) + len(made)
+        if (shown := self.model.decode(ids, start=False)) != cut.replace(SPACE, " "):
+            self.shown[cut] = shown
+            self.size += ENTRY + len(shown)
+        return made
+
+
 class AgendaBpe:
-    """Pieces and scores of a model file. cuts: the ids and the decoded text of cuts met by this process."""
+    """Pieces and scores of a model file. A symbol is a piece's id, or a negative number for a character that is no piece."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -45,45 +66,53 @@ class AgendaBpe:
         if any(lib.is_unused(i) for i in kinds):
             raise ValueError("the model has unused pieces")
         plain = [i for i in kinds if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
-        self.ids = {lib.id_to_piece(i): i for i in plain}
-        self.pieces = {i: p for p, i in self.ids.items()}
+        ids = {lib.id_to_piece(i): i for i in plain}
+        self.text = {i: p.replace(SPACE, " ") for p, i in ids.items()}
         self.bytes = {int(lib.id_to_piece(i)[3:-1], 16): i for i in kinds if lib.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.controls = {i for i in kinds if lib.is_control(i)}
         self.end, self.unknown = lib.eos_id(), lib.unk_id()
         order = {s: k for k, s in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True))}
-        self.turn = {lib.id_to_piece(i): order[lib.get_score(i)] for i in plain if len(lib.id_to_piece(i)) > 1}
-        self.together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.symbol = {p: i for p, i in ids.items() if len(p) == 1}
+        # By two symbols' ids: the place of their joint piece's score in the order of scores, and its id.
+        self.joint = {ids[p[:k]] << 24 | ids[p[k:]]: order[lib.get_score(i)] << 24 | i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        self.together = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
         if any(a != SPACE and b == SPACE for a, b in self.together):
             raise ValueError("a piece holds a space behind another character")
-        self.identity = all(lib.normalize(x) == (SPACE + x.replace(" ", SPACE) if x else "") for x in ("", " ", "  a  b ", "ﬁ é 　\t\r\n​Ａ"))
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-        self.cuts: dict[str, tuple[int, str, str]] = {}
-        self.size = 0
-
-    def merged(self, text: str) -> list[str]:
+        self.identity = all(lib.normalize(x) == (SPACE + x.replace(" ", SPACE) if x else "") for x in ("", " ", "  a  b ", "ﬁ é 　\t\r\n​Ａ"))
+        letter = re.compile(f"[{LETTERS}]").match
+        apart = all(a == SPACE or bool(letter(a)) == bool(letter(b)) for a, b in self.together)
+        self.cut = re.compile(f"{SPACE}*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}]+)|{SPACE}+" if apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        self.cuts = Cuts(self)
+        self.decimal = [str(i) for i in kinds]
+
+    def merged(self, text: str) -> list[int]:
         """The symbols that the agenda leaves of a text."""
-        n, turn = len(text), self.turn
-        symbols, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [turn[p] << 40 | i for i in range(n - 1) if (p := text[i : i + 2]) in turn]
+        n, symbol, joint = len(text), self.symbol, self.joint
+        symbols = [symbol[c] if c in symbol else ~ord(c) for c in text]
+        agenda = [made >> 24 << 40 | i for i in range(n - 1) if (made := joint.get(symbols[i] << 24 | symbols[i + 1])) is not None]
+        if not agenda:
+            return symbols
         heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        symbols.append(GONE)
         while agenda:
             top = heappop(agenda)
             i = top & (1 << 40) - 1
             j = after[i]
-            if symbols[i] is None or j == n or turn.get(symbols[i] + symbols[j], -1) != top >> 40:
+            made = joint.get(symbols[i] << 24 | symbols[j])
+            if made is None or made >> 24 != top >> 40:
                 continue  # one of the two has been joined to another since
-            symbols[i] += symbols[j]
-            symbols[j] = None
+            symbols[i], symbols[j] = made & (1 << 24) - 1, GONE
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (t := turn.get(symbols[i] + symbols[k])) is not None:
-                    heappush(agenda, t << 40 | i)
+                if (made := joint.get(symbols[i] << 24 | symbols[k])) is not None:
+                    heappush(agenda, made >> 24 << 40 | i)
             h = before[i]
-            if h >= 0 and (t := turn.get(symbols[h] + symbols[i])) is not None:
-                heappush(agenda, t << 40 | h)
-        return [s for s in symbols if s is not None]
+            if h >= 0 and (made := joint.get(symbols[h] << 24 | symbols[i])) is not None:
+                heappush(agenda, made >> 24 << 40 | h)
+        return [s for s in symbols if s != GONE]
 
     def apart(self, text: str) -> list[str]:
         """A text cut between characters that follow each other in no piece."""
@@ -91,12 +120,10 @@ class AgendaBpe:
         return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def encode_cut(self, text: str) -> list[int]:
-        out = []
-        for part in self.apart(text) if len(text) > LONG else [text]:
-            for s in self.merged(part):
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.bytes[b] for b in s.encode()] if self.bytes else [self.unknown]
-        return out
+        ids = [i for part in self.apart(text) for i in self.merged(part)] if len(text) > LONG else self.merged(text)
+        if min(ids) < 0:
+            ids = [x for i in ids for x in ([i] if i >= 0 else [self.bytes[b] for b in chr(~i).encode()] if self.bytes else [self.unknown])]
+        return ids
 
     def normalized(self, text: str) -> str:
         if not self.identity:
@@ -106,7 +133,7 @@ class AgendaBpe:
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text without the end id. Unknown symbols that follow each other count as one."""
         ids = [i for c in self.cut(self.normalized(text)) for i in self.encode_cut(c)]
-        return ids if self.bytes else [i for k, (i, _) in enumerate(groupby(ids)) for i in ([i] if i == self.unknown else _)]
+        return ids if self.bytes else [i for i, run in groupby(ids) for i in ([i] if i == self.unknown else run)]
 
     def decode(self, ids: list[int], start: bool = True) -> str:
         """The text of ids; at a text's start, the space that encoding put in front goes. Bytes that are no UTF-8 become U+FFFD each."""
@@ -117,35 +144,45 @@ class AgendaBpe:
                 continue
             for i in run:
                 if i not in self.controls:
-                    out.append(UNKNOWN_TEXT if i == self.unknown else self.pieces[i].replace(SPACE, " "))
+                    out.append(UNKNOWN_TEXT if i == self.unknown else self.text[i])
                     if start and len(out) == 1 and out[0][:1] == " " and i != self.unknown:
                         out[0], start = out[0][1:], False
         return "".join(out)
 
-    def known(self, cut: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and the decoded text of a cut that doesn't start a text."""
-        ids = self.encode_cut(cut)
-        made = len(ids), " ".join(map(str, ids)), self.decode(ids, start=False)
-        self.size += ENTRY + len(cut) + len(made[1]) + len(made[2])
-        self.cuts[cut] = made
-        return made
-
-    def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids with the end id, the ids in decimal, joined by spaces, and the decoded text, of each text."""
-        if self.size > MOST_BYTES:
-            self.cuts.clear()
-            self.size = 0
-        out = []
+    def run(self, texts: list[str]) -> list[tuple[str, str, bool]]:
+        """The ids with the end id, in decimal and joined by spaces, the decoded text, and whether the library agrees on all cuts, of each text."""
+        if self.cuts.size > MOST_BYTES:
+            self.cuts = Cuts(self)
+        end, cuts, shown, out, split = str(self.end), self.cuts, self.cuts.shown, [], []
         for text in texts:
             if not self.bytes:  # unknown symbols of two cuts may meet
                 ids = self.encode(text)
-                out.append((len(ids) + 1, " ".join(map(str, [*ids, self.end])), self.decode(ids)))
+                out.append((" ".join(map(str, [*ids, self.end])), self.decode(ids), True))
                 continue
-            got = [self.cuts.get(c) or self.known(c) for c in self.cut(self.normalized(text))]
-            shown = "".join([g[2] for g in got])
-            out.append((1 + sum([g[0] for g in got]), " ".join([*(g[1] for g in got), str(self.end)]), shown[1:] if shown[:1] == " " else shown))
+            whole = self.normalized(text)
+            parts = self.cut(whole)
+            split.append(parts)
+            ids = " ".join([*[cuts[c] for c in parts], end])
+            back = "".join([shown.get(c) or c.replace(SPACE, " ") for c in parts]) if shown else whole.replace(SPACE, " ")
+            out.append((ids, back[1:] if back[:1] == " " else back, True))
+        self.ask()
+        if cuts.odd:
+            out = [(ids, back, cuts.odd.isdisjoint(parts)) for (ids, back, _), parts in zip(out, split, strict=True)]
         return out
 
+    def ask(self) -> None:
+        """Holds new cuts against the library. It puts SPACE in front of a text: a cut that begins with SPACE is asked for without that one, any other
+        behind a line break, whose ids and text are known."""
+        cuts, lib = self.cuts, self.library
+        texts = [c[1:].replace(SPACE, " ") if c[0] == SPACE else "\n" + c for c in cuts.new]
+        first = lib.encode("\n")
+        theirs = lib.encode(texts, num_threads=1) if texts else []
+        for c, text, ids, back in zip(cuts.new, texts, theirs, lib.decode(theirs, num_threads=1) if texts else [], strict=True):
+            own = cuts[c] if c[0] == SPACE else " ".join([*map(str, first), cuts[c]])
+            if own != " ".join([self.decimal[i] for i in ids]) or back != text:
+                cuts.odd.add(c)
+        cuts.new.clear()
+
 
 def _lenient(raw: bytes) -> str:
     """UTF-8 with one U+FFFD for each byte that starts no character."""
@@ -177,8 +214,9 @@ def model(path: str) -> AgendaBpe:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by spaces, the end id last), decoded, and agrees: whether the library gives the same ids and text."""
+def encode(docs: DataFrame, path: str, whole: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by spaces, the end id last), decoded, and agrees: whether the library gives the same ids and texts, of
+    each cut, or with `whole` of the whole text."""
 
     def make():
         m = model(path)
@@ -186,10 +224,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         def batch(cols: dict) -> dict:
             texts = cols["text"]
             got = m.run(texts)
-            theirs = m.library.encode(texts, add_eos=True, num_threads=1)
-            shown = m.library.decode(theirs, num_threads=1) if theirs else []
-            same = [g[1] == " ".join(map(str, i)) and g[2] == d for g, i, d in zip(got, theirs, shown, strict=True)]
-            return {"doc_id": cols["doc_id"], "n_tokens": [g[0] for g in got], "ids": [g[1] for g in got], "decoded": [g[2] for g in got], "agrees": same}
+            same = [g[2] for g in got]
+            if whole and texts:
+                theirs = m.library.encode(texts, add_eos=True, num_threads=1)
+                same = [g[0] == " ".join(map(str, i)) and g[1] == b for g, i, b in zip(got, theirs, m.library.decode(theirs, num_threads=1), strict=True)]
+            return {"doc_id": cols["doc_id"], "n_tokens": [g[0].count(" ") + 1 for g in got], "ids": [g[0] for g in got], "decoded": [g[1] for g in got], "agrees": same}
 
         return batch
 
