@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import agenda_bpe, bitplane, crosspoly, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
+from . import agenda_bpe, bitplane, crosspoly, gridcode, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
 from .shared import documents
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op12_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridcode.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agenda_bpe.digest(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -70,10 +74,12 @@ QUERIES = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_language_id": op10_language_id,
+    "op12_grid_codes": op12_grid_codes,
     "op13_agenda_pieces": op13_agenda_pieces,
 }
 
 ORACLES = {
     "op3_secret_scan": secrets.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
+    "op12_grid_codes": gridcode.ORACLE,
 }
