@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import agenda_bpe, bitplane, crosspoly, gridcode, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
+from . import agenda_bpe, bitplane, blockmax, crosspoly, gridcode, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
 from .shared import documents
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridcode.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_language_id": op10_language_id,
+    "op11_block_max": op11_block_max,
     "op12_grid_codes": op12_grid_codes,
     "op13_agenda_pieces": op13_agenda_pieces,
 }
@@ -81,5 +86,6 @@ QUERIES = {
 ORACLES = {
     "op3_secret_scan": secrets.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
+    "op11_block_max": blockmax.ORACLE,
     "op12_grid_codes": gridcode.ORACLE,
 }
