@@ -171,14 +171,15 @@ class AgendaBpe:
         return out
 
     def ask(self) -> None:
-        """Holds new cuts against the library. It puts SPACE in front of a text: a cut that begins with SPACE is asked for without that one, any other
-        behind a line break, whose ids and text are known."""
+        """Holds new cuts against the library. It puts SPACE in front of a text: a cut that begins with SPACE is asked for without that one, any other,
+        and SPACE alone, behind a line break, whose ids and text are known."""
         cuts, lib = self.cuts, self.library
-        texts = [c[1:].replace(SPACE, " ") if c[0] == SPACE else "\n" + c for c in cuts.new]
+        asked = [c[1:] if c[0] == SPACE != c else "\n" + c for c in cuts.new]
+        texts = [t.replace(SPACE, " ") for t in asked]
         first = lib.encode("\n")
         theirs = lib.encode(texts, num_threads=1) if texts else []
         for c, text, ids, back in zip(cuts.new, texts, theirs, lib.decode(theirs, num_threads=1) if texts else [], strict=True):
-            own = cuts[c] if c[0] == SPACE else " ".join([*map(str, first), cuts[c]])
+            own = cuts[c] if c[0] == SPACE != c else " ".join([*map(str, first), cuts[c]])
             if own != " ".join([self.decimal[i] for i in ids]) or back != text:
                 cuts.odd.add(c)
         cuts.new.clear()
