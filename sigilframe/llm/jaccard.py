@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .components import components
 from .shared import fresh, map_rows, parts_for, stored
@@ -71,21 +72,7 @@ LIMITS = Limits()
 
 LOW = np.uint64(127)  # the lowest bits of a signature name its size class
 
-BLANK = np.zeros(256, bool)
-BLANK[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2 ** 64, and of its inverse."""
-    if len(_POWERS["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+GAP = re.compile(rb"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,32 +83,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word: a polynomial of its bytes, taken as a difference of running sums."""
-    if len(raw) > CHUNK:
-        cut = max(raw.rfind(s, 0, CHUNK) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut < 0:
-            m = re.compile(rb"[ \t-\r]").search(raw, CHUNK)
-            cut = m.start() if m else -1
-        if cut >= 0:
-            out = []
-            while cut >= 0:
-                out.append(word_hashes(raw[:cut]))
-                raw = raw[cut + 1 :]
-                cut = -1
-                if len(raw) > CHUNK:
-                    cut = max(raw.rfind(s, 0, CHUNK) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-                    if cut < 0:
-                        m = re.compile(rb"[ \t-\r]").search(raw, CHUNK)
-                        cut = m.start() if m else -1
-            return np.concatenate([*out, word_hashes(raw)])
-    b = np.frombuffer(raw, np.uint8)
-    gap = np.concatenate([[True], BLANK[b], [True]])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b + np.uint64(1)) * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    """A hash of each word, by XXH3; a long text is split in parts of about CHUNK bytes."""
+    out, at = [], 0
+    while at < len(raw):
+        cut = GAP.search(raw, at + CHUNK)
+        words = raw[at : cut.start() if cut else len(raw)].split()
+        out.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = cut.start() if cut else len(raw)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
