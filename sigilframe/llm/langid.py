@@ -33,7 +33,12 @@ EMBEDDING = 6
 PER_LANG = 400
 MOST_LANGS = 1000  # the most frequent ones are learned
 PER_DOC = 4
-LETTER = re.compile(r"[^\W\d_]")
+FILL = 0.9  # the least score of a prediction that stands in for a null lang
+CANDIDATE = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in CANDIDATE.finditer(text))
 
 
 def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +170,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, mos
             out = []
             for text in cols["text"]:
                 x, _ = cut(text)
-                out.append(x[np.unique(np.linspace(0, len(x) - 1, min(per_doc, len(x))).astype(int))].tobytes() if LETTER.search(text) else b"")
+                out.append(x[np.unique(np.linspace(0, len(x) - 1, min(per_doc, len(x))).astype(int))].tobytes() if has_letter(text) else b"")
             return {"lang": cols["lang"], "doc_id": cols["doc_id"], "w": out}
 
         return windows
@@ -190,7 +195,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str] | None = N
         def batch(cols: dict) -> dict:
             texts = cols["text"]
             best = [(UNKNOWN, 0.0)] * len(texts)
-            live = [i for i, t in enumerate(texts) if run and t and LETTER.search(t)]
+            live = [i for i, t in enumerate(texts) if run and t and has_letter(t)]
             for group in _groups(live, texts):
                 cuts = [cut(texts[i]) for i in group]
                 p = run(np.concatenate([c[0] for c in cuts]))
@@ -224,11 +229,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """A filtering stage: the rows and columns of docs whose language could be told; rejects null texts and texts without a letter. Which language
-    is predicted doesn't decide; without labelled rows there is no model, and every text with a letter stays."""
+def keep_known(docs: DataFrame, fill: float = FILL) -> DataFrame:
+    """A filtering stage: the rows and columns of docs whose language could be told; rejects null texts and texts without a letter. A null lang becomes
+    the language predicted, where its score is `fill` or more; a lang that is given stays. Without labelled rows there is no model, and every text with a letter stays as it is."""
     net = train(docs)
     if net is None:
-        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as LETTER
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, score = fresh(docs, "_lang", "_score")
-    return predict(docs, net, docs.columns, lang, score).where(F.col(lang) != UNKNOWN).select(*docs.columns)
+    told = predict(docs, net, docs.columns, lang, score).where(F.col(lang) != UNKNOWN)
+    known = F.coalesce("lang", F.when(F.col(score) >= fill, F.col(lang))).alias("lang")
+    return told.select(*(known if c == "lang" else c for c in docs.columns))

@@ -112,12 +112,12 @@ def test_near_copies_of_five_words_and_four_fifths(spark):
 
 
 def test_unlabelled_documents_stay(spark):
-    rows = [(1, "some words here", None), (2, "12 345 _ !", None), (3, None, None), (4, "東京", None), (5, "", None), (6, "x²", None), (7, "ünï", None)]
+    rows = [(1, "some words here", None), (2, "12 345 _ !", None), (3, None, None), (4, "東京", None), (5, "", None), (6, "x²", None), (7, "ünï", None), (8, "½ ① Ⅷ", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = corpus_pipeline.language_id(spark, docs, SF)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4, 6, 7}
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and hilbert.LENGTH == 2048
