@@ -128,18 +128,20 @@ def _with_parse(rows: DataFrame, key: str) -> DataFrame:
 
 
 def colour_problems(rows: DataFrame, markup: str, key: str, palette: list[str]) -> DataFrame:
-    """(key, colours): fills and strokes outside the grid layer that the palette lacks, in order; none and transparent are fine."""
-    known = F.array(*(F.lit(c.lower()) for c in palette), F.lit("none"), F.lit("transparent"), F.lit(""))
+    """(key, colours): fills and strokes outside the grid layer that the palette lacks, in order; none and white and black in short form are fine."""
+    known = F.array(*(F.lit(c.lower()) for c in (*palette, "#fff", "#000", "none")))
     grid = _layer(F.col(markup), "grid")
     drawn = F.when(grid != "", F.replace(markup, grid)).otherwise(F.col(markup))
     return rows.select(key, F.array_sort(F.array_except(_colours(drawn), known)).alias("colours")).where("size(colours) > 0")
 
 
 def _colours(markup: Column) -> Column:
-    return F.regexp_extract_all(F.lower(markup), F.lit(r'\b(?:fill|stroke)="([^"]*)"'), F.lit(1))
+    """Values of fill and stroke, in small letters, in either kind of quotes."""
+    found = (F.regexp_extract_all(F.lower(markup), F.lit(rf"(?<![\w-])(?:fill|stroke)\s*=\s*{q}([^{q}]*){q}"), F.lit(1)) for q in "\"'")
+    return F.concat(*found)
 
 
-def line_problems(rows: DataFrame, markup: str, key: str, allowed: tuple[str, ...] = ("#000", "#000000", "black", "none", "transparent", "")) -> DataFrame:
+def line_problems(rows: DataFrame, markup: str, key: str, allowed: tuple[str, ...] = ("#000", "#000000", "black", "none")) -> DataFrame:
     """(key, colours): fills and strokes of the line layers other than black, in order."""
     both = F.concat(_layer(F.col(markup), "line"), F.lit(" "), _layer(F.col(markup), "line-supplement"))
     return rows.select(key, F.array_sort(F.array_except(_colours(both), F.array(*(F.lit(c) for c in allowed)))).alias("colours")).where("size(colours) > 0")

@@ -124,9 +124,10 @@ def layered(spark: SparkSession, d: str) -> DataFrame:
     """Parts as layered drawings with one fault each, by the key modulo 12."""
     n = F.col("p_partkey") % 12
     fault = lambda k, bad, good: F.when(n == k, bad).otherwise(good)
+    stroke = F.when(n == 6, '"#ff0000"').when(n == 11, '"transparent"').when(n == 3, "'#00ff00'").when(n == 9, '"#000"').otherwise('"#000000"')
     pieces = [
-        F.lit('<svg id="'), fault(1, "other", "emoji"), F.lit('" viewBox="0 0 72 72"><g id="grid"><path stroke="#b3b3b3" /></g>'), fault(2, "", '<g id="color"><path fill="#FCEA2B" /></g>'), fault(3, '<g id="colour" />', ""),
-        fault(4, "<path />", ""), fault(5, '<g id="skin"><path fill="#fcea2b" fill="none" /></g>', '<g id="skin"><path fill="#a57939" /></g>'), F.lit('<g id="line"><path stroke="'), fault(6, "#ff0000", "#000000"), F.lit('" fill="none" /></g>'), fault(7, '<g id="line" />', ""),
+        F.lit('<svg id="'), fault(1, "other", "emoji"), F.lit('" viewBox="0 0 72 72"><g id="grid"><path stroke="#b3b3b3" /></g>'), fault(2, "", '<g id="color"><path fill="#FCEA2B" stroke="#FFF" /></g>'), fault(3, '<g id="colour" />', ""),
+        fault(4, "<path />", ""), fault(5, '<g id="skin"><path fill="#fcea2b" fill="none" /></g>', '<g id="skin"><path fill="#a57939" /></g>'), F.lit('<g id="line"><path stroke='), stroke, F.lit(' fill="'), fault(8, "", "none"), F.lit('" /></g>'), fault(7, '<g id="line" />', ""),
         fault(8, "<style />", ""), fault(9, "", "</svg>"),
     ]
     return table(spark, d, "part").select("p_partkey", n.alias("n"), F.concat(*pieces).alias("svg"))
@@ -224,51 +225,67 @@ SELECT o.l_orderkey, 'familiarity' AS field, coalesce(t || '0', '') AS value, co
 SYMBOLS = symbols.Symbols(
     chars={
         "person": {"w": 64, "h": 160, "d": [{"form": "line", "x1": 0, "y1": 0, "x2": 64, "y2": 160}]}, "house": {"w": 96, "h": 160, "d": "wall"}, "indicator_plural": {"w": 16, "d": []}, "indicator_action": {"w": 24, "d": []},
-        "comma": {"w": 16, "h": 40, "d": []}, "question_mark": {"w": 32, "h": 160, "d": []},
+        "comma": {"w": 16, "h": 40, "d": []}, "question_mark": {"w": 32, "h": 160, "d": []}, "sun": {"w": 64, "h": 160, "d": [{"form": "circle", "x": 32, "y": 96, "r": 24}, {"form": "dot", "x": 32, "y": 96}, {"form": "disc", "x": 8, "y": 8, "r": 6.5}]},
+        "river": {"w": 80, "h": 200, "d": [
+            {"x": 4, "y": 8, "d": [{"form": "arc", "x1": 0, "y1": 64, "x2": 40, "y2": 64, "rx": 20, "ry": 10}, {"form": "bigarc", "x1": 0, "y1": 100, "x2": 30, "y2": 70, "rx": 15.5, "ry": 15.5}]},
+            {"form": "quadratic", "x1": 0, "y1": 64, "qx": 20, "qy": 90, "x2": 40, "y2": 64}, {"form": "text", "x": 0, "y": 40, "w": 20, "h": 16, "fontsize": 16, "text": "<1>"},
+        ]},
     },
-    words={"people": ["person", "indicator_plural"], "home": ["people", "house"]},
+    words={"people": ["person", "indicator_plural"], "home": ["people", "house"], "loop": ["person", "around"], "around": ["loop"], "deep": ["deep0"]} | {f"deep{i}": [f"deep{i + 1}"] for i in range(99)} | {"deep99": ["person"]},
     shapes={"wall": [{"form": "line", "x1": 0, "y1": 160, "x2": 96, "y2": 160}]},
 )
-SPELLED = (["house"], ["person", "indicator_plural"], ["people", "comma"], ["indicator_action", "people"], ["home", "indicator_action"], ["nowhere"])
+SPELLED = (["house"], ["person", "indicator_plural"], ["people", "comma"], ["indicator_action", "people"], ["home", "indicator_action"], ["nowhere"], ["sun"], ["river", "indicator_plural"], ["loop"], ["deep"])
 
 
 def spelled(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as words of one of six spellings."""
-    choice = F.get(F.array(*(F.array(*(F.lit(x) for x in s)) for s in SPELLED)), (F.col("p_partkey") % 6).cast("int"))
+    """Parts as words of one of ten spellings: one contains itself, one is a hundred words deep."""
+    choice = F.get(F.array(*(F.array(*(F.lit(x) for x in s)) for s in SPELLED)), (F.col("p_partkey") % 10).cast("int"))
     return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("word"), choice.alias("parts"))
 
 
 def word_expansion(spark: SparkSession, d: str) -> DataFrame:
     x = symbols.expanded(spelled(spark, d), SYMBOLS)
-    return x.select("word", "pos", F.concat_ws("+", "name", "indicators").alias("name"))
+    return x.select("word", "pos", F.coalesce("error", F.concat_ws("+", "name", "indicators")).alias("name"))
 
 
-EXPANDED = """SELECT CAST(p_partkey AS VARCHAR) AS word, x.pos AS pos, x.name AS name FROM (SELECT p_partkey, unnest(CASE p_partkey % 6 WHEN 0 THEN [{'pos': 0, 'name': 'house'}] WHEN 1 THEN [{'pos': 0, 'name': 'person+indicator_plural'}] WHEN 2 THEN [{'pos': 0, 'name': 'person+indicator_plural'}, {'pos': 1, 'name': 'comma'}]
- WHEN 3 THEN [{'pos': 0, 'name': 'indicator_action'}, {'pos': 1, 'name': 'person+indicator_plural'}] WHEN 4 THEN [{'pos': 0, 'name': 'person+indicator_action+indicator_plural'}, {'pos': 1, 'name': 'house'}] ELSE [{'pos': 0, 'name': 'question_mark'}] END) AS x FROM part)"""
+LOOPS = "the word loop contains itself"
+EXPANDED = f"""SELECT CAST(p_partkey AS VARCHAR) AS word, x.pos AS pos, x.name AS name FROM (SELECT p_partkey, unnest(CASE p_partkey % 10 WHEN 0 THEN [{{'pos': 0, 'name': 'house'}}] WHEN 1 THEN [{{'pos': 0, 'name': 'person+indicator_plural'}}] WHEN 2 THEN [{{'pos': 0, 'name': 'person+indicator_plural'}}, {{'pos': 1, 'name': 'comma'}}]
+ WHEN 3 THEN [{{'pos': 0, 'name': 'indicator_action'}}, {{'pos': 1, 'name': 'person+indicator_plural'}}] WHEN 4 THEN [{{'pos': 0, 'name': 'person+indicator_action+indicator_plural'}}, {{'pos': 1, 'name': 'house'}}] WHEN 5 THEN [{{'pos': 0, 'name': 'question_mark'}}] WHEN 6 THEN [{{'pos': 0, 'name': 'sun'}}] WHEN 7 THEN [{{'pos': 0, 'name': 'river+indicator_plural'}}]
+ WHEN 8 THEN [{{'pos': NULL, 'name': '{LOOPS}'}}] ELSE [{{'pos': 0, 'name': 'person'}}] END) AS x FROM part)"""
 
 
 def word_layout(spark: SparkSession, d: str) -> DataFrame:
     return symbols.laid_out(spelled(spark, d), SYMBOLS)
 
 
-# By hand: 32 between characters, 24 before a comma, nothing where no zone meets; indicators centred above theirs, 16 apart.
+# By hand: 32 between characters, 24 before a comma, nothing where no zone meets; indicators centred above theirs, 16 apart, raised where that is higher than 192.
 PLACED = {
-    0: [("house", 0)], 1: [("person", 0), ("indicator_plural", 24)], 2: [("person", 0), ("indicator_plural", 24), ("comma", 88)], 3: [("indicator_action", 0), ("person", 56), ("indicator_plural", 80)],
-    4: [("person", 0), ("indicator_action", 4), ("indicator_plural", 44), ("house", 96)], 5: [("question_mark", 0)],
+    0: [("house", 0, 0)], 1: [("person", 0, 0), ("indicator_plural", 24, 0)], 2: [("person", 0, 0), ("indicator_plural", 24, 0), ("comma", 88, 0)], 3: [("indicator_action", 0, 0), ("person", 56, 0), ("indicator_plural", 80, 0)],
+    4: [("person", 0, 0), ("indicator_action", 4, 0), ("indicator_plural", 44, 0), ("house", 96, 0)], 5: [("question_mark", 0, 0)], 6: [("sun", 0, 0)], 7: [("river", 0, 0), ("indicator_plural", 32, 8)], 9: [("person", 0, 0)],
 }
-LAID_OUT = "WITH v(k, pos, name, x) AS (VALUES " + ", ".join(f"({k}, {i}, '{n}', {x})" for k, v in PLACED.items() for i, (n, x) in enumerate(v)) + ") SELECT CAST(p_partkey AS VARCHAR) AS word, CAST(pos AS INTEGER) AS pos, name, CAST(x AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM part JOIN v ON v.k = p_partkey % 6"
+LAID_OUT = "WITH v(k, pos, name, x, y) AS (VALUES " + ", ".join(f"({k}, {i}, '{n}', {x}, {y})" for k, v in PLACED.items() for i, (n, x, y) in enumerate(v)) + f") SELECT CAST(p_partkey AS VARCHAR) AS word, CAST(pos AS INTEGER) AS pos, name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CASE WHEN p_partkey % 10 = 8 THEN '{LOOPS}' END AS error FROM part LEFT JOIN v ON v.k = p_partkey % 10"
 
 
 def word_drawings(spark: SparkSession, d: str) -> DataFrame:
     return symbols.drawings(spelled(spark, d), SYMBOLS)
 
 
-def _drawn(width: int, *lines: tuple[int, int, int, int]) -> str:
-    body = "".join(f'<line class="symbol-line" x1="{a}" y1="{b}" x2="{c}" y2="{e}"/>' for a, b, c, e in lines)
-    return f"'<svg xmlns=\"http://www.w3.org/2000/svg\" viewBox=\"-32 -32 {width + 64} 384\">{body}</svg>'"
+def _drawn(width: int, *body: tuple[int, int, int, int] | str) -> str:
+    shown = "".join(x if isinstance(x, str) else '<line class="symbol-line" x1="{}" y1="{}" x2="{}" y2="{}"/>'.format(*x) for x in body)
+    return f"'<svg xmlns=\"http://www.w3.org/2000/svg\" viewBox=\"-32 -32 {width + 64} 384\">{shown}</svg>'"
 
 
-DRAWN = f"SELECT CAST(p_partkey AS VARCHAR) AS word, CASE p_partkey % 6 WHEN 0 THEN {_drawn(96, (0, 160, 96, 160))} WHEN 1 THEN {_drawn(64, (0, 320, 64, 160))} WHEN 2 THEN {_drawn(104, (0, 320, 64, 160))} WHEN 3 THEN {_drawn(120, (56, 320, 120, 160))} WHEN 4 THEN {_drawn(192, (0, 320, 64, 160), (96, 160, 192, 160))} ELSE {_drawn(32)} END AS svg FROM part"
+# By hand: heights count from 320 down, a group's offset is added, a text is centred on half its width and stands on its height.
+SUN = ('<circle class="symbol-line" cx="32" cy="224" r="24"/>', '<circle class="symbol-dot" cx="32" cy="224" r="4"/>', '<circle class="symbol-disc" cx="8" cy="312" r="6.5"/>')
+RIVER = (
+    '<path class="symbol-line" d="M 4,248 A 20,10 0 0,0 44,248"/>', '<path class="symbol-line" d="M 4,212 A 15.5,15.5 0 1,0 34,242"/>', '<path class="symbol-line" d="M 0,256 Q 20,230 40,256"/>',
+    '<text class="symbol-text" text-anchor="middle" x="10" y="296" style="font-size:16">&lt;1&gt;</text>',
+)
+BODIES = {
+    0: _drawn(96, (0, 160, 96, 160)), 1: _drawn(64, (0, 320, 64, 160)), 2: _drawn(104, (0, 320, 64, 160)), 3: _drawn(120, (56, 320, 120, 160)), 4: _drawn(192, (0, 320, 64, 160), (96, 160, 192, 160)), 5: _drawn(32), 6: _drawn(64, *SUN),
+    7: _drawn(80, *RIVER), 9: _drawn(64, (0, 320, 64, 160)),
+}
+DRAWN = "SELECT CAST(p_partkey AS VARCHAR) AS word, CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in BODIES.items()) + f" END AS svg, CASE WHEN p_partkey % 10 = 8 THEN '{LOOPS}' END AS error FROM part"
 
 
 def grid_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -279,6 +296,9 @@ def grid_rows(spark: SparkSession, d: str) -> DataFrame:
 GRID = """WITH b AS (SELECT n_nationkey, n_nationkey * 30.0::DOUBLE AS r, unnest(range(-1, CAST(ceil(greatest(n_nationkey * 30, 320) / 80.0) AS BIGINT) + 1)) AS i FROM nation), l AS (SELECT n_nationkey, r, i * 80.0::DOUBLE AS a, CASE WHEN i % 4 = 0 THEN 'major' ELSE 'minor' END AS kind FROM b)
 SELECT n_nationkey, kind, a AS x1, 0.0::DOUBLE AS y1, a AS x2, 320.0::DOUBLE AS y2 FROM l WHERE a <= r UNION ALL SELECT n_nationkey, kind, -20.0::DOUBLE, a, r, a FROM l WHERE a <= 320"""
 
+# Neither transparent nor an empty value is a colour of the palette or black; white and black in short form are, and single quotes hold values too.
+COLOURS = "SELECT p_partkey, CASE p_partkey % 12 WHEN 3 THEN '#00ff00' WHEN 6 THEN '#ff0000' WHEN 8 THEN '' ELSE 'transparent' END AS colours FROM part WHERE p_partkey % 12 IN (3, 6, 8, 11)"
+
 QUERIES = {
     "record_text": (record_text, TEXT),
     "emoji_published": (emoji_published, PUBLISHED),
@@ -294,8 +314,8 @@ QUERIES = {
     "pair_sheet": (pair_sheet, f"SELECT * FROM ({feature_queries.QUERIES['closest_pairs_all'][1]}) WHERE rank <= 24"),
     "files_below": (files_below, BELOW),
     "layer_checks": (layer_checks, LAYER_SQL),
-    "palette_checks": (palette_checks, "SELECT p_partkey, '#ff0000' AS colours FROM part WHERE p_partkey % 12 = 6"),
-    "line_checks": (line_checks, "SELECT p_partkey, '#ff0000' AS colours FROM part WHERE p_partkey % 12 = 6"),
+    "palette_checks": (palette_checks, COLOURS),
+    "line_checks": (line_checks, COLOURS),
     "skin_checks": (skin_checks, "SELECT p_partkey, CASE p_partkey % 12 WHEN 10 THEN 'no_skin_layer' ELSE 'untoned_colour' END AS problem FROM part WHERE p_partkey % 12 IN (5, 10)"),
     "code_checks": (code_checks, "SELECT p_partkey, '42-' || upper(to_hex(CAST(p_partkey + 126976 AS BIGINT))) AS hexcode FROM part WHERE p_partkey % 9 = 4"),
     "item_reviews": (item_reviews, ITEM_REVIEWS),

@@ -169,15 +169,40 @@ def test_symbol_words(spark):
     assert DB.expand(["ab", "indicator_x"])[0] == [("a", ["indicator_x"]), ("b", [])]
     assert DB.expand(["now", "unknown"])[0] == [("now", []), ("question_mark", [])]
     assert DB.expand(["indicator_x"])[0] == [("indicator_x", [])]
-    with pytest.raises(ValueError):
-        symbols.Symbols({}, {"x": ["x"]}).expand(["x"])
-    assert DB.gap("one(digit)", "one(digit)") == 16 and DB.gap("a", "b") == 32 and DB.gap(None, "a") == 0
-    got = DB.layout(["a", "indicator_x", "b"])
-    assert got["placed"] == [(0.0, 0.0, "a"), (12.0, 0.0, "indicator_x"), (72.0, 0.0, "b")] and got["right"] == 92
-    assert 'y1="256"' in DB.drawing(["a"])
-    df = spark.createDataFrame([("w", ["nested"])], "word string, parts array<string>")
-    assert rows(symbols.expanded(df, DB), "pos", "name") == [(0, "a"), (1, "b"), (2, "a")]
-    assert symbols.drawings(df, DB).first().svg.startswith("<svg")
+    assert DB.expand(["ab", "ab"])[0] == [("a", []), ("b", [])] * 2  # a word twice is no circle
+    with pytest.raises(symbols.Circular):
+        symbols.Symbols({}, {"x": ["y", "x"], "y": []}).expand(["x"])
+    deep = symbols.Symbols({"a": {"w": 1}}, {f"w{i}": [f"w{i + 1}"] for i in range(5000)} | {"w5000": ["a"]})
+    assert deep.expand(["w0"]) == ([("a", [])], [])
+    df = spark.createDataFrame([("w", ["nested"]), ("x", ["a", "indicator_x", "b"]), ("digits", ["one(digit)", "one(digit)"]), ("ring", ["ring"]), ("none", [])], "word string, parts array<string>")
+    db = symbols.Symbols(DB.chars, DB.words | {"ring": ["a", "ring"]}, paths=DB.paths)
+    assert rows(symbols.expanded(df.where("word = 'w'"), db), "pos", "name") == [(0, "a"), (1, "b"), (2, "a")]
+    placed = {}
+    for r in symbols.laid_out(df, db).orderBy("word", "pos").collect():
+        placed.setdefault(r.word, []).append((r.name, r.x, r.y, r.error))
+    assert placed["x"] == [("a", 0.0, 0.0, None), ("indicator_x", 12.0, 0.0, None), ("b", 72.0, 0.0, None)]
+    assert placed["digits"] == [("one(digit)", 0.0, 0.0, None), ("one(digit)", 46.0, 0.0, None)]
+    assert placed["ring"] == [(None, None, None, "the word ring contains itself")] and "none" not in placed
+    drawn = {r.word: (r.svg, r.error) for r in symbols.drawings(df, db).collect()}
+    assert 'y1="256"' in drawn["x"][0] and 'viewBox="-32 -32 156 384"' in drawn["x"][0]
+    assert drawn["ring"] == (None, "the word ring contains itself") and drawn["none"][0].endswith('viewBox="-32 -32 64 384"></svg>')
+
+
+def test_symbol_forms(spark):
+    """Names, lists, groups with offsets and all forms; a drawing that leads back to itself is told."""
+    db = symbols.Symbols(
+        {"c": {"w": 10, "d": ["s", {"x": 1, "y": 2, "d": {"x": 10, "d": "s"}}, {"form": "odd", "x": 1}]}, "wide": {"w": 50, "d": [{"form": "text", "x": 5, "y": 20, "w": 9, "h": 7, "fontsize": 12.5, "text": "a & b"}, {"form": "dot", "x": 1, "y": 1, "r": 99}]}},
+        {}, shapes={"s": [{"form": "circle", "x": 3, "y": 4, "r": 2}], "round": "trip", "trip": ["round"]},
+    )
+    assert [(f["x"], f["dx"], f["dy"]) for f in db.forms("c")] == [(3, 0, 0), (3, 11, 2), (1, 0, 0)]
+    with pytest.raises(symbols.Circular):
+        db.forms("round")
+    svg = {r.word: r.svg for r in symbols.drawings(spark.createDataFrame([("c", ["c"]), ("wide", ["wide"])], "word string, parts array<string>"), db, radius=3).collect()}
+    assert svg["c"].endswith('><circle class="symbol-line" cx="3" cy="316" r="2"/><circle class="symbol-line" cx="14" cy="314" r="2"/></svg>')
+    assert svg["wide"].endswith('><text class="symbol-text" text-anchor="middle" x="9.5" y="307" style="font-size:12.5">a &amp; b</text><circle class="symbol-dot" cx="1" cy="319" r="3"/></svg>')
+
+
+def test_symbol_grid_and_parts(spark):
     lines = [tuple(r)[4:] for r in symbols.grid_lines(spark.createDataFrame([(0.0, 320.0, 0.0, 320.0)], "left double, right double, top double, bottom double"), 2).collect()]
     assert ("major", 0.0, 0.0, 0.0, 320.0) in lines and len(lines) == 6
     assert symbols.word_parts('words = {"a,b": ["x", "y"], "c": []}') == {"a,b": ["x", "y"], "c": []}
