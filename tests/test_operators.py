@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigilframe.functions import raster as R
-from sigilframe.operators import catalog, drawings, graph, ocr, quality, raster, records, sampling, similarity, stats, symbols
+from sigilframe.operators import catalog, drawings, graph, nearby, ocr, quality, raster, records, sampling, similarity, stats, symbols
 from sigilframe.schema import FEATURES
 
 
@@ -23,9 +23,11 @@ def feature_rows(spark, n=60, seed=0):
 @pytest.mark.parametrize("block", [2048, 16])
 def test_neighbours_and_pairs_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(nearby, "BLOCK", block)
+    monkeypatch.setattr(nearby, "EACH", 3 * block)
     df, data = feature_rows(spark)
     x = np.array([d[3:] for d in data])
-    d = similarity.euclidean(x, x)
+    d = nearby.direct(x, x)
     near = rows(similarity.neighbours(df, list(FEATURES), "idx", 4), "source", "rank", "target")
     want = []
     for i in range(len(x)):
@@ -40,9 +42,42 @@ def test_neighbours_and_pairs_in_blocks(spark, monkeypatch, block):
     assert m.count() == len(x) ** 2 and m.where("source = target and distance <> 0").count() == 0
 
 
+def test_cosine_neighbours_of_zero_and_broken_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "BLOCK", 8)
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(size=(40, 3)), np.zeros((2, 3)), np.full((30, 3), 2.0), 3 * np.eye(3)])
+    bad = [(900, None, 1.0, 1.0), (901, math.nan, 1.0, 1.0), (902, math.inf, 1.0, 1.0)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + bad, "idx long, a double, b double, c double")
+    for metric, of in (("cosine", similarity.cosine), ("euclidean", nearby.direct)):
+        d = np.round(of(x, x), 12)
+        got = {}
+        for row in similarity.neighbours(df, ["a", "b", "c"], "idx", 6, metric).orderBy("source", "rank").collect():
+            got.setdefault(row.source, []).append(round(row.distance, 9))
+        want = {i: sorted(round(v, 9) for j, v in enumerate(d[i]) if j != i)[:6] for i in range(len(x))}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[i], want[i], atol=1e-8) for i in want)
+    assert similarity.neighbours(df.limit(0), ["a", "b", "c"], "idx").collect() == []
+    assert similarity.neighbours(df.limit(1), ["a", "b", "c"], "idx").collect() == []
+
+
+def test_searches_visit_few_blocks(spark, monkeypatch):
+    """Of 40 clusters a vector's neighbours are in its own; most blocks are never visited."""
+    monkeypatch.setattr(nearby, "BLOCK", 50)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(40, 3))[r.integers(0, 40, 2000)] * 20 + r.normal(size=(2000, 3)) * 0.2
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "idx long, a double, b double, c double")
+    at = nearby.blocked(df, ["a", "b", "c"], "idx", 6)
+    assert len(at.low) == 40 and at.table.groupBy("block").count().agg(F.max("count")).first()[0] <= 50
+    d = nearby.direct(x, x)
+    bound = spark.createDataFrame([(i, float(np.sort(v)[5])) for i, v in enumerate(d)], "qid long, bound double")
+    assert nearby.visits(at, at.table.join(bound, "qid")).count() < 2000 * 40 / 10
+    near = similarity.neighbours(df, ["a", "b", "c"], "idx", 5).orderBy("source", "rank").collect()
+    assert [n.target for n in near] == [j for i in range(2000) for j in [int(j) for j in np.argsort(d[i], kind="stable") if j != i][:5]]
+
+
 def test_distances():
     a = np.array([[0.0, 0.0], [3.0, 4.0], [6.0, 8.0]])
-    assert similarity.euclidean(a, a)[0, 1] == 5
+    assert nearby.direct(a, a)[0, 1] == 5
     c = similarity.cosine(a, a)
     assert c[0, 1] == 1 and abs(c[1, 2]) < 1e-12 and np.allclose(c, c.T)
 
