@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigilframe.sources.folders import shared_folder
+from sigilframe.sources.folders import new_path, shared_folder
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -16,6 +16,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts a round's lineage by a table in the shared folder: one job, where a checkpoint computes its rows twice."""
+    path = new_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all nodes that roots (node) lead to over edges (parent, child), at their least depth; cycles end by themselves.
     A round joins the last frontier only."""
@@ -49,3 +56,29 @@ def files_below(members: DataFrame, roots: DataFrame) -> DataFrame:
     down = members.where("kind = 'category'").select(F.col("category").alias("parent"), F.col("title").alias("child"))
     at = reachable(down, roots)
     return members.where("kind = 'file'").join(at, F.col("category") == F.col("node"), "left_semi").select("title").distinct()
+
+
+def rooted(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up) whose roots are their own up: each round goes up four times as far."""
+    at = written(parents.select("node", "up"))
+    while True:
+        on = [at.select(F.col("node").alias(a), F.col("up").alias(b)) for a, b in (("up", "top"), ("top", "peak"), ("peak", "roof"))]
+        step = at.join(on[0], "up").join(on[1], "top").join(on[2], "peak")
+        at = written(step.select("node", F.col("roof").alias("up"), (F.col("up") != F.col("roof")).alias("moved")))
+        if at.where("moved").isEmpty():
+            return at.select("node", F.col("up").alias("root"))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node with a link to another; root is the smallest node of its component. Each round ties a node to its smallest neighbour, if that is
+    smaller than itself, and goes on with the links between the roots of these trees, so at most half of the nodes are left. Nodes may be of any ordered type; repeated links, links with a null end and
+    links to the node itself count for nothing."""
+    left = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
+    of = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = rooted(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up")))
+        of = step if of is None else written(of.join(step.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        ends = left.join(step.select(F.col("node").alias("u"), F.col("root").alias("x")), "u").join(step.select(F.col("node").alias("v"), F.col("root").alias("y")), "v")
+        left = written(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct())
+    return of if of is not None else left.select(F.col("u").alias("node"), F.col("v").alias("root"))
