@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import parts_for, scratch
+from .shared import parts_for, scratch, stored
 from .wordbpe import encoder, packed
 
 MAGIC, END = b"SGPLANE1", b"SGPLEND1"
@@ -36,6 +36,8 @@ HEADER = struct.Struct("<IIQII")  # block, planes a block, ids, documents, bytes
 BLOCK = 16384
 SEGMENT = 1 << 20
 TEXT_PER_PART = 32 << 20
+FILES = 4096  # whose totals one task adds up
+MOST_SENT = 1_000_000  # files whose starts are sent to all tasks
 
 
 def shuffle_block(ids: np.ndarray, bits: bool) -> np.ndarray:
@@ -161,12 +163,13 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), "content")
     n = F.expr("cast(cast(substring(content, length(content) - 20, 20) as string) as long)")
-    totals = sorted((r.part, r.n) for r in files.select("part", n.alias("n")).collect())  # a row for each file
-    base, rows = 0, []
-    for part, n in totals:
-        rows.append((part, base))
-        base += n
-    bases = spark.createDataFrame(rows, "part long, base long")
+    totals = stored(files.select("part", n.alias("n")).withColumn("range", F.floor(F.col("part") / FILES)), "totals")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = totals.groupBy("range").agg(F.sum("n").alias("t")).select("range", F.coalesce(F.sum("t").over(before.orderBy("range")), F.lit(0)).alias("earlier"))  # a row for each FILES files
+    inside = totals.select("part", "range", F.coalesce(F.sum("n").over(before.partitionBy("range").orderBy("part")), F.lit(0)).alias("inside"))
+    bases = stored(inside.join(ranges, "range").select("part", (F.col("earlier") + F.col("inside")).alias("base")), "bases")
+    if bases.count() <= MOST_SENT:
+        bases = F.broadcast(bases)  # two numbers a file; of more files Spark decides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +184,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[i:j], pa.int64()), pa.array(start + starts[i:j], pa.int64()), pa.array(s.lengths[i:j], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                     start += s.n_ids
 
-    return files.join(F.broadcast(bases), "part").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(bases, "part").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
