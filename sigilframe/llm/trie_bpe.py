@@ -5,7 +5,7 @@ items are compatible if merging their joint symbols gives the same two again. Ev
 encoding of the prefix it spells. So a trie node needs its last item only: it is the one item that ends there, is compatible with the
 last item of the node where it begins, and starts from a node with a state. Distinct words are inserted in sorted order,
 which is a depth-first walk of the trie. The trie lives as long as its process, so the state of a prefix is computed once for all words that share it,
-until it has MOST_NODES nodes and begins anew. A word's last symbol carries the end-of-word mark, so it is a leaf of its own, which isn't kept.
+until it has MOST_NODES nodes and begins anew. Nodes deeper than DEPTH aren't kept, so a long run of letters without spaces, which is one word, takes time and memory in proportion to its length. A word's last symbol carries the end-of-word mark, so it is a leaf of its own, which isn't kept.
 
 Words are split as the vocabulary file says: within Latin-1 by a stated pattern (where it stands for the file's own), else by the library's own
 splitter; the merging is ours. Whole words' ids are kept in a cache of MOST_BYTES for each process. No shuffle: one pass over the documents.
@@ -27,6 +27,8 @@ from .shared import map_rows
 from .wordbpe import ENTRY, WORD_RULES, WORD_SPLIT, byte_alphabet, load, packed, splits_by
 
 MOST_NODES = 500_000
+DEPTH = 64  # symbols of the deepest node that is kept
+OFF = -1  # in place of a node that isn't
 MOST_PAIRS = 1_000_000
 MOST_BYTES = 260 << 20
 
@@ -81,44 +83,56 @@ class TrieBpe:
             self.sound[item] = item in self.ids and self.merged(item) == [item]
         return self.sound[item]
 
-    def last_item(self, prefix: str, way: list[int]) -> str:
-        """The last item of a prefix's encoding; way[i] is the node of its first i symbols."""
-        n, ids = len(prefix), self.ids
-        for size in self.sizes.get(prefix[-1], ()):
-            if size <= n and (item := prefix[n - size :]) in ids and self.reachable(item) and (size == n or self.compatible(self.state[way[n - size]], item)):
+    def last_item(self, text: str, n: int, last: list[str]) -> str:
+        """The last item of the encoding of a text's first n symbols; last[i] is that of its first i symbols. Looks back as far as the longest item."""
+        for size in self.sizes.get(text[n - 1], ()):
+            if size <= n and (item := text[n - size : n]) in self.ids and self.reachable(item) and (size == n or self.compatible(last[n - size], item)):
                 return item
         raise ValueError("the vocabulary lacks a symbol")
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[str]]:
-        """Items of each distinct word; sorted order walks the trie depth first."""
+        """Items of each distinct word; sorted order walks the trie depth first. Prefixes deeper than DEPTH are worked out on the way and not kept, nor are any
+        while the trie is full."""
         if len(self.state) > MOST_NODES:
             self.below.clear()
             self.state = [""]
-        out, path, way = {}, "", [0]
+        out, path, way, last = {}, "", [0], [""]
         for w in sorted(set(words)):
             inner = w[:-1].decode("latin-1")
-            shared = 0
-            while shared < len(path) and shared < len(inner) and path[shared] == inner[shared]:
-                shared += 1
-            del way[shared + 1 :]
+            shared = _shared(path, inner)
+            del way[shared + 1 :], last[shared + 1 :]
             for n in range(shared + 1, len(inner) + 1):
-                step = way[-1] << 9 | ord(inner[n - 1])
-                node = self.below.get(step)
+                at = way[-1] if len(way) == n else OFF
+                node = self.below.get(at << 9 | ord(inner[n - 1])) if at != OFF else None
                 if node is None:
-                    self.state.append(self.last_item(inner[:n], way))
-                    self.below[step] = node = len(self.state) - 1
+                    last.append(self.last_item(inner, n, last))
+                    if at == OFF or n > DEPTH or len(self.state) > MOST_NODES:
+                        continue
+                    self.state.append(last[-1])
+                    node = self.below[at << 9 | ord(inner[n - 1])] = len(self.state) - 1
+                else:
+                    last.append(self.state[node])
                 way.append(node)
             path = inner
-            leaf = inner + chr(w[-1] + 256)
-            items, n = [self.last_item(leaf, way)], len(leaf)
+            leaf, n = inner + chr(w[-1] + 256), len(inner) + 1
+            items = [self.last_item(leaf, n, last)]
             n -= len(items[0])
             while n:
-                items.append(self.state[way[n]])
+                items.append(last[n])
                 n -= len(items[-1])
             out[w] = items[::-1]
         return out
 
 
+def _shared(a: str, b: str) -> int:
+    """The length of the prefix that two strings share."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 class WordCodec:
     """Encoding and decoding of whole texts with a vocabulary file."""
 

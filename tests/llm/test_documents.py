@@ -7,6 +7,7 @@ import pathlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -622,6 +623,23 @@ def test_trie_bpe(docs, pairs, none):
     assert trie_bpe.digest(none, vocabulary("word_bpe_49k.json")).collect() == []
 
 
+def test_long_words_of_the_trie(monkeypatch):
+    """A million characters without a space in linear time; deep prefixes and a full trie change nothing."""
+    path = vocabulary("word_bpe_49k.json")
+    t = load(path)
+    r = random.Random(4)
+    text = "".join(r.choice("東京日本語中文字学生" if i // 1000 % 2 else "theanding") for i in range(1_000_000))
+    ids = t.encode(text, add_special_tokens=False).ids
+    codec, began = trie_bpe.WordCodec(path), time.time()
+    assert codec.run([text])[0][1] == packed(ids) and time.time() - began < 120
+    assert len(codec.trie.state) <= trie_bpe.DEPTH * 2000
+    monkeypatch.setattr(trie_bpe, "MOST_NODES", 40)
+    monkeypatch.setattr(trie_bpe, "DEPTH", 3)
+    words = [prose(i, 30) for i in range(40)] + [text[:3000], text[:3001] + "x"]
+    got = trie_bpe.WordCodec(path).run(words)
+    assert [g[1] for g in got] == [packed(t.encode(w, add_special_tokens=False).ids) for w in words]
+
+
 def test_language_id(docs, pairs, none):
     rows = langid.identify(docs).collect()
     assert len(rows) == len(pairs)
@@ -668,7 +686,7 @@ def test_trie_shares_prefixes_over_batches():
     codec = trie_bpe.WordCodec(vocabulary("word_bpe_49k.json"))
     asked = []
     inner = codec.trie.last_item
-    codec.trie.last_item = lambda prefix, way: asked.append(prefix) or inner(prefix, way)
+    codec.trie.last_item = lambda text, n, last: asked.append(text[:n]) or inner(text, n, last)
     codec.run(["walking walked"])
     first = len(asked)
     codec.run(["walker walkings"])
