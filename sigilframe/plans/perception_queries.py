@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilframe.operators import bins, clusters, sampling, similarity
-from sigilframe.plans.feature_queries import EUCLID, VIEW, Z, features, rounded
+from sigilframe.operators import bins, clusters, sampling, shapes, similarity
+from sigilframe.operators import raster as ras
+from sigilframe.plans.feature_queries import EUCLID, PIXELS, VIEW, Z, features, raster_rows, rounded
 from sigilframe.schema import FEATURES
 
 CENTRES, ROUNDS = 8, 5
@@ -118,6 +119,63 @@ t AS (SELECT sum(n)::DOUBLE AS t, sum(n * (n - 1) / 2) AS s, -sum(n / (SELECT su
 u AS (SELECT sum(n * (n - 1) / 2) AS s, -sum(n / (SELECT sum(n) FROM c) * ln(n / (SELECT sum(n) FROM c))) AS h FROM x), v AS (SELECT sum(n * (n - 1) / 2) AS s, -sum(n / (SELECT sum(n) FROM c) * ln(n / (SELECT sum(n) FROM c))) AS h FROM y)
 SELECT t.t::BIGINT AS n, round((t.s - u.s * v.s / (t.t * (t.t - 1) / 2)) / ((u.s + v.s) / 2 - u.s * v.s / (t.t * (t.t - 1) / 2)), 6) AS rand, round((u.h + v.h - t.h) / ((u.h + v.h) / 2), 6) AS mutual, round((u.h + v.h - t.h) / u.h, 6) AS homogeneity, round((u.h + v.h - t.h) / v.h, 6) AS completeness FROM t, u, v"""
 
+def raster_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Contours, holes, perimeter, occupancy, symmetry and filling of the vectors' rasters."""
+    chosen = tuple(e for e in shapes.EXTRACTORS if e.name != "compressed_share")
+    found = ras.split_failures(ras.extract(raster_rows(spark, d), "idx", extractors=chosen, decode=ras.of_vector("v")), "idx")[0]
+    whole = found.select("idx", *(F.col(c).cast("long").alias(c) for c in ("contours", "holes", "perimeter")), "box_share", "box_fill", "symmetry_x", "symmetry_y", "inside_share")
+    return rounded(whole, "box_share", "box_fill", "symmetry_x", "symmetry_y", "inside_share")
+
+
+# Parts meet over corners, the background over sides and around the border; a hole is a background part that doesn't reach the border.
+SHAPES = f"""WITH RECURSIVE {PIXELS},
+cells AS (SELECT CAST(vec_id AS BIGINT) AS idx, x, y FROM embeddings, (SELECT unnest(range(-1, 9)) AS x), (SELECT unnest(range(-1, 9)) AS y)), bg AS (SELECT * FROM cells ANTI JOIN px USING (idx, x, y)),
+e8 AS (SELECT a.idx, a.x, a.y, b.x AS u, b.y AS v FROM px a JOIN px b ON a.idx = b.idx AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), e4 AS (SELECT a.idx, a.x, a.y, b.x AS u, b.y AS v FROM bg a JOIN bg b ON a.idx = b.idx AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+w8 AS (SELECT idx, x, y, x AS u, y AS v FROM px UNION SELECT w.idx, w.x, w.y, e.u, e.v FROM w8 w JOIN e8 e ON e.idx = w.idx AND e.x = w.u AND e.y = w.v),
+w4 AS (SELECT idx, x, y, x AS u, y AS v FROM bg UNION SELECT w.idx, w.x, w.y, e.u, e.v FROM w4 w JOIN e4 e ON e.idx = w.idx AND e.x = w.u AND e.y = w.v),
+parts AS (SELECT idx, count(DISTINCT r) AS n FROM (SELECT idx, x, y, min(v * 10 + u) AS r FROM w8 GROUP BY ALL) GROUP BY idx), gaps AS (SELECT idx, count(DISTINCT r) - 1 AS n FROM (SELECT idx, x, y, min((v + 1) * 10 + u + 1) AS r FROM w4 GROUP BY ALL) GROUP BY idx),
+near AS (SELECT p.idx, p.x, p.y, count(q.x) AS n FROM px p LEFT JOIN px q ON q.idx = p.idx AND abs(p.x - q.x) + abs(p.y - q.y) = 1 GROUP BY ALL),
+box AS (SELECT idx, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, count(*) AS n FROM px GROUP BY idx),
+turned AS (SELECT p.idx, count(*) FILTER (EXISTS (SELECT 1 FROM px q WHERE q.idx = p.idx AND q.y = p.y AND q.x = b.x1 + b.x2 - p.x)) AS sx, count(*) FILTER (EXISTS (SELECT 1 FROM px q WHERE q.idx = p.idx AND q.x = p.x AND q.y = b.y1 + b.y2 - p.y)) AS sy FROM px p JOIN box b ON b.idx = p.idx GROUP BY p.idx),
+side AS (SELECT idx, sum(4 - n) AS perimeter, count(*) FILTER (n = 4) AS core FROM near GROUP BY idx)
+SELECT v.vec_id::BIGINT AS idx, (coalesce(parts.n, 0) + gaps.n)::BIGINT AS contours, gaps.n::BIGINT AS holes, coalesce(perimeter, 0)::BIGINT AS perimeter, round(coalesce((x2 - x1 + 1) * (y2 - y1 + 1) / 64.0::DOUBLE, 0), 6) AS box_share, round(coalesce(box.n::DOUBLE / ((x2 - x1 + 1) * (y2 - y1 + 1)), 0), 6) AS box_fill,
+ round(coalesce(sx::DOUBLE / (2 * box.n - sx), 1), 6) AS symmetry_x, round(coalesce(sy::DOUBLE / (2 * box.n - sy), 1), 6) AS symmetry_y, round(coalesce(core::DOUBLE / box.n, 0), 6) AS inside_share
+FROM embeddings v LEFT JOIN parts ON parts.idx = v.vec_id LEFT JOIN gaps ON gaps.idx = v.vec_id LEFT JOIN side ON side.idx = v.vec_id LEFT JOIN box ON box.idx = v.vec_id LEFT JOIN turned ON turned.idx = v.vec_id"""
+
+
+def contour_tree(spark: SparkSession, d: str) -> DataFrame:
+    """How many contours of each kind there are at each depth, and how long they are. Tests hold the tree itself."""
+    c = shapes.contours(raster_rows(spark, d), "idx", decode=ras.of_vector("v"))
+    return c.groupBy("depth", "is_outer").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("area").alias("area"))
+
+
+def raster_hog(spark: SparkSession, d: str) -> DataFrame:
+    """Orientation histograms of four cells of four pixels: a row for each number."""
+    h = shapes.hog(raster_rows(spark, d), "idx", cell=4, decode=ras.of_vector("v"))
+    return rounded(h.select("idx", F.posexplode("hog").alias("place", "value")), "value")
+
+
+# Gradients of 8 x 8 pixels of black on white, each dealt to two of nine bins of 20 degrees, one block.
+HOG = """WITH g AS (SELECT CAST(vec_id AS BIGINT) AS idx, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CASE WHEN CAST(embedding[i] AS DOUBLE) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM embeddings, range(1, 65) t(i)),
+d AS (SELECT c.idx, c.x, c.y, r.v - l.v AS gx, b.v - t.v AS gy FROM g c JOIN g r ON r.idx = c.idx AND r.y = c.y AND r.x = least(7, c.x + 1) JOIN g l ON l.idx = c.idx AND l.y = c.y AND l.x = greatest(0, c.x - 1) JOIN g b ON b.idx = c.idx AND b.x = c.x AND b.y = least(7, c.y + 1) JOIN g t ON t.idx = c.idx AND t.x = c.x AND t.y = greatest(0, c.y - 1)),
+p AS (SELECT idx, (y // 4) * 2 + x // 4 AS cell, sqrt(gx * gx + gy * gy) AS size, CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + pi() WHEN atan2(gy, gx) >= pi() THEN atan2(gy, gx) - pi() ELSE atan2(gy, gx) END / (pi() / 9) - 0.5 AS place FROM d),
+w AS (SELECT idx, cell, (floor(place)::INT + 9) % 9 AS bin, size * (1 - (place - floor(place))) AS v FROM p UNION ALL SELECT idx, cell, (floor(place)::INT + 10) % 9, size * (place - floor(place)) FROM p),
+h AS (SELECT idx, cell, bin, sum(v) AS v FROM w GROUP BY ALL), n AS (SELECT idx, sqrt(sum(v * v) + 1e-10) AS n FROM h GROUP BY idx)
+SELECT CAST(e.vec_id AS BIGINT) AS idx, (c * 9 + b)::INT AS place, round(coalesce(h.v, 0) / n.n, 6) AS value FROM embeddings e, (SELECT unnest(range(4)) AS c), (SELECT unnest(range(9)) AS b) JOIN n ON n.idx = e.vec_id LEFT JOIN h ON h.idx = e.vec_id AND h.cell = c AND h.bin = b"""
+
+
+def raster_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Structural similarity of each raster and those of its three nearest rows by features."""
+    z, columns = similarity.z_columns(features(spark, d))
+    near = similarity.neighbours(z, columns, "idx", 3).select("source", "target")
+    return rounded(shapes.similar(near, raster_rows(spark, d), key="idx", decode=ras.of_vector("v")).select("source", "target", "ssim"), "ssim")
+
+
+SIMILAR = f"""WITH {VIEW}, {Z}, p AS (SELECT a.idx AS s, b.idx AS t, {EUCLID} AS d FROM z a, z b WHERE a.idx <> b.idx), r AS (SELECT s, t FROM p QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, t) <= 3),
+g AS (SELECT CAST(vec_id AS BIGINT) AS idx, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CASE WHEN CAST(embedding[i] AS DOUBLE) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM embeddings, range(1, 65) t(i)),
+w AS (SELECT s, t, wx, wy, avg(a.v) AS ma, avg(b.v) AS mb, avg(a.v * a.v) AS aa, avg(b.v * b.v) AS bb, avg(a.v * b.v) AS ab FROM r JOIN g a ON a.idx = s JOIN g b ON b.idx = t AND b.x = a.x AND b.y = a.y, (SELECT unnest([0, 1]) AS wx), (SELECT unnest([0, 1]) AS wy) WHERE a.x BETWEEN wx AND wx + 6 AND a.y BETWEEN wy AND wy + 6 GROUP BY ALL)
+SELECT s AS source, t AS target, round(avg((2 * ma * mb + 0.0001) * (2 * (ab - ma * mb) + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (aa - ma * ma + bb - mb * mb + 0.0009))), 6) AS ssim FROM w GROUP BY s, t"""
+
 QUERIES = {
     "single_linkage": (single_linkage, LINKAGE),
     "linkage_clusters": (linkage_clusters, FLAT),
@@ -128,4 +186,8 @@ QUERIES = {
     "stratified_sample": (stratified_sample, SAMPLE),
     "label_alignment": (label_alignment, ALIGNED),
     "label_contingency": (label_contingency, TABLE),
+    "raster_shapes": (raster_shapes, SHAPES),
+    "contour_tree": (contour_tree, None),
+    "raster_hog": (raster_hog, HOG),
+    "raster_similarity": (raster_similarity, SIMILAR),
 }
