@@ -68,13 +68,13 @@ def is_canonical(set_id: Column, inner: Column, stem: Column | None = None, suff
     return rule.otherwise(False)
 
 
-def infer_category(set_id: Column, path: Column, fixed: bool = False) -> Column:
+def infer_category(set_id: Column, path: Column, fixed: bool = False, by_set: dict[str, str] | None = None) -> Column:
     """The category that a path tells. By default the folder of sets 04, 05 and 11 is counted from the top of the workspace, so it is the
     folder of all sets; `fixed` counts within the set."""
     parts = F.split(path, "/")
     folder = F.get(parts, F.lit(3 if fixed else 1))
     known = F.when(F.lit(False), F.lit(""))
-    for s, c in SET_CATEGORIES.items():
+    for s, c in (SET_CATEGORIES if by_set is None else by_set).items():
         known = known.when(set_id == s, c)
     return (
         known.when(set_id == "04_ocha_humanitarian_icons", F.coalesce(F.regexp_replace(folder, "^humanitarian-icons-v2-1-", ""), F.lit("")))
@@ -85,6 +85,13 @@ def infer_category(set_id: Column, path: Column, fixed: bool = False) -> Column:
     )
 
 
+def _rules(spark: SparkSession) -> DataFrame:
+    """A row for each set: where its icons lie, with which suffix, and its category where one is fixed. As a table they are joined; as conditions they made the generated code too large."""
+    places = {name: (list(prefixes), wanted) for name, prefixes, wanted in PLACES}
+    rows = [(s, *places.get(s, ([], None)), SET_CATEGORIES.get(s)) for s, *_ in SETS]
+    return spark.createDataFrame(rows, "set_id string, _places array<string>, _wanted string, _category string")
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, the last in order, as when a dictionary is filled."""
     cols = [c for c in rows.columns if c != key]
@@ -97,7 +104,11 @@ def build_catalog(files: DataFrame, pictograms: DataFrame, emoji: DataFrame, rat
     f = files.select("path", F.split("path", "/").alias("parts")).where(F.size("parts") >= 3)
     f = f.withColumns({"name": F.element_at("parts", -1), "set_id": F.get("parts", F.lit(2)), "inner": F.regexp_replace("path", "^([^/]*/){3}", "")})
     f = f.withColumns({"stem": X.stem("name"), "suffix": X.suffix("name")}).where(F.col("suffix").isin(*EXTENSIONS))
-    f = f.join(F.broadcast(icon_sets(files.sparkSession)), "set_id").where(is_canonical(F.col("set_id"), F.col("inner"), F.col("stem"), F.col("suffix")))  # thirteen rows
+    spark = files.sparkSession
+    f = f.join(F.broadcast(icon_sets(spark).join(_rules(spark), "set_id")), "set_id")  # thirteen rows
+    placed = (F.col("suffix") == F.col("_wanted")) & F.exists("_places", lambda p: F.col("inner").startswith(p))
+    signs = (F.col("set_id") == "11_iso_7010_safety_signs") & F.col("inner").contains("Warning Symbols/") & (F.col("suffix") == ".svg") & ~F.col("stem").contains("_Original")
+    f = f.where(F.coalesce(placed, F.lit(False)) | signs)
     item, sid, stem = F.regexp_extract("stem", r"mcdougall_(\d+)", 1), F.col("set_id"), F.col("stem")
     bliss, rated = sid == "06_blissymbolics", sid == "01_mcdougall_symbol_icon_set"
     f = f.withColumns({"number": F.when(rated & (item != ""), item.cast("bigint").cast("string")), "slug": X.slug_label(F.col("name")), "sha": F.sha1(F.col("path").cast("binary"))})
@@ -110,7 +121,7 @@ def build_catalog(files: DataFrame, pictograms: DataFrame, emoji: DataFrame, rat
     numbered = F.col("number").isNotNull()
     own = F.when(bliss, X.slug_label(F.regexp_replace(stem, "__[0-9a-f]{12}$", ""))).when(numbered, F.concat(F.lit("McDougall item "), "number")).otherwise(F.col("slug"))
     own_notes = F.when(bliss, F.concat(F.lit("bliss_kind="), F.when(F.get("parts", F.lit(4)) == "chars", "char").otherwise("word"))).when(numbered, F.concat(F.lit("appendix_item="), "number")).otherwise("")
-    f = f.withColumns({"own": own, "own_notes": own_notes, "own_category": infer_category(sid, F.col("path"), fixed_categories)})
+    f = f.withColumns({"own": own, "own_notes": own_notes, "own_category": F.coalesce("_category", infer_category(sid, F.col("path"), fixed_categories, {}))})
     return f.select(
         F.substring("sha", 1, 16).alias("icon_id"), "set_id", "set_name", F.col("path").alias("relative_path"), F.col("name").alias("filename"), X.or_else(F.col("m_label"), F.col("own")).alias("label"),
         X.or_else(F.col("m_category"), F.col("own_category")).alias("category"), F.substring("suffix", 2, 10).alias("format"), "source", "source_url",

@@ -23,9 +23,14 @@ FULL_PAGES, PER_PAGE, ITEMS = 23, 10, 239
 
 
 def items(spark: SparkSession) -> DataFrame:
-    """item, page, row, side: numbered down the pages, rows, and from left to right."""
+    """item, page, row, side of all items of the table."""
+    return placed(spark.range(1, ITEMS + 1).withColumnRenamed("id", "item"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds page, row and side to numbered items: down the pages, rows, and from left to right."""
     n = F.col("item") - 1
-    return spark.range(1, ITEMS + 1).withColumnRenamed("id", "item").select("item", (n / PER_PAGE).cast("int").alias("page"), ((n % PER_PAGE) / 2).cast("int").alias("row"), F.when(n % 2 == 0, "left").otherwise("right").alias("side"))
+    return rows.withColumns({"page": (n / PER_PAGE).cast("int"), "row": ((n % PER_PAGE) / 2).cast("int"), "side": F.when(n % 2 == 0, "left").otherwise("right")})
 
 
 def geometry(rows: DataFrame) -> DataFrame:

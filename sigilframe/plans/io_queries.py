@@ -51,8 +51,10 @@ UNION ALL SELECT 'icon_data/iconsets/01_mcdougall_symbol_icon_set/extracted_icon
 
 
 def missing_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Side tables whose files aren't there read as empty ones."""
+    """Labels as ratings, and side tables whose files aren't there beside them, which read as empty ones."""
     path, n = new_path(spark, "none"), F.count(F.lit(1)).alias("n")
+    rated = {"appendix_item": F.col("doc_id").cast("string"), "label": F.concat(F.lit("item "), F.col("doc_id").cast("string"))}
+    sinks.csv(table(spark, d, "labels").select(*(rated.get(c, F.lit("")).alias(c) for c in RATINGS_TYPE.fieldNames())), path + "/ratings")
     kinds = {"pictograms": tables.pictograms, "emoji": tables.emoji, "ratings": tables.ratings, "words": tables.symbol_words}
     out = None
     for name, read in kinds.items():
@@ -189,7 +191,7 @@ UNION ALL SELECT 'report', '<!doctype html><html><head><meta charset=''utf-8''><
 QUERIES = {
     "catalog_csv_round_trip": (catalog_csv_round_trip, CATALOG_SQL),
     "catalog_lookups": (catalog_lookups, LOOKUPS),
-    "missing_sources": (missing_sources, "SELECT unnest(['pictograms', 'emoji', 'ratings', 'words']) AS source, CAST(0 AS BIGINT) AS n"),
+    "missing_sources": (missing_sources, "SELECT unnest(['pictograms', 'emoji', 'words']) AS source, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'ratings', count(*) FROM labels"),
     "feature_csv_round_trip": (feature_csv_round_trip, FEATURE_CSV),
     "pair_csv_round_trip": (pair_csv_round_trip, feature_queries.QUERIES["closest_pairs_all"][1]),
     "empty_pair_csv": (empty_pair_csv, "SELECT 'none' AS kind, CAST(0 AS BIGINT) AS lines UNION ALL SELECT 'some', count(*) + 1 FROM region"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigilframe.functions import ocr as O
-from sigilframe.operators import drawings, ocr, quality, sampling, symbols
+from sigilframe.operators import drawings, ocr, quality, records, sampling, symbols
 
 FIELD = "element_at(array('concreteness', 'complexity_metric', 'name_agreement'), cast(l_linenumber % 3 as int) + 1)"
 
@@ -117,12 +117,14 @@ def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_numbering(spark: SparkSession, d: str) -> DataFrame:
-    g = ocr.geometry(ocr.items(spark))
-    return g.select("item", *(F.col(c).cast("long").alias(c) for c in ("page", "row", "top")), "side", F.col("label_box.x1").cast("long").alias("x1"), F.col("common_box.y2").cast("long").alias("y2"))
+    """Orders as items, numbered by their keys, over as many pages as that takes."""
+    n = records.numbered(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "item")
+    g = ocr.geometry(ocr.placed(n))
+    return g.select("o_orderkey", F.col("item").cast("long").alias("item"), *(F.col(c).cast("long").alias(c) for c in ("page", "row", "top")), "side", F.col("label_box.x1").cast("long").alias("x1"), F.col("common_box.y2").cast("long").alias("y2"))
 
 
-ITEMS = """SELECT item, CAST((item - 1) // 10 AS BIGINT) AS page, CAST(((item - 1) % 10) // 2 AS BIGINT) AS row, CAST([320, 660, 1000, 1340, 1710][((item - 1) % 10) // 2 + 1] AS BIGINT) AS top, CASE WHEN (item - 1) % 2 = 0 THEN 'left' ELSE 'right' END AS side,
-CAST(CASE WHEN (item - 1) % 2 = 0 THEN 200 ELSE 890 END AS BIGINT) AS x1, CAST([320, 660, 1000, 1340, 1710][((item - 1) % 10) // 2 + 1] + 335 AS BIGINT) AS y2 FROM range(1, 240) t(item)"""
+ITEMS = """SELECT o_orderkey, item, CAST((item - 1) // 10 AS BIGINT) AS page, CAST(((item - 1) % 10) // 2 AS BIGINT) AS row, CAST([320, 660, 1000, 1340, 1710][((item - 1) % 10) // 2 + 1] AS BIGINT) AS top, CASE WHEN (item - 1) % 2 = 0 THEN 'left' ELSE 'right' END AS side,
+CAST(CASE WHEN (item - 1) % 2 = 0 THEN 200 ELSE 890 END AS BIGINT) AS x1, CAST([320, 660, 1000, 1340, 1710][((item - 1) % 10) // 2 + 1] + 335 AS BIGINT) AS y2 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS item FROM orders)"""
 
 
 def word_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -93,7 +93,10 @@ def resumed_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def named_files(spark: SparkSession, d: str) -> DataFrame:
-    return tables.named_files(spark, ["File:a b.svg", "GHS/01.png", "plain"], "https://example.org/")
+    """Parts as files of a wiki, of a folder, or without either."""
+    key = F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("File:"), "p_name", F.lit(" "), key, F.lit(".svg"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("GHS/"), key, F.lit(".png"))).otherwise(F.concat(F.lit("plain"), key))
+    return tables.named_files(spark, table(spark, d, "part").select(name.alias("name")), "https://example.org/")
 
 
 def path_order(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +312,7 @@ QUERIES = {
     "code_summary": (code_summary, SUMMARY),
     "keyed_batches": (keyed_batches, "SELECT count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) AS different, true AS small FROM orders"),
     "resumed_keys": (resumed_keys, "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)"),
-    "named_files": (named_files, "SELECT * FROM (VALUES ('File:a b.svg', 'https://example.org/File%3Aa%20b.svg', 'a b.svg'), ('GHS/01.png', 'https://example.org/GHS%2F01.png', 'GHS_01.png'), ('plain', 'https://example.org/plain', 'plain')) t(name, url, file)"),
+    "named_files": (named_files, "SELECT CASE p_partkey % 3 WHEN 0 THEN 'File:' || p_name || ' ' || p_partkey || '.svg' WHEN 1 THEN 'GHS/' || p_partkey || '.png' ELSE 'plain' || p_partkey END AS name, 'https://example.org/' || CASE p_partkey % 3 WHEN 0 THEN 'File%3A' || replace(p_name, ' ', '%20') || '%20' || p_partkey || '.svg' WHEN 1 THEN 'GHS%2F' || p_partkey || '.png' ELSE 'plain' || p_partkey END AS url, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_partkey || '.svg' WHEN 1 THEN 'GHS_' || p_partkey || '.png' ELSE 'plain' || p_partkey END AS file FROM part"),
     "path_order": (path_order, f"WITH {catalog_queries.PATHS} SELECT page_id, row_number() OVER (ORDER BY string_split(path, '/'), page_id) AS position FROM q"),
     "pair_sheet": (pair_sheet, f"SELECT * FROM ({feature_queries.QUERIES['closest_pairs_all'][1]}) WHERE rank <= 24"),
     "files_below": (files_below, BELOW),

@@ -108,9 +108,10 @@ def positional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, escape='"')
 
 
-def named_files(spark: SparkSession, names: list[str], base: str) -> DataFrame:
-    """(name, url, file) of a fixed list of files, as one request for their metadata wants it."""
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", F.concat(F.lit(base), X.url_path("name")).alias("url"), X.safe_name("name").alias("file"))
+def named_files(spark: SparkSession, names: list[str] | DataFrame, base: str) -> DataFrame:
+    """(name, url, file) of a list of files (a list, or rows with a name), as one request for their metadata wants it."""
+    rows = names.select("name") if isinstance(names, DataFrame) else spark.createDataFrame([(n,) for n in names], "name string")
+    return rows.select("name", F.concat(F.lit(base), X.url_path("name")).alias("url"), X.safe_name("name").alias("file"))
 
 
 def not_yet(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

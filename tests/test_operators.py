@@ -199,6 +199,56 @@ DB = symbols.Symbols(
 )
 
 
+def test_catalog_code_compiles(spark):
+    """Generated code stays within what the JVM compiles: without the interpreted way out, the query runs."""
+    from sigilframe.plans import catalogue
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert catalogue.QUERIES["catalog_rows"](spark, "/root/testdata/sf0.001").count() > 0
+        assert len(catalogue.QUERIES["catalog_rows"](spark, "/root/testdata/sf0.001").collect()) > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_bins_and_their_near_classes(spark):
+    from sigilframe.operators import bins
+
+    r = np.random.default_rng(3)
+    x = r.integers(0, 9, (120, 4)).astype(float)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(900, None, 1.0, 1.0, 1.0), (901, math.nan, 1.0, 1.0, 1.0)], "idx long, a double, b double, c double, d double")
+    of = bins.binned(df, "idx", ("a", "b", "c", "d"), 3)
+    want = {i: [int((v[j] > np.quantile(x[:, j], np.array([1, 2]) / 3)).sum()) for j in range(4)] for i, v in enumerate(x)}
+    assert {v.idx: list(v.bins) for v in of.collect()} == want
+    first = {}
+    for i in sorted(want):
+        first.setdefault(tuple(want[i]), i)
+    assert {v.idx: v["class"] for v in bins.members(of, "idx").collect()} == {i: first[tuple(b)] for i, b in want.items()}
+    for most in (0, 1, 2, 3):
+        got = rows(bins.near_classes(bins.classes(of, "idx"), 4, most))
+        differ = lambda p, q: sum(a != b for a, b in zip(p, q, strict=True))
+        assert got == sorted(((first[p], first[q], differ(p, q)) for p in first for q in first if first[p] < first[q] and differ(p, q) <= most), key=repr)
+
+
+def test_stratified_sample(spark):
+    data = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(600)] + [(1000 + i, None) for i in range(13)] + [(2000, "tiny")]
+    df = spark.createDataFrame(data, "k long, s string")
+    got = sampling.stratified(df, "s", "k", 100, seed=3, whole=5)
+    sizes = {r.s: r.n for r in got.groupBy("s").agg(F.count("k").alias("n")).collect()}
+    counts = {}
+    for _, s in data:
+        counts[s] = counts.get(s, 0) + 1
+    big, want = {s: n for s, n in counts.items() if n > 5}, {"tiny": 1}
+    share = 99 / sum(big.values())
+    want |= {s: int(n * share) for s, n in big.items()}
+    for s in sorted(big, key=lambda s: (-(big[s] * 99 % sum(big.values())), s or ""))[: 100 - sum(want.values())]:
+        want[s] += 1
+    assert sizes == want and got.count() == 100
+    again = sampling.stratified(df.orderBy(F.desc("k")).repartition(5), "s", "k", 100, seed=3, whole=5)
+    assert rows(again) == rows(got) and rows(sampling.stratified(df, "s", "k", 100, seed=4, whole=5)) != rows(got)
+    assert sampling.stratified(df, "s", "k", 10**6).count() == len(data) and sampling.stratified(df.limit(0), "s", "k", 5).collect() == []
+
+
 def test_symbol_words(spark):
     assert DB.expand(["nested"])[0] == [("a", ["indicator_x"]), ("b", []), ("a", [])]
     assert DB.expand(["ab", "indicator_x"])[0] == [("a", ["indicator_x"]), ("b", [])]
