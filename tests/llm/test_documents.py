@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigilframe.functions import jpeg
 from sigilframe.llm import bitplane, hilbert, jaccard, langid, linededup, mjpeg, secrets, spans, trie_bpe
 from sigilframe.llm.registry import vocabulary
 from sigilframe.llm.wordbpe import Encoder, load, packed
@@ -417,9 +418,9 @@ def jpeg_of(planes, factors, size, every=0, tables=True, split=False):
     every_symbol = {0, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 11))}
     dc, ac = {}, {}
     for k in (0, 1):
-        first = list(bytes.fromhex(mjpeg.AC_FIRST[k]))
+        first = list(bytes.fromhex(jpeg.AC_FIRST[k]))
         dc[k], ac[k] = list(range(12)), first + sorted(every_symbol - set(first))
-    code = {k: (codes_of(mjpeg.DC_COUNTS[k], dc[k]), codes_of(mjpeg.AC_COUNTS[k], ac[k])) for k in (0, 1)}
+    code = {k: (codes_of(jpeg.DC_COUNTS[k], dc[k]), codes_of(jpeg.AC_COUNTS[k], ac[k])) for k in (0, 1)}
     basis = np.array([[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
     order = [(0, 0)]
     while len(order) < 64:  # walks the diagonals
@@ -450,7 +451,7 @@ def jpeg_of(planes, factors, size, every=0, tables=True, split=False):
     seg = lambda m, b: bytes([0xFF, m]) + struct.pack(">H", len(b) + 2) + b
     out = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0]) + bytes([1] * 64))
     if tables:
-        out += seg(0xC4, b"".join(bytes([t << 4 | k]) + bytes(counts[k]) + bytes(symbols[k]) for t, counts, symbols in ((0, mjpeg.DC_COUNTS, dc), (1, mjpeg.AC_COUNTS, ac)) for k in (0, 1)))
+        out += seg(0xC4, b"".join(bytes([t << 4 | k]) + bytes(counts[k]) + bytes(symbols[k]) for t, counts, symbols in ((0, jpeg.DC_COUNTS, dc), (1, jpeg.AC_COUNTS, ac)) for k in (0, 1)))
     out += seg(0xC0, struct.pack(">BHHB", 8, *size, len(planes)) + b"".join(bytes([c + 1, f[0] << 4 | f[1], 0]) for c, f in enumerate(factors)))
     out += seg(0xDD, struct.pack(">H", every)) if every else b""
     for scan in [[c] for c in range(len(planes))] if split or len(planes) == 1 else [list(range(len(planes)))]:
@@ -501,6 +502,8 @@ def test_mjpeg_foreign_and_broken_media(spark):
     good, own = avi_of(frames), mjpeg.write_avi(b"x" * 64)
     broken = {3: good[:-60], 4: own[:200], 5: b"RIFF", 6: None, 7: avi_of([frames[0].replace(b"\xff\xc0", b"\xff\xc2")]), 8: avi_of([]), 9: avi_of([b"\xff\xd8\xff\xd9"]), 10: b"", 11: avi_of([frames[0][:300] + b"\xff\xd9"])}
     rows = [(1, 0, good), (2, 64, own), *((k, 0, v) for k, v in broken.items())]
+    small = {x.doc_id: x for x in mjpeg.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary"), most_blocks=4).collect()}
+    assert "more than 4 blocks" in small[1].error and small[1].clips == []
     got = {x.doc_id: x for x in mjpeg.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
     assert got[1].error is None and [(c.first_frame, c.frames) for c in got[1].clips] == [(0, 5), (5, 5)] and got[1].payload is None
     assert got[2].error is None and bytes(got[2].payload) == b"x" * 64
