@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,27 @@ def word_database(spark: SparkSession, d: str) -> DataFrame:
     return tables.symbol_words(spark, path).select("word", F.array_join("parts", "|").alias("parts"))
 
 
+def symbol_database(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as scripts of characters, centres, kerning, paths and shapes, a thousand parts a script, and all sections read back."""
+    path, k = new_path(spark, "scripts"), F.col("p_partkey").cast("string")
+    say = lambda text: F.concat(*(k if x == "@" else F.col("p_size").cast("string") if x == "#" else F.replace("p_name", F.lit(" "), F.lit(" \\\"")) if x == "~" else F.lit(x) for x in re.split("([@#~])", text) if x))
+    entries = {
+        "center": (F.col("p_partkey") % 2 == 0, say('"~@": -16')), "chars": (F.lit(True), say('"~@": {"w": #, h: 1.6e2, "d": ["shape@", {"x": 4, "y": -8.5, "d": "path@"}]}')), "kerning_left": (F.col("p_partkey") % 3 == 0, say("'@': 0x0E")),
+        "kerning_right": (F.col("p_partkey") % 5 == 0, say("'@': 2 // the lowest\n")), "paths": (F.lit(True), say("path@: {form: 'line', x1: 0, y1: 0, x2: #, y2: +12}")), "shapes": (F.lit(True), say('"shape@": [{"x": 1, "y": 2, "d": "path@",},]')),
+    }
+    part = table(spark, d, "part").withColumn("bucket", F.expr("p_partkey div 1000"))
+    lists = part.groupBy("bucket").agg(*(F.array_join(F.collect_list(F.when(*e)), ", ").alias(name) for name, e in entries.items()))
+    body = F.concat(F.lit("/* data\n */ var DATA = {\n"), F.concat_ws(",\n", *(F.concat(F.lit(f'\t"{name}": {{'), F.col(name), F.lit("}")) for name in entries)), F.lit("\n};\n"))
+    lists.select("bucket", body.alias("value")).write.partitionBy("bucket").text(path)
+    return tables.symbol_database(spark, path)
+
+
+SCRIPT = """WITH p AS (SELECT p_partkey AS k, p_size AS s, replace(p_name, ' ', ' "') || p_partkey AS n FROM part)
+SELECT 'DATA' AS variable, section, name, body, CAST(NULL AS VARCHAR) AS error FROM (
+SELECT 'center' AS section, n AS name, '-16' AS body FROM p WHERE k % 2 = 0 UNION ALL SELECT 'chars', n, '{"w":' || s || ',"h":160.0,"d":["shape' || k || '",{"x":4,"y":-8.5,"d":"path' || k || '"}]}' FROM p UNION ALL SELECT 'kerning_left', k::VARCHAR, '14' FROM p WHERE k % 3 = 0
+UNION ALL SELECT 'kerning_right', k::VARCHAR, '2' FROM p WHERE k % 5 = 0 UNION ALL SELECT 'paths', 'path' || k, '{"form":"line","x1":0,"y1":0,"x2":' || s || ',"y2":12}' FROM p UNION ALL SELECT 'shapes', 'shape' || k, '[{"x":1,"y":2,"d":"path' || k || '"}]' FROM p)"""
+
+
 def failure_json(spark: SparkSession, d: str) -> DataFrame:
     """Rasters, every third of them broken or missing: features and failures, both written and read back."""
     rows = feature_queries.raster_rows(spark, d).withColumn("content", F.when(F.col("idx") % 6 == 1, F.lit(None)).when(F.col("idx") % 6 == 4, F.substring("content", 1, 100)).otherwise(F.col("content")))
@@ -199,6 +222,7 @@ QUERIES = {
     "csv_records": (csv_records, "SELECT CAST(c_custkey AS BIGINT) AS k, 'the \"' || c_name || '\", of' AS c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END AS c_mktsegment, length(c_name) + 10 AS n FROM customer"),
     "xml_entries": (xml_entries, "SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS word, replace(p_name, ' ', '|') AS parts FROM part"),
     "pipe_table_rows": (pipe_table_rows, "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, '' AS note FROM nation"),
+    "symbol_database": (symbol_database, SCRIPT),
     "word_database": (word_database, "SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END || '_' || p_partkey AS word, replace(p_name, ' ', '|') AS parts FROM part"),
     "failure_json": (failure_json, "SELECT CAST(vec_id AS BIGINT) AS idx, CASE vec_id % 6 WHEN 1 THEN 'FileNotFoundError' WHEN 4 THEN 'ValueError' ELSE '' END AS problem FROM embeddings"),
     "run_metadata": (run_metadata, f"SELECT 'in.csv' AS input, 'out.csv' AS output, count(*) AS row_count, count(*) AS selected_row_count, CAST(100 AS BIGINT) AS per_set_limit, '{','.join(FEATURES)}' AS columns FROM embeddings"),

@@ -153,3 +153,30 @@ def symbol_words(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([x for v in b["value"] for x in word_parts(v).items()], columns=["word", "parts"])
 
     return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+
+
+def symbol_database(spark: SparkSession, path: str) -> DataFrame:
+    """(variable, section, name, body, error) of database scripts, a folder of them or one: an entry of each section (characters, kerning, centres, paths, shapes, words) with its value as
+    JSON; a script that can't be read is a row with an error. A missing file reads as an empty one."""
+    from sigilframe.functions.script import assignments
+
+    schema = "variable string, section string, name string, body string, error string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for script in b["value"]:
+                try:
+                    found = assignments(script)
+                    rows += [(v, section, name, json.dumps(body, ensure_ascii=False, separators=(",", ":")), None) for v, data in found.items() if isinstance(data, dict) for section, entries in data.items() if isinstance(entries, dict) for name, body in entries.items()]
+                except ValueError as e:
+                    rows.append((None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["variable", "section", "name", "body", "error"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)

@@ -131,3 +131,34 @@ def test_fixed_lists(spark):
     assert (n.url, n.file) == ("https://x/File%3Aa%20b.svg", "a b.svg")
     rows, done = spark.createDataFrame([(3,), (1,), (3,), (2,)], "id long"), spark.createDataFrame([(2,)], "id long")
     assert [r.id for r in tables.not_yet(rows, done, "id").collect()] == [1, 3]
+
+
+def test_scripts():
+    from sigilframe.functions.script import assignments
+
+    text = r"""// head
+    A = {"a": 1, b: [-2.5e1, 'x\'y', "\u00e9\ud83d\ude00\x41\n", {}, [],], /* in
+    between */ $c_1: {true: true, "n": null, deep: {"deeper": [0x1f, .5, +3]}}};
+    export const B = ["only"]; var C = 7
+    """
+    assert assignments(text) == {"A": {"a": 1, "b": [-25.0, "x'y", "\u00e9\U0001f600A\n", {}, []], "$c_1": {"true": True, "n": None, "deep": {"deeper": [31, 0.5, 3]}}}, "B": ["only"], "C": 7}
+    assert assignments("") == {} and assignments("X=" + "[" * 5000 + "]" * 5000)["X"] is not None
+    for bad in ("A = {", "A = [1 2]", "A = {1: }", "A {}", "A = f(1)", "A = {a 1}", "= 3", "A = 'open"):
+        with pytest.raises(ValueError):
+            assignments(bad)
+
+
+def test_symbol_database_draws(spark, tmp_path):
+    from sigilframe.operators.symbols import Symbols, drawings
+
+    (tmp_path / "chars.js").write_text("""CHARS = {"center": {"c": -16}, "chars": {"c": {"w": 40, "h": 200, "d": [{"x": 4, "y": 8, "d": "p"}]}, "indicator_i": {w: 8, d: ["s"]}, "question_mark": {w: 1, d: []}},
+        "kerning_left": {"c": 3}, "kerning_right": {}, "paths": {"p": {"form": "line", "x1": 0, "y1": 0, "x2": 9, "y2": 9}}, "shapes": {"s": [{"x": 1, "y": 0, "d": "p"},]}};""")
+    (tmp_path / "words.js").write_text("WORDS = {words: {'cc': ['c', 'c']}}")
+    (tmp_path / "broken.js").write_text("OOPS = {")
+    rows = tables.symbol_database(spark, str(tmp_path))
+    assert [r.error is not None for r in rows.where("section is null").collect()] == [True] and rows.where("error is null").count() == 8
+    db = Symbols.of(rows)
+    assert db.words == {"cc": ["c", "c"]} and db.kerning_left == {"c": 3} and db.center == {"c": -16}
+    svg = drawings(spark.createDataFrame([("w", ["c", "indicator_i"])], "word string, parts array<string>"), db).first().svg
+    assert '<line class="symbol-line" x1="4" y1="312" x2="13" y2="303"/><line class="symbol-line" x1="1" y1="312" x2="10" y2="303"/>' in svg
+    assert tables.symbol_database(spark, str(tmp_path / "gone")).collect() == []
