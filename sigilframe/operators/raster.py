@@ -8,7 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigilframe.functions import raster as R
@@ -142,3 +142,61 @@ def normalized(images: DataFrame, key: str = "icon_id", data: str = "content", s
             yield pd.DataFrame(rows, columns=[key, "content", "error"])
 
     return images.select(key, data).mapInPandas(run, f"`{key}` {kind}, content binary, error string")
+
+
+PER_TASK = 256  # boxes of a page that are cut out together
+
+
+def page_crops(pages: DataFrame, boxes: DataFrame, page: str = "page", key: str = "key", data: str = "content", tails: float = 0.0, decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
+    """(key, content, error): boxes (page, key, x1, y1, x2, y2, times) of grey pages as PNG files, each box's contrast stretched and the box enlarged `times`. A page is decoded once for PER_TASK of its
+    boxes; what lies outside of a page is black; an empty box, a missing or a broken page is a row with an error."""
+    number = F.row_number().over(Window.partitionBy(page).orderBy(key)) - 1
+    box = F.struct(F.col(key).alias("key"), *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2", "times")))
+    lists = boxes.withColumn("_part", F.floor(number / PER_TASK)).groupBy(page, "_part").agg(F.collect_list(box).alias("_boxes"))  # PER_TASK at most
+    kind = boxes.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for raw, wanted in zip(b[data], b["_boxes"], strict=True):
+                levels, failed = None, None
+                try:
+                    if raw is None:
+                        raise FileNotFoundError("missing file")
+                    levels = R.luma(decode(bytes(raw)))
+                except Exception as e:  # a broken page fails its boxes
+                    failed = f"{type(e).__name__}: {e}"
+                for w in wanted:
+                    part = None if failed else R.cropped(levels, w["x1"], w["y1"], w["x2"], w["y2"])
+                    ok = part is not None and part.size > 0
+                    rows.append((w["key"], R.write_png(R.opaque(R.enlarged(R.stretched(part, tails), max(1, w["times"])))) if ok else None, None if ok else failed or "ValueError: an empty box"))
+            yield pd.DataFrame(rows, columns=[key, "content", "error"])
+
+    return lists.join(pages.select(page, data), page, "left").select(data, "_boxes").mapInPandas(run, f"`{key}` {kind}, content binary, error string")
+
+
+def levels(images: DataFrame, key: str = "icon_id", data: str = "content", decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
+    """(key, width, height, levels, error): grey levels by rows."""
+    kind = images.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+                try:
+                    g = R.luma(decode(bytes(raw)))
+                    rows.append((k, g.shape[1], g.shape[0], g.ravel().tolist(), None))
+                except Exception as e:  # a failure row
+                    rows.append((k, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[key, "width", "height", "levels", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return images.select(key, data).mapInPandas(run, f"`{key}` {kind}, width int, height int, levels array<int>, error string")
+
+
+def grey_of_vector(side: int = 8):
+    """A decoder-like function for pages given as vectors: 128 in the middle, 255 to a unit."""
+
+    def decode(raw: bytes) -> np.ndarray:
+        return R.opaque(np.floor(np.frombuffer(raw, "<f8").reshape(side, side) * 255 + 128).clip(0, 255).astype(np.uint8))
+
+    return decode

@@ -176,6 +176,20 @@ g AS (SELECT CAST(vec_id AS BIGINT) AS idx, (i - 1) % 8 AS x, (i - 1) // 8 AS y,
 w AS (SELECT s, t, wx, wy, avg(a.v) AS ma, avg(b.v) AS mb, avg(a.v * a.v) AS aa, avg(b.v * b.v) AS bb, avg(a.v * b.v) AS ab FROM r JOIN g a ON a.idx = s JOIN g b ON b.idx = t AND b.x = a.x AND b.y = a.y, (SELECT unnest([0, 1]) AS wx), (SELECT unnest([0, 1]) AS wy) WHERE a.x BETWEEN wx AND wx + 6 AND a.y BETWEEN wy AND wy + 6 GROUP BY ALL)
 SELECT s AS source, t AS target, round(avg((2 * ma * mb + 0.0001) * (2 * (ab - ma * mb) + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (aa - ma * ma + bb - mb * mb + 0.0009))), 6) AS ssim FROM w GROUP BY s, t"""
 
+def crop_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Two boxes of each vector's grey page with their contrast stretched, one over the page's edge: written as PNG, read back, a row a pixel."""
+    pages = raster_rows(spark, d).withColumnRenamed("idx", "page")
+    sides = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), b, strict=True))) for i, b in enumerate(((1, 2, 7, 6), (5, 5, 10, 9)))))
+    boxes = pages.select("page", F.explode(sides).alias("b")).select("page", (F.col("page") * 2 + F.col("b.i")).alias("key"), "b.x1", "b.y1", "b.x2", "b.y2", F.lit(1).alias("times"))
+    cut = ras.page_crops(pages, boxes, decode=ras.grey_of_vector())
+    return ras.levels(cut, "key").select("key", "width", "height", F.posexplode("levels").alias("place", "level"))
+
+
+CROPS = """WITH g AS (SELECT CAST(vec_id AS BIGINT) AS page, (i - 1) % 8 AS x, (i - 1) // 8 AS y, least(255, greatest(0, floor(CAST(embedding[i] AS DOUBLE) * 255 + 128)))::BIGINT AS v FROM embeddings, range(1, 65) t(i)),
+b(i, x1, y1, x2, y2) AS (VALUES (0, 1, 2, 7, 6), (1, 5, 5, 10, 9)), p AS (SELECT vec_id::BIGINT * 2 + b.i AS key, vec_id::BIGINT AS page, x2 - x1 AS width, y2 - y1 AS height, x, y, (y - y1) * (x2 - x1) + x - x1 AS place FROM embeddings, b, (SELECT unnest(range(10)) AS x), (SELECT unnest(range(10)) AS y) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2),
+c AS (SELECT p.*, coalesce(g.v, 0) AS v FROM p LEFT JOIN g ON g.page = p.page AND g.x = p.x AND g.y = p.y), m AS (SELECT key, min(v) AS lo, max(v) AS hi FROM c GROUP BY key)
+SELECT key, width::INT AS width, height::INT AS height, place::INT AS place, (CASE WHEN hi > lo THEN (v - lo) * 255 // (hi - lo) ELSE v END)::INT AS level FROM c JOIN m USING (key)"""
+
 QUERIES = {
     "single_linkage": (single_linkage, LINKAGE),
     "linkage_clusters": (linkage_clusters, FLAT),
@@ -188,6 +202,7 @@ QUERIES = {
     "label_contingency": (label_contingency, TABLE),
     "raster_shapes": (raster_shapes, SHAPES),
     "contour_tree": (contour_tree, None),
+    "crop_levels": (crop_levels, CROPS),
     "raster_hog": (raster_hog, HOG),
     "raster_similarity": (raster_similarity, SIMILAR),
 }

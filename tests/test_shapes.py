@@ -122,3 +122,32 @@ def test_shape_rows(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "bad"), ("a", "gone")], "source string, target string")
     scored = {r.target: (r.ssim, r.error) for r in ops.similar(pairs, df).collect()}
     assert scored["a"] == (1.0, None) and "sizes" in scored["b"][1] and scored["gone"][1].startswith("FileNotFoundError") and scored["bad"][1]
+
+
+def test_page_crops(spark):
+    page = np.full((20, 30), 100, np.uint8)
+    page[5:9, 4:20] = 60
+    page[5, 4], page[6, 5] = 50, 150
+    df = spark.createDataFrame([("p", R.write_png(R.opaque(page))), ("bad", b"x"), ("gone", None)], "page string, content binary")
+    boxes = [("p", "in", 4, 5, 10, 9, 3), ("p", "over", 28, 18, 33, 22, 1), ("p", "flat", 20, 10, 25, 15, 2), ("p", "empty", 3, 3, 3, 9, 1), ("bad", "broken", 0, 0, 2, 2, 1), ("gone", "missing", 0, 0, 2, 2, 1), ("none", "no page", 0, 0, 2, 2, 1)]
+    got = {r.key: r for r in raster.page_crops(df, spark.createDataFrame(boxes, "page string, key string, x1 int, y1 int, x2 int, y2 int, times int")).collect()}
+    assert {k: r.error is None for k, r in got.items()} == {"in": True, "over": True, "flat": True, "empty": False, "broken": False, "missing": False, "no page": False}
+    inside = R.luma(R.decode(bytes(got["in"].content)))
+    assert inside.shape == (12, 18) and inside.min() == 0 and inside.max() == 255
+    over = R.luma(R.decode(bytes(got["over"].content)))
+    assert over.tolist() == [[255, 255, 0, 0, 0]] * 2 + [[0] * 5] * 2
+    assert (R.luma(R.decode(bytes(got["flat"].content))) == 100).all()
+
+
+def test_stretch_and_enlarge():
+    x = np.array([[10, 20], [30, 60]], np.uint8)
+    assert R.stretched(x).tolist() == [[0, 51], [102, 255]] and R.stretched(x[:1, :1]).tolist() == [[10]] and R.stretched(x[:0]).size == 0
+    r = np.random.default_rng(1)
+    y = np.concatenate([r.integers(100, 150, 98), [0, 255]]).astype(np.uint8)
+    assert R.stretched(y, 0.01)[y == y[:98].max()].min() == 255 and R.stretched(y, 0.01)[y == y[:98].min()].max() == 0
+    flat = np.full((3, 5), 77, np.uint8)
+    assert (R.enlarged(flat, 4) == 77).all() and R.enlarged(flat, 4).shape == (12, 20) and R.enlarged(x, 1) is x
+    ramp = np.tile(np.arange(0, 200, 10, dtype=np.uint8), (4, 1))
+    wide = R.enlarged(ramp, 2).astype(int)
+    assert np.abs(wide[3, 4:-4] - ((np.arange(40) + 0.5) / 2 - 0.5)[4:-4] * 10).max() <= 0.51  # a cubic keeps straight lines
+    assert R.luma(np.array([[[255, 0, 0, 0], [0, 255, 0, 9], [0, 0, 255, 255], [255, 255, 255, 255]]], np.uint8)).tolist() == [[76, 150, 29, 255]]
