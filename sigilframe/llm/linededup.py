@@ -6,7 +6,7 @@ shard of the key space, a cuckoo filter of the keys that at least `least` docume
 
 Inserting documents appends their postings, deleting documents appends the same postings with the sign -1, and either appends the new counts of
 the keys it touches; tables are merged as they are read, and rewritten whole only after `runs` changes. Keys that cross the threshold enter
-or leave the filter of their shard, and only filters of such shards are written anew (with twice the room where they overflow); when shards
+or leave the filter of their shard, and only filters of such shards are read and appended anew (with twice the room where they overflow); when shards
 hold more than twice SHARD_KEYS keys on average, their number doubles. So a deletion undoes an insertion exactly, and a change costs what it touches.
 
 Applying the index: each shard's filter is sent to the tasks that hold postings of its keys, and tells which of these may belong to a repeated key; so
@@ -140,11 +140,12 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LineIndex:
-    """postings: (key, doc_id, way) and counts: (key, n_docs, last_doc, run), each a list of runs, the oldest first; filters: (shard, data)."""
+    """postings: (key, doc_id, way) and counts: (key, n_docs, last_doc, run), and filters: (shard, n, data), each a list of runs, the oldest first; of a shard the newest
+    filter counts."""
 
     postings: tuple[DataFrame, ...]
     counts: tuple[DataFrame, ...]
-    filters: DataFrame
+    filters: tuple[DataFrame, ...]
     shards: int
     least: int
     runs: int = RUNS
@@ -156,7 +157,7 @@ class LineIndex:
         counts = stored(count(postings, 0), "counts")
         frequent = counts.where(F.col("n_docs") >= least).select("key")
         shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        return cls((postings,), (counts,), stored(made(frequent, shards), "filters"), shards, least, runs)
+        return cls((postings,), (counts,), (stored(made(frequent, shards), "filters"),), shards, least, runs)
 
     def held(self, within: DataFrame | None = None, on: str = "doc_id") -> DataFrame:
         """(key, doc_id) of all postings that hold; within: only those whose `on` is in this table."""
@@ -203,28 +204,41 @@ class LineIndex:
     def frequent(self) -> DataFrame:
         return self.exact().where(F.col("n_docs") >= self.least)
 
+    def newest(self) -> DataFrame:
+        """The filter of each shard."""
+        if len(self.filters) == 1:
+            return self.filters[0]
+        every = reduce(DataFrame.unionByName, (f.withColumn("run", F.lit(i)) for i, f in enumerate(self.filters)))
+        return every.groupBy("shard").agg(F.max_by(F.struct("n", "data"), "run").alias("f")).select("shard", "f.*")
+
     def refilled(self, delta: DataFrame) -> LineIndex:
-        """The filters after keys (way 1) have come and keys (way -1) have gone."""
-        keys = self.filters.agg(F.sum("n")).first()[0] or 0
-        if keys + delta.where("way = 1").count() > 2 * SHARD_KEYS * self.shards:
-            return replace(self, filters=stored(made(self.frequent().select("key"), 2 * self.shards), "filters"), shards=2 * self.shards)
+        """The filters after keys (way 1) have come and keys (way -1) have gone: those of the keys' shards are read, and appended as a new run; no other is."""
         moved = delta.withColumn("shard", shard_of(self.shards))
-        fresh = stored(moved.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(moved_filter, FILTERS), "filters")
+        touched = moved.select("shard").distinct()
+        if touched.isEmpty():
+            return self
+        keys = self.newest().agg(F.sum("n")).first()[0] or 0
+        if keys + delta.where("way = 1").count() > 2 * SHARD_KEYS * self.shards:
+            return replace(self, filters=(stored(made(self.frequent().select("key"), 2 * self.shards), "filters"),), shards=2 * self.shards)
+        was = self.newest().join(touched, "shard", "left_semi")
+        fresh = stored(moved.groupBy("shard").cogroup(was.groupBy("shard")).applyInPandas(moved_filter, FILTERS), "filters")
         full = fresh.where("data is null").select("shard")  # overflowed: filled anew from all their keys
         if not full.isEmpty():
             again = self.frequent().select("key").withColumn("shard", shard_of(self.shards)).join(full, "shard", "left_semi")
-            fresh = fresh.where("data is not null").unionByName(again.groupBy("shard").applyInPandas(new_filter, FILTERS))
-        return replace(self, filters=stored(fresh, "filters"))
+            fresh = stored(fresh.where("data is not null").unionByName(again.groupBy("shard").applyInPandas(new_filter, FILTERS)), "filters")
+        out = replace(self, filters=(*self.filters, fresh))
+        return replace(out, filters=(stored(out.newest(), "filters"),)) if len(out.filters) > self.runs else out
 
     def hits(self) -> DataFrame:
         """(key, doc_id, way) of the postings that the filters let pass; each filter travels to the tasks that hold its shard."""
-        spark = self.filters.sparkSession
+        filters = self.newest()
+        spark = filters.sparkSession
         rows = reduce(DataFrame.unionByName, self.postings)
         parts = parts_for(spark, rows.count(), POSTINGS_PER_PART)
         salts = max(1, -(-parts // self.shards))
         nothing = F.lit(None)
         dealt = rows.select(shard_of(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "key", "doc_id", "way", nothing.cast("binary").alias("data"))
-        sent = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), nothing.cast("binary").alias("key"), nothing.cast("long").alias("doc_id"), nothing.cast("int").alias("way"), "data")
+        sent = filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), nothing.cast("binary").alias("key"), nothing.cast("long").alias("doc_id"), nothing.cast("int").alias("way"), "data")
         both = dealt.unionByName(sent).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
         return both.select("shard", "key", "doc_id", "way", "data").mapInArrow(passing, "key binary, doc_id long, way int")
 
@@ -289,9 +303,7 @@ def new_filter(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def moved_filter(group: tuple, rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    """A shard's filter after its changes; the old one where there are none, null data where it overflows."""
-    if not len(rows):
-        return old[["shard", "n", "data"]]
+    """A shard's filter after its changes; null data where it overflows."""
     f = CuckooFilter.from_bytes(old.data.iloc[0]) if len(old) else CuckooFilter(len(rows))
     keys, way = numbers(rows.key), rows.way.to_numpy()
     done = all([f.delete(int(k)) for k in keys[way == -1]]) and all(f.insert(int(k)) for k in keys[way == 1])

@@ -353,7 +353,7 @@ def test_line_index_is_reversible(spark):
     assert state(two.insert(more)) == state(two)
     gone = two.delete(more.select("doc_id"))
     assert state(gone) == state(one)
-    assert not any(r.n for r in gone.filters.collect())
+    assert not any(r.n for r in gone.newest().collect())
     last = two.delete(spark.createDataFrame([(7,)], "doc_id long"))
     assert sorted(r.doc_id for r in last.drops().collect()) == list(range(6))
     again = last.insert(more)  # merges the runs
@@ -368,6 +368,22 @@ def test_line_index_writes_what_a_change_touches(spark):
     assert new.postings[0] is index.postings[0] and new.counts[0] is index.counts[0]
 
 
+def test_line_index_writes_filters_of_touched_shards(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 5)
+    line = lambda k: f"common line number {k} of a good many of these documents"
+    docs = [(i, "\n".join(line(k) for k in range(60) if k or i < 4)) for i in range(6)]  # line 0 is in four documents, the others in six
+    index = linededup.LineIndex.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert index.shards == 12 and len(index.filters) == 1 and index.newest().agg(F.sum("n")).first()[0] == 59
+    same = index.insert(spark.createDataFrame([(50, "a line that nobody else has, long enough for its key")], "doc_id long, text string"))
+    assert same.filters is index.filters
+    one = same.insert(spark.createDataFrame([(99, line(0))], "doc_id long, text string"))
+    assert [f.count() for f in one.filters][1:] == [1] and one.filters[0] is index.filters[0] and one.newest().agg(F.sum("n")).first()[0] == 60
+    assert {r.doc_id for r in one.drops().collect()} == {0, 1, 2, 3, 4}
+    back = one.delete(spark.createDataFrame([(99,)], "doc_id long"))
+    assert [f.count() for f in back.filters][1:] == [1, 1] and back.newest().agg(F.sum("n")).first()[0] == 59
+    assert key(back.exact().collect()) == key(same.exact().collect())
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     keys = r.integers(0, 1 << 63, 20_000, dtype=np.uint64)
