@@ -5,6 +5,7 @@ Words are rows (text, left, top, right, bottom, cx, cy, confidence) with the col
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,18 +65,22 @@ def in_lines(words: DataFrame, group: list[str], tolerance: float = 24.0) -> Dat
     the words of one box."""
 
     def order(p: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list[int]] = []
-        cy = p.cy.to_numpy()
-        for i in p.cy.argsort(kind="stable"):
-            near = next((x for x in lines if abs(sum(cy[j] for j in x) / len(x) - cy[i]) <= tolerance), None)
-            lines.append([i]) if near is None else near.append(i)
-        lines.sort(key=lambda x: sum(cy[j] for j in x) / len(x))
-        left, place = p.left.to_numpy(), 0
-        out = p.assign(line=0, place=0)
-        for n, x in enumerate(lines):
-            for j in sorted(x, key=lambda j: left[j]):  # noqa: B023
-                out.iloc[j, -2], out.iloc[j, -1], place = n, place, place + 1
-        return out
+        cy, total, n, of = p.cy.to_numpy(), [], [], np.zeros(len(p), int)
+        mean = np.zeros(len(p))  # of the lines so far
+        down = np.argsort(cy, kind="stable")
+        for i in down:
+            near = np.flatnonzero(np.abs(mean[: len(n)] - cy[i]) <= tolerance)
+            k = int(near[0]) if len(near) else len(n)
+            if k == len(n):
+                total.append(0.0)
+                n.append(0)
+            total[k], n[k], of[i] = total[k] + cy[i], n[k] + 1, k
+            mean[k] = total[k] / n[k]
+        number = np.empty(len(n), int)
+        number[np.argsort(mean[: len(n)], kind="stable")] = np.arange(len(n))
+        line, place = number[of], np.empty(len(p), int)
+        place[down[np.lexsort((p.left.to_numpy()[down], line[down]))]] = np.arange(len(p))
+        return p.assign(line=line, place=place)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
     return words.groupBy(*group).applyInPandas(order, f"{fields}, line int, place int")
