@@ -13,7 +13,8 @@ from sigilframe.llm.shared import delete, scratch, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: null texts, and texts without a letter, the empty one included. Repeated rows and rows with a null
+    """Documents whose language can't be told go: null texts, and texts without a letter (numerals are none), the empty one included. A null lang
+    becomes the predicted language where its score is langid.FILL or more; a given lang stays. Repeated rows and rows with a null
     doc_id are judged by their text like any other; long texts are read whole. Without labelled rows every text with a letter stays. An empty table stays empty; other
     columns pass untouched, whatever their names."""
     return langid.keep_known(docs)
