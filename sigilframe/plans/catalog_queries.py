@@ -106,8 +106,9 @@ def complete_case_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_catalog(spark: SparkSession, d: str) -> DataFrame:
-    g = sinks.grouped(table(spark, d, "documents").select("source", "doc_id", "lang"), "source", ["doc_id"])
-    return g.select("source", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["lang"])), ",").alias("items"))
+    """Documents of a source in parts of a hundred."""
+    g = sinks.grouped(table(spark, d, "documents").select("source", "doc_id", "lang"), "source", ["doc_id"], each=100)
+    return g.select("source", "part", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["lang"])), ",").alias("items"))
 
 
 def explode_variants_union(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +198,7 @@ QUERIES = {
     "first_n_per_set": (first_n_per_set, "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 12"),
     "sample_then_limit": (sample_then_limit, "SELECT * FROM (SELECT role, conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) <= 40) ORDER BY conv_id, turn LIMIT 60"),
     "complete_case_filter": (complete_case_filter, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CASE WHEN event_type = 'view' THEN 1.5 ELSE value END AS v FROM events WHERE event_type <> 'error' AND json_extract_string(props, '$.k') IS NOT NULL AND value IS NOT NULL"),
-    "grouped_catalog": (grouped_catalog, "SELECT source, count(*) AS n, string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id) AS items FROM documents GROUP BY source"),
+    "grouped_catalog": (grouped_catalog, "SELECT source, part, count(*) AS n, string_agg(concat_ws(':', doc_id, lang), ',' ORDER BY doc_id) AS items FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS part FROM documents) GROUP BY source, part"),
     "explode_variants_union": (explode_variants_union, "WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations) SELECT conv_id, CAST(CASE WHEN turn % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS variant, turn, n FROM c UNION ALL SELECT conv_id, 0, turn + 1000, n * 2 FROM c WHERE turn % 2 = 1"),
     "predicate_or_search": (predicate_or_search, "SELECT doc_id FROM documents WHERE lang = 'es' OR lang = 'src3' OR source = 'src3' OR contains(text, 'th the')"),
     "name_cases": (name_cases, CASES),

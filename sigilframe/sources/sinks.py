@@ -64,11 +64,16 @@ def kind_manifest(rows: DataFrame, kind: str) -> DataFrame:
     return rows.rollup(kind).agg(F.count(F.lit(1)).alias("n"))
 
 
-def grouped(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """(group, items) with the rows of a group in order."""
-    rest = [c for c in rows.columns if c != group]
-    cols = [*order, *(c for c in rest if c not in order)]
-    return rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))
+def grouped(rows: DataFrame, group: str, order: list[str], each: int = 1000) -> DataFrame:
+    """(group, part, items) with the rows of a group in order, `each` of them a part, so no row grows with its group. Rows are numbered by ranges: a large group is spread over tasks."""
+    from sigilframe.operators.graph import written
+    from sigilframe.operators.records import numbered
+
+    cols = [*order, *(c for c in rows.columns if c not in (group, *order))]
+    placed = written(numbered(rows, [F.col(group).asc_nulls_first(), *order], "_t"))
+    first = written(placed.groupBy(F.col(group).alias("_g")).agg(F.min("_t").alias("_f")))
+    parts = placed.join(first, placed[group].eqNullSafe(first["_g"])).withColumn("part", F.floor((F.col("_t") - F.col("_f")) / each))
+    return parts.groupBy(group, "part").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))  # `each` at most
 
 
 def sorted_words(rows: DataFrame) -> DataFrame:
