@@ -36,8 +36,8 @@ def quotas(sizes: DataFrame, stratum: str, n: int, whole: int = 0) -> DataFrame:
     small = F.col("n") <= whole
     got = sizes.agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(~small, F.col("n"))), F.lit(0)).alias("rows")).first()
     share = min(max(n - got.kept, 0), got.rows)
-    part = F.col("n") * share
-    base = sizes.withColumns({"quota": F.when(small, F.col("n")).otherwise(F.floor(part / F.lit(max(got.rows, 1)))), "_rest": F.when(small, -1).otherwise(part % max(got.rows, 1))})
+    part, rows = f"cast(n as decimal(19,0)) * cast({share} as decimal(18,0))", f"cast({max(got.rows, 1)} as decimal(19,0))"  # of large tables beyond 64 bits
+    base = sizes.withColumns({"quota": F.when(small, F.col("n")).otherwise(F.expr(f"({part}) div {rows}")), "_rest": F.when(small, -1).otherwise(F.expr(f"({part}) % {rows}").cast("long"))})
     base = written(base.select(stratum, "n", F.col("quota").cast("long").alias("quota"), F.col("_rest").cast("long").alias("_rest")))
     more = share - (base.where("_rest >= 0").agg(F.sum("quota")).first()[0] or 0)
     placed = numbered(base, [F.desc("_rest"), F.col(stratum).asc_nulls_first()], "_n")

@@ -244,6 +244,8 @@ def test_stratified_sample(spark):
     for s in sorted(big, key=lambda s: (-(big[s] * 99 % sum(big.values())), s or ""))[: 100 - sum(want.values())]:
         want[s] += 1
     assert sizes == want and got.count() == 100
+    huge = spark.createDataFrame([("a", 4 * 10**13), ("b", 2 * 10**13), (None, 1)], "s string, n long")
+    assert {r.s: r.quota for r in sampling.quotas(huge, "s", 3 * 10**12 + 1).collect()} == {"a": 2 * 10**12 + 1, "b": 10**12, None: 0}
     again = sampling.stratified(df.orderBy(F.desc("k")).repartition(5), "s", "k", 100, seed=3, whole=5)
     assert rows(again) == rows(got) and rows(sampling.stratified(df, "s", "k", 100, seed=4, whole=5)) != rows(got)
     assert sampling.stratified(df, "s", "k", 10**6).count() == len(data) and sampling.stratified(df.limit(0), "s", "k", 5).collect() == []
