@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigilframe.operators.graph import written
+
 # Code points of the skin tone modifiers.
 MODIFIERS = ("1F3FB", "1F3FC", "1F3FD", "1F3FE", "1F3FF")
 
@@ -85,9 +87,10 @@ def search(rows: DataFrame, equal: dict[str, str] | None = None, tags: list[str]
 
 
 def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """Adds `name`: numbers from 1 in an order. Rows are numbered within ranges and over them, so no task sees all rows."""
+    """Adds `name`: numbers from 1 in an order. Rows are numbered within ranges and over them, so no task sees all rows. The ranges are drawn from a sample, so
+    the rows are written with theirs: worked out twice, they needn't be the same ones."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    spread = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    spread = written(spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
     out = spread.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_n") + F.col("_b"))  # a row for each partition

@@ -48,7 +48,7 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 0, w
     """A sample of n rows, by stratum as `quotas` says: in each the rows whose hash of seed and key comes first, ties by key. Rows are numbered in order of (stratum, hash) within ranges, so
     a stratum of any size is spread over tasks; the same seed draws the same rows, in whatever order they come."""
     marked = rows.withColumn("_mark", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    placed = written(numbered(marked, [F.col(stratum).asc_nulls_first(), "_mark", key], "_t"))
+    placed = numbered(marked, [F.col(stratum).asc_nulls_first(), "_mark", key], "_t")
     sizes = placed.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("_first"))
     wanted = written(quotas(sizes.select(stratum, "n"), stratum, n, whole).join(sizes.select(F.col(stratum).alias("_s"), "_first"), F.col(stratum).eqNullSafe(F.col("_s"))).select("_s", "_first", "quota"))
     return placed.join(wanted, placed[stratum].eqNullSafe(wanted["_s"])).where(F.col("_t") - F.col("_first") < F.col("quota")).select(*rows.columns)

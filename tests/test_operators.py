@@ -353,3 +353,10 @@ def test_incremental_plan_compares_every_document(spark):
     _, now, memo = quality_queries.hashed_documents(spark, sf)
     names = {f"f{r.doc_id}" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert {r.file for r in now.collect()} == names == {r.file for r in memo.collect()}
+
+
+def test_numbers_of_a_table_larger_than_its_sample(spark):
+    wide = spark.range(0, 300_000, 1, 8).select((F.col("id") * 7919 % 300_007).alias("k"), F.col("id").cast("string").alias("a"))
+    got = records.numbered(wide, ["k"], "n")
+    want = sorted(tuple(r) for r in wide.collect())
+    assert [tuple(r) for r in got.orderBy("n").collect()] == [(*r, i + 1) for i, r in enumerate(want)]
