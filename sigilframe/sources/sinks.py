@@ -70,7 +70,7 @@ def grouped(rows: DataFrame, group: str, order: list[str], each: int = 1000) ->
     from sigilframe.operators.records import numbered
 
     cols = [*order, *(c for c in rows.columns if c not in (group, *order))]
-    placed = written(numbered(rows, [F.col(group).asc_nulls_first(), *order], "_t"))
+    placed = numbered(rows, [F.col(group).asc_nulls_first(), *order], "_t")
     first = written(placed.groupBy(F.col(group).alias("_g")).agg(F.min("_t").alias("_f")))
     parts = placed.join(first, placed[group].eqNullSafe(first["_g"])).withColumn("part", F.floor((F.col("_t") - F.col("_f")) / each))
     return parts.groupBy(group, "part").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))  # `each` at most

@@ -162,3 +162,11 @@ def test_symbol_database_draws(spark, tmp_path):
     svg = drawings(spark.createDataFrame([("w", ["c", "indicator_i"])], "word string, parts array<string>"), db).first().svg
     assert '<line class="symbol-line" x1="4" y1="312" x2="13" y2="303"/><line class="symbol-line" x1="1" y1="312" x2="10" y2="303"/>' in svg
     assert tables.symbol_database(spark, str(tmp_path / "gone")).collect() == []
+
+
+def test_parts_of_a_group_larger_than_its_sample(spark):
+    t = spark.range(0, 300_000, 1, 8).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 300_007).alias("k"), F.col("id").cast("string").alias("a"))
+    got = sinks.grouped(t, "g", ["k"], each=1000).select("g", "part", F.size("items").alias("n"), F.col("items")[0]["k"].alias("first")).orderBy("g", "part").collect()
+    assert [(r.g, r.part, r.n) for r in got] == [(g, p, 1000) for g in (0, 1) for p in range(150)]
+    keys = {g: sorted(r.k for r in t.where(f"g = {g}").select("k").collect()) for g in (0, 1)}
+    assert [r["first"] for r in got] == [keys[r.g][r.part * 1000] for r in got]
