@@ -141,8 +141,13 @@ def hex_of(number: Column | str) -> Column:
 
 @F.pandas_udf(StringType())
 def characters(hexcodes: pd.Series) -> pd.Series:
-    """The text of code points written in hexadecimal and joined by -; char() knows the first 256 only."""
-    return hexcodes.map(lambda h: "".join(chr(int(x, 16)) for x in h.split("-")) if h else h)
+    """The text of code points written in hexadecimal and joined by -; char() knows the first 256 only. A number that no character has (a surrogate's, or one above 10FFFF)
+    is the replacement character."""
+
+    def one(n: int) -> str:
+        return "\ufffd" if n > 0x10FFFF or 0xD800 <= n <= 0xDFFF else chr(n)
+
+    return hexcodes.map(lambda h: "".join(one(int(x, 16)) for x in h.split("-")) if h else h)
 
 
 @F.pandas_udf(StringType())
@@ -151,6 +156,11 @@ def hexcodes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "-".join(f"{ord(c):04X}" for c in t) if t else t)
 
 
+def replaced_codes(hexcodes: Column | str) -> Column:
+    """Code points as `characters` can write them: FFFD for a number that no character has."""
+    return F.regexp_replace(_c(hexcodes), "(?<![^-])(?:D[89A-F][0-9A-F]{2}|1[1-9A-F][0-9A-F]{4}|[2-9A-F][0-9A-F]{5}|[1-9A-F][0-9A-F]{6,})(?![^-])", "FFFD")
+
+
 @F.pandas_udf(StringType())
 def symbol_file(ids: pd.Series) -> pd.Series:
     """File stem of a symbol id: the first of its comma-joined names, decomposed, as a slug of at most 80 characters; `symbol_name` adds the hash."""

@@ -155,10 +155,10 @@ def skin_problems(rows: DataFrame, markup: str, key: str, base: tuple[str, ...],
 
 
 def code_mismatches(rows: DataFrame, code: str = "hexcode", text: str = "emoji") -> DataFrame:
-    """Rows whose text isn't spelled by its code points, in hexadecimal of four digits at least, joined by -."""
-    from sigilframe.functions.text import hexcodes
+    """Rows whose text isn't spelled by its code points, in hexadecimal of four digits at least, joined by -. A number that no character has is spelled by the replacement character."""
+    from sigilframe.functions.text import hexcodes, replaced_codes
 
-    return rows.where(~F.col(code).eqNullSafe(hexcodes(F.col(text))))
+    return rows.where(~replaced_codes(code).eqNullSafe(hexcodes(F.col(text))))
 
 
 def nearest_colour(rows: DataFrame, key: str, rgb: tuple[str, str, str], palette: list[tuple[int, int, int]]) -> DataFrame:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigilframe.functions import raster as R
+from sigilframe.functions import text as X
 from sigilframe.operators import catalog, drawings, graph, nearby, ocr, quality, raster, records, sampling, similarity, stats, symbols
+from sigilframe.plans import record_queries
 from sigilframe.schema import FEATURES
 
 
@@ -360,3 +362,22 @@ def test_numbers_of_a_table_larger_than_its_sample(spark):
     got = records.numbered(wide, ["k"], "n")
     want = sorted(tuple(r) for r in wide.collect())
     assert [tuple(r) for r in got.orderBy("n").collect()] == [(*r, i + 1) for i, r in enumerate(want)]
+
+
+def test_codes_beyond_unicode(spark):
+    codes = [("A", "0041-10FFFF", "A\U0010ffff"), ("B", "0041-110000", "A�"), ("C", "42-145000", "A�"), ("D", "0041-145000", None), ("E", "0041-D800-FFFD", "A��"), ("F", None, None), ("G", "0041-01F600", "A\U0001f600"), ("H", "0041-7FFFFFFF0", "A�")]
+    df = spark.createDataFrame(codes, "k string, hexcode string, emoji string")
+    assert rows(quality.code_mismatches(df), "k") == [("C",), ("D",), ("G",)]
+    made = [r[0] for r in spark.createDataFrame([("41-145000-110000-D800-DFFF-10FFFF-E000",), (None,)], "h string").select(X.characters("h")).collect()]
+    assert made == ["A����\U0010ffff", None]
+
+
+@pytest.mark.parametrize("name", ["code_checks", "record_text"])
+def test_part_keys_beyond_unicode(spark, tmp_path, name):
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 1_114_111 - 0x1F000 - 50).write.parquet(f"{tmp_path}/part.parquet")
+    got = rows(record_queries.QUERIES[name][0](spark, str(tmp_path)))
+    keys = [r.p_partkey for r in spark.read.parquet(f"{tmp_path}/part.parquet").collect()]
+    if name == "code_checks":
+        assert got == sorted(((k, f"42-{k + 0x1F000:X}") for k in keys if k % 9 == 4), key=repr)
+    else:
+        assert {r[0]: r[7] for r in got} == {k: "A" + (chr(k + 0x1F000) if k + 0x1F000 <= 0x10FFFF else "�") for k in keys}
