@@ -25,29 +25,29 @@ def written(df: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all nodes that roots (node) lead to over edges (parent, child), at their least depth; cycles end by themselves.
-    A round joins the last frontier only."""
-    frontier = settled(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    A round joins the last frontier only. No side of a round is broadcast, as the driver would take in every round's."""
+    e = written(edges.select("parent", "child")).hint("merge")
+    frontier = written(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
-        frontier = settled(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        frontier = written(step.join(seen.select("node").hint("merge"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def leaves(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, path, leaf) of every way from a root (node) down ordered edges (parent, pos, child) to a node without children; path orders the leaves. A path never
-    meets a node twice. A round goes one step down all ways that still can; its rows are cut off from the rounds before, so depth has no limit."""
-    e = settled(edges.select("parent", F.col("pos").cast("int").alias("pos"), "child"))
-    down = e.select(F.col("parent").alias("node"), "pos", "child")
-    walking = settled(roots.select(F.col("node").alias("root"), "node", F.expr("cast(array() as array<int>)").alias("path"), F.array("node").alias("seen")))
-    inner = e.select(F.col("parent").alias("node")).distinct()
+    meets a node twice. A round goes one step down all ways that still can; its rows are cut off from the rounds before, so depth has no limit. No side of a round is broadcast."""
+    down = written(edges.select(F.col("parent").alias("node"), F.col("pos").cast("int").alias("pos"), "child", F.lit(True).alias("_inner"))).hint("merge")
+    walking = written(roots.select(F.col("node").alias("root"), "node", F.expr("cast(array() as array<int>)").alias("path"), F.array("node").alias("seen")))
     ends = []
     while not walking.isEmpty():
-        ends.append(settled(walking.join(inner, "node", "left_anti").select("root", "path", F.col("node").alias("leaf"))))
-        step = walking.join(down, "node").where(~F.array_contains("seen", F.col("child")))
-        walking = settled(step.select("root", F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"), F.concat("seen", F.array("child")).alias("seen")))
+        went = written(walking.join(down, "node", "left"))
+        ends.append(went.where("_inner is null").select("root", "path", F.col("node").alias("leaf")))
+        step = went.where("_inner").where(~F.array_contains("seen", F.col("child")))
+        walking = step.select("root", F.col("child").alias("node"), F.concat("path", F.array("pos")).alias("path"), F.concat("seen", F.array("child")).alias("seen"))
     return reduce(DataFrame.unionByName, ends) if ends else roots.select(F.col("node").alias("root"), F.expr("cast(array() as array<int>)").alias("path"), F.col("node").alias("leaf")).limit(0)
 
 
@@ -55,7 +55,7 @@ def files_below(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct files of the categories that roots lead to; members: (category, kind, title), kind being category or file."""
     down = members.where("kind = 'category'").select(F.col("category").alias("parent"), F.col("title").alias("child"))
     at = reachable(down, roots)
-    return members.where("kind = 'file'").join(at, F.col("category") == F.col("node"), "left_semi").select("title").distinct()
+    return members.where("kind = 'file'").join(at.hint("merge"), F.col("category") == F.col("node"), "left_semi").select("title").distinct()
 
 
 def rooted(parents: DataFrame) -> DataFrame:

@@ -381,3 +381,32 @@ def test_part_keys_beyond_unicode(spark, tmp_path, name):
         assert got == sorted(((k, f"42-{k + 0x1F000:X}") for k in keys if k % 9 == 4), key=repr)
     else:
         assert {r[0]: r[7] for r in got} == {k: "A" + (chr(k + 0x1F000) if k + 0x1F000 <= 0x10FFFF else "�") for k in keys}
+
+
+@pytest.mark.parametrize("name", ["reachable", "leaves", "files_below"])
+def test_rounds_broadcast_nothing(spark, tmp_path, monkeypatch, name):
+    plans = []
+
+    def seen(keep):
+        def kept(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return keep(df)
+
+        return kept
+
+    for step in ("written", "settled"):
+        monkeypatch.setattr(graph, step, seen(getattr(graph, step)))
+    tree = spark.range(2, 64).select(F.expr("id div 2").alias("parent"), (F.col("id") % 2).alias("pos"), F.col("id").alias("child"))
+    tree.write.parquet(f"{tmp_path}/tree")
+    roots, tree = spark.createDataFrame([(2,)], "node long"), spark.read.parquet(f"{tmp_path}/tree")
+    if name == "reachable":
+        got, want = graph.reachable(tree, roots), [(k, d) for k in range(2, 64) for d in range(5) if k >> d == 2]
+    elif name == "leaves":
+        got, want = graph.leaves(tree, roots), [(2, [int(b) for b in f"{k - 32:04b}"], k) for k in range(32, 48)]
+    else:
+        members = tree.select(F.col("parent").alias("category"), F.lit("category").alias("kind"), F.col("child").alias("title"))
+        files = tree.select(F.col("child").alias("category"), F.lit("file").alias("kind"), (F.col("child") + 1000).alias("title"))
+        got, want = graph.files_below(members.unionByName(files), roots), [(k + 1000,) for k in range(3, 64) for d in range(1, 5) if k >> d == 2] + [(1002,)]
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert rows(got) == sorted(want, key=repr)
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
