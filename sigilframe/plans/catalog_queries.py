@@ -142,8 +142,9 @@ def recursive_expand(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     edges = p.where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("parent"), (F.col("p_partkey") % 2).alias("pos"), F.col("p_partkey").alias("child"))
     roots = p.where("p_partkey between 1 and 15").select(F.col("p_partkey").alias("node"))
-    w = graph.leaves(edges, roots)
-    return w.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "leaf"))), lambda x: x["leaf"].cast("string")), ",").alias("leaves"))
+    parts = sinks.grouped(graph.leaves(edges, roots), "root", ["path", "leaf"])
+    parts = parts.select("root", "part", F.size("items").alias("n"), F.array_join(F.transform("items", lambda x: x["leaf"].cast("string")), ",").alias("leaves"))
+    return parts.groupBy("root").agg(F.sum("n").cast("long").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "leaves"))), lambda x: x["leaves"]), ",").alias("leaves"))
 
 
 def category_reach(spark: SparkSession, d: str) -> DataFrame:
