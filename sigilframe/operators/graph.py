@@ -23,6 +23,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt anew by their key, for work by rows: a small file of many rows is read by few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all nodes that roots (node) lead to over edges (parent, child), at their least depth; cycles end by themselves.
     A round joins the last frontier only. No side of a round is broadcast, as the driver would take in every round's."""

@@ -410,3 +410,13 @@ def test_rounds_broadcast_nothing(spark, tmp_path, monkeypatch, name):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert rows(got) == sorted(want, key=repr)
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_work_by_rows_is_dealt_to_all_tasks(spark):
+    one = spark.range(0, 100, 1, 1).select(F.col("id").cast("string").alias("word"), F.array(F.lit("sun")).alias("parts"), F.lit("<svg/>").alias("svg_in"))
+    vocabulary = record_queries.SYMBOLS
+    for df in (drawings.rewritten(one, "word", "svg_in"), symbols.expanded(one, vocabulary)):
+        tasks = df.select("word", F.spark_partition_id().alias("p")).collect()
+        assert sorted(int(r.word) for r in tasks) == list(range(100)) and len({r.p for r in tasks}) == 4
+    for df in (symbols.laid_out(one, vocabulary), symbols.drawings(one, vocabulary)):
+        assert "MapInPandas" not in df._jdf.queryExecution().executedPlan().toString()  # expanded once, before
