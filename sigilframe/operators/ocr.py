@@ -50,13 +50,17 @@ def words_in_boxes(words: DataFrame, boxes: DataFrame, on: list[str], box: str)
     return boxes.join(words, on).where(inside)
 
 
+FEW_BOXES = 20_000  # with their cells; some two megabytes
+
+
 def contained(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
-    """Range join of points with boxes (box_id, x1, y1, x2, y2), edges included. Boxes are spread over a grid of their mean width, so the join
-    has keys and no side needs to be broadcast."""
+    """Range join of points with boxes (box_id, x1, y1, x2, y2), edges included. Boxes are spread over a grid of their mean width, so the join has keys. Up to FEW_BOXES of them are
+    broadcast, as their few keys would put all points into as many tasks; for more, no side is."""
     size = boxes.agg(F.greatest(F.avg(F.col("x2") - F.col("x1")), F.lit(1e-9))).first()[0] or 1.0
     cell = lambda v: F.floor(v / F.lit(float(size)))
     spread = boxes.withColumn("_cell", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2")))))
-    joined = points.withColumn("_cell", cell(F.col(x))).join(spread, "_cell")
+    few = len(spread.select("_cell").limit(FEW_BOXES + 1).collect()) <= FEW_BOXES
+    joined = points.withColumn("_cell", cell(F.col(x))).join(spread.hint("broadcast" if few else "merge"), "_cell")
     return joined.where(F.col(x).between(F.col("x1"), F.col("x2")) & F.col(y).between(F.col("y1"), F.col("y2"))).drop("_cell")
 
 

@@ -420,3 +420,17 @@ def test_work_by_rows_is_dealt_to_all_tasks(spark):
         assert sorted(int(r.word) for r in tasks) == list(range(100)) and len({r.p for r in tasks}) == 4
     for df in (symbols.laid_out(one, vocabulary), symbols.drawings(one, vocabulary)):
         assert "MapInPandas" not in df._jdf.queryExecution().executedPlan().toString()  # expanded once, before
+
+
+@pytest.mark.parametrize(("few", "join"), [(20_000, "BroadcastHashJoin"), (2, "SortMergeJoin")])
+def test_few_boxes_dont_gather_points(spark, monkeypatch, few, join):
+    monkeypatch.setattr(ocr, "FEW_BOXES", few, raising=False)
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    pts = spark.range(1000).select((F.col("id") % 50).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    boxes = spark.createDataFrame([(i, 5.0 * i, 0.0, 5.0 * i + 12, math.inf) for i in range(10)], "box_id long, x1 double, y1 double, x2 double, y2 double")
+    got = ocr.contained(pts, boxes, "x", "y")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert join in plan
+    assert rows(got.groupBy("box_id").count()) == [(i, 20 * sum(5 * i <= k <= 5 * i + 12 for k in range(50))) for i in range(10)]
