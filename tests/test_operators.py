@@ -44,6 +44,29 @@ def test_neighbours_and_pairs_in_blocks(spark, monkeypatch, block):
     assert m.count() == len(x) ** 2 and m.where("source = target and distance <> 0").count() == 0
 
 
+def shuffled_rows(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_matrix_shuffles_no_pairs(spark, monkeypatch):
+    """Every row goes to one part of ten rows, whatever the number of parts that it meets; both metrics as numpy has them."""
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    r = np.random.default_rng(6)
+    x = np.vstack([r.normal(size=(297, 3)), np.zeros((2, 3)), [[math.nan, 0.0, 1.0]]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "idx long, a double, b double, c double")
+    for metric, of in (("euclidean", nearby.direct), ("cosine", similarity.cosine)):
+        before = shuffled_rows(spark)
+        got = similarity.distance_matrix(df, ["a", "b", "c"], "idx", metric).toPandas()
+        assert 0 < shuffled_rows(spark) - before <= 3 * len(x)
+        want = of(x, x)
+        np.fill_diagonal(want, 0)
+        assert len(got) == len(x) ** 2 and not got.duplicated(["source", "target"]).any()
+        assert np.allclose(got.sort_values(["source", "target"]).distance.to_numpy().reshape(len(x), -1), want, rtol=0, atol=1e-15, equal_nan=True)
+    assert similarity.distance_matrix(df.limit(0), ["a", "b", "c"], "idx").collect() == []
+
+
 def test_cosine_neighbours_of_zero_and_broken_rows(spark, monkeypatch):
     monkeypatch.setattr(nearby, "BLOCK", 8)
     r = np.random.default_rng(4)
