@@ -8,10 +8,12 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigilframe.functions import raster as R
+from sigilframe.functions.batches import batched, frames, parts
 
 
 @dataclass
@@ -53,7 +55,7 @@ def extract(images: DataFrame, key: str = "icon_id", data: str = "content", extr
     kind = images.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in frames(batches):
             rows = []
             for k, raw in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
                 try:
@@ -89,11 +91,11 @@ def of_vector(vector: str, side: int = 8, times: int = 1, level: float = 0.0):
 def vector_bytes(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, content): vectors as little-endian doubles."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "content": [np.asarray(v, "<f8").tobytes() for v in b[vector]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(v, "<f8").tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=[key, "content"])
 
-    return rows.select(key, vector).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, content binary")
+    return rows.select(key, vector).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, content binary")
 
 
 def boxes(images: DataFrame, key: str = "icon_id", data: str = "content", decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
@@ -101,7 +103,7 @@ def boxes(images: DataFrame, key: str = "icon_id", data: str = "content", decode
     kind = images.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in frames(batches):
             rows = [(k, *box) for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) for box in R.component_boxes(R.foreground(decode(bytes(raw))))]
             yield pd.DataFrame(rows, columns=[key, "x1", "y1", "x2", "y2", "area"])
 
@@ -114,7 +116,7 @@ def symbol_crops(images: DataFrame, key: str = "icon_id", data: str = "content",
     src = images.select(key, data, (F.col(last_row) if last_row else F.lit(False)).alias("_last"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in frames(batches):
             out = []
             for raw, last in zip(b.iloc[:, 1], b["_last"], strict=True):
                 rgba = decode(bytes(raw))
@@ -132,7 +134,7 @@ def normalized(images: DataFrame, key: str = "icon_id", data: str = "content", s
     kind = images.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in frames(batches):
             rows = []
             for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
                 try:
@@ -149,48 +151,51 @@ PER_TASK = 256  # boxes of a page that are cut out together
 
 def page_crops(pages: DataFrame, boxes: DataFrame, page: str = "page", key: str = "key", data: str = "content", tails: float = 0.0, decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
     """(key, content, error): boxes (page, key, x1, y1, x2, y2, times) of grey pages as PNG files, each box's contrast stretched and the box enlarged `times`. A page is decoded once for PER_TASK of its
-    boxes; what lies outside of a page is black; an empty box, a missing or a broken page is a row with an error."""
+    boxes; what lies outside of a page is black; an empty box, a missing or a broken page is a row with an error. A task holds a page and few of its crops at a time."""
     number = F.row_number().over(Window.partitionBy(page).orderBy(key)) - 1
     box = F.struct(F.col(key).alias("key"), *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2", "times")))
     lists = boxes.withColumn("_part", F.floor(number / PER_TASK)).groupBy(page, "_part").agg(F.collect_list(box).alias("_boxes"))  # PER_TASK at most
     kind = boxes.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for raw, wanted in zip(b[data], b["_boxes"], strict=True):
-                levels, failed = None, None
-                try:
-                    if raw is None:
-                        raise FileNotFoundError("missing file")
-                    levels = R.luma(decode(bytes(raw)))
-                except Exception as e:  # a broken page fails its boxes
-                    failed = f"{type(e).__name__}: {e}"
-                for w in wanted:
-                    part = None if failed else R.cropped(levels, w["x1"], w["y1"], w["x2"], w["y2"])
-                    ok = part is not None and part.size > 0
-                    rows.append((w["key"], R.write_png(R.opaque(R.enlarged(R.stretched(part, tails), max(1, w["times"])))) if ok else None, None if ok else failed or "ValueError: an empty box"))
-            yield pd.DataFrame(rows, columns=[key, "content", "error"])
+    def cut(part: pa.RecordBatch) -> Iterator[tuple]:
+        for raw, wanted in zip(part.column(0), part.column(1), strict=True):
+            levels, failed = None, None
+            try:
+                if not raw.is_valid:
+                    raise FileNotFoundError("missing file")
+                levels = R.luma(decode(bytes(raw.as_py())))
+            except Exception as e:  # a broken page fails its boxes
+                failed = f"{type(e).__name__}: {e}"
+            for w in wanted.as_py():
+                box = None if failed else R.cropped(levels, w["x1"], w["y1"], w["x2"], w["y2"])
+                ok = box is not None and box.size > 0
+                yield w["key"], R.write_png(R.opaque(R.enlarged(R.stretched(box, tails), max(1, w["times"])))) if ok else None, None if ok else failed or "ValueError: an empty box"
 
-    return lists.join(pages.select(page, data), page, "left").select(data, "_boxes").mapInPandas(run, f"`{key}` {kind}, content binary, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            of = b.column(1).type.value_type.field("key").type
+            yield from batched(cut(b), pa.schema([(key, of), ("content", pa.binary()), ("error", pa.string())]))
+
+    return lists.join(pages.select(page, data), page, "left").select(data, "_boxes").mapInArrow(run, f"`{key}` {kind}, content binary, error string")
 
 
 def levels(images: DataFrame, key: str = "icon_id", data: str = "content", decode: Callable[[bytes], np.ndarray] = R.decode) -> DataFrame:
     """(key, width, height, levels, error): grey levels by rows."""
     kind = images.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                try:
-                    g = R.luma(decode(bytes(raw)))
-                    rows.append((k, g.shape[1], g.shape[0], g.ravel().tolist(), None))
-                except Exception as e:  # a failure row
-                    rows.append((k, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[key, "width", "height", "levels", "error"]).astype({"width": "Int32", "height": "Int32"})
+    def read(part: pa.RecordBatch) -> Iterator[tuple]:
+        for k, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            try:
+                g = R.luma(decode(bytes(raw.as_py())))
+                yield k, g.shape[1], g.shape[0], g.ravel().tolist(), None
+            except Exception as e:  # a failure row
+                yield k, None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield from batched(read(b), pa.schema([(key, b.column(0).type), ("width", pa.int32()), ("height", pa.int32()), ("levels", pa.list_(pa.int32())), ("error", pa.string())]))
 
-    return images.select(key, data).mapInPandas(run, f"`{key}` {kind}, width int, height int, levels array<int>, error string")
+    return images.select(key, data).mapInArrow(run, f"`{key}` {kind}, width int, height int, levels array<int>, error string")
 
 
 def grey_of_vector(side: int = 8):

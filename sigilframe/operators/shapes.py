@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigilframe.functions import raster as R
 from sigilframe.functions import shapes
+from sigilframe.functions.batches import frames
 from sigilframe.operators.raster import Extractor, Raster
 
 #: For `raster.extract`, beside its own.
@@ -28,7 +29,7 @@ def _mapped(images: DataFrame, key: str, data: str, columns: str, rows: Callable
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in frames(batches):
             out = []
             for k, raw in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
                 try:
@@ -58,7 +59,7 @@ def similar(pairs: DataFrame, images: DataFrame, a: str = "source", b: str = "ta
     one = pairs.select(a, b).join(images.select(F.col(key).alias(a), F.col(data).alias("_x")), a, "left").join(images.select(F.col(key).alias(b), F.col(data).alias("_y")), b, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
+        for t in frames(batches):
             out = []
             for x, y in zip(t["_x"], t["_y"], strict=True):
                 try:

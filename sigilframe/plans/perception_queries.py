@@ -180,7 +180,7 @@ def crop_levels(spark: SparkSession, d: str) -> DataFrame:
     """Two boxes of each vector's grey page with their contrast stretched, one over the page's edge: written as PNG, read back, a row a pixel."""
     pages = raster_rows(spark, d).withColumnRenamed("idx", "page")
     sides = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), b, strict=True))) for i, b in enumerate(((1, 2, 7, 6), (5, 5, 10, 9)))))
-    boxes = pages.select("page", F.explode(sides).alias("b")).select("page", (F.col("page") * 2 + F.col("b.i")).alias("key"), "b.x1", "b.y1", "b.x2", "b.y2", F.lit(1).alias("times"))
+    boxes = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("page"), F.explode(sides).alias("b")).select("page", (F.col("page") * 2 + F.col("b.i")).alias("key"), "b.x1", "b.y1", "b.x2", "b.y2", F.lit(1).alias("times"))
     cut = ras.page_crops(pages, boxes, decode=ras.grey_of_vector())
     return ras.levels(cut, "key").select("key", "width", "height", F.posexplode("levels").alias("place", "level"))
 

@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra import numpy as hnp
 
+from sigilframe.functions import batches
 from sigilframe.functions import raster as R
 from sigilframe.functions import shapes
 from sigilframe.operators import raster, shapes as ops
@@ -139,6 +141,40 @@ def test_page_crops(spark):
     assert (R.luma(R.decode(bytes(got["flat"].content))) == 100).all()
 
 
+def test_crops_in_small_batches(spark, monkeypatch):
+    """A task decodes no more pages than a batch of its rows needs, and gives rows on before it goes on: many pages, and one page of many boxes."""
+    made, seen = [], []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, *_: made.append(run) or self)
+
+    def decode(raw):
+        seen.append(raw)
+        return np.full((8, 8, 4), 9, np.uint8)
+
+    pages = spark.createDataFrame([("p", b"x")], "page string, content binary")
+    boxes = spark.createDataFrame([("p", "k", 0, 0, 2, 2, 1)], "page string, key string, x1 int, y1 int, x2 int, y2 int, times int")
+    raster.page_crops(pages, boxes, decode=decode)
+    raster.levels(pages, "page", decode=decode)
+    raster.vector_bytes(spark.createDataFrame([(1, [1.0])], "key long, v array<double>"), "key", "v")
+    crops, levels, vectors = made
+    box = {"key": "k", "x1": 0, "y1": 0, "x2": 2, "y2": 2, "times": 1}
+    n = 3 * batches.ROWS
+    for run, batch, rows in (
+        (crops, {"content": [b"x"] * n, "_boxes": [[box, box]] * n}, 2 * n),
+        (crops, {"content": [b"x"], "_boxes": [[box] * n]}, n),
+        (levels, {"page": ["p"] * n, "content": [b"x"] * n}, n),
+        (vectors, {"key": list(range(n)), "v": [[1.0, None]] * n}, n),
+    ):
+        seen.clear()
+        out = run(iter([pa.RecordBatch.from_pydict(batch)]))
+        sizes = [next(out).num_rows]
+        assert len(seen) <= batches.ROWS
+        sizes += [b.num_rows for b in out]
+        assert max(sizes) <= batches.ROWS and sum(sizes) == rows
+    schema = pa.schema([("content", pa.binary())])
+    assert [b.num_rows for b in batches.batched(((bytes(batches.BYTES // 2),) for _ in range(5)), schema)] == [2, 2, 1]
+    assert list(batches.batched(iter(()), schema)) == []
+
+
 def test_stretch_and_enlarge():
     x = np.array([[10, 20], [30, 60]], np.uint8)
     assert R.stretched(x).tolist() == [[0, 51], [102, 255]] and R.stretched(x[:1, :1]).tolist() == [[10]] and R.stretched(x[:0]).size == 0
