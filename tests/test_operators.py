@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigilframe.functions import raster as R
 from sigilframe.functions import text as X
 from sigilframe.operators import catalog, drawings, graph, nearby, ocr, quality, raster, records, sampling, similarity, stats, symbols
-from sigilframe.plans import record_queries
+from sigilframe.plans import feature_queries, record_queries
 from sigilframe.schema import FEATURES
 
 
@@ -67,6 +67,16 @@ def test_matrix_shuffles_no_pairs(spark, monkeypatch):
     assert similarity.distance_matrix(df.limit(0), ["a", "b", "c"], "idx").collect() == []
 
 
+def test_rounding_of_many_is_rounding(spark):
+    """Ties, their neighbours, large, negative and special numbers, and 20,000 others, to the bit."""
+    r = np.random.default_rng(3)
+    ties = r.integers(-(10**9), 10**9, 3000) / 1e6 + 5e-7
+    x = np.concatenate([ties, np.nextafter(ties, 9e9), np.nextafter(ties, -9e9), ties + 1e-9, r.normal(size=10000) * 5, 10 ** r.uniform(-9, 18, 10000), [0.0, -0.0, 99999.9999995, 1e5, math.nan, math.inf, -math.inf]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None)], "i long, d double")
+    both = feature_queries.rounded_many(df.withColumn("e", F.round("d", 6)), "d")
+    assert both.where("NOT (d <=> e)").count() == 0 and both.where("d = e AND NOT isnan(d)").count() == len(x) - 1
+
+
 def test_cosine_neighbours_of_zero_and_broken_rows(spark, monkeypatch):
     monkeypatch.setattr(nearby, "BLOCK", 8)
     r = np.random.default_rng(4)
