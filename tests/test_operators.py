@@ -67,6 +67,37 @@ def test_matrix_shuffles_no_pairs(spark, monkeypatch):
     assert similarity.distance_matrix(df.limit(0), ["a", "b", "c"], "idx").collect() == []
 
 
+def test_matrix_is_stored_in_few_bytes(spark, monkeypatch, tmp_path):
+    """Each distance stands twice, and its second place costs a compressed column hardly anything; 8 bytes a row before."""
+    monkeypatch.setattr(similarity, "BLOCK", 125)
+    x = np.random.default_rng(12).normal(size=(1000, 6))
+    df = spark.createDataFrame([(10**12 + i, *map(float, v)) for i, v in enumerate(x)], "idx long, a double, b double, c double, d double, e double, f double")
+    similarity.distance_matrix(df, list("abcdef"), "idx").write.option("compression", "snappy").parquet(f"file://{tmp_path}/out")
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 6 * len(x) ** 2
+    m = spark.read.parquet(f"file://{tmp_path}/out").toPandas().sort_values(["source", "target"])
+    assert len(m) == len(x) ** 2 and not m.duplicated(["source", "target"]).any()
+    assert np.array_equal(m.distance.to_numpy().reshape(len(x), -1), nearby.direct(x, x))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_matrix_of_odd_rows(spark, monkeypatch, metric):
+    """Null and shared indices (more of one than a piece holds), and null, infinite and broken components, as columns have them."""
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    monkeypatch.setattr(similarity, "STRIP", (7, 3))
+    r = np.random.default_rng(9)
+    data = [(i, *map(float, v)) for i, v in enumerate(r.normal(size=(30, 2)))] + [(2**62 + 1, float(i), 1.0) for i in range(45)]
+    data += [(None, 1.0, 2.0), (None, 1.0, 2.5), (None, None, 1.0), (50, None, 1.0), (50, 3.0, None), (51, math.nan, 1.0), (52, 1e200, 0.0), (53, -1e200, 0.0), (54, math.inf, 0.0), (55, 0.0, 0.0)]
+    df = spark.createDataFrame([(k, *v) for k, v in enumerate(data)], "k long, idx long, a double, b double")
+    both = df.alias("x").crossJoin(df.alias("y"))
+    dot = lambda s, t: f"({s}.a * {t}.a + {s}.b * {t}.b)"
+    norm = lambda s: f"if(sqrt{dot(s, s)} = 0, 1D, sqrt{dot(s, s)})"
+    cosine = f"(1 - {dot('x', 'y')} / ({norm('x')} * {norm('y')}))"
+    of = {"euclidean": "sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))", "cosine": f"if(isnan({cosine}), {cosine}, if({cosine} < 0, 0D, if({cosine} > 2, 2D, {cosine})))"}[metric]
+    want = both.selectExpr("x.idx AS source", "y.idx AS target", f"CASE WHEN x.idx = y.idx OR {of} = double('Infinity') THEN 0D ELSE {of} END AS distance")
+    got = similarity.distance_matrix(df, ["a", "b"], "idx", metric)
+    assert got.count() == len(data) ** 2 and got.exceptAll(want).count() == 0
+
+
 def test_rounding_of_many_is_rounding(spark):
     """Ties, their neighbours, large, negative and special numbers, and 20,000 others, to the bit."""
     r = np.random.default_rng(3)
